@@ -537,3 +537,181 @@ def q_table_roundtrip(spark, d):
     back = io.read_table(spark, f"{base}/s.csv", schema="id bigint, grp string, time double, event int, x_cat string",
                          fmt="csv")
     return io.drop_columns(back, "x_cat")
+
+
+# --------------------------------------------------------------------------- metrics (MT1-MT15)
+
+@query("cindex_global")
+def q_cindex_global(spark, d):
+    """MT1/JN5: concordance over all comparable pairs of S (heavy time ties)."""
+    c = concord.concordance(_s(spark, d))
+    return c.select("concordance", F.col("pairs").cast("long").alias("pairs"))
+
+
+@query("cindex_by_group")
+def q_cindex_by_group(spark, d):
+    """MT2: concordance per group."""
+    c = concord.concordance(_s(spark, d), group="grp")
+    return c.select("grp", "concordance", F.col("pairs").cast("long").alias("pairs"))
+
+
+@query("cindex_stratified")
+def q_cindex_stratified(spark, d):
+    """MT1-MT3: micro, per-group, macro, std and stratified (macro - std) concordance."""
+    return concord.ranking_score(_s(spark, d))
+
+
+@query("cindex_no_ties")
+def q_cindex_no_ties(spark, d):
+    """MT1 on frame G (almost no ties, a zero duration)."""
+    c = concord.concordance(_g(spark, d))
+    return c.select("concordance", F.col("pairs").cast("long").alias("pairs"))
+
+
+@query("log_loss_grouped")
+def q_log_loss_grouped(spark, d):
+    """MT4/MT5: log loss and ROC AUC overall and per group."""
+    return metrics.classification_score(_p(spark, d), "grp", "event", "p1")
+
+
+@query("log_loss_weighted")
+def q_log_loss_weighted(spark, d):
+    """MT4: weighted log loss (event weight 1.5) overall and per group."""
+    p = targets.sample_weight(_p(spark, d), "event", 1.5)
+    return metrics.classification_score(p, "grp", "event", "p2", weight="weight")
+
+
+@query("auc_grouped")
+def q_auc_grouped(spark, d):
+    """MT5: exact ROC AUC (average ranks for ties) per fold of a tied score round(p2, 2)."""
+    p = _p(spark, d).withColumn("s", F.round("p2", 2))
+    return metrics.auc_table(p, "event", "s", ["fold"])
+
+
+@query("roc_points")
+def q_roc_points(spark, d):
+    """MT6: ROC points of p1 with their neighbouring points."""
+    return metrics.roc_points(_p(spark, d), "event", "p1")
+
+
+@query("pr_points")
+def q_pr_points(spark, d):
+    """MT7: precision-recall points of p1 with their neighbouring points."""
+    return metrics.pr_points(_p(spark, d), "event", "p1")
+
+
+@query("curve_auc")
+def q_curve_auc(spark, d):
+    """MT9: trapezoid areas under each fold's ROC and PR curves of round(p1, 2)."""
+    p = _p(spark, d).withColumn("s", F.round("p1", 2))
+    roc = metrics.curve_auc(metrics.roc_points(p, "event", "s", ["fold"]), "roc", ["fold"]).withColumn("kind", F.lit("roc"))
+    pr = metrics.curve_auc(metrics.pr_points(p, "event", "s", ["fold"]), "pr", ["fold"]).withColumn("kind", F.lit("pr"))
+    return roc.unionByName(pr)
+
+
+@query("interpolate_grid")
+def q_interpolate_grid(spark, d):
+    """SC9: each fold's ROC curve of round(p3, 2) interpolated on the 100-point grid."""
+    p = _p(spark, d).withColumn("s", F.round("p3", 2))
+    pts = metrics.roc_points(p, "event", "s", ["fold"]).filter(F.col("fpr_prev").isNotNull())
+    seg = pts.select("fold", F.col("fpr_prev").alias("x0"), F.col("tpr_prev").alias("y0"),
+                     F.col("fpr").alias("x1"), F.col("tpr").alias("y1"))
+    last = pts.groupBy("fold").agg(F.max_by(F.struct("fpr", "tpr"), F.struct("fpr", "tpr")).alias("l"))
+    tail = last.select("fold", F.col("l.fpr").alias("x0"), F.col("l.tpr").alias("y0"),
+                       F.lit(float("inf")).alias("x1"), F.col("l.tpr").alias("y1"))
+    return metrics._interp_segments(seg.unionByName(tail), ["fold"], 100)
+
+
+@query("roc_mean_curve")
+def q_roc_mean_curve(spark, d):
+    """MT10: mean ROC of p1 over the seven folds with +/- 1 std band."""
+    return metrics.mean_roc(_p(spark, d), "event", "p1", "fold")
+
+
+@query("pr_mean_curve")
+def q_pr_mean_curve(spark, d):
+    """MT11: mean precision-recall curve of p1 over folds with band."""
+    return metrics.mean_pr(_p(spark, d), "event", "p1", "fold")
+
+
+@query("roc_mean_summary")
+def q_roc_mean_summary(spark, d):
+    """MT10: area under the mean ROC and the best Youden point."""
+    return metrics.grid_summary(metrics.mean_roc(_p(spark, d), "event", "p1", "fold"), "fpr", "tpr_mean", "roc")
+
+
+@query("regression_errors")
+def q_regression_errors(spark, d):
+    """MT8: MSE, MAE, MAPE(+1) of 800 * r1 against time, overall and per group."""
+    p = _p(spark, d).withColumn("yhat", F.col("r1") * F.lit(800.0))
+    return metrics.regression_score(p, "grp", "time", "yhat")
+
+
+@query("score_table")
+def q_score_table(spark, d):
+    """MT12/MT13/ST1: classification scores of p1 per validation fold plus OOF."""
+    return metrics.score_table(_p(spark, d), "classification", pred="p1")
+
+
+@query("score_table_ranking")
+def q_score_table_ranking(spark, d):
+    """MT12/MT13: concordance family per fold and OOF for the ranking blend."""
+    p = combine.blend(_ranking_inputs(_p(spark, d)), combine.RANKING_BLEND)
+    return metrics.score_table(p, "ranking", pred="prediction")
+
+
+@query("score_summary")
+def q_score_summary(spark, d):
+    """AG12: fold mean and sample std of each classification metric."""
+    return metrics.score_summary(metrics.score_table(_p(spark, d), "classification", pred="p1"))
+
+
+@query("oof_vs_folds")
+def q_oof_vs_folds(spark, d):
+    """MT15: fold mean/std next to the OOF value per regression metric."""
+    p = _p(spark, d).withColumn("yhat", F.col("r1") * F.lit(800.0))
+    return metrics.oof_vs_folds(metrics.score_table(p, "regression", pred="yhat", target="time"))
+
+
+@query("correlations")
+def q_correlations(spark, d):
+    """AG7: Pearson correlations of the six classifier columns."""
+    return metrics.correlations(_p(spark, d), [f"p{i}" for i in range(1, 7)])
+
+
+@query("target_histogram")
+def q_target_histogram(spark, d):
+    """AG8/MT14: 32-bin histogram of time per event class."""
+    return metrics.histogram(_s(spark, d), "time", "event", 32)
+
+
+def _trials(p: DataFrame) -> DataFrame:
+    """A study table derived from P: one trial per (fold, group)."""
+    t = p.groupBy("fold", "grp").agg(F.round(F.avg("p1"), 2).alias("value"), F.count(F.lit(1)).alias("params_n"),
+                                    F.round(F.avg("r2"), 4).alias("params_lr"))
+    number = (F.col("fold") * 1000 + F.ascii(F.col("grp"))).cast("long")
+    value = F.when((F.col("fold") == 3) & (F.col("grp") == "MACHINERY"), None).otherwise(F.col("value"))
+    return t.select(number.alias("number"), value.alias("value"), "params_n", "params_lr")
+
+
+@query("study_table")
+def q_study_table(spark, d):
+    """WN5/SO1/ML14: complete trials, one per distinct value, by value descending."""
+    return metrics.study_table(_trials(_p(spark, d)))
+
+
+@query("best_trial")
+def q_best_trial(spark, d):
+    """SO2: the best complete trial."""
+    return metrics.best_trial(_trials(_p(spark, d)))
+
+
+@query("importance_summary")
+def q_importance_summary(spark, d):
+    """ML11: per-fold |corr(feature, event)| as importance, mean and std over folds."""
+    p = _p(spark, d)
+    feats = [f"p{i}" for i in range(1, 7)] + ["r1", "r2"]
+    per = p.groupBy("fold").agg(*[F.abs(F.corr(c, "event")).alias(c) for c in feats])
+    long = per.select("fold", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance"))
+                                                  for c in feats])).alias("u")).select("fold", "u.*")
+    return metrics.importance_summary(long)

@@ -333,3 +333,211 @@ SQL["min_max_scale"] = W(S, "v AS (SELECT id, ln(1 + pred) v FROM S)") + f"""
 SELECT id, {R("(v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ())")} v FROM v"""
 
 SQL["table_roundtrip"] = W(S) + f'SELECT id, grp, {R(chr(34) + "time" + chr(34))} "time", event FROM S'
+
+# ---------------------------------------------------------------------------------- metrics
+# brute-force pair joins for concordance: comparable = e_i = 1 and (t_i < t_j or t_i = t_j and e_j = 0)
+
+
+def _pairs(src: str, by: str | None = None) -> str:
+    eq = f" AND a.{by} = b.{by}" if by else ""
+    sel = f"a.{by} g, " if by else ""
+    score = "CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END s"
+    return f"""x AS (SELECT {by + ' ,' if by else ''} "time" t, event e, pred p FROM {src}),
+pairs AS (SELECT {sel}{score} FROM x a JOIN x b ON a.e = 1 AND a.t < b.t{eq}
+          UNION ALL
+          SELECT {sel}{score} FROM x a JOIN x b ON a.e = 1 AND a.t = b.t AND b.e = 0{eq})"""
+
+
+SQL["cindex_global"] = W(S, _pairs("S")) + f"SELECT {R('sum(s) / count(*)')} concordance, count(*) pairs FROM pairs"
+SQL["cindex_no_ties"] = W(G, _pairs("G")) + f"SELECT {R('sum(s) / count(*)')} concordance, count(*) pairs FROM pairs"
+SQL["cindex_by_group"] = W(S, _pairs("S", "grp")) + f"""
+SELECT g grp, {R('sum(s) / count(*)')} concordance, count(*) pairs FROM pairs GROUP BY g"""
+
+SQL["cindex_stratified"] = W(
+    S, _pairs("S", "grp"), "gp AS (SELECT g, sum(s) / count(*) c FROM pairs GROUP BY g)",
+    _pairs("S").replace("x AS", "y AS").replace("FROM x a JOIN x b", "FROM y a JOIN y b").replace("pairs AS", "allp AS")) + f"""
+SELECT 'micro_concordance_index' metric, {R('sum(s) / count(*)')} value FROM allp
+UNION ALL SELECT regexp_replace(lower(trim(g)), '\\s+', '_', 'g') || '_concordance_index', {R('c')} FROM gp
+UNION ALL SELECT 'macro_concordance_index', {R('avg(c)')} FROM gp
+UNION ALL SELECT 'std_concordance_index', {R('stddev_pop(c)')} FROM gp
+UNION ALL SELECT 'stratified_concordance_index', {R('avg(c) - stddev_pop(c)')} FROM gp"""
+
+
+def _cls(pred: str, weight: str = "1.0") -> str:
+    """log loss and brute-force AUC, overall and per group, long form."""
+    eps = "CAST('2.220446049250313e-16' AS DOUBLE)"
+    q = f"least(greatest({pred}, {eps}), 1 - {eps})"
+    return f"""b AS (SELECT grp, event, {pred} p, {weight} w, -(event * ln({q}) + (1 - event) * ln(1 - {q})) l FROM P),
+u AS (SELECT '' g, 0 sc, * EXCLUDE (grp) FROM b UNION ALL SELECT grp, 1, * EXCLUDE (grp) FROM b),
+ll AS (SELECT sc, g, sum(w * l) / sum(w) log_loss FROM u GROUP BY sc, g),
+au AS (SELECT a.sc, a.g, sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END) / count(*) roc_auc
+       FROM u a JOIN u b ON a.sc = b.sc AND a.g = b.g AND a.event = 1 AND b.event = 0 GROUP BY a.sc, a.g),
+m AS (SELECT * FROM ll JOIN au USING (sc, g))
+SELECT CASE WHEN sc = 0 THEN 'log_loss' ELSE regexp_replace(lower(trim(g)), '\\s+', '_', 'g') || '_log_loss' END metric,
+       {R('log_loss')} value FROM m
+UNION ALL
+SELECT CASE WHEN sc = 0 THEN 'roc_auc' ELSE regexp_replace(lower(trim(g)), '\\s+', '_', 'g') || '_roc_auc' END, {R('roc_auc')} FROM m"""
+
+
+SQL["log_loss_grouped"] = W(S, P).rstrip() + ",\n" + _cls("p1")
+SQL["log_loss_weighted"] = W(S, P).rstrip() + ",\n" + _cls("p2", "CASE WHEN event = 1 THEN 1.5 ELSE 1.0 END")
+
+SQL["auc_grouped"] = W(S, P, "b AS (SELECT fold, event, round(p2, 2) s FROM P)") + f"""
+SELECT a.fold, {R('sum(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END) / count(*)')} roc_auc
+FROM b a JOIN b b ON a.fold = b.fold AND a.event = 1 AND b.event = 0 GROUP BY a.fold"""
+
+# curve points: cumulative counts by descending threshold
+_PTS = """c AS (SELECT {by}{s} thr, CAST(sum(event) AS BIGINT) pos, CAST(count(*) - sum(event) AS BIGINT) neg FROM P GROUP BY ALL),
+cu AS (SELECT *, sum(pos) OVER (PARTITION BY {part} ORDER BY thr DESC) tp, sum(neg) OVER (PARTITION BY {part} ORDER BY thr DESC) fp FROM c),
+tot AS (SELECT {part} k, sum(pos) "P", sum(neg) "N" FROM c GROUP BY ALL),
+cc AS (SELECT cu.*, tot."P", tot."N", tp - pos tpa, fp - neg fpa FROM cu JOIN tot ON tot.k = cu.{part})"""
+
+
+def _pts(s: str, by: str | None) -> str:
+    if by:
+        return _PTS.format(by=f"{by}, ", s=s, part=by)
+    return _PTS.replace("PARTITION BY {part} ", "").format(by="", s=s, part="one").replace(
+        "FROM P GROUP BY ALL)", "FROM P GROUP BY ALL), one AS (SELECT 1 one)").replace(
+        "tot AS (SELECT one k", "tot AS (SELECT 1 k").replace("JOIN tot ON tot.k = cu.one", ", tot")
+
+
+SQL["roc_points"] = W(S, P, _pts("p1", None)) + f"""
+SELECT {R('thr')} threshold, {R('fp / "N"')} fpr, {R('tp / "P"')} tpr, {R('fpa / "N"')} fpr_prev, {R('tpa / "P"')} tpr_prev FROM cc
+UNION ALL SELECT CAST('inf' AS DOUBLE), 0.0, 0.0, NULL, NULL"""
+
+SQL["pr_points"] = W(S, P, _pts("p1", None)) + f"""
+SELECT {R('thr')} threshold, {R('tp / (tp + fp)')} "precision", {R('tp / "P"')} recall,
+       {R('CASE WHEN tpa + fpa > 0 THEN tpa / (tpa + fpa) ELSE 1.0 END')} precision_next, {R('tpa / "P"')} recall_next FROM cc
+UNION ALL SELECT NULL, 1.0, 0.0, NULL, NULL"""
+
+# per-fold curves in curve order (ROC: origin, then thresholds descending; PR: thresholds ascending, then the end point)
+_ROC_CURVE = """curve AS (SELECT fold, CAST('inf' AS DOUBLE) thr, 0.0 x, 0.0 y FROM (SELECT DISTINCT fold FROM P)
+          UNION ALL SELECT fold, thr, fp / "N", tp / "P" FROM cc),
+cp AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY thr DESC) pos FROM curve)"""
+_PR_CURVE = """curve AS (SELECT fold, thr, 1 - tp / "P" x, tp / (tp + fp) y, 0 e FROM cc
+          UNION ALL SELECT fold, NULL, 1.0, 1.0, 1 FROM (SELECT DISTINCT fold FROM P)),
+cp AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY e, thr) pos FROM curve)"""
+_GRID = "grid AS (SELECT CAST(range AS INT) k, CASE WHEN range = 99 THEN 1.0 ELSE range * (CAST(1 AS DOUBLE) / 99) END g FROM range(100))"
+_INTERP = """lf AS (SELECT grid.k, grid.g, cp.fold, max(cp.pos) lpos FROM grid JOIN cp ON cp.x <= grid.g GROUP BY ALL),
+it AS (SELECT lf.fold, lf.k, lf.g,
+              CASE WHEN l.x = lf.g OR r.pos IS NULL THEN l.y ELSE l.y + (lf.g - l.x) * (r.y - l.y) / (r.x - l.x) END y
+       FROM lf JOIN cp l ON l.fold = lf.fold AND l.pos = lf.lpos
+       LEFT JOIN cp r ON r.fold = lf.fold AND r.pos = lf.lpos + 1)"""
+
+SQL["interpolate_grid"] = W(S, P, _pts("round(p3, 2)", "fold"), _ROC_CURVE, _GRID, _INTERP) + f"""
+SELECT fold, k, {R('g')} g, {R('y')} y FROM it"""
+
+SQL["roc_mean_curve"] = W(S, P, _pts("p1", "fold"), _ROC_CURVE, _GRID, _INTERP,
+                          "it2 AS (SELECT fold, k, g, CASE WHEN k = 0 THEN 0.0 ELSE y END y FROM it)",
+                          "mm AS (SELECT k, g, CASE WHEN k = 99 THEN 1.0 ELSE avg(y) END m, stddev_pop(y) s FROM it2 GROUP BY k, g)") + f"""
+SELECT k, {R('g')} fpr, {R('m')} tpr_mean, {R('s')} tpr_std, {R('greatest(m - s, 0.0)')} tpr_lower,
+       {R('least(m + s, 1.0)')} tpr_upper FROM mm"""
+
+SQL["roc_mean_summary"] = W(S, P, _pts("p1", "fold"), _ROC_CURVE, _GRID, _INTERP,
+                            "it2 AS (SELECT fold, k, g, CASE WHEN k = 0 THEN 0.0 ELSE y END y FROM it)",
+                            "mm AS (SELECT k, g, CASE WHEN k = 99 THEN 1.0 ELSE avg(y) END m FROM it2 GROUP BY k, g)",
+                            "ml AS (SELECT *, lag(g) OVER (ORDER BY k) g0, lag(m) OVER (ORDER BY k) m0 FROM mm)") + f"""
+SELECT {R('sum((g - g0) * (m + m0) / 2.0)')} auc, {R('arg_min(g, (-(m - g), k))')} best_fpr,
+       {R('arg_min(m, (-(m - g), k))')} best_tpr_mean FROM ml"""
+
+SQL["pr_mean_curve"] = W(S, P, _pts("p1", "fold"), _PR_CURVE, _GRID, _INTERP,
+                         "it2 AS (SELECT fold, 99 - k k, CASE WHEN 99 - k = 0 THEN 1.0 ELSE y END y FROM it)",
+                         "mm AS (SELECT it2.k, grid.g, CASE WHEN it2.k = 99 THEN 0.0 ELSE avg(y) END m, stddev_pop(y) s "
+                         "FROM it2 JOIN grid USING (k) GROUP BY it2.k, grid.g)") + f"""
+SELECT k, {R('g')} recall, {R('m')} precision_mean, {R('s')} precision_std, {R('greatest(m - s, 0.0)')} precision_lower,
+       {R('least(m + s, 1.0)')} precision_upper FROM mm"""
+
+SQL["curve_auc"] = W(S, P, _pts("round(p1, 2)", "fold"),
+                     _ROC_CURVE, _PR_CURVE.replace("curve AS", "prc AS").replace("cp AS", "pcp AS").replace("FROM curve", "FROM prc"),
+                     "ra AS (SELECT fold, sum((x - x0) * (y + y0) / 2.0) auc FROM (SELECT *, lag(x) OVER w x0, lag(y) OVER w y0 FROM cp WINDOW w AS (PARTITION BY fold ORDER BY pos)) GROUP BY fold)",
+                     "pa AS (SELECT fold, sum(((1 - x) - (1 - x1)) * (y + y1) / 2.0) auc FROM (SELECT *, lead(x) OVER w x1, lead(y) OVER w y1 FROM pcp WINDOW w AS (PARTITION BY fold ORDER BY pos)) GROUP BY fold)") + f"""
+SELECT fold, {R('auc')} auc, 'roc' kind FROM ra UNION ALL SELECT fold, {R('auc')}, 'pr' FROM pa"""
+
+
+def _reg(extra: str = "", target: str = '"time"', pred: str = f"r1 * {_d(800.0)}") -> str:
+    eps = "CAST('2.220446049250313e-16' AS DOUBLE)"
+    return f"""b AS (SELECT {extra}grp, {target} y, {pred} p FROM P),
+u AS (SELECT {extra}'' g, 0 sc, y, p FROM b UNION ALL SELECT {extra}grp, 1, y, p FROM b),
+m AS (SELECT {extra}sc, g, avg((y - p) * (y - p)) mse, avg(abs(y - p)) mae,
+             avg(abs((p + 1) - (y + 1)) / greatest(abs(y + 1), {eps})) mape FROM u GROUP BY ALL),
+l AS (SELECT {extra}sc, g, unnest([{{'m': 'mean_squared_error', 'v': mse}}, {{'m': 'mean_absolute_error', 'v': mae}},
+                           {{'m': 'mean_absolute_percentage_error', 'v': mape}}]) r FROM m)"""
+
+
+_SLUG = "CASE WHEN sc = 0 THEN r.m ELSE regexp_replace(lower(trim(g)), '\\s+', '_', 'g') || '_' || r.m END"
+SQL["regression_errors"] = W(S, P, _reg()) + f"SELECT {_SLUG} metric, {R('r.v')} value FROM l"
+
+
+def _cls_folds(pred: str) -> str:
+    eps = "CAST('2.220446049250313e-16' AS DOUBLE)"
+    q = f"least(greatest({pred}, {eps}), 1 - {eps})"
+    return f"""b AS (SELECT CAST(fold AS VARCHAR) f, grp, event, {pred} p, -(event * ln({q}) + (1 - event) * ln(1 - {q})) l FROM P
+           UNION ALL SELECT 'OOF', grp, event, {pred}, -(event * ln({q}) + (1 - event) * ln(1 - {q})) FROM P),
+u AS (SELECT f, '' g, 0 sc, event, p, l FROM b UNION ALL SELECT f, grp, 1, event, p, l FROM b),
+ll AS (SELECT f, sc, g, avg(l) log_loss FROM u GROUP BY ALL),
+au AS (SELECT a.f, a.sc, a.g, sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END) / count(*) roc_auc
+       FROM u a JOIN u b ON a.f = b.f AND a.sc = b.sc AND a.g = b.g AND a.event = 1 AND b.event = 0 GROUP BY ALL),
+m AS (SELECT * FROM ll JOIN au USING (f, sc, g)),
+l AS (SELECT f, sc, g, unnest([{{'m': 'log_loss', 'v': log_loss}}, {{'m': 'roc_auc', 'v': roc_auc}}]) r FROM m),
+sct AS (SELECT f fold, {_SLUG} metric, r.v value FROM l)"""
+
+
+SQL["score_table"] = W(S, P, _cls_folds("p1")) + f"SELECT fold, metric, {R('value')} value FROM sct"
+SQL["score_summary"] = W(S, P, _cls_folds("p1")) + f"""
+SELECT metric, {R('avg(value)')} mean, {R('coalesce(stddev_samp(value), 0.0)')} std FROM sct WHERE fold <> 'OOF' GROUP BY metric"""
+
+_REG_F = f"""b AS (SELECT CAST(fold AS VARCHAR) f, grp, "time" y, r1 * {_d(800.0)} p FROM P
+           UNION ALL SELECT 'OOF', grp, "time", r1 * {_d(800.0)} FROM P),
+u AS (SELECT f, '' g, 0 sc, y, p FROM b UNION ALL SELECT f, grp, 1, y, p FROM b),
+m AS (SELECT f, sc, g, avg((y - p) * (y - p)) mse, avg(abs(y - p)) mae,
+             avg(abs((p + 1) - (y + 1)) / greatest(abs(y + 1), CAST('2.220446049250313e-16' AS DOUBLE))) mape
+      FROM u GROUP BY ALL),
+l AS (SELECT f, sc, g, unnest([{{'m': 'mean_squared_error', 'v': mse}}, {{'m': 'mean_absolute_error', 'v': mae}},
+                           {{'m': 'mean_absolute_percentage_error', 'v': mape}}]) r FROM m),
+sct AS (SELECT f fold, {_SLUG} metric, r.v value FROM l)"""
+SQL["oof_vs_folds"] = W(S, P, _REG_F) + f"""
+SELECT metric, {R("avg(value) FILTER (WHERE fold <> 'OOF')")} mean,
+       {R("coalesce(stddev_samp(value) FILTER (WHERE fold <> 'OOF'), 0.0)")} std,
+       {R("max(value) FILTER (WHERE fold = 'OOF')")} oof FROM sct GROUP BY metric"""
+
+_RB = _blend_sql(RANKING_BLEND, {"r3": "p3", "r4": "p4", "r5": "p5"})
+SQL["score_table_ranking"] = W(
+    S, P, f"""q AS (SELECT CAST(fold AS VARCHAR) f, grp, "time" t, event e, {_RB} p FROM P
+                  UNION ALL SELECT 'OOF', grp, "time", event, {_RB} FROM P)""",
+    """u AS (SELECT f, '' g, 0 sc, t, e, p FROM q UNION ALL SELECT f, grp, 1, t, e, p FROM q)""",
+    """pr AS (SELECT a.f, a.sc, a.g, CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END s
+              FROM u a JOIN u b ON a.f = b.f AND a.sc = b.sc AND a.g = b.g AND a.e = 1 AND a.t < b.t
+              UNION ALL
+              SELECT a.f, a.sc, a.g, CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END
+              FROM u a JOIN u b ON a.f = b.f AND a.sc = b.sc AND a.g = b.g AND a.e = 1 AND a.t = b.t AND b.e = 0)""",
+    "c AS (SELECT f, sc, g, sum(s) / count(*) c FROM pr GROUP BY ALL)") + f"""
+SELECT f fold, 'micro_concordance_index' metric, {R('c')} value FROM c WHERE sc = 0
+UNION ALL SELECT f, regexp_replace(lower(trim(g)), '\\s+', '_', 'g') || '_concordance_index', {R('c')} FROM c WHERE sc = 1
+UNION ALL SELECT f, 'macro_concordance_index', {R('avg(c)')} FROM c WHERE sc = 1 GROUP BY f
+UNION ALL SELECT f, 'std_concordance_index', {R('stddev_pop(c)')} FROM c WHERE sc = 1 GROUP BY f
+UNION ALL SELECT f, 'stratified_concordance_index', {R('avg(c) - stddev_pop(c)')} FROM c WHERE sc = 1 GROUP BY f"""
+
+_PC = [f"p{i}" for i in range(1, 7)]
+SQL["correlations"] = W(S, P) + " UNION ALL ".join(
+    f"SELECT '{a}' a, '{b}' b, {R(f'corr({a}, {b})')} corr FROM P" for a in _PC for b in _PC)
+
+SQL["target_histogram"] = W(S, 'mm AS (SELECT min("time") lo, max("time") hi FROM S)',
+                            'w AS (SELECT lo, CASE WHEN hi > lo THEN (hi - lo) / 32 ELSE 1.0 END wd FROM mm)') + f"""
+SELECT event, CAST(least(floor(("time" - lo) / wd), 31) AS INT) bin, {R('lo + least(floor(("time" - lo) / wd), 31) * wd')} lo,
+       {R('lo + (least(floor(("time" - lo) / wd), 31) + 1) * wd')} hi, count(*) "count"
+FROM S, w GROUP BY ALL"""
+
+_TRIALS = """tr AS (SELECT CAST(fold * 1000 + ascii(grp) AS BIGINT) number,
+                CASE WHEN fold = 3 AND grp = 'MACHINERY' THEN NULL ELSE round(avg(p1), 2) END value,
+                count(*) params_n, round(avg(r2), 4) params_lr FROM P GROUP BY fold, grp),
+full_tr AS (SELECT * FROM tr WHERE value IS NOT NULL)"""
+SQL["study_table"] = W(S, P, _TRIALS) + f"""
+SELECT number, {R('value')} value, params_n, {R('params_lr')} params_lr FROM full_tr
+QUALIFY row_number() OVER (PARTITION BY value ORDER BY number) = 1"""
+SQL["best_trial"] = W(S, P, _TRIALS) + f"""
+SELECT number, {R('value')} value, params_n, {R('params_lr')} params_lr FROM full_tr ORDER BY value DESC, number LIMIT 1"""
+
+_FE = _PC + ["r1", "r2"]
+SQL["importance_summary"] = W(S, P, "per AS (SELECT fold, " + ", ".join(f"abs(corr({c}, event)) {c}" for c in _FE) + " FROM P GROUP BY fold)",
+                              "lg AS (" + " UNION ALL ".join(f"SELECT fold, '{c}' feature, {c} importance FROM per" for c in _FE) + ")") + f"""
+SELECT feature, {R('avg(importance)')} mean, {R('coalesce(stddev_samp(importance), 0.0)')} std FROM lg GROUP BY feature"""
