@@ -182,9 +182,10 @@ def fit_loglogistic(df: DataFrame, time: str = "time", event: str = "event", gro
             t = loglogistic_terms(ca, cb, F.col("__x"), F.col("__e"))
             return _group_rows(base.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in t.items()]), group)
 
+        # damped Newton with step halving on the log-likelihood (each evaluation is one aggregate)
+        s = at(par)
         for _ in range(max_iter):
-            s = at(par)
-            delta = 0.0
+            prop = {}
             for g, r in s.items():
                 a_, b_ = par[g]
                 haa, hab, hbb, ga, gb = r["haa"], r["hab"], r["hbb"], r["ga"], r["gb"]
@@ -192,15 +193,22 @@ def fit_loglogistic(df: DataFrame, time: str = "time", event: str = "event", gro
                 if det > 0 and haa < 0:
                     da = -(hbb * ga - hab * gb) / det
                     db = -(-hab * ga + haa * gb) / det
-                else:  # not concave here: small gradient step
+                else:  # not concave here: scaled gradient step
                     da, db = 1e-3 * ga, 1e-3 * gb
-                nb = b_ + db
-                while nb <= 0:
-                    db /= 2
-                    da /= 2
-                    nb = b_ + db
-                par[g] = [a_ + da, nb]
-                delta = max(delta, abs(da), abs(db))
+                scale = min(1.0, 1.0 / max(abs(da), abs(db) / max(b_, 1e-12), 1e-300))
+                da, db = da * scale, db * scale
+                while b_ + db <= 0:
+                    da, db = da / 2, db / 2
+                prop[g] = (da, db)
+            step = 1.0
+            for _half in range(30):
+                cand = {g: [par[g][0] + step * da, par[g][1] + step * db] for g, (da, db) in prop.items()}
+                s_new = at(cand)
+                if all(s_new[g]["ll"] >= s[g]["ll"] - 1e-12 * abs(s[g]["ll"]) for g in s):
+                    break
+                step /= 2
+            delta = max(max(abs(step * da), abs(step * db)) for da, db in prop.values())
+            par, s = cand, s_new
             if delta < tol:
                 break
         rows = [((g,) if group else ()) + (float(math.exp(a_)), float(b_)) for g, (a_, b_) in par.items()]

@@ -715,3 +715,156 @@ def q_importance_summary(spark, d):
     long = per.select("fold", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance"))
                                                   for c in feats])).alias("u")).select("fold", "u.*")
     return metrics.importance_summary(long)
+
+
+# --------------------------------------------------------------------------- fitted models (rows-only checks)
+
+def _model_frame(spark, d) -> DataFrame:
+    """S features (median-filled, ordinal-coded) with the folds of P."""
+    s = _s(spark, d)
+    s = encode.MedianImputer(["x_num", "x_code"]).fit(s).transform(s)
+    s = encode.Ordinal(["x_cat"]).fit(s).transform(s)
+    f = _p(spark, d).select("id", "fold", "p1")
+    return (s.join(f, "id").withColumn("log_time", sc.ln(F.col("time")))
+            .withColumn("x_cat_encoded", F.col("x_cat_encoded").cast("double")))
+
+
+FEATURES = ["x_num", "x_code", "x_cat_encoded", "pred"]
+
+
+@query("weibull_fit")
+def q_weibull_fit(spark, d):
+    """SV10: Weibull maximum likelihood per group (Newton on the profile score)."""
+    return parametric.fit_weibull(_s(spark, d), group="grp")
+
+
+@query("loglogistic_fit")
+def q_loglogistic_fit(spark, d):
+    """SV11: log-logistic maximum likelihood (damped Newton)."""
+    return parametric.fit_loglogistic(_s(spark, d))
+
+
+@query("weibull_fitted_curve")
+def q_weibull_fitted_curve(spark, d):
+    """SV10/SV14: fitted Weibull per group evaluated at each row's time."""
+    s = _s(spark, d)
+    p = parametric.fit_weibull(s, group="grp")
+    return parametric.evaluate(s.select("id", "grp", "time"), p, "weibull", group="grp").drop("time")
+
+
+@query("gbt_classifier_oof")
+def q_gbt_classifier_oof(spark, d):
+    """ML1/ML9: boosted-tree event classifier, out-of-fold over 7 folds."""
+    from ..operators import train
+    oof, _ = train.train_oof(_model_frame(spark, d), "gbt", FEATURES, "event", "classification",
+                             params={"maxIter": 5, "maxDepth": 3})
+    return oof
+
+
+@query("gbt_regressor_two_stage")
+def q_gbt_regressor_two_stage(spark, d):
+    """ML2/PP1/PP5: boosted-tree regressor on log time of event rows, combined two-stage with the
+    event probability and rank-transformed per fold."""
+    from ..operators import train
+    oof, _ = train.train_oof(_model_frame(spark, d), "gbt", FEATURES, "log_time", "regression",
+                             params={"maxIter": 5, "maxDepth": 3}, two_stage_target="log_time", prob="p1", rank=True)
+    return oof
+
+
+@query("logistic_oof")
+def q_logistic_oof(spark, d):
+    """ML4/ML10: weighted logistic regression, two seeds averaged."""
+    from ..operators import train
+    m = targets.sample_weight(_model_frame(spark, d), "event", 1.5)
+    oof, _ = train.train_oof(m, "logistic", FEATURES, "event", "classification", seeds=(1, 2),
+                             params={"maxIter": 50}, weight="weight")
+    return oof
+
+
+@query("forest_oof")
+def q_forest_oof(spark, d):
+    """ML3: random-forest classifier out of fold."""
+    from ..operators import train
+    oof, _ = train.train_oof(_model_frame(spark, d), "random_forest", FEATURES, "event", "classification",
+                             params={"numTrees": 20, "maxDepth": 4})
+    return oof
+
+
+@query("svc_oof")
+def q_svc_oof(spark, d):
+    """ML5: linear SVM margins out of fold."""
+    from ..operators import train
+    oof, _ = train.train_oof(_model_frame(spark, d), "linear_svc", FEATURES, "event", "classification",
+                             params={"maxIter": 10, "regParam": 0.01})
+    return oof
+
+
+@query("mlp_oof")
+def q_mlp_oof(spark, d):
+    """ML7: multilayer perceptron (4-8-2) out of fold."""
+    from ..operators import train
+    oof, _ = train.train_oof(_model_frame(spark, d), "mlp", FEATURES, "event", "classification",
+                             params={"layers": [4, 8, 2], "maxIter": 30})
+    return oof
+
+
+@query("gaussian_mixture")
+def q_gaussian_mixture(spark, d):
+    """ML8: posterior of mixture component 0 on all rows."""
+    from ..operators import train
+    return train.mixture_score(_model_frame(spark, d), FEATURES)
+
+
+@query("fold_models_predict")
+def q_fold_models_predict(spark, d):
+    """ML12/IO6: fold models saved, reloaded, applied to every row, ranks averaged."""
+    from ..operators import train
+    m = _model_frame(spark, d)
+    _, models = train.train_oof(m, "logistic", FEATURES, "event", "classification", params={"maxIter": 20})
+    path = scratch_path(spark, "models")
+    train.save_models(models, path)
+    back = train.load_models(spark, path, list(models))
+    return train.predict_folds(back, m, FEATURES, "classification")
+
+
+@query("gbt_importance")
+def q_gbt_importance(spark, d):
+    """ML11: feature importances of the fold models, mean and std over folds."""
+    from ..operators import train
+    _, models = train.train_oof(_model_frame(spark, d), "gbt", FEATURES, "event", "classification",
+                                params={"maxIter": 5, "maxDepth": 3})
+    rows = train.importances(models, FEATURES)
+    long = spark.createDataFrame(rows, "feature string, fold string, importance double")
+    return metrics.importance_summary(long)
+
+
+@query("search_oof")
+def q_search_oof(spark, d):
+    """ML13: small grid search of tree depth by OOF ROC AUC."""
+    from ..operators import train
+    m = _model_frame(spark, d)
+
+    def auc(oof):
+        t = metrics.auc_table(oof.join(m.select("id", "event"), "id"), "event", "prediction", [])
+        return t.first()["roc_auc"]
+
+    space = [{"maxDepth": 2, "numTrees": 10}, {"maxDepth": 4, "numTrees": 10}]
+    return metrics.study_table(train.search(m, "random_forest", space, FEATURES, "event", "classification", auc))
+
+
+@query("aft_fit")
+def q_aft_fit(spark, d):
+    """SV16: Weibull accelerated-failure-time regression (Spark ML), predicted time per row."""
+    from ..operators import train
+    m = train.assemble(_model_frame(spark, d).withColumn("censor", F.col("event").cast("double")), FEATURES)
+    model = train.make_learner("aft", "regression", {"labelCol": "time", "censorCol": "censor", "maxIter": 50}).fit(m)
+    return model.transform(m).select("id", "prediction")
+
+
+@query("cox_fit")
+def q_cox_fit(spark, d):
+    """SV16/SV17: Cox model (ridge 0.01, Breslow ties): risk, H and S at each row's own time."""
+    from ..operators import cox
+    m = _model_frame(spark, d)
+    model = cox.fit_cox(m, "time", "event", ["x_num", "x_code", "pred"], l2=0.01)
+    return cox.predict_cox(m, model, "time", "event")
