@@ -20,10 +20,12 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, StructField, StructType
+from pyspark.sql.types import DecimalType, LongType, StringType, StructField, StructType
 
 from ..functions.scalar import slug
 from .scan import default_buckets, prefix_scan, scan_stats
@@ -72,22 +74,18 @@ def concordance_counts(df: DataFrame, time: str = "time", event: str = "event",
         if levels == 0:
             rows = [(*r, 0, 0) for r in cells.select(*by).distinct().collect()] if by else [(0, 0)]
             return _result(spark, by, rows, cells.select(*by).schema if by else None)
-        lv = cells.select(*by, "__p", "__r", "__n", "__ne",
-                          F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("__lvl"))
-        side = F.expr("shiftright(__r, __lvl) & 1")
-        lv = lv.select(*by, "__lvl", F.expr("shiftright(__r, __lvl + 1)").alias("__node"), "__p",
-                       F.when(side == 0, F.col("__ne")).otherwise(F.lit(0)).alias("__e0"),
-                       F.when(side == 1, F.col("__n")).otherwise(F.lit(0)).alias("__c1"))
-        lv = lv.filter((F.col("__e0") > 0) | (F.col("__c1") > 0))
-        node = [*by, "__lvl", "__node"]
-        agg = lv.groupBy(*node, "__p").agg(F.sum("__e0").alias("__e0"), F.sum("__c1").alias("__c1"))
-        sc = prefix_scan(agg, "__p", {"__below": "__c1"}, by=node, exclusive=True, unique=True, bounds=pbounds)
-        e0 = F.col("__e0").cast(_BIG)
-        per_node = sc.groupBy(*node).agg(
-            F.sum(F.lit(2).cast(_BIG) * e0 * F.col("__below").cast(_BIG) + e0 * F.col("__c1").cast(_BIG))
-            .alias("__num"),
-            (F.sum("__e0").cast(_BIG) * F.sum("__c1").cast(_BIG)).alias("__pp"))
-        res = per_node.groupBy(*by).agg(F.sum("__num").alias("numerator2"), F.sum("__pp").alias("pairs"))
+        # levels below `split` are counted inside aligned rank blocks of 2^split ranks, each block a
+        # bounded NumPy task; levels from `split` up run on the Spark scan
+        split = 0 if force else _local_split(cells, by, levels, local_cells_limit(df))
+        parts = []
+        if split > 0:
+            parts.append(_local_levels(cells, by, split))
+        if split < levels:
+            parts.append(_spark_levels(cells, by, split, levels, pbounds))
+        res = parts[0]
+        for q in parts[1:]:
+            res = res.unionByName(q)
+        res = res.groupBy(*by).agg(F.sum("numerator2").alias("numerator2"), F.sum("pairs").alias("pairs"))
         if by:
             # every observed group is reported, including groups without a comparable pair
             out = cells.select(*by).distinct().join(res, by, "left")
@@ -99,6 +97,93 @@ def concordance_counts(df: DataFrame, time: str = "time", event: str = "event",
         cells.unpersist()
 
 
+def local_cells_limit(df: DataFrame) -> int:
+    """Largest number of cells one local block task may hold (``survspark.concordance.localCells``)."""
+    return int(df.sparkSession.conf.get("survspark.concordance.localCells", "500000"))
+
+
+def _local_split(cells: DataFrame, by: list[str], levels: int, limit: int) -> int:
+    """Largest ``s`` such that every aligned block of ``2^s`` ranks holds at most ``limit`` cells.
+
+    Per-rank cell counts (one row per distinct key) are rolled up for every candidate block size
+    in one aggregate; a single heavy rank forces ``s = 0`` (no local work, all levels on Spark)."""
+    per_rank = cells.groupBy(*by, "__r").agg(F.count(F.lit(1)).alias("__c"))
+    ex = per_rank.select(*by, "__c", F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("__s"),
+                         "__r").withColumn("__b", F.expr("shiftright(__r, __s)"))
+    worst = ex.groupBy(*by, "__s", "__b").agg(F.sum("__c").alias("__m")).groupBy("__s").agg(F.max("__m").alias("__m"))
+    ok = [r["__s"] for r in worst.collect() if r["__m"] <= limit]
+    return max(ok) if ok else 0
+
+
+def _block_counts(pdf: pd.DataFrame, split: int) -> tuple[int, int]:
+    """Exact ``(2 x concordant + tied, comparable pairs)`` for pairs inside one rank block whose
+    ranks differ only in the lowest ``split`` bits.  Merge-count per bit level with NumPy."""
+    r = pdf["__r"].to_numpy(dtype=np.int64)
+    p = pdf["__p"].to_numpy(dtype=np.float64)
+    n = pdf["__n"].to_numpy(dtype=np.int64)
+    ne = pdf["__ne"].to_numpy(dtype=np.int64)
+    num2 = 0
+    pairs = 0
+    for lvl in range(split):
+        node = r >> (lvl + 1)
+        side = (r >> lvl) & 1
+        e0 = np.where(side == 0, ne, 0)
+        c1 = np.where(side == 1, n, 0)
+        order = np.lexsort((p, node))
+        nd, pp, e0s, c1s = node[order], p[order], e0[order], c1[order]
+        brk = np.r_[True, (nd[1:] != nd[:-1]) | (pp[1:] != pp[:-1])]
+        gid = np.cumsum(brk) - 1
+        ge0 = np.bincount(gid, weights=e0s).astype(np.int64)
+        gc1 = np.bincount(gid, weights=c1s).astype(np.int64)
+        gnode = nd[brk]
+        nbrk = np.r_[True, gnode[1:] != gnode[:-1]]
+        nid = np.cumsum(nbrk) - 1
+        cs = np.cumsum(gc1)
+        before = cs - gc1
+        below = before - before[nbrk][nid]
+        # exact integer sums (Python ints) of products that may exceed 64 bits
+        num2 += 2 * int(np.dot(ge0.astype(object), below.astype(object))) + int(np.dot(ge0.astype(object),
+                                                                                       gc1.astype(object)))
+        ne0 = np.bincount(nid, weights=ge0).astype(np.int64)
+        nc1 = np.bincount(nid, weights=gc1).astype(np.int64)
+        pairs += int(np.dot(ne0.astype(object), nc1.astype(object)))
+    return num2, pairs
+
+
+def _local_levels(cells: DataFrame, by: list[str], split: int) -> DataFrame:
+    """Levels ``< split``: one ``applyInPandas`` task per aligned block of ``2^split`` ranks."""
+    key_fields = [f for f in cells.schema.fields if f.name in by]
+    schema = StructType([*key_fields, StructField("__blk", LongType()), StructField("numerator2", StringType()),
+                         StructField("pairs", StringType())])
+
+    def fn(key, pdf):
+        num2, pairs = _block_counts(pdf, split)
+        row = {**{k: [v] for k, v in zip([*by, "__blk"], key)}, "numerator2": [str(num2)], "pairs": [str(pairs)]}
+        return pd.DataFrame(row)
+
+    x = cells.select(*by, "__r", "__p", "__n", "__ne").withColumn("__blk", F.expr(f"shiftright(__r, {split})"))
+    out = x.groupBy(*by, "__blk").applyInPandas(fn, schema)
+    return out.select(*by, F.col("numerator2").cast(_BIG).alias("numerator2"), F.col("pairs").cast(_BIG).alias("pairs"))
+
+
+def _spark_levels(cells: DataFrame, by: list[str], lo: int, hi: int, pbounds) -> DataFrame:
+    """Levels ``lo..hi-1``: explode, collapse per ``(level, node, p)`` and one bucketed scan over p."""
+    lv = cells.select(*by, "__p", "__r", "__n", "__ne", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))).alias("__lvl"))
+    side = F.expr("shiftright(__r, __lvl) & 1")
+    lv = lv.select(*by, "__lvl", F.expr("shiftright(__r, __lvl + 1)").alias("__node"), "__p",
+                   F.when(side == 0, F.col("__ne")).otherwise(F.lit(0)).alias("__e0"),
+                   F.when(side == 1, F.col("__n")).otherwise(F.lit(0)).alias("__c1"))
+    lv = lv.filter((F.col("__e0") > 0) | (F.col("__c1") > 0))
+    node = [*by, "__lvl", "__node"]
+    agg = lv.groupBy(*node, "__p").agg(F.sum("__e0").alias("__e0"), F.sum("__c1").alias("__c1"))
+    sc = prefix_scan(agg, "__p", {"__below": "__c1"}, by=node, exclusive=True, unique=True, bounds=pbounds)
+    e0 = F.col("__e0").cast(_BIG)
+    per_node = sc.groupBy(*node).agg(
+        F.sum(F.lit(2).cast(_BIG) * e0 * F.col("__below").cast(_BIG) + e0 * F.col("__c1").cast(_BIG)).alias("__num"),
+        (F.sum("__e0").cast(_BIG) * F.sum("__c1").cast(_BIG)).alias("__pp"))
+    return per_node.groupBy(*by).agg(F.sum("__num").alias("numerator2"), F.sum("__pp").alias("pairs"))
+
+
 def _result(spark, by, rows, key_schema) -> DataFrame:
     fields = list(key_schema.fields) if key_schema is not None else []
     schema = StructType([*fields, StructField("numerator2", DecimalType(38, 0)),

@@ -54,3 +54,21 @@ def test_all_censored_group_reported(spark):
     assert g["a"] is None and g["b"] == 1.0
     m = {r.metric: r.value for r in ranking_score(df).collect()}
     assert "a_concordance_index" in m and m["macro_concordance_index"] == 1.0
+
+
+def test_local_block_split_against_brute(spark):
+    rng = np.random.default_rng(19)
+    n = 400
+    pdf = pd.DataFrame({"grp": rng.choice(["x", "y"], n), "time": rng.integers(1, 60, n).astype(float),
+                        "event": rng.integers(0, 2, n), "pred": rng.integers(0, 25, n) / 25.0})
+    df = spark.createDataFrame(pdf)
+    for limit in ("15", "60", "100000"):
+        spark.conf.set("survspark.concordance.localCells", limit)
+        try:
+            r = concordance(df).first()
+            assert abs(r.concordance - brute(pdf.time.values, pdf.event.values, pdf.pred.values)) < 1e-12
+            g = {x.grp: x.concordance for x in concordance(df, group="grp").collect()}
+            for k, sub in pdf.groupby("grp"):
+                assert abs(g[k] - brute(sub.time.values, sub.event.values, sub.pred.values)) < 1e-12
+        finally:
+            spark.conf.unset("survspark.concordance.localCells")
