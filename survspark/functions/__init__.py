@@ -1 +1 @@
-
+"""Scalar column functions."""
