@@ -55,7 +55,8 @@ def concordance_counts(df: DataFrame, time: str = "time", event: str = "event",
     spark = df.sparkSession
     nb = buckets or default_buckets(df)
     force = buckets is not None
-    x = _prepared(df, time, event, pred, by)
+    # the input is read by the key scan and by the cell aggregation: read it once
+    x = _prepared(df, time, event, pred, by).persist(StorageLevel.MEMORY_AND_DISK)
     # dense rank of the order key (t, 1-e) per group: scan over the distinct keys
     keys = x.groupBy(*by, "__t", "__f").agg(F.count(F.lit(1)).alias("__kc"))
     ranks = prefix_scan(keys, ["__t", "__f"], {"__r": F.lit(1).cast("long")}, by=by, exclusive=True,
@@ -66,6 +67,8 @@ def concordance_counts(df: DataFrame, time: str = "time", event: str = "event",
              .drop("__t", "__f")
              .persist(StorageLevel.MEMORY_AND_DISK))
     try:
+        cells.count()
+        x.unpersist()
         # one pass over the cells: highest rank (number of levels) and the prediction cut points;
         # the level table has about cells x levels rows, the cut is sized for ~40 levels at most
         pbounds, st = scan_stats(cells, "__p", nb, force, extra={"maxr": F.max("__r")}, rows_factor=16)
@@ -95,6 +98,7 @@ def concordance_counts(df: DataFrame, time: str = "time", event: str = "event",
         return _result(spark, by, [(r[0], r[1]) if r else (0, 0)], None)
     finally:
         cells.unpersist()
+        x.unpersist()
 
 
 def local_cells_limit(df: DataFrame) -> int:
