@@ -119,49 +119,52 @@ def _local_split(cells: DataFrame, by: list[str], levels: int, limit: int) -> in
     return max(ok) if ok else 0
 
 
-def _block_counts(pdf: pd.DataFrame, split: int) -> tuple[int, int]:
-    """Exact ``(2 x concordant + tied, comparable pairs)`` for pairs inside one rank block whose
-    ranks differ only in the lowest ``split`` bits.  Merge-count per bit level with NumPy."""
-    r = pdf["__r"].to_numpy(dtype=np.int64)
-    p = pdf["__p"].to_numpy(dtype=np.float64)
-    n = pdf["__n"].to_numpy(dtype=np.int64)
-    ne = pdf["__ne"].to_numpy(dtype=np.int64)
-    num2 = 0
-    pairs = 0
-    for lvl in range(split):
-        node = r >> (lvl + 1)
-        side = (r >> lvl) & 1
-        e0 = np.where(side == 0, ne, 0)
-        c1 = np.where(side == 1, n, 0)
-        order = np.lexsort((p, node))
-        nd, pp, e0s, c1s = node[order], p[order], e0[order], c1[order]
-        brk = np.r_[True, (nd[1:] != nd[:-1]) | (pp[1:] != pp[:-1])]
-        gid = np.cumsum(brk) - 1
-        ge0 = np.bincount(gid, weights=e0s).astype(np.int64)
-        gc1 = np.bincount(gid, weights=c1s).astype(np.int64)
-        gnode = nd[brk]
-        nbrk = np.r_[True, gnode[1:] != gnode[:-1]]
-        nid = np.cumsum(nbrk) - 1
-        cs = np.cumsum(gc1)
-        before = cs - gc1
-        below = before - before[nbrk][nid]
-        # exact integer sums (Python ints) of products that may exceed 64 bits
-        num2 += 2 * int(np.dot(ge0.astype(object), below.astype(object))) + int(np.dot(ge0.astype(object),
-                                                                                       gc1.astype(object)))
-        ne0 = np.bincount(nid, weights=ge0).astype(np.int64)
-        nc1 = np.bincount(nid, weights=gc1).astype(np.int64)
-        pairs += int(np.dot(ne0.astype(object), nc1.astype(object)))
-    return num2, pairs
-
-
 def _local_levels(cells: DataFrame, by: list[str], split: int) -> DataFrame:
-    """Levels ``< split``: one ``applyInPandas`` task per aligned block of ``2^split`` ranks."""
+    """Levels ``< split``: one ``applyInPandas`` task per aligned block of ``2^split`` ranks.
+
+    The counting routine is nested so it is shipped to the Python workers by value (executors need
+    only NumPy and pandas, not this package)."""
     key_fields = [f for f in cells.schema.fields if f.name in by]
     schema = StructType([*key_fields, StructField("__blk", LongType()), StructField("numerator2", StringType()),
                          StructField("pairs", StringType())])
 
+    def block_counts(pdf, split):
+        """Exact ``(2 x concordant + tied, comparable pairs)`` for pairs inside one rank block whose
+        ranks differ only in the lowest ``split`` bits.  Merge-count per bit level with NumPy."""
+        r = pdf["__r"].to_numpy(dtype=np.int64)
+        p = pdf["__p"].to_numpy(dtype=np.float64)
+        n = pdf["__n"].to_numpy(dtype=np.int64)
+        ne = pdf["__ne"].to_numpy(dtype=np.int64)
+        num2 = 0
+        pairs = 0
+        for lvl in range(split):
+            node = r >> (lvl + 1)
+            side = (r >> lvl) & 1
+            e0 = np.where(side == 0, ne, 0)
+            c1 = np.where(side == 1, n, 0)
+            order = np.lexsort((p, node))
+            nd, pp, e0s, c1s = node[order], p[order], e0[order], c1[order]
+            brk = np.r_[True, (nd[1:] != nd[:-1]) | (pp[1:] != pp[:-1])]
+            starts = np.flatnonzero(brk)
+            ge0 = np.add.reduceat(e0s, starts)  # exact int64 group sums
+            gc1 = np.add.reduceat(c1s, starts)
+            gnode = nd[brk]
+            nbrk = np.r_[True, gnode[1:] != gnode[:-1]]
+            nid = np.cumsum(nbrk) - 1
+            cs = np.cumsum(gc1)
+            before = cs - gc1
+            below = before - before[nbrk][nid]
+            # exact integer sums (Python ints) of products that may exceed 64 bits
+            num2 += 2 * int(np.dot(ge0.astype(object), below.astype(object))) + int(np.dot(ge0.astype(object),
+                                                                                           gc1.astype(object)))
+            nstarts = np.flatnonzero(nbrk)
+            ne0 = np.add.reduceat(ge0, nstarts)
+            nc1 = np.add.reduceat(gc1, nstarts)
+            pairs += int(np.dot(ne0.astype(object), nc1.astype(object)))
+        return num2, pairs
+
     def fn(key, pdf):
-        num2, pairs = _block_counts(pdf, split)
+        num2, pairs = block_counts(pdf, split)
         row = {**{k: [v] for k, v in zip([*by, "__blk"], key)}, "numerator2": [str(num2)], "pairs": [str(pairs)]}
         return pd.DataFrame(row)
 
