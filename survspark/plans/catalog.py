@@ -868,3 +868,20 @@ def q_cox_fit(spark, d):
     m = _model_frame(spark, d)
     model = cox.fit_cox(m, "time", "event", ["x_num", "x_code", "pred"], l2=0.01)
     return cox.predict_cox(m, model, "time", "event")
+
+
+# --------------------------------------------------------------------------- nearest neighbours (JN6, ML6)
+
+@query("knn_exact")
+def q_knn_exact(spark, d):
+    """JN6: leave-one-out exact 5 nearest neighbours of every embedding (Euclidean, float64)."""
+    from ..operators import knn
+    return knn.knn(frames.frame_e(spark, d), k=5)
+
+
+@query("knn_classify")
+def q_knn_classify(spark, d):
+    """ML6: majority label of the 5 nearest neighbours and its share."""
+    from ..operators import knn
+    e = frames.frame_e(spark, d)
+    return knn.knn_classify(knn.knn(e, k=5), e)

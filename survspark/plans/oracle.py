@@ -541,3 +541,13 @@ _FE = _PC + ["r1", "r2"]
 SQL["importance_summary"] = W(S, P, "per AS (SELECT fold, " + ", ".join(f"abs(corr({c}, event)) {c}" for c in _FE) + " FROM P GROUP BY fold)",
                               "lg AS (" + " UNION ALL ".join(f"SELECT fold, '{c}' feature, {c} importance FROM per" for c in _FE) + ")") + f"""
 SELECT feature, {R('avg(importance)')} mean, {R('coalesce(stddev_samp(importance), 0.0)')} std FROM lg GROUP BY feature"""
+
+# ---------------------------------------------------------------------------------- nearest neighbours
+
+_KNN = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) v, label FROM embeddings),
+dd AS (SELECT a.vec_id, b.vec_id nb, list_distance(a.v, b.v) dist FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, nb) r FROM dd QUALIFY r <= 5)"""
+SQL["knn_exact"] = W(_KNN) + f"""
+SELECT vec_id, CAST(r AS INT) "rank", nb neighbor_id, {R('dist')} distance FROM rk"""
+SQL["knn_classify"] = W(_KNN, "v AS (SELECT rk.vec_id, e.label, count(*) c FROM rk JOIN e ON e.vec_id = rk.nb GROUP BY ALL)") + f"""
+SELECT vec_id, arg_min(label, (-c, label)) predicted_label, {R('max(c) / 5.0')} share FROM v GROUP BY vec_id"""
