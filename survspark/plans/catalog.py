@@ -885,3 +885,17 @@ def q_knn_classify(spark, d):
     from ..operators import knn
     e = frames.frame_e(spark, d)
     return knn.knn_classify(knn.knn(e, k=5), e)
+
+
+@query("lognormal_fit")
+def q_lognormal_fit(spark, d):
+    """SV12: log-normal maximum likelihood per group (damped Newton, normal tail via erfc)."""
+    return parametric.fit_lognormal(_s(spark, d), group="grp")
+
+
+@query("lognormal_curve")
+def q_lognormal_curve(spark, d):
+    """SV12/SV14: log-normal S, H, h at row times for given parameters (mu=7.8, sigma=1.2)."""
+    s = _s(spark, d)
+    p = parametric.params_frame(spark, "lognormal", {"mu_": 7.8, "sigma_": 1.2})
+    return parametric.evaluate(s.select("id", "time"), p, "lognormal").drop("time")

@@ -551,3 +551,22 @@ SQL["knn_exact"] = W(_KNN) + f"""
 SELECT vec_id, CAST(r AS INT) "rank", nb neighbor_id, {R('dist')} distance FROM rk"""
 SQL["knn_classify"] = W(_KNN, "v AS (SELECT rk.vec_id, e.label, count(*) c FROM rk JOIN e ON e.vec_id = rk.nb GROUP BY ALL)") + f"""
 SELECT vec_id, arg_min(label, (-c, label)) predicted_label, {R('max(c) / 5.0')} share FROM v GROUP BY vec_id"""
+
+# ---------------------------------------------------------------------------------- log-normal curve
+
+
+def _erfc_sql(x: str) -> str:
+    from ..functions.scalar import ERFC_COEFFS
+
+    poly = _d(ERFC_COEFFS[-1])
+    for c in reversed(ERFC_COEFFS[:-1]):
+        poly = f"({_d(c)} + tt * {poly})"
+    return poly
+
+
+SQL["lognormal_curve"] = W(S, f"""zz AS (SELECT id, "time", (ln("time") - {_d(7.8)}) / {_d(1.2)} z FROM S)""",
+                          f"""ee AS (SELECT *, abs(z / {_d(2.0 ** 0.5)}) az, 1.0 / (1.0 + 0.5 * abs(z / {_d(2.0 ** 0.5)})) tt FROM zz)""",
+                          f"""ef AS (SELECT *, CASE WHEN z / {_d(2.0 ** 0.5)} >= 0 THEN tt * exp(-az * az + {_erfc_sql('az')})
+                                         ELSE 2.0 - tt * exp(-az * az + {_erfc_sql('az')}) END erfc FROM ee)""",
+                          f"""sf AS (SELECT *, 0.5 * erfc s, exp(-z * z / 2.0) / ({_d(1.2)} * "time" * {_d((2.0 * 3.141592653589793) ** 0.5)}) pdf FROM ef)""") + f"""
+SELECT id, {R('s')} survival, {R('-ln(s)')} cumulative_hazard, {R('pdf / s')} hazard FROM sf"""
