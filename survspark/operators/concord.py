@@ -223,13 +223,19 @@ def ranking_score(df: DataFrame, group: str = "grp", time: str = "time", event:
     c = concordance_counts(both, time, event, pred, ["__scope", "__g"], buckets)
     micro = c.filter(F.col("__scope") == 0).select(F.lit("micro_concordance_index").alias("metric"),
                                                    F.col("concordance").alias("value"))
-    per = c.filter(F.col("__scope") == 1)
-    groups = per.select(F.concat(slug(F.col("__g")), F.lit("_concordance_index")).alias("metric"),
-                        F.col("concordance").alias("value"))
-    stats = per.agg(F.avg("concordance").alias("m"), F.stddev_pop("concordance").alias("s"))
+    per = c.filter(F.col("__scope") == 1).select(F.col("__g").alias("group"), "concordance")
+    return micro.unionByName(stratify(per))
+
+
+def stratify(per_group: DataFrame, group: str = "group", value: str = "concordance") -> DataFrame:
+    """MT2/MT3: per-group scores as ``{slug(group)}_concordance_index`` plus ``macro`` (mean),
+    ``std`` (population std) and ``stratified`` (= macro - std), long ``(metric, value)``."""
+    groups = per_group.select(F.concat(slug(F.col(group)), F.lit("_concordance_index")).alias("metric"),
+                              F.col(value).alias("value"))
+    stats = per_group.agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))
     summary = stats.select(F.explode(F.array(
         F.struct(F.lit("macro_concordance_index").alias("metric"), F.col("m").alias("value")),
         F.struct(F.lit("std_concordance_index").alias("metric"), F.col("s").alias("value")),
         F.struct(F.lit("stratified_concordance_index").alias("metric"), (F.col("m") - F.col("s")).alias("value")),
     )).alias("r")).select("r.metric", "r.value")
-    return micro.unionByName(groups).unionByName(summary)
+    return groups.unionByName(summary)

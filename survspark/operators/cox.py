@@ -16,7 +16,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scan import prefix_scan
+from .scan import prefix_scan, quantile_bounds
 
 
 def _eta(features: Sequence[str], beta: np.ndarray):
@@ -40,6 +40,8 @@ def fit_cox(df: DataFrame, time: str, event: str, features: Sequence[str], l2: f
     beta = np.zeros(p)
     it = 0
     try:
+        # the distinct times do not change between steps: cut them once
+        bounds = quantile_bounds(x.select("__t").distinct(), "__t")
         for it in range(1, max_iter + 1):
             w = F.exp(_eta(feats, beta))
             sums = {"a0": F.sum(w)}
@@ -50,7 +52,7 @@ def fit_cox(df: DataFrame, time: str, event: str, features: Sequence[str], l2: f
                     sums[f"a2_{i}_{j}"] = F.sum(w * F.col(f) * F.col(feats[j]))
             per_t = x.groupBy("__t").agg(F.sum("__e").alias("d"), *[v.alias(k) for k, v in sums.items()])
             risk = {f"s_{k}": F.col(k) for k in sums if k.startswith("a")}
-            sc = prefix_scan(per_t, "__t", risk, reverse=True, unique=True).filter(F.col("d") > 0)
+            sc = prefix_scan(per_t, "__t", risk, reverse=True, unique=True, bounds=bounds).filter(F.col("d") > 0)
             s0 = F.col("s_a0")
             aggs = []
             for i in range(p):
@@ -83,8 +85,9 @@ def predict_cox(df: DataFrame, model: dict, time: str, event: str, key: str = "i
                         *[(F.col(f) - F.lit(model["means"][f])).alias(f) for f in feats]).dropna()
     x = centred.withColumn("risk", _eta(feats, beta))
     per_t = x.groupBy("__t").agg(F.sum("__e").alias("d"), F.sum(F.exp("risk")).alias("a0"))
-    s = prefix_scan(per_t, "__t", {"s0": "a0"}, reverse=True, unique=True)
-    h0 = prefix_scan(s.withColumn("inc", F.col("d") / F.col("s0")), "__t", {"h0": "inc"}, unique=True)
+    bounds = quantile_bounds(per_t, "__t")
+    s = prefix_scan(per_t, "__t", {"s0": "a0"}, reverse=True, unique=True, bounds=bounds)
+    h0 = prefix_scan(s.withColumn("inc", F.col("d") / F.col("s0")), "__t", {"h0": "inc"}, unique=True, bounds=bounds)
     out = x.join(h0.select("__t", "h0"), "__t")
     H = F.col("h0") * F.exp("risk")
     return out.select(key, "risk", H.alias("cumulative_hazard"), F.exp(-H).alias("survival"))

@@ -899,3 +899,9 @@ def q_lognormal_curve(spark, d):
     s = _s(spark, d)
     p = parametric.params_frame(spark, "lognormal", {"mu_": 7.8, "sigma_": 1.2})
     return parametric.evaluate(s.select("id", "time"), p, "lognormal").drop("time")
+
+
+@query("pr_mean_summary")
+def q_pr_mean_summary(spark, d):
+    """MT11: area under the mean precision-recall curve and the best-F1 point."""
+    return metrics.grid_summary(metrics.mean_pr(_p(spark, d), "event", "p1", "fold"), "recall", "precision_mean", "pr")

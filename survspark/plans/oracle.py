@@ -570,3 +570,12 @@ SQL["lognormal_curve"] = W(S, f"""zz AS (SELECT id, "time", (ln("time") - {_d(7.
                                          ELSE 2.0 - tt * exp(-az * az + {_erfc_sql('az')}) END erfc FROM ee)""",
                           f"""sf AS (SELECT *, 0.5 * erfc s, exp(-z * z / 2.0) / ({_d(1.2)} * "time" * {_d((2.0 * 3.141592653589793) ** 0.5)}) pdf FROM ef)""") + f"""
 SELECT id, {R('s')} survival, {R('-ln(s)')} cumulative_hazard, {R('pdf / s')} hazard FROM sf"""
+
+SQL["pr_mean_summary"] = W(S, P, _pts("p1", "fold"), _PR_CURVE, _GRID, _INTERP,
+                           "it2 AS (SELECT fold, 99 - k k, CASE WHEN 99 - k = 0 THEN 1.0 ELSE y END y FROM it)",
+                           "mm AS (SELECT it2.k, grid.g, CASE WHEN it2.k = 99 THEN 0.0 ELSE avg(y) END m "
+                           "FROM it2 JOIN grid USING (k) GROUP BY it2.k, grid.g)",
+                           "ml AS (SELECT *, lag(g) OVER (ORDER BY k) g0, lag(m) OVER (ORDER BY k) m0, "
+                           "2.0 * g * m / (g + m) f1 FROM mm)") + f"""
+SELECT {R('sum((g - g0) * (m + m0) / 2.0)')} auc, {R('arg_min(g, (-coalesce(f1, CAST(\'-inf\' AS DOUBLE)), k))')} best_recall,
+       {R('arg_min(m, (-coalesce(f1, CAST(\'-inf\' AS DOUBLE)), k))')} best_precision_mean FROM ml"""

@@ -72,3 +72,20 @@ def test_local_block_split_against_brute(spark):
                 assert abs(g[k] - brute(sub.time.values, sub.event.values, sub.pred.values)) < 1e-12
         finally:
             spark.conf.unset("survspark.concordance.localCells")
+
+
+def test_stratified_summary_reproduces_published_row(spark):
+    from survspark.operators.concord import stratify
+
+    # fixed values: one published out-of-fold row (six group scores and the stored summary)
+    groups = {"White": 0.6936017207422762, "Native Hawaiian or other Pacific Islander": 0.6929514046565767,
+              "More than one race": 0.6956361172342126, "Black or African-American": 0.6916967431214969,
+              "Asian": 0.7079309902453469, "American Indian or Alaska Native": 0.7059111692456848}
+    stored = {"macro_concordance_index": 0.6979546908742656, "std_concordance_index": 0.006472390245794532,
+              "stratified_concordance_index": 0.6914823006284712}
+    df = spark.createDataFrame(list(groups.items()), "group string, concordance double")
+    got = {r.metric: r.value for r in stratify(df).collect()}
+    for k, v in stored.items():
+        assert abs(got[k] - v) < 1e-12
+    assert "black_or_african-american_concordance_index" in got
+    assert "native_hawaiian_or_other_pacific_islander_concordance_index" in got
