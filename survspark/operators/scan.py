@@ -1,4 +1,4 @@
-"""Distributed ordered operators: prefix scan, as-of lookup, exact lookup, grid interpolation.
+"""Distributed ordered operators: prefix scan, next-row lookup, as-of lookup, exact lookup.
 
 A ``Window.orderBy`` without ``partitionBy`` sends every row to one task.  All ordered
 computations here instead cut the order key into range buckets (bounds from
@@ -220,42 +220,29 @@ def lookup_asof(
     return df.select(*keep).join(res, key, "left")
 
 
-def interpolate(points: DataFrame, x: str, y: str, grid: Sequence[float], by: Sequence[str] = (),
-                order: Sequence[str] | None = None) -> DataFrame:
-    """Piecewise-linear interpolation of ``(x, y)`` points at fixed grid values (``np.interp``).
+def next_row(df: DataFrame, order: Sequence[str], cols: Sequence[str], by: Sequence[str] = (),
+             bucket_col: str | None = None, buckets: int | None = None, prefix: str = "next_") -> DataFrame:
+    """``lead()`` of ``cols`` in ``(by, order)`` order without one task per ``by`` key.
 
-    Points must be ordered along the curve by ``order`` (default ``x``); for repeated ``x`` the
-    last point in curve order is the left bracket, as in NumPy.  Outside the range the end
-    values are held.  Grid rows are generated per ``by`` key and located by an as-of
-    scan on the union of grid and curve points, so no pair join is built.
+    Rows are cut into range buckets of ``bucket_col`` (numeric, non-decreasing in ``order``);
+    ``lead`` runs inside ``(by, bucket)``; the last row of a bucket takes the first row of the
+    next non-empty bucket of its key from a table of at most ``keys x buckets`` rows.  A key that
+    holds a third of the table is therefore spread over all buckets.  ``order`` must be unique
+    within ``by`` (add a tie-breaking key).  Output columns ``{prefix}{col}``; null for the last row.
     """
-    by = list(by)
-    order = list(order or [x])
-    grid_vals = [float(g) for g in grid]
-    keys = points.select(*by).distinct() if by else None
-    gdf = (keys if keys is not None else points.sparkSession.range(1).select())
-    gdf = gdf.select(*by, F.explode(F.array(*[F.lit(g) for g in grid_vals])).alias("__gx"))
-    w_ord = Window.partitionBy(*by).orderBy(*order)
-    # rank points along the curve; curves are small (one row per distinct threshold)
-    pts = points.select(*by, F.col(x).cast("double").alias("__px"), F.col(y).cast("double").alias("__py"),
-                        F.row_number().over(w_ord).alias("__pos"))
-    nxt = Window.partitionBy(*by).orderBy("__pos")
-    pts = pts.withColumn("__nx", F.lead("__px").over(nxt)).withColumn("__ny", F.lead("__py").over(nxt))
-    # left bracket: last point in curve order with px <= gx -> max pos among those
-    u = (pts.select(*by, F.col("__px").alias("__k"), F.lit(0).alias("__isg"), "__pos", "__px", "__py", "__nx", "__ny")
-         .unionByName(gdf.select(*by, F.col("__gx").alias("__k"), F.lit(1).alias("__isg"),
-                                 F.lit(None).cast("int").alias("__pos"), F.lit(None).cast("double").alias("__px"),
-                                 F.lit(None).cast("double").alias("__py"), F.lit(None).cast("double").alias("__nx"),
-                                 F.lit(None).cast("double").alias("__ny"))))
-    wl = Window.partitionBy(*by).orderBy("__k", "__isg", "__pos").rowsBetween(Window.unboundedPreceding, 0)
-    u = u.select(*by, "__k", "__isg", *[F.last(c, ignorenulls=True).over(wl).alias(c)
-                                        for c in ("__pos", "__px", "__py", "__nx", "__ny")])
-    g = u.filter(F.col("__isg") == 1)
-    first = pts.filter(F.col("__pos") == 1).select(*by, F.col("__py").alias("__fy"))
-    g = g.join(first, by, "left") if by else g.crossJoin(F.broadcast(first))
-    val = (F.when(F.col("__pos").isNull(), F.col("__fy"))
-           .when(F.col("__k") == F.col("__px"), F.col("__py"))
-           .when(F.col("__nx").isNull(), F.col("__py"))
-           .otherwise(F.col("__py") + (F.col("__k") - F.col("__px")) * (F.col("__ny") - F.col("__py"))
-                      / (F.col("__nx") - F.col("__px"))))
-    return g.select(*by, F.col("__k").alias(x), val.alias(y))
+    order, by, cols = list(order), list(by), list(cols)
+    bcol = bucket_col or order[0]
+    bounds = quantile_bounds(df, bcol, buckets, force=buckets is not None)
+    x = with_bucket(df, bcol, bounds, "__bkt")
+    w = Window.partitionBy(*by, "__bkt").orderBy(*order)
+    x = x.withColumn("__has_next", F.lead(F.lit(1)).over(w).isNotNull())
+    for c in cols:
+        x = x.withColumn(f"__l_{c}", F.lead(c).over(w))
+    if not bounds:
+        return x.select(*df.columns, *[F.col(f"__l_{c}").alias(f"{prefix}{c}") for c in cols])
+    firsts = x.groupBy(*by, "__bkt").agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("__first"))
+    wb = Window.partitionBy(*by).orderBy("__bkt")
+    nxt = firsts.select(*by, "__bkt", F.lead("__first").over(wb).alias("__nf"))
+    x = x.join(nxt, [*by, "__bkt"], "left")
+    return x.select(*df.columns, *[F.when(F.col("__has_next"), F.col(f"__l_{c}")).otherwise(F.col(f"__nf.{c}"))
+                                   .alias(f"{prefix}{c}") for c in cols])

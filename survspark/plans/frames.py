@@ -10,10 +10,11 @@ Every frame grows with the input tables; nothing is sampled or capped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.folds import stratified_folds, time_bin
+from ..operators.scan import next_row
 from ..sources.io import read_table
 
 # fixed values: multipliers and offsets of the planted classifier columns p1..p6
@@ -50,11 +51,11 @@ def frame_g(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     # the end of observation is one scalar: the latest timestamp of the table
     mx = ev.agg(F.max("ts").alias("mx")).first()["mx"]
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    n = ev.select(
-        F.col("event_id").alias("id"), F.col("event_type").alias("grp"), "ts", "value",
-        F.lead("ts").over(w).alias("nt"), F.lead("event_type").over(w).alias("ne"),
-    )
+    # next event of the same user; a user holding a third of the events is still split over buckets
+    ev = ev.withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp")).cast("double"))
+    n = next_row(ev, ["ts", "event_id"], ["ts", "event_type"], by=["user_id"], bucket_col="__us")
+    n = n.select(F.col("event_id").alias("id"), F.col("event_type").alias("grp"), "ts", "value",
+                 F.col("next_ts").alias("nt"), F.col("next_event_type").alias("ne"))
     end = F.coalesce(F.col("nt"), F.lit(mx).cast(n.schema["ts"].dataType))
     micros = F.expr("timestampdiff(MICROSECOND, ts, __end)")
     return n.withColumn("__end", end).select(

@@ -50,3 +50,18 @@ def test_asof_probe_outside(spark):
     probes = spark.createDataFrame([(1, 1.0), (2, 5.0), (3, 7.0), (4, 99.0), (5, None)], "id int, t double")
     out = {r.id: r.s for r in lookup_asof(probes, curve, "t", ["s"], key="id", initial={"s": 1.0}, buckets=3).collect()}
     assert out == {1: 1.0, 2: 0.8, 3: 0.8, 4: 0.5, 5: None}
+
+
+def test_next_row_matches_lead_across_buckets(spark):
+    from pyspark.sql import Window
+
+    from survspark.operators.scan import next_row
+
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"u": rng.choice([1, 2, 3], 300, p=[0.8, 0.1, 0.1]), "t": rng.integers(0, 50, 300).astype(float),
+                        "k": np.arange(300), "v": rng.integers(0, 9, 300)})
+    df = spark.createDataFrame(pdf)
+    exp = df.withColumn("e", F.lead("v").over(Window.partitionBy("u").orderBy("t", "k")))
+    for buckets in (1, 6):
+        got = next_row(df, ["t", "k"], ["v"], by=["u"], buckets=buckets).join(exp.select("k", "e"), "k")
+        assert got.filter(~F.col("next_v").eqNullSafe(F.col("e"))).count() == 0
