@@ -203,8 +203,11 @@ def survival_targets(df: DataFrame, id_col: str = "id", time: str = "time", even
         out = attach_curve(out, gc, {"group_survival_probability": "km_events_only",
                                      "group_cumulative_hazard": "na_smooth",
                                      "group_hazard_rate": "na_smooth_inc"}, time=time, by=[group])
-    from .targets import min_max_scale
-    out = out.withColumn("log_km_survival_probability", F.log1p(F.col("survival_probability")))
-    out = min_max_scale(out, "log_km_survival_probability")
+    # TG3: min/max of log1p(S) over rows = over the curve (every row time is a curve time), so the
+    # two statistics come from the small curve table instead of another pass over the rows
+    r = g.agg(F.min(F.log1p("km_events_only")).alias("lo"), F.max(F.log1p("km_events_only")).alias("hi")).first()
+    lo, hi = r["lo"], r["hi"]
+    lk = F.log1p(F.col("survival_probability")) - F.lit(lo)
+    out = out.withColumn("log_km_survival_probability", lk / F.lit(float(hi) - float(lo)) if hi != lo else lk)
     return (out.withColumn("na_cumulative_hazard", -F.exp(F.col("cumulative_hazard")))
                .withColumn("na_hazard_rate", -F.exp(F.col("hazard_rate"))))
