@@ -905,3 +905,19 @@ def q_lognormal_curve(spark, d):
 def q_pr_mean_summary(spark, d):
     """MT11: area under the mean precision-recall curve and the best-F1 point."""
     return metrics.grid_summary(metrics.mean_pr(_p(spark, d), "event", "p1", "fold"), "recall", "precision_mean", "pr")
+
+
+@query("gamma_fit")
+def q_gamma_fit(spark, d):
+    """SV13: generalised gamma maximum likelihood (stencil Newton, incomplete gamma in NumPy)."""
+    from ..operators import gengamma
+    return gengamma.fit_generalized_gamma(_s(spark, d))
+
+
+@query("gamma_curve")
+def q_gamma_curve(spark, d):
+    """SV13/SV14: fitted generalised gamma S, H, h at each row's time."""
+    from ..operators import gengamma
+    s = _s(spark, d)
+    p = gengamma.fit_generalized_gamma(s).first().asDict()
+    return gengamma.evaluate_generalized_gamma(s.select("id", "time"), p).drop("time")

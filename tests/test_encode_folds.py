@@ -40,3 +40,27 @@ def test_weibull_score_equations_vanish(spark):
     p = parametric.fit_weibull(df).first().asDict()
     g = parametric.score_equations(df, p, "weibull")
     assert abs(g["rho_"]) < 1e-6 and abs(g["lambda_"]) < 1e-6
+
+
+def test_incomplete_gamma_and_gengamma_nests_weibull(spark):
+    import math
+
+    import numpy as np
+
+    from survspark.operators.gengamma import _kernel, fit_generalized_gamma
+
+    log_p_q, loglik = _kernel()
+    x = np.array([0.01, 0.5, 1.0, 3.0, 10.0])
+    lp, lq = log_p_q(1.0, x)
+    assert np.allclose(np.exp(lp), 1 - np.exp(-x), rtol=1e-13, atol=1e-15)
+    lp, _ = log_p_q(0.5, x)
+    assert np.allclose(np.exp(lp), [math.erf(math.sqrt(v)) for v in x], rtol=1e-13)
+    rng = np.random.default_rng(4)
+    t = 50.0 * rng.weibull(1.7, 400)
+    e = (rng.random(400) < 0.7).astype(int)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(t, e)], "time double, event int")
+    p = fit_generalized_gamma(df).first()
+    w = parametric.fit_weibull(df).first()
+    ll_gg = loglik(np.log(t), e, p.mu_, math.log(p.sigma_), p.lambda_).sum()
+    ll_w = loglik(np.log(t), e, math.log(w.lambda_), math.log(1 / w.rho_), 1.0).sum()
+    assert ll_gg >= ll_w - 1e-6
