@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import prefix_scan
+from .scan import default_buckets, prefix_scan
 
 
 def time_bin_col(time: str) -> F.Column:
@@ -42,9 +42,13 @@ def stratified_folds(df: DataFrame, id_col: str, strata: Sequence[str], k: int =
     # strata keys may be null: compare null-safe via a struct key
     x = x.withColumn("__sk", F.struct(*strata))
     offs = offs.select(F.struct(*strata).alias("__sk"), "__off")
-    x = x.join(F.broadcast(offs), "__sk", "left")
+    x = x.join(offs, "__sk", "left")  # one row per stratum; AQE broadcasts it when small
+    # the hash prefix is uniform on [0, 16^13): equal-width cut points are already balanced, so the
+    # row number needs no sketch pass over the data
+    nb = buckets or default_buckets(df)
+    bounds = [i * float(16 ** 13) / nb for i in range(1, nb)]
     x = prefix_scan(x, ["__h", id_col], {"__rn": F.lit(1)}, by=["__sk"], unique=True, bucket_col="__hn",
-                    buckets=buckets)
+                    bounds=bounds)
     fold = ((F.col("__off") + F.col("__rn") - 1) % k + 1).cast("int")
     return x.withColumn(out, fold).drop("__h", "__hn", "__sk", "__off", "__rn")
 
