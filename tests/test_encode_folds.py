@@ -64,3 +64,11 @@ def test_incomplete_gamma_and_gengamma_nests_weibull(spark):
     ll_gg = loglik(np.log(t), e, p.mu_, math.log(p.sigma_), p.lambda_).sum()
     ll_w = loglik(np.log(t), e, math.log(w.lambda_), math.log(1 / w.rho_), 1.0).sum()
     assert ll_gg >= ll_w - 1e-6
+
+
+def test_split_fold_masks(spark):
+    df = spark.createDataFrame([(i, i % 3 + 1, i % 2) for i in range(30)], "id int, fold int, event int")
+    tr, va = folds.split_fold(df, 2)
+    ts, _ = folds.split_fold(df, 2, event="event", events_only=True)
+    assert va.count() == 10 and tr.count() == 20
+    assert ts.filter(F.col("event") != 1).count() == 0 and ts.filter(F.col("fold") == 2).count() == 0
