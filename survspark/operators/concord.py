@@ -67,19 +67,24 @@ def concordance_counts(df: DataFrame, time: str = "time", event: str = "event",
              .drop("__t", "__f")
              .persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        cells.count()
+        # materialise the cells once: cells and highest rank per group (one row per group)
+        per_group = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("__r").alias("maxr")).collect()
         x.unpersist()
-        # one pass over the cells: highest rank (number of levels) and the prediction cut points;
-        # the level table has about cells x levels rows, the cut is sized for ~40 levels at most
-        pbounds, st = scan_stats(cells, "__p", nb, force, extra={"maxr": F.max("__r")}, rows_factor=16)
-        maxr = st["maxr"]
+        maxr = max((r["maxr"] for r in per_group if r["maxr"] is not None), default=None)
+        max_cells = max((int(r["n"]) for r in per_group), default=0)
         levels = int(maxr).bit_length() if maxr else 0
         if levels == 0:
             rows = [(*r, 0, 0) for r in cells.select(*by).distinct().collect()] if by else [(0, 0)]
             return _result(spark, by, rows, cells.select(*by).schema if by else None)
         # levels below `split` are counted inside aligned rank blocks of 2^split ranks, each block a
         # bounded NumPy task; levels from `split` up run on the Spark scan
-        split = 0 if force else _local_split(cells, by, levels, local_cells_limit(df))
+        limit = local_cells_limit(df)
+        if not force and max_cells <= limit:
+            split, pbounds = levels, None  # every group fits one bounded block: no Spark levels
+        else:
+            # the level table has about cells x levels rows, the cut is sized for ~16 levels
+            pbounds, _ = scan_stats(cells, "__p", nb, force, rows_factor=16)
+            split = 0 if force else _local_split(cells, by, levels, limit)
         parts = []
         if split > 0:
             parts.append(_local_levels(cells, by, split))

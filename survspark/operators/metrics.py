@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -278,13 +279,19 @@ def score_table(df: DataFrame, task: str, fold: str = "fold", group: str = "grp"
     in the same pass under a fold scope.
     """
     base = df.filter(F.col(pred).isNotNull() & ~F.isnan(pred))
+    if task == "ranking":
+        # the ranking scores are computed eagerly: read the input once for all fold/group scopes
+        base = base.select(fold, group, time, event, pred).persist(StorageLevel.MEMORY_AND_DISK)
     scoped = (base.withColumn("__fold", F.col(fold).cast("string"))
               .unionByName(base.withColumn("__fold", F.lit("OOF"))))
     if task == "ranking":
         sel = scoped.select("__fold", F.col(group).cast("string").alias("__g"), time, event, pred)
         both = (sel.withColumn("__scope", F.lit(0)).withColumn("__g", F.lit(""))
                 .unionByName(sel.filter(F.col("__g").isNotNull()).withColumn("__scope", F.lit(1))))
-        c = concordance_counts(both, time, event, pred, ["__fold", "__scope", "__g"], buckets)
+        try:
+            c = concordance_counts(both, time, event, pred, ["__fold", "__scope", "__g"], buckets)
+        finally:
+            base.unpersist()
         micro = c.filter(F.col("__scope") == 0).select("__fold", F.lit("micro_concordance_index").alias("metric"),
                                                        F.col("concordance").alias("value"))
         per = c.filter(F.col("__scope") == 1)
