@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -58,41 +59,54 @@ class OneHot:
     its own category ``{col}_nan`` (subject to the same frequency rule); output columns are the
     frequent values in sorted order, then ``nan``, then the infrequent bucket.  Unknown values
     give all zeros (``unknown='zero'``) or fail the job (``unknown='error'``).
+
+    Fitting is one counting pass.  Frequent categories define the output columns (at most
+    ``rows / min_count`` per column) and come to the driver; infrequent values come too only when
+    there are at most ``survspark.encode.maxInline`` of them, otherwise they stay a table that the
+    transform joins on the value.
     """
 
     def __init__(self, cols: Sequence[str], min_count: int = 128, unknown: str = "zero"):
         self.cols, self.min_count, self.unknown = list(cols), int(min_count), unknown
         self.categories: dict[str, list[dict]] = {}
         self.numeric: dict[str, bool] = {}
+        self.tables: dict[str, DataFrame] = {}
 
     def fit(self, df: DataFrame) -> "OneHot":
         self.numeric = {c: _is_numeric(df, c) for c in self.cols}
-        rows = value_counts(df, self.cols).collect()
+        counts = value_counts(df, self.cols).persist(StorageLevel.MEMORY_AND_DISK)
+        small = (F.col("count") < F.lit(self.min_count)) & F.col("value").isNotNull()
+        n_inf = {r["column"]: int(r["n"]) for r in
+                 counts.filter(small).groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        limit = max_inline(df)
+        big = [c for c in self.cols if n_inf.get(c, 0) > limit]
+        rows = counts.filter(~small | ~F.col("column").isin(big) if big else F.lit(True)).collect()
+        self.tables = {c: counts.filter((F.col("column") == c) & small).select("value", "num") for c in big}
         by_col: dict[str, list] = {c: [] for c in self.cols}
         for r in rows:
             by_col[r["column"]].append(r)
         for c, rs in by_col.items():
             present = [r for r in rs if r["value"] is not None]
-            key = (lambda r: r["num"]) if self.numeric[c] else (lambda r: r["value"])
-            present.sort(key=key)
+            present.sort(key=(lambda r: r["num"]) if self.numeric[c] else (lambda r: r["value"]))
             nan = [r for r in rs if r["value"] is None]
-            cats = []
-            for r in present + nan:
-                freq = r["count"] >= self.min_count
-                cats.append({"value": r["value"], "num": r["num"], "count": int(r["count"]), "frequent": freq})
+            cats = [{"value": r["value"], "num": r["num"], "count": int(r["count"]),
+                     "frequent": r["count"] >= self.min_count} for r in present + nan]
             self.categories[c] = cats
         return self
 
+    def _has_infrequent(self, c: str) -> bool:
+        return c in self.tables or any(not k["frequent"] for k in self.categories[c])
+
     def output_columns(self) -> list[str]:
         out = []
         for c in self.cols:
             cats = self.categories[c]
             out += [f"{c}_{'nan' if k['value'] is None else k['value']}" for k in cats if k["frequent"]]
-            if any(not k["frequent"] for k in cats):
+            if self._has_infrequent(c):
                 out.append(f"{c}_{INFREQUENT}")
         return out
 
-    def expressions(self) -> list[Column]:
+    def _expressions(self) -> list[Column]:
         exprs = []
         for c in self.cols:
             num = self.numeric[c]
@@ -107,14 +121,14 @@ class OneHot:
                 if k["frequent"]:
                     name = f"{c}_{'nan' if k['value'] is None else k['value']}"
                     exprs.append(F.when(match(k), 1).otherwise(0).alias(name))
-            infrequent = [k for k in cats if not k["frequent"]]
-            if infrequent:
-                cond = F.lit(False)
-                for k in infrequent:
+            cond = F.col(f"__inf_{c}") if c in self.tables else F.lit(False)
+            for k in cats:
+                if not k["frequent"]:
                     cond = cond | match(k)
+            if self._has_infrequent(c):
                 exprs.append(F.when(cond, 1).otherwise(0).alias(f"{c}_{INFREQUENT}"))
             if self.unknown == "error":
-                known = F.lit(False)
+                known = F.col(f"__inf_{c}") if c in self.tables else F.lit(False)
                 for k in cats:
                     known = known | match(k)
                 exprs.append(F.when(~known, F.raise_error(F.concat(F.lit(f"unknown category in {c}: "),
@@ -122,27 +136,57 @@ class OneHot:
                              .alias(f"__check_{c}"))
         return exprs
 
+    def expressions(self) -> list[Column]:
+        if self.tables:
+            raise ValueError("large infrequent sets need a join: use transform()")
+        return self._expressions()
+
     def transform(self, df: DataFrame) -> DataFrame:
-        out = df.select("*", *self.expressions())
+        x = df
+        for c, t in self.tables.items():
+            key = F.col(c).cast("double") if self.numeric[c] else F.col(c).cast("string")
+            tk = t.select((F.col("num") if self.numeric[c] else F.col("value")).alias(f"__k_{c}"),
+                          F.lit(True).alias(f"__inf_{c}"))
+            x = x.join(tk, key == F.col(f"__k_{c}"), "left").drop(f"__k_{c}")
+            x = x.withColumn(f"__inf_{c}", F.coalesce(F.col(f"__inf_{c}"), F.lit(False)))
+        out = x.select(*[F.col(f"`{n}`") for n in df.columns], *self._expressions())
         return out.drop(*[f"__check_{c}" for c in self.cols]) if self.unknown == "error" else out
 
     def params(self) -> list[dict]:
+        if self.tables:
+            raise ValueError("encoders with large infrequent tables are saved with their tables")
         return [{"kind": "one_hot", "column": c, "numeric": self.numeric[c], "min_count": self.min_count,
                  "unknown": self.unknown, **k} for c in self.cols for k in self.categories[c]]
 
 
+def max_inline(df: DataFrame) -> int:
+    """Largest category list kept as literals in the plan (``survspark.encode.maxInline``)."""
+    return int(df.sparkSession.conf.get("survspark.encode.maxInline", "10000"))
+
+
+def string_sort_key(c: Column) -> Column:
+    """A double that is non-decreasing in the binary (UTF-8) order of strings: their first six bytes."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
 class Ordinal:
     """EN3/EN4: ordinal codes by sorted value.
 
     ``missing='code'``: missing becomes ``'missing'`` (strings) or ``-1`` (numbers) before coding,
     codes are ``int``, unknown -> ``-1``.  ``missing='null'``: missing stays null, codes are
     ``double``, unknown -> ``-1``.  Output ``{col}_encoded``.
+
+    Columns with at most ``survspark.encode.maxInline`` distinct values are coded by a map literal
+    in the projection; larger ones get a code table (dense rank by a distributed prefix scan over
+    the distinct values, binary string order) that the transform joins on the value.
     """
 
     def __init__(self, cols: Sequence[str], missing: str = "code", suffix: str = "encoded"):
         self.cols, self.missing, self.suffix = list(cols), missing, suffix
         self.values: dict[str, list] = {}
         self.numeric: dict[str, bool] = {}
+        self.tables: dict[str, DataFrame] = {}
+        self.sizes: dict[str, int] = {}
 
     def _filled(self, df: DataFrame, c: str) -> Column:
         v = _norm(df, c)
@@ -155,41 +199,77 @@ class Ordinal:
         parts = [F.struct(F.lit(c).alias("column"), self._filled(df, c).cast("string").alias("value"),
                           (self._filled(df, c) if self.numeric[c] else F.lit(None).cast("double")).alias("num"))
                  for c in self.cols]
-        rows = (df.select(F.explode(F.array(*parts)).alias("u")).select("u.*")
-                .filter(F.col("value").isNotNull()).distinct().collect())
-        for c in self.cols:
+        vals = (df.select(F.explode(F.array(*parts)).alias("u")).select("u.*")
+                .filter(F.col("value").isNotNull()).distinct().persist(StorageLevel.MEMORY_AND_DISK))
+        self.sizes = {r["column"]: int(r["n"]) for r in vals.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        limit = max_inline(df)
+        inline = [c for c in self.cols if self.sizes.get(c, 0) <= limit]
+        rows = vals.filter(F.col("column").isin(inline)).collect() if inline else []
+        for c in inline:
             rs = [r for r in rows if r["column"] == c]
             rs.sort(key=(lambda r: r["num"]) if self.numeric[c] else (lambda r: r["value"]))
             self.values[c] = [(r["value"], r["num"]) for r in rs]
+        for c in self.cols:
+            if c in inline:
+                continue
+            v = vals.filter(F.col("column") == c)
+            if self.numeric[c]:
+                t = prefix_scan(v, ["num"], {"code": F.lit(1)}, exclusive=True, unique=True)
+            else:
+                v = v.withColumn("__sk", string_sort_key(F.col("value")))
+                t = prefix_scan(v, ["__sk", "value"], {"code": F.lit(1)}, exclusive=True, unique=True,
+                                bucket_col="__sk")
+            self.tables[c] = t.select("value", "num", F.col("code").cast("int").alias("code"))
         return self
 
-    def expressions(self) -> list[Column]:
+    def _source(self, c: str) -> Column:
+        src = F.col(c).cast("double") if self.numeric[c] else F.col(c).cast("string")
+        if self.numeric[c]:
+            src = F.when(F.isnan(src), None).otherwise(src)
+        if self.missing == "code":
+            src = F.coalesce(src, F.lit(-1.0) if self.numeric[c] else F.lit("missing"))
+        return src
+
+    def _finish(self, c: str, src: Column, code: Column) -> Column:
+        if self.missing == "code":
+            return F.coalesce(code, F.lit(-1)).cast("int").alias(f"{c}_{self.suffix}")
+        return F.when(src.isNull(), None).otherwise(F.coalesce(code, F.lit(-1))).cast("double").alias(
+            f"{c}_{self.suffix}")
+
+    def _expressions(self) -> list[Column]:
         exprs = []
         for c in self.cols:
+            src = self._source(c)
+            if c in self.tables:
+                exprs.append(self._finish(c, src, F.col(f"__code_{c}")))
+                continue
             vals = self.values[c]
             keys = [F.lit(float(n)) if self.numeric[c] else F.lit(v) for v, n in vals]
             m = F.create_map(*[x for i, k in enumerate(keys) for x in (k, F.lit(i))]) if vals else None
-            src = F.col(c).cast("double") if self.numeric[c] else F.col(c).cast("string")
-            if self.numeric[c]:
-                src = F.when(F.isnan(src), None).otherwise(src)
-            if self.missing == "code":
-                src = F.coalesce(src, F.lit(-1.0) if self.numeric[c] else F.lit("missing"))
             code = F.element_at(m, src) if m is not None else F.lit(None).cast("int")
-            if self.missing == "code":
-                e = F.coalesce(code, F.lit(-1)).cast("int")
-            else:
-                e = F.when(src.isNull(), None).otherwise(F.coalesce(code, F.lit(-1))).cast("double")
-            exprs.append(e.alias(f"{c}_{self.suffix}"))
+            exprs.append(self._finish(c, src, code))
         return exprs
 
+    def expressions(self) -> list[Column]:
+        if self.tables:
+            raise ValueError("large code tables need a join: use transform()")
+        return self._expressions()
+
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.select("*", *self.expressions())
+        x = df
+        for c, t in self.tables.items():
+            tk = t.select((F.col("num") if self.numeric[c] else F.col("value")).alias(f"__k_{c}"),
+                          F.col("code").alias(f"__code_{c}"))
+            x = x.join(tk, self._source(c) == F.col(f"__k_{c}"), "left").drop(f"__k_{c}")
+        return x.select(*[F.col(f"`{n}`") for n in df.columns], *self._expressions())
 
     def cardinalities(self) -> dict[str, int]:
         """EN9: number of codes per encoded column (``max(code) + 1``)."""
-        return {f"{c}_{self.suffix}": len(self.values[c]) for c in self.cols}
+        return {f"{c}_{self.suffix}": self.sizes.get(c, len(self.values.get(c, []))) for c in self.cols}
 
     def params(self) -> list[dict]:
+        if self.tables:
+            raise ValueError("encoders with large code tables are saved with their tables")
         return [{"kind": "ordinal", "column": c, "numeric": self.numeric[c], "missing": self.missing,
                  "suffix": self.suffix, "value": v, "num": n, "code": i}
                 for c in self.cols for i, (v, n) in enumerate(self.values[c])]
@@ -348,8 +428,7 @@ def preprocess(df: DataFrame, spec: Mapping, encoders: Mapping | None = None):
             "ordinal": Ordinal(cat).fit(x) if cat else None,
             "standardise": Standardise(cont).fit(x) if cont else None,
         }
-    exprs = []
     for k in ("one_hot", "ordinal", "standardise"):
         if encoders.get(k) is not None:
-            exprs += encoders[k].expressions()
-    return x.select("*", *exprs), dict(encoders)
+            x = encoders[k].transform(x)
+    return x, dict(encoders)

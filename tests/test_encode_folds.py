@@ -72,3 +72,22 @@ def test_split_fold_masks(spark):
     ts, _ = folds.split_fold(df, 2, event="event", events_only=True)
     assert va.count() == 10 and tr.count() == 20
     assert ts.filter(F.col("event") != 1).count() == 0 and ts.filter(F.col("fold") == 2).count() == 0
+
+
+def test_large_cardinality_paths_match_inline(spark):
+    rows = [(i, f"v{i % 37:03d}" if i % 11 else None, float(i % 23)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, s string, x double")
+    test = df.union(spark.createDataFrame([(999, "zzz", 99.0)], "id int, s string, x double"))
+
+    def run():
+        o = encode.Ordinal(["s", "x"]).fit(df).transform(test)
+        h = encode.OneHot(["s", "x"], min_count=12).fit(df).transform(test)
+        return sorted(map(tuple, o.collect())), sorted(map(tuple, h.collect())), h.columns
+    inline = run()
+    spark.conf.set("survspark.encode.maxInline", "5")
+    try:
+        tables = run()
+    finally:
+        spark.conf.unset("survspark.encode.maxInline")
+    assert inline[0] == tables[0]
+    assert inline[2] == tables[2] and inline[1] == tables[1]
