@@ -918,3 +918,16 @@ def q_gamma_curve(spark, d):
     s = _s(spark, d)
     p = gengamma.fit_generalized_gamma(s).first().asDict()
     return gengamma.evaluate_generalized_gamma(s.select("id", "time"), p).drop("time")
+
+
+@query("load_oof")
+def q_load_oof(spark, d):
+    """IO5: each model's OOF file (``id, prediction``) written as Parquet, read back and pivoted to
+    ``{model}_prediction`` columns keyed by id."""
+    p = _p(spark, d)
+    base = scratch_path(spark, "oof")
+    paths = {}
+    for m, c in (("m1", "p1"), ("m2", "p2"), ("m3", "p3")):
+        paths[m] = f"{base}/{m}"
+        io.write_table(p.select("id", F.col(c).alias("prediction")), paths[m])
+    return io.load_oof(spark, paths)

@@ -579,3 +579,5 @@ SQL["pr_mean_summary"] = W(S, P, _pts("p1", "fold"), _PR_CURVE, _GRID, _INTERP,
                            "2.0 * g * m / (g + m) f1 FROM mm)") + f"""
 SELECT {R('sum((g - g0) * (m + m0) / 2.0)')} auc, {R('arg_min(g, (-coalesce(f1, CAST(\'-inf\' AS DOUBLE)), k))')} best_recall,
        {R('arg_min(m, (-coalesce(f1, CAST(\'-inf\' AS DOUBLE)), k))')} best_precision_mean FROM ml"""
+
+SQL["load_oof"] = SQL["oof_pivot"]
