@@ -55,21 +55,22 @@ def concordance_counts(df: DataFrame, time: str = "time", event: str = "event",
     spark = df.sparkSession
     nb = buckets or default_buckets(df)
     force = buckets is not None
-    # the input is read by the key scan and by the cell aggregation: read it once
-    x = _prepared(df, time, event, pred, by).persist(StorageLevel.MEMORY_AND_DISK)
-    # dense rank of the order key (t, 1-e) per group: scan over the distinct keys
-    keys = x.groupBy(*by, "__t", "__f").agg(F.count(F.lit(1)).alias("__kc"))
+    x = _prepared(df, time, event, pred, by)
+    # collapse rows to cells (group, t, 1-e, p) once; the distinct keys and their dense rank per
+    # group are derived from the cells, so the input rows are read a single time
+    cells0 = (x.groupBy(*by, "__t", "__f", "__p")
+              .agg(F.count(F.lit(1)).alias("__n"), F.sum("__e").cast("long").alias("__ne"))
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    keys = cells0.groupBy(*by, "__t", "__f").agg(F.sum("__n").alias("__kc"))
     ranks = prefix_scan(keys, ["__t", "__f"], {"__r": F.lit(1).cast("long")}, by=by, exclusive=True,
                         unique=True, bucket_col="__t", buckets=buckets)
-    cells = (x.groupBy(*by, "__t", "__f", "__p")
-             .agg(F.count(F.lit(1)).alias("__n"), F.sum("__e").cast("long").alias("__ne"))
-             .join(ranks.select(*by, "__t", "__f", "__r"), [*by, "__t", "__f"])
+    cells = (cells0.join(ranks.select(*by, "__t", "__f", "__r"), [*by, "__t", "__f"])
              .drop("__t", "__f")
              .persist(StorageLevel.MEMORY_AND_DISK))
     try:
         # materialise the cells once: cells and highest rank per group (one row per group)
         per_group = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("__r").alias("maxr")).collect()
-        x.unpersist()
+        cells0.unpersist()
         maxr = max((r["maxr"] for r in per_group if r["maxr"] is not None), default=None)
         max_cells = max((int(r["n"]) for r in per_group), default=0)
         levels = int(maxr).bit_length() if maxr else 0
@@ -103,7 +104,7 @@ def concordance_counts(df: DataFrame, time: str = "time", event: str = "event",
         return _result(spark, by, [(r[0], r[1]) if r else (0, 0)], None)
     finally:
         cells.unpersist()
-        x.unpersist()
+        cells0.unpersist()
 
 
 def local_cells_limit(df: DataFrame) -> int:
