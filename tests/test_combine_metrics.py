@@ -53,3 +53,42 @@ def test_auc_equals_roc_trapezoid(spark):
     auc = metrics.auc_table(df, "event", "p", []).first().roc_auc
     trap = metrics.curve_auc(metrics.roc_points(df, "event", "p", buckets=3), "roc").first().auc
     assert abs(auc - trap) < 1e-12
+
+
+def test_grid_interpolation_matches_numpy(spark):
+    rng = np.random.default_rng(21)
+    pdf = pd.DataFrame({"fold": rng.integers(1, 3, 240), "event": rng.integers(0, 2, 240),
+                        "p": rng.integers(0, 12, 240) / 12})  # heavy ties -> vertical/horizontal segments
+    df = spark.createDataFrame(pdf)
+    pts = metrics.roc_points(df, "event", "p", ["fold"]).filter(F.col("fpr_prev").isNotNull())
+    seg = pts.select("fold", F.col("fpr_prev").alias("x0"), F.col("tpr_prev").alias("y0"),
+                     F.col("fpr").alias("x1"), F.col("tpr").alias("y1"))
+    last = pts.groupBy("fold").agg(F.max_by(F.struct("fpr", "tpr"), F.struct("fpr", "tpr")).alias("l"))
+    tail = last.select("fold", F.col("l.fpr").alias("x0"), F.col("l.tpr").alias("y0"),
+                       F.lit(float("inf")).alias("x1"), F.col("l.tpr").alias("y1"))
+    got = metrics._interp_segments(seg.unionByName(tail), ["fold"], 100).toPandas()
+    grid = np.linspace(0, 1, 100)
+    for f, sub in pdf.groupby("fold"):
+        # ROC points in curve order (threshold descending), origin first
+        P, N = sub.event.sum(), (1 - sub.event).sum()
+        xs, ys = [0.0], [0.0]
+        for t in sorted(sub.p.unique(), reverse=True):
+            m = sub.p >= t
+            xs.append(((1 - sub.event)[m]).sum() / N)
+            ys.append(sub.event[m].sum() / P)
+        exp = np.interp(grid, xs, ys)
+        g = got[got.fold == f].sort_values("k")
+        assert len(g) == 100 and np.allclose(g.y.values, exp, atol=1e-12)
+
+
+def test_strict_one_hot_rejects_unknown(spark):
+    from survspark.operators import encode
+
+    train = spark.createDataFrame([(1, "a"), (2, "b")], "id int, c string")
+    enc = encode.OneHot(["c"], min_count=0, unknown="error").fit(train)
+    bad = spark.createDataFrame([(3, "z")], "id int, c string")
+    try:
+        enc.transform(bad).collect()
+        raise AssertionError("expected failure on an unknown category")
+    except Exception as e:  # noqa: BLE001
+        assert "unknown category" in str(e)
