@@ -89,6 +89,21 @@ def _group_rows(agg: DataFrame, group: str | None) -> dict:
     return {(r[group] if group else None): r for r in agg.collect()}
 
 
+def _with_params(base: DataFrame, group: str | None, params: dict, names: Sequence[str]) -> DataFrame:
+    """Attach per-group parameter values: literals for a global fit, otherwise a join with a small
+    parameter table (one row per group), so the plan does not grow with the number of groups."""
+    if not group:
+        vals = params[None]
+        return base.withColumns({n: F.lit(float(v)) for n, v in zip(names, vals)})
+    gtype = base.schema[group].dataType
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    schema = StructType([StructField(group, gtype), *[StructField(n, DoubleType()) for n in names]])
+    table = base.sparkSession.createDataFrame([(g, *map(float, v)) for g, v in params.items()], schema)
+    return base.join(table, group)
+
+
+
 def fit_weibull(df: DataFrame, time: str = "time", event: str = "event", group: str | None = None,
                 max_iter: int = 50, tol: float = 1e-10) -> DataFrame:
     """SV10: Weibull MLE (``S = exp(-(t/lambda_)^rho_)``) by Newton on the profile score of ``rho_``.
@@ -108,10 +123,7 @@ def fit_weibull(df: DataFrame, time: str = "time", event: str = "event", group:
                                                     F.first("__mx").alias("mx")), group)
         rho = {g: 1.0 for g in stats}
         for _ in range(max_iter):
-            expr = F.when(F.lit(False), F.lit(0.0))
-            for g, r in rho.items():
-                expr = expr.when(F.col(group) == g, F.lit(r)) if group else F.lit(r)
-            b = base.withColumn("__rho", expr if group else F.lit(rho[None]))
+            b = _with_params(base, group, {g: (r,) for g, r in rho.items()}, ["__rho"])
             w = F.exp(F.col("__rho") * F.col("__l"))
             sums = _group_rows(b.groupBy(*keys).agg(F.sum(w).alias("A"), F.sum(w * F.col("__l")).alias("B"),
                                                     F.sum(w * F.col("__l") * F.col("__l")).alias("C")), group)
@@ -131,15 +143,7 @@ def fit_weibull(df: DataFrame, time: str = "time", event: str = "event", group:
             if delta < tol:
                 break
         # final scale per group
-        expr = F.lit(0.0)
-        b = base
-        if group:
-            cases = None
-            for g, r in rho.items():
-                cases = F.when(F.col(group) == g, F.lit(r)) if cases is None else cases.when(F.col(group) == g, F.lit(r))
-            b = base.withColumn("__rho", cases)
-        else:
-            b = base.withColumn("__rho", F.lit(rho[None]))
+        b = _with_params(base, group, {g: (r,) for g, r in rho.items()}, ["__rho"])
         A = _group_rows(b.groupBy(*keys).agg(F.sum(F.exp(F.col("__rho") * F.col("__l"))).alias("A")), group)
         rows = []
         for g, st in stats.items():
@@ -182,15 +186,9 @@ def fit_loglogistic(df: DataFrame, time: str = "time", event: str = "event", gro
         par = {g: [r["m"], 1.0] for g, r in init.items()}
 
         def at(par_):
-            if group:
-                ca = cb = None
-                for g, (a_, b_) in par_.items():
-                    ca = F.when(F.col(group) == g, F.lit(a_)) if ca is None else ca.when(F.col(group) == g, F.lit(a_))
-                    cb = F.when(F.col(group) == g, F.lit(b_)) if cb is None else cb.when(F.col(group) == g, F.lit(b_))
-            else:
-                ca, cb = F.lit(par_[None][0]), F.lit(par_[None][1])
-            t = loglogistic_terms(ca, cb, F.col("__x"), F.col("__e"))
-            return _group_rows(base.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in t.items()]), group)
+            b = _with_params(base, group, par_, ["__pa", "__pb"])
+            t = loglogistic_terms(F.col("__pa"), F.col("__pb"), F.col("__x"), F.col("__e"))
+            return _group_rows(b.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in t.items()]), group)
 
         # damped Newton with step halving on the log-likelihood (each evaluation is one aggregate)
         s = at(par)
@@ -263,15 +261,9 @@ def fit_lognormal(df: DataFrame, time: str = "time", event: str = "event", group
         par = {g: [r["m"], math.log(max(r["s"] or 1.0, 1e-6))] for g, r in init.items()}
 
         def at(par_):
-            if group:
-                cm = cs = None
-                for g, (m_, s_) in par_.items():
-                    cm = F.when(F.col(group) == g, F.lit(m_)) if cm is None else cm.when(F.col(group) == g, F.lit(m_))
-                    cs = F.when(F.col(group) == g, F.lit(s_)) if cs is None else cs.when(F.col(group) == g, F.lit(s_))
-            else:
-                cm, cs = F.lit(par_[None][0]), F.lit(par_[None][1])
-            t = lognormal_terms(cm, cs, F.col("__x"), F.col("__e"))
-            return _group_rows(base.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in t.items()]), group)
+            b = _with_params(base, group, par_, ["__pm", "__ps"])
+            t = lognormal_terms(F.col("__pm"), F.col("__ps"), F.col("__x"), F.col("__e"))
+            return _group_rows(b.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in t.items()]), group)
 
         s = at(par)
         for _ in range(max_iter):
