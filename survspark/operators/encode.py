@@ -272,7 +272,7 @@ class Ordinal:
             raise ValueError("encoders with large code tables are saved with their tables")
         return [{"kind": "ordinal", "column": c, "numeric": self.numeric[c], "missing": self.missing,
                  "suffix": self.suffix, "value": v, "num": n, "code": i}
-                for c in self.cols for i, (v, n) in enumerate(self.values[c])]
+                for c in self.cols if c in self.values for i, (v, n) in enumerate(self.values[c])]
 
 
 def exact_medians(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -> dict[str, float | None]:
@@ -366,25 +366,43 @@ class MedianImputer:
 # IO7 / EN10: encoders are small parameter tables, saved as Parquet and loaded without refitting
 
 def save_encoder(spark: SparkSession, encoder, path: str) -> None:
-    rows = [(json.dumps(p, sort_keys=True),) for p in encoder.params()]
-    meta = {"class": type(encoder).__name__, "cols": encoder.cols}
+    """Parameters as one small Parquet table; distributed category/code tables are written next to it."""
+    tables = dict(getattr(encoder, "tables", {}) or {})
+    saved = {}
+    if tables:
+        for c, t in tables.items():
+            t.write.mode("overwrite").parquet(f"{path}/tables/{c}")
+        saved = {"numeric": encoder.numeric}
+        if isinstance(encoder, Ordinal):
+            saved["sizes"] = encoder.sizes
+        encoder_tables, encoder.tables = encoder.tables, {}
+        try:
+            params = encoder.params()
+        finally:
+            encoder.tables = encoder_tables
+    else:
+        params = encoder.params()
+    rows = [(json.dumps(p, sort_keys=True),) for p in params]
+    meta = {"class": type(encoder).__name__, "cols": encoder.cols, "tables": sorted(tables), **saved}
     for k in ("min_count", "unknown", "missing", "suffix"):
         if hasattr(encoder, k):
             meta[k] = getattr(encoder, k)
     rows.append((json.dumps({"kind": "__meta__", **meta}, sort_keys=True),))
-    spark.createDataFrame(rows, "param string").coalesce(1).write.mode("overwrite").parquet(path)
+    spark.createDataFrame(rows, "param string").coalesce(1).write.mode("overwrite").parquet(f"{path}/params")
 
 
 def load_encoder(spark: SparkSession, path: str):
-    params = [json.loads(r["param"]) for r in spark.read.parquet(path).collect()]
+    params = [json.loads(r["param"]) for r in spark.read.parquet(f"{path}/params").collect()]
     meta = next(p for p in params if p["kind"] == "__meta__")
     body = [p for p in params if p["kind"] != "__meta__"]
     cls = meta["class"]
+    tables = {c: spark.read.parquet(f"{path}/tables/{c}") for c in meta.get("tables", [])}
     if cls == "OneHot":
         enc = OneHot(meta["cols"], meta["min_count"], meta["unknown"])
+        enc.tables = tables
         for c in enc.cols:
             cats = [p for p in body if p["column"] == c]
-            enc.numeric[c] = bool(cats[0]["numeric"]) if cats else False
+            enc.numeric[c] = bool(meta.get("numeric", {}).get(c, cats[0]["numeric"] if cats else False))
             nonnull = [p for p in cats if p["value"] is not None]
             nonnull.sort(key=(lambda p: p["num"]) if enc.numeric[c] else (lambda p: p["value"]))
             enc.categories[c] = [{k: p[k] for k in ("value", "num", "count", "frequent")}
@@ -392,10 +410,14 @@ def load_encoder(spark: SparkSession, path: str):
         return enc
     if cls == "Ordinal":
         enc = Ordinal(meta["cols"], meta["missing"], meta["suffix"])
+        enc.tables = tables
+        enc.sizes = {k: int(v) for k, v in meta.get("sizes", {}).items()}
         for c in enc.cols:
             vals = sorted([p for p in body if p["column"] == c], key=lambda p: p["code"])
-            enc.numeric[c] = bool(vals[0]["numeric"]) if vals else False
-            enc.values[c] = [(p["value"], p["num"]) for p in vals]
+            enc.numeric[c] = bool(meta.get("numeric", {}).get(c, vals[0]["numeric"] if vals else False))
+            if c not in tables:
+                enc.values[c] = [(p["value"], p["num"]) for p in vals]
+                enc.sizes.setdefault(c, len(vals))
         return enc
     if cls == "Standardise":
         enc = Standardise(meta["cols"], meta["suffix"])

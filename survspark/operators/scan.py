@@ -198,9 +198,13 @@ def lookup_asof(
     bounds = quantile_bounds(u, "__t", nb, force=buckets is not None)
     u = with_bucket(u, "__t", bounds, "__bkt")
 
-    # last curve value per (by, bucket), then carried into later buckets
+    # last curve value per (by, bucket), laid on the full bucket range of each curve key so that
+    # buckets holding only probes still pass the carry on; then carried into later buckets
     last = (u.filter(F.col("__probe") == 0).groupBy(*by, "__bkt")
             .agg(*[F.max_by(v, "__t").alias(f"__l_{v}") for v in value_cols]))
+    keys = ck.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    all_b = keys.select(*by, F.explode(F.sequence(F.lit(0), F.lit(len(bounds)))).alias("__bkt"))
+    last = all_b.join(last, [*by, "__bkt"], "left")
     wb = Window.partitionBy(*by).orderBy("__bkt").rowsBetween(Window.unboundedPreceding, -1)
     carry = last.select(*by, "__bkt", *[F.last(f"__l_{v}", ignorenulls=True).over(wb).alias(f"__c_{v}")
                                          for v in value_cols])

@@ -91,3 +91,21 @@ def test_large_cardinality_paths_match_inline(spark):
         spark.conf.unset("survspark.encode.maxInline")
     assert inline[0] == tables[0]
     assert inline[2] == tables[2] and inline[1] == tables[1]
+
+
+def test_table_backed_encoder_roundtrip(spark):
+    from survspark.session import scratch_path
+
+    rows = [(i, f"v{i % 37:03d}" if i % 11 else None, float(i % 23)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, s string, x double")
+    spark.conf.set("survspark.encode.maxInline", "5")
+    try:
+        enc = encode.Ordinal(["s", "x"]).fit(df)
+        path = scratch_path(spark, "enc")
+        encode.save_encoder(spark, enc, path)
+        back = encode.load_encoder(spark, path)
+        a = sorted(map(tuple, enc.transform(df).collect()))
+        b = sorted(map(tuple, back.transform(df).collect()))
+        assert a == b and back.cardinalities() == enc.cardinalities()
+    finally:
+        spark.conf.unset("survspark.encode.maxInline")

@@ -65,3 +65,10 @@ def test_next_row_matches_lead_across_buckets(spark):
     for buckets in (1, 6):
         got = next_row(df, ["t", "k"], ["v"], by=["u"], buckets=buckets).join(exp.select("k", "e"), "k")
         assert got.filter(~F.col("next_v").eqNullSafe(F.col("e"))).count() == 0
+
+
+def test_asof_probes_in_buckets_without_curve_points(spark):
+    curve = spark.createDataFrame([(float(t), 1.0 - t / 100.0) for t in range(1, 11)], "time double, s double")
+    probes = spark.createDataFrame([(i, float(t)) for i, t in enumerate([0.5] + list(range(50, 90)))], "id int, t double")
+    out = {r.id: r.s for r in lookup_asof(probes, curve, "t", ["s"], key="id", initial={"s": 1.0}, buckets=6).collect()}
+    assert out[0] == 1.0 and all(abs(out[i] - 0.9) < 1e-12 for i in range(1, 41))
