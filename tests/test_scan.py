@@ -72,3 +72,22 @@ def test_asof_probes_in_buckets_without_curve_points(spark):
     probes = spark.createDataFrame([(i, float(t)) for i, t in enumerate([0.5] + list(range(50, 90)))], "id int, t double")
     out = {r.id: r.s for r in lookup_asof(probes, curve, "t", ["s"], key="id", initial={"s": 1.0}, buckets=6).collect()}
     assert out[0] == 1.0 and all(abs(out[i] - 0.9) < 1e-12 for i in range(1, 41))
+
+
+def test_lookup_exact_leaves_unmatched_missing(spark):
+    from survspark.operators.scan import lookup_exact
+
+    curve = spark.createDataFrame([("a", 1.0, 0.1), ("a", 2.0, 0.2), ("b", 1.0, 0.5)], "g string, time double, h double")
+    rows = spark.createDataFrame([(1, "a", 2.0), (2, "a", 3.0), (3, "b", 1.0), (4, "c", 1.0)], "id int, g string, t double")
+    out = {r.id: r.h for r in lookup_exact(rows, curve, "t", ["h"], by=["g"]).collect()}
+    assert out == {1: 0.2, 2: None, 3: 0.5, 4: None}
+
+
+def test_spark_level_concordance_plan_is_bucketed(spark):
+    from survspark.operators.concord import _spark_levels
+
+    rng = np.random.default_rng(9)
+    cells = spark.createDataFrame(pd.DataFrame({"__r": rng.integers(0, 64, 300), "__p": rng.random(300),
+                                                "__n": rng.integers(1, 4, 300), "__ne": rng.integers(0, 2, 300)}))
+    plan = _spark_levels(cells, [], 0, 6, [0.25, 0.5, 0.75])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(__lvl" in plan and "__bkt" in plan
