@@ -144,3 +144,9 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), pa.array(values, kind)).cast(pa.list_(kind))
+
+
+def let(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later expressions use many times: they are computed once for each row, as the
+    optimizer does not copy an expression through a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .langid import op1_language_id
+from .pii import op6_pii
 from .packing import op7_packing
+from .secret_scan import op3_secrets
 from .simple8b import op8_token_files
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op7_packing, op8_token_files)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_secrets, op6_pii, op7_packing, op8_token_files)}
 SQL: dict[str, str] = {}
