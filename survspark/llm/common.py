@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     col = batch.column(column)
     if len(col) == 0:
         return
-    size = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = (np.cumsum(size) - size) // limit
     cut = np.flatnonzero(np.diff(group)) + 1
     bounds = [0, *cut.tolist(), len(size)]
@@ -48,7 +49,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column as one array, and the row bounds in it; null is empty."""
-    col = pa.compute.fill_null(col, "") if col.null_count else col
+    col = pc.fill_null(col, "") if col.null_count else col
     col = col.cast(pa.large_string())
     _, off, data = col.buffers()
     bounds = np.frombuffer(off, np.int64)[col.offset: col.offset + len(col) + 1]
