@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .ann import op4_nearest
+from .decontaminate import op10_decontamination
 from .langid import op1_language_id
 from .partenum import op9_jaccard
 from .pii import op6_pii
@@ -10,5 +11,6 @@ from .packing import op7_packing
 from .secret_scan import op3_secrets
 from .simple8b import op8_token_files
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_secrets, op4_nearest, op6_pii, op7_packing, op8_token_files, op9_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_secrets, op4_nearest, op6_pii, op7_packing, op8_token_files, op9_jaccard,
+                                op10_decontamination)}
 SQL: dict[str, str] = {}
