@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op4_nearest
 from .decontaminate import op10_decontamination
+from .katz import op2_katz
 from .langid import op1_language_id
 from .partenum import op9_jaccard
 from .pii import op6_pii
@@ -12,6 +13,6 @@ from .secret_scan import op3_secrets
 from .suffix_dedup import op5_suffix_dedup
 from .simple8b import op8_token_files
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_secrets, op4_nearest, op5_suffix_dedup, op6_pii, op7_packing, op8_token_files, op9_jaccard,
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_katz, op3_secrets, op4_nearest, op5_suffix_dedup, op6_pii, op7_packing, op8_token_files, op9_jaccard,
                                 op10_decontamination)}
 SQL: dict[str, str] = {}
