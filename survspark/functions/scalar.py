@@ -45,10 +45,6 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"\s+", "_")
 
 
-def slug_text(s: str) -> str:
-    return "_".join(s.lower().split())
-
-
 def prefixed(name: str, value: Column) -> Column:
     """SC11: ``{name}_{value}`` names of one-hot columns."""
     return F.concat(F.lit(f"{name}_"), value)

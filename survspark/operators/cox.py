@@ -29,15 +29,20 @@ def _eta(features: Sequence[str], beta: np.ndarray):
 def fit_cox(df: DataFrame, time: str, event: str, features: Sequence[str], l2: float = 0.0, max_iter: int = 25,
             tol: float = 1e-9) -> dict:
     """Newton-Raphson on the Breslow partial likelihood; returns ``{"coef", "means", "iterations"}``.
-    Features are centred (means kept) for numerical stability; rows with missing values are dropped."""
+    Features are centred (means kept) for numerical stability; rows with missing values are dropped.
+    Steps are halved until the likelihood does not fall; ``converged`` is False where ``max_iter`` ended
+    the search.  Without an event, or with linearly dependent features and no ridge, there is no single
+    maximum and a ``ValueError`` says so."""
     feats = list(features)
     p = len(feats)
     clean = df.select(time, event, *feats).dropna()
-    means = clean.agg(*[F.avg(f).alias(f) for f in feats]).first()
+    means = clean.agg(*[F.avg(f).alias(f) for f in feats], F.sum(F.col(event).cast("double")).alias("__d")).first()
+    if not means["__d"]:
+        raise ValueError("no event in the data: the partial likelihood has no maximum")
     mu = np.array([float(means[f]) for f in feats])
     x = clean.select(F.col(time).cast("double").alias("__t"), F.col(event).cast("double").alias("__e"),
                      *[(F.col(f) - F.lit(m)).alias(f) for f, m in zip(feats, mu)]).persist(StorageLevel.MEMORY_AND_DISK)
-    beta = np.zeros(p)
+    beta, kept, best, step, converged = np.zeros(p), np.zeros(p), -np.inf, None, False
     it = 0
     try:
         # the distinct times do not change between steps: cut them once
@@ -54,26 +59,37 @@ def fit_cox(df: DataFrame, time: str, event: str, features: Sequence[str], l2: f
             risk = {f"s_{k}": F.col(k) for k in sums if k.startswith("a")}
             sc = prefix_scan(per_t, "__t", risk, reverse=True, unique=True, bounds=bounds).filter(F.col("d") > 0)
             s0 = F.col("s_a0")
-            aggs = []
+            fit = sum((F.col(f"xe_{i}") * F.lit(float(b)) for i, b in enumerate(beta)), F.lit(0.0))
+            aggs = [F.sum(fit - F.col("d") * F.log(s0)).alias("ll")]
             for i in range(p):
                 aggs.append(F.sum(F.col(f"xe_{i}") - F.col("d") * F.col(f"s_a1_{i}") / s0).alias(f"g{i}"))
                 for j in range(i, p):
                     aggs.append(F.sum(F.col("d") * (F.col(f"s_a2_{i}_{j}") / s0
                                                     - F.col(f"s_a1_{i}") * F.col(f"s_a1_{j}") / (s0 * s0))).alias(f"h{i}_{j}"))
             r = sc.agg(*aggs).first()
-            g = np.array([r[f"g{i}"] for i in range(p)]) - l2 * beta
-            h = np.zeros((p, p))
-            for i in range(p):
-                for j in range(i, p):
-                    h[i, j] = h[j, i] = r[f"h{i}_{j}"]
-            h += l2 * np.eye(p)
-            step = np.linalg.solve(h, g)
-            beta = beta + step
+            ll = r["ll"] - 0.5 * l2 * float(beta @ beta)
+            if step is not None and not ll >= best - 1e-12 * abs(best):  # worse: half the step from the last good point
+                step = step / 2
+            else:
+                kept, best = beta, ll
+                g = np.array([r[f"g{i}"] for i in range(p)]) - l2 * beta
+                h = np.zeros((p, p))
+                for i in range(p):
+                    for j in range(i, p):
+                        h[i, j] = h[j, i] = r[f"h{i}_{j}"]
+                h += l2 * np.eye(p)
+                scale = np.sqrt(np.maximum(np.diag(h), 1e-300))
+                if np.linalg.cond(h / np.outer(scale, scale)) > 1e12:
+                    raise ValueError("the features are linearly dependent on the risk sets: give a ridge (l2)")
+                step = np.linalg.solve(h, g)
+            beta = kept + step
             if np.max(np.abs(step)) < tol:
+                converged = True
                 break
     finally:
         x.unpersist()
-    return {"coef": dict(zip(feats, beta.tolist())), "means": dict(zip(feats, mu.tolist())), "iterations": it}
+    return {"coef": dict(zip(feats, beta.tolist())), "means": dict(zip(feats, mu.tolist())), "iterations": it,
+            "converged": converged}
 
 
 def predict_cox(df: DataFrame, model: dict, time: str, event: str, key: str = "id") -> DataFrame:

@@ -12,11 +12,11 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from ..session import scratch_path
 from .scan import prefix_scan
 
 INFREQUENT = "infrequent_sklearn"
@@ -48,6 +48,13 @@ def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return x.groupBy("column", "value", "num").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """A fitted table in the shared scratch folder: no cache to release and no lineage to recompute."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _lit_for(numeric: bool, value: str, num) -> Column:
     return F.lit(float(num)) if numeric else F.lit(value)
 
@@ -60,28 +67,31 @@ class OneHot:
     frequent values in sorted order, then ``nan``, then the infrequent bucket.  Unknown values
     give all zeros (``unknown='zero'``) or fail the job (``unknown='error'``).
 
-    Fitting is one counting pass.  Frequent categories define the output columns (at most
-    ``rows / min_count`` per column) and come to the driver; infrequent values come too only when
-    there are at most ``survspark.encode.maxInline`` of them, otherwise they stay a table that the
-    transform joins on the value.
+    Fitting is one counting pass.  Frequent categories define the output columns, so they come to the
+    driver; more than ``max_columns`` of them are an error, as is a table of that width.  The infrequent
+    values always stay a table, written to the shared folder, that the transform joins on the value.
     """
 
-    def __init__(self, cols: Sequence[str], min_count: int = 128, unknown: str = "zero"):
-        self.cols, self.min_count, self.unknown = list(cols), int(min_count), unknown
+    def __init__(self, cols: Sequence[str], min_count: int = 128, unknown: str = "zero", max_columns: int = 10_000):
+        self.cols, self.min_count, self.unknown, self.max_columns = list(cols), int(min_count), unknown, max_columns
         self.categories: dict[str, list[dict]] = {}
         self.numeric: dict[str, bool] = {}
         self.tables: dict[str, DataFrame] = {}
 
     def fit(self, df: DataFrame) -> "OneHot":
         self.numeric = {c: _is_numeric(df, c) for c in self.cols}
-        counts = value_counts(df, self.cols).persist(StorageLevel.MEMORY_AND_DISK)
-        small = (F.col("count") < F.lit(self.min_count)) & F.col("value").isNotNull()
-        n_inf = {r["column"]: int(r["n"]) for r in
-                 counts.filter(small).groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-        limit = max_inline(df)
-        big = [c for c in self.cols if n_inf.get(c, 0) > limit]
-        rows = counts.filter(~small | ~F.col("column").isin(big) if big else F.lit(True)).collect()
-        self.tables = {c: counts.filter((F.col("column") == c) & small).select("value", "num") for c in big}
+        counts = _written(value_counts(df, self.cols), "category_counts")
+        rare = F.col("count") < F.lit(self.min_count)
+        small = rare & F.col("value").isNotNull()
+        # one row a column: how many output columns, and whether there is an infrequent bucket
+        sizes = {r["column"]: r for r in counts.groupBy("column").agg(
+            F.sum((~rare).cast("long")).alias("wide"), F.sum(small.cast("long")).alias("rare")).collect()}
+        wide = sum(int(r["wide"]) for r in sizes.values())
+        if wide > self.max_columns:
+            raise ValueError(f"one-hot encoding would make {wide} columns, more than max_columns={self.max_columns}")
+        rows = counts.filter(~small).collect()
+        self.tables = {c: counts.filter((F.col("column") == c) & small).select("value", "num")
+                       for c in self.cols if c in sizes and sizes[c]["rare"]}
         by_col: dict[str, list] = {c: [] for c in self.cols}
         for r in rows:
             by_col[r["column"]].append(r)
@@ -159,16 +169,6 @@ class OneHot:
                  "unknown": self.unknown, **k} for c in self.cols for k in self.categories[c]]
 
 
-def max_inline(df: DataFrame) -> int:
-    """Largest category list kept as literals in the plan (``survspark.encode.maxInline``)."""
-    return int(df.sparkSession.conf.get("survspark.encode.maxInline", "10000"))
-
-
-def string_sort_key(c: Column) -> Column:
-    """A double that is non-decreasing in the binary (UTF-8) order of strings: their first six bytes."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-
-
 class Ordinal:
     """EN3/EN4: ordinal codes by sorted value.
 
@@ -176,9 +176,9 @@ class Ordinal:
     codes are ``int``, unknown -> ``-1``.  ``missing='null'``: missing stays null, codes are
     ``double``, unknown -> ``-1``.  Output ``{col}_encoded``.
 
-    Columns with at most ``survspark.encode.maxInline`` distinct values are coded by a map literal
-    in the projection; larger ones get a code table (dense rank by a distributed prefix scan over
-    the distinct values, binary string order) that the transform joins on the value.
+    Every column has a code table, written to the shared folder, that the transform joins on the value:
+    the dense rank of the distinct values, numbers by value and strings in binary order, by a range
+    partitioning on the whole value, so values with a common prefix still spread.
     """
 
     def __init__(self, cols: Sequence[str], missing: str = "code", suffix: str = "encoded"):
@@ -200,26 +200,18 @@ class Ordinal:
                           (self._filled(df, c) if self.numeric[c] else F.lit(None).cast("double")).alias("num"))
                  for c in self.cols]
         vals = (df.select(F.explode(F.array(*parts)).alias("u")).select("u.*")
-                .filter(F.col("value").isNotNull()).distinct().persist(StorageLevel.MEMORY_AND_DISK))
-        self.sizes = {r["column"]: int(r["n"]) for r in vals.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-        limit = max_inline(df)
-        inline = [c for c in self.cols if self.sizes.get(c, 0) <= limit]
-        rows = vals.filter(F.col("column").isin(inline)).collect() if inline else []
-        for c in inline:
-            rs = [r for r in rows if r["column"] == c]
-            rs.sort(key=(lambda r: r["num"]) if self.numeric[c] else (lambda r: r["value"]))
-            self.values[c] = [(r["value"], r["num"]) for r in rs]
-        for c in self.cols:
-            if c in inline:
-                continue
-            v = vals.filter(F.col("column") == c)
-            if self.numeric[c]:
-                t = prefix_scan(v, ["num"], {"code": F.lit(1)}, exclusive=True, unique=True)
-            else:
-                v = v.withColumn("__sk", string_sort_key(F.col("value")))
-                t = prefix_scan(v, ["__sk", "value"], {"code": F.lit(1)}, exclusive=True, unique=True,
-                                bucket_col="__sk")
-            self.tables[c] = t.select("value", "num", F.col("code").cast("int").alias("code"))
+                .filter(F.col("value").isNotNull()).distinct())
+        # rank of each value in its column: ranges of the whole value, counted, then numbered inside each
+        key = ["column", "num", "value"]
+        ranged = _written(vals.repartitionByRange(*key).withColumn("part", F.spark_partition_id()), "category_ranges")
+        ahead = ranged.groupBy("column", "part").agg(F.count(F.lit(1)).alias("n")).select(
+            "column", "part", F.coalesce(F.sum("n").over(Window.partitionBy("column").orderBy("part").rowsBetween(
+                Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+        inside = F.row_number().over(Window.partitionBy("column", "part").orderBy("num", "value"))
+        codes = _written(ranged.withColumn("r", inside).join(ahead, ["column", "part"]).select(
+            "column", "value", "num", (F.col("r") + F.col("ahead") - 1).cast("int").alias("code")), "category_codes")
+        self.sizes = {r["column"]: int(r["n"]) for r in codes.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        self.tables = {c: codes.filter(F.col("column") == c).select("value", "num", "code") for c in self.cols}
         return self
 
     def _source(self, c: str) -> Column:
@@ -240,14 +232,7 @@ class Ordinal:
         exprs = []
         for c in self.cols:
             src = self._source(c)
-            if c in self.tables:
-                exprs.append(self._finish(c, src, F.col(f"__code_{c}")))
-                continue
-            vals = self.values[c]
-            keys = [F.lit(float(n)) if self.numeric[c] else F.lit(v) for v, n in vals]
-            m = F.create_map(*[x for i, k in enumerate(keys) for x in (k, F.lit(i))]) if vals else None
-            code = F.element_at(m, src) if m is not None else F.lit(None).cast("int")
-            exprs.append(self._finish(c, src, code))
+            exprs.append(self._finish(c, src, F.col(f"__code_{c}")))
         return exprs
 
     def expressions(self) -> list[Column]:

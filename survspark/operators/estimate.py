@@ -20,40 +20,42 @@ from pyspark.sql import functions as F
 
 from .scan import prefix_scan, scan_stats
 
-# fixed values: normal quantile for a 95% band, Euler-Mascheroni constant
+# fixed value: normal quantile for a 95% band
 Z_95 = 1.959963984540054
-EULER_GAMMA = 0.5772156649015329
-# ties up to this size are summed term by term; larger ties use the asymptotic harmonic series
-EXACT_TIE_LIMIT = 100000
+# terms 1/k with k up to this are added one by one, the others in closed form
+HEAD = 32
 
 
-def _harmonic(m: Column) -> Column:
-    """H_m = sum_{j=1..m} 1/j for large m (asymptotic series, relative error < 1e-16 for m > 1e5)."""
-    md = m.cast("double")
-    return (F.log(md) + F.lit(EULER_GAMMA) + F.lit(0.5) / md - F.lit(1.0 / 12) / (md * md)
-            + F.lit(1.0 / 120) / (md * md * md * md))
+def _tail(n: Column, d: Column) -> tuple[Column, Column, Column]:
+    """(m, n, n - m) as doubles: the terms k = m + 1 .. n of a tie of ``d`` among ``n`` lie above ``HEAD``."""
+    m = F.greatest(n - d, F.least(n, F.lit(HEAD)))
+    return m.cast("double"), n.cast("double"), (n - m).cast("double")
+
+
+def _head(n: Column, d: Column, power: int) -> Column:
+    """Sum of 1/k^power over the terms k = n - d + 1 .. n that do not exceed ``HEAD``."""
+    lo = n - d
+    return F.aggregate(F.sequence(F.lit(1), F.lit(HEAD)), F.lit(0.0), lambda acc, k: acc + F.when(
+        (k > lo) & (k <= n), F.lit(1.0) / F.pow(k.cast("double"), F.lit(float(power)))).otherwise(F.lit(0.0)))
 
 
 def smooth_increment(n: Column, d: Column) -> Column:
-    """Nelson-Aalen tie-smoothed increment: sum_{j=0}^{d-1} 1/(n-j) (= H_n - H_{n-d})."""
-    exact = F.aggregate(F.sequence(F.lit(0).cast("long"), d.cast("long") - 1), F.lit(0.0),
-                        lambda acc, j: acc + F.lit(1.0) / (n - j))
-    rest = n - d
-    big = _harmonic(n) - F.when(rest <= 0, F.lit(0.0)).otherwise(
-        F.when(rest < EXACT_TIE_LIMIT,
-               F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(rest, F.lit(1)).cast("long")), F.lit(0.0),
-                           lambda acc, j: acc + F.lit(1.0) / j))
-        .otherwise(_harmonic(rest)))
-    return F.when(d <= 0, F.lit(0.0)).when(d <= EXACT_TIE_LIMIT, exact).otherwise(big)
+    """Nelson-Aalen tie-smoothed increment: sum_{j=0}^{d-1} 1/(n-j) (= H_n - H_{n-d}), the same way for
+    every size of tie: the smallest ``HEAD`` terms one by one, the others by the Euler-Maclaurin series of
+    the harmonic numbers, written as differences so that small ties lose no digits."""
+    m, n_, gap = _tail(n, d)
+    part = lambda k: F.pow(n_, F.lit(-float(k))) - F.pow(m, F.lit(-float(k)))
+    tail = (-F.log1p(-gap / n_) - gap / (F.lit(2.0) * n_ * m) - part(2) / F.lit(12.0) + part(4) / F.lit(120.0)
+            - part(6) / F.lit(252.0))
+    return F.when(d <= 0, F.lit(0.0)).otherwise(_head(n, d, 1) + F.when(gap > 0, tail).otherwise(F.lit(0.0)))
 
 
 def smooth_variance(n: Column, d: Column) -> Column:
-    """Variance term of the smoothed estimator: sum_{j=0}^{d-1} 1/(n-j)^2."""
-    exact = F.aggregate(F.sequence(F.lit(0).cast("long"), d.cast("long") - 1), F.lit(0.0),
-                        lambda acc, j: acc + F.lit(1.0) / ((n - j) * (n - j)))
-    nd = n.cast("double")
-    approx = F.lit(1.0) / (nd - d + F.lit(0.5)) - F.lit(1.0) / (nd + F.lit(0.5))
-    return F.when(d <= 0, F.lit(0.0)).when(d <= EXACT_TIE_LIMIT, exact).otherwise(approx)
+    """Variance term of the smoothed estimator: sum_{j=0}^{d-1} 1/(n-j)^2, as ``smooth_increment``."""
+    m, n_, gap = _tail(n, d)
+    part = lambda k: F.pow(m, F.lit(-float(k))) - F.pow(n_, F.lit(-float(k)))
+    tail = (gap / (n_ * m) - part(2) / F.lit(2.0) + part(3) / F.lit(6.0) - part(5) / F.lit(30.0) + part(7) / F.lit(42.0))
+    return F.when(d <= 0, F.lit(0.0)).otherwise(_head(n, d, 2) + F.when(gap > 0, tail).otherwise(F.lit(0.0)))
 
 
 def _clean(df: DataFrame, time: str, event: str, by: Sequence[str]) -> DataFrame:
@@ -208,6 +210,8 @@ def survival_targets(df: DataFrame, id_col: str = "id", time: str = "time", even
     r = g.agg(F.min(F.log1p("km_events_only")).alias("lo"), F.max(F.log1p("km_events_only")).alias("hi")).first()
     lo, hi = r["lo"], r["hi"]
     lk = F.log1p(F.col("survival_probability")) - F.lit(lo)
-    out = out.withColumn("log_km_survival_probability", lk / F.lit(float(hi) - float(lo)) if hi != lo else lk)
+    # a constant column has no scale: null, as in ``min_max_scale``
+    out = out.withColumn("log_km_survival_probability",
+                         lk / F.lit(float(hi) - float(lo)) if hi != lo else F.lit(None).cast("double"))
     return (out.withColumn("na_cumulative_hazard", -F.exp(F.col("cumulative_hazard")))
                .withColumn("na_hazard_rate", -F.exp(F.col("hazard_rate"))))

@@ -49,9 +49,10 @@ def log_loss_expr(y: Column, p: Column) -> Column:
 
 def auc_table(df: DataFrame, event: str, pred: str, by: Sequence[str], buckets: int | None = None) -> DataFrame:
     """MT5: ROC AUC per ``by`` key by the rank-sum identity with average ranks for ties:
-    ``(sum of positive ranks - P(P+1)/2) / (P N)``.  Integer arithmetic on doubled ranks."""
+    ``(sum of positive ranks - P(P+1)/2) / (P N)``.  Integer arithmetic on doubled ranks.  Rows
+    without a score (null or NaN) take no part."""
     by = list(by)
-    c = df.groupBy(*by, F.col(pred).cast("double").alias("__p")).agg(
+    c = df.filter(F.col(pred).isNotNull() & ~F.isnan(pred)).groupBy(*by, F.col(pred).cast("double").alias("__p")).agg(
         F.count(F.lit(1)).alias("__c"), F.sum(F.col(event).cast("long")).alias("__pos"))
     sc = prefix_scan(c, "__p", {"__lt": "__c"}, by=by, exclusive=True, unique=True, buckets=buckets)
     big = "decimal(38,0)"
@@ -120,10 +121,11 @@ def roc_points(df: DataFrame, event: str = "event", pred: str = "pred", by: Sequ
                buckets: int | None = None) -> DataFrame:
     """MT6: ROC curve points ``(by, threshold, fpr, tpr, fpr_prev, tpr_prev)``: one point per distinct
     score (no intermediate point dropped), plus the origin at ``threshold = +inf``.  ``*_prev`` is
-    the neighbouring point at the next higher threshold."""
+    the neighbouring point at the next higher threshold.  Where a class is absent its rate is null."""
     by = list(by)
     c = _counts_by_score(df, event, pred, by, buckets)
-    P, N = F.col("P").cast("double"), F.col("N").cast("double")
+    P = F.when(F.col("P") > 0, F.col("P").cast("double"))
+    N = F.when(F.col("N") > 0, F.col("N").cast("double"))
     pts = c.select(*by, "threshold", (F.col("fp") / N).alias("fpr"), (F.col("tp") / P).alias("tpr"),
                    (F.col("fp_above") / N).alias("fpr_prev"), (F.col("tp_above") / P).alias("tpr_prev"))
     keys = df.select(*by).distinct() if by else df.sparkSession.range(1).select()

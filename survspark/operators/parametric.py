@@ -31,11 +31,12 @@ def _clean(df: DataFrame, time: str, event: str, group: str | None) -> DataFrame
 
 
 def fit_exponential(df: DataFrame, time: str = "time", event: str = "event", group: str | None = None) -> DataFrame:
-    """SV9: ``lambda_ = sum(t) / sum(e)`` (scale form, ``S = exp(-t / lambda_)``); one aggregate."""
+    """SV9: ``lambda_ = sum(t) / sum(e)`` (scale form, ``S = exp(-t / lambda_)``); one aggregate.
+    A group without an event has no maximum: null."""
     keys = [group] if group else []
     x = _clean(df, time, event, group)
     return x.groupBy(*keys).agg(
-        (F.sum(F.col(time).cast("double")) / F.sum(F.col(event).cast("double"))).alias("lambda_"))
+        F.try_divide(F.sum(F.col(time).cast("double")), F.sum(F.col(event).cast("double"))).alias("lambda_"))
 
 
 def params_frame(spark: SparkSession, family: str, params: Mapping[str, float]) -> DataFrame:
@@ -74,12 +75,12 @@ def evaluate(df: DataFrame, params: DataFrame, family: str, time: str = "time",
 
     Per-group parameters are joined on the group (one row per group); global parameters are a
     single row and are inlined as literals."""
-    pcols = [c for c in params.columns if c != group]
+    pcols = [c for c in params.columns if c.endswith("_") and c != group]
     if group:
-        x = df.join(params, group, "left")
+        x = df.join(params.select(group, *pcols), group, "left")
     else:
         r = params.first()
-        x = df.select("*", *[F.lit(float(r[c])).alias(c) for c in pcols])
+        x = df.select("*", *[F.lit(r[c]).cast("double").alias(c) for c in pcols])
     S, H, h = _curves(family, F.col(time).cast("double"))
     return x.select(*df.columns, S.alias(f"{prefix}survival"), H.alias(f"{prefix}cumulative_hazard"),
                     h.alias(f"{prefix}hazard"))
@@ -104,13 +105,48 @@ def _with_params(base: DataFrame, group: str | None, params: dict, names: Sequen
 
 
 
+def _newton(at, par: dict, propose, max_iter: int, tol: float) -> tuple[dict, set]:
+    """Damped Newton for every group at once: ``at(params)`` evaluates all given groups in one aggregate,
+    ``propose(params, sums)`` gives a group's step.  A group that does not improve halves its own step only,
+    and a group that has converged is not evaluated again.  Returns (params, groups that converged)."""
+    best = at(par)
+    step = {g: propose(par[g], best[g]) for g in par}
+    done = {g for g, d in step.items() if max(map(abs, d)) < tol}
+    for _ in range(max_iter):
+        open_ = [g for g in par if g not in done]
+        if not open_:
+            break
+        cand = {g: [a + d for a, d in zip(par[g], step[g])] for g in open_}
+        new = at(cand)
+        for g in open_:
+            if new[g]["ll"] is not None and new[g]["ll"] >= best[g]["ll"] - 1e-12 * abs(best[g]["ll"]):
+                size = max(map(abs, step[g]))
+                par[g], best[g] = cand[g], new[g]
+                step[g] = propose(par[g], best[g])
+                if size < tol or max(map(abs, step[g])) < tol:
+                    done.add(g)
+            else:
+                step[g] = [d / 2 for d in step[g]]
+                if max(map(abs, step[g])) < tol:
+                    done.add(g)
+    return par, done
+
+
+def _table(df: DataFrame, group: str | None, names: Sequence[str], fitted: dict, converged: set, every) -> DataFrame:
+    """One row a group; null parameters where a group has no maximum (no event)."""
+    rows = [((g,) if group else ()) + tuple(fitted.get(g, (None,) * len(names))) + (g in converged if g in fitted else None,) for g in every]
+    schema = (f"{group} string, " if group else "") + ", ".join(f"{n} double" for n in names) + ", converged boolean"
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
 def fit_weibull(df: DataFrame, time: str = "time", event: str = "event", group: str | None = None,
                 max_iter: int = 50, tol: float = 1e-10) -> DataFrame:
     """SV10: Weibull MLE (``S = exp(-(t/lambda_)^rho_)``) by Newton on the profile score of ``rho_``.
 
     For fixed ``rho``, ``lambda^rho = sum t^rho / sum e``; the profile score is
     ``D/rho + sum_e ln t - D * sum(t^rho ln t) / sum(t^rho)``.  Times are scaled by the group
-    maximum so ``t^rho`` cannot overflow.  Each step is one grouped aggregate.
+    maximum so ``t^rho`` cannot overflow.  Each step is one grouped aggregate.  A group without an event
+    has null parameters; ``converged`` tells whether the steps fell below ``tol``.
     """
     keys = [group] if group else []
     x = _clean(df, time, event, group).filter(F.col(time) > 0)
@@ -121,13 +157,13 @@ def fit_weibull(df: DataFrame, time: str = "time", event: str = "event", group:
     try:
         stats = _group_rows(base.groupBy(*keys).agg(F.sum("__e").alias("D"), F.sum(F.col("__e") * F.col("__l")).alias("SL"),
                                                     F.first("__mx").alias("mx")), group)
-        rho = {g: 1.0 for g in stats}
-        for _ in range(max_iter):
+        every, stats = list(stats), {g: st for g, st in stats.items() if st["D"]}
+        rho, done = {g: 1.0 for g in stats}, set()
+        for _ in range(max_iter if stats else 0):
             b = _with_params(base, group, {g: (r,) for g, r in rho.items()}, ["__rho"])
             w = F.exp(F.col("__rho") * F.col("__l"))
             sums = _group_rows(b.groupBy(*keys).agg(F.sum(w).alias("A"), F.sum(w * F.col("__l")).alias("B"),
                                                     F.sum(w * F.col("__l") * F.col("__l")).alias("C")), group)
-            delta = 0.0
             for g, st in stats.items():
                 D, SL = st["D"], st["SL"]
                 A, B, C = sums[g]["A"], sums[g]["B"], sums[g]["C"]
@@ -138,19 +174,17 @@ def fit_weibull(df: DataFrame, time: str = "time", event: str = "event", group:
                 new = r - step
                 if new <= 0:
                     new = r / 2
-                delta = max(delta, abs(new - r))
+                (done.add if abs(new - r) < tol * max(1.0, abs(r)) else done.discard)(g)
                 rho[g] = new
-            if delta < tol:
+            if len(done) == len(stats):
                 break
+        if not stats:
+            return _table(df, group, ["lambda_", "rho_"], {}, set(), every)
         # final scale per group
         b = _with_params(base, group, {g: (r,) for g, r in rho.items()}, ["__rho"])
         A = _group_rows(b.groupBy(*keys).agg(F.sum(F.exp(F.col("__rho") * F.col("__l"))).alias("A")), group)
-        rows = []
-        for g, st in stats.items():
-            lam = st["mx"] * (A[g]["A"] / st["D"]) ** (1.0 / rho[g])
-            rows.append(((g,) if group else ()) + (float(lam), float(rho[g])))
-        schema = (f"{group} string, " if group else "") + "lambda_ double, rho_ double"
-        return df.sparkSession.createDataFrame(rows, schema)
+        fitted = {g: (float(st["mx"] * (A[g]["A"] / st["D"]) ** (1.0 / rho[g])), float(rho[g])) for g, st in stats.items()}
+        return _table(df, group, ["lambda_", "rho_"], fitted, done, every)
     finally:
         base.unpersist()
 
@@ -182,46 +216,30 @@ def fit_loglogistic(df: DataFrame, time: str = "time", event: str = "event", gro
             .select(*keys, F.log(time).alias("__x"), F.col(event).cast("double").alias("__e"))
             .persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        init = _group_rows(base.groupBy(*keys).agg(F.avg("__x").alias("m")), group)
-        par = {g: [r["m"], 1.0] for g, r in init.items()}
+        init = _group_rows(base.groupBy(*keys).agg(F.avg("__x").alias("m"), F.sum("__e").alias("d")), group)
+        par = {g: [r["m"], 1.0] for g, r in init.items() if r["d"]}
 
         def at(par_):
             b = _with_params(base, group, par_, ["__pa", "__pb"])
             t = loglogistic_terms(F.col("__pa"), F.col("__pb"), F.col("__x"), F.col("__e"))
             return _group_rows(b.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in t.items()]), group)
 
-        # damped Newton with step halving on the log-likelihood (each evaluation is one aggregate)
-        s = at(par)
-        for _ in range(max_iter):
-            prop = {}
-            for g, r in s.items():
-                a_, b_ = par[g]
-                haa, hab, hbb, ga, gb = r["haa"], r["hab"], r["hbb"], r["ga"], r["gb"]
-                det = haa * hbb - hab * hab
-                if det > 0 and haa < 0:
-                    da = -(hbb * ga - hab * gb) / det
-                    db = -(-hab * ga + haa * gb) / det
-                else:  # not concave here: scaled gradient step
-                    da, db = 1e-3 * ga, 1e-3 * gb
-                scale = min(1.0, 1.0 / max(abs(da), abs(db) / max(b_, 1e-12), 1e-300))
-                da, db = da * scale, db * scale
-                while b_ + db <= 0:
-                    da, db = da / 2, db / 2
-                prop[g] = (da, db)
-            step = 1.0
-            for _half in range(30):
-                cand = {g: [par[g][0] + step * da, par[g][1] + step * db] for g, (da, db) in prop.items()}
-                s_new = at(cand)
-                if all(s_new[g]["ll"] >= s[g]["ll"] - 1e-12 * abs(s[g]["ll"]) for g in s):
-                    break
-                step /= 2
-            delta = max(max(abs(step * da), abs(step * db)) for da, db in prop.values())
-            par, s = cand, s_new
-            if delta < tol:
-                break
-        rows = [((g,) if group else ()) + (float(math.exp(a_)), float(b_)) for g, (a_, b_) in par.items()]
-        schema = (f"{group} string, " if group else "") + "alpha_ double, beta_ double"
-        return df.sparkSession.createDataFrame(rows, schema)
+        def propose(p, r):
+            b_ = p[1]
+            haa, hab, hbb, ga, gb = r["haa"], r["hab"], r["hbb"], r["ga"], r["gb"]
+            det = haa * hbb - hab * hab
+            if det > 0 and haa < 0:
+                da, db = -(hbb * ga - hab * gb) / det, -(-hab * ga + haa * gb) / det
+            else:  # not concave here: scaled gradient step
+                da, db = 1e-3 * ga, 1e-3 * gb
+            scale = min(1.0, 1.0 / max(abs(da), abs(db) / max(b_, 1e-12), 1e-300))
+            da, db = da * scale, db * scale
+            while b_ + db <= 0:
+                da, db = da / 2, db / 2
+            return [da, db]
+
+        par, done = _newton(at, par, propose, max_iter, tol) if par else ({}, set())
+        return _table(df, group, ["alpha_", "beta_"], {g: (float(math.exp(a_)), float(b_)) for g, (a_, b_) in par.items()}, done, init)
     finally:
         base.unpersist()
 
@@ -257,41 +275,26 @@ def fit_lognormal(df: DataFrame, time: str = "time", event: str = "event", group
             .select(*keys, F.log(time).alias("__x"), F.col(event).cast("double").alias("__e"))
             .persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        init = _group_rows(base.groupBy(*keys).agg(F.avg("__x").alias("m"), F.stddev_pop("__x").alias("s")), group)
-        par = {g: [r["m"], math.log(max(r["s"] or 1.0, 1e-6))] for g, r in init.items()}
+        init = _group_rows(base.groupBy(*keys).agg(F.avg("__x").alias("m"), F.stddev_pop("__x").alias("s"), F.sum("__e").alias("d")), group)
+        par = {g: [r["m"], math.log(max(r["s"] or 1.0, 1e-6))] for g, r in init.items() if r["d"]}
 
         def at(par_):
             b = _with_params(base, group, par_, ["__pm", "__ps"])
             t = lognormal_terms(F.col("__pm"), F.col("__ps"), F.col("__x"), F.col("__e"))
             return _group_rows(b.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in t.items()]), group)
 
-        s = at(par)
-        for _ in range(max_iter):
-            prop = {}
-            for g, r in s.items():
-                hmm, hms, hss, gm, gs = r["hmm"], r["hms"], r["hss"], r["gm"], r["gs"]
-                det = hmm * hss - hms * hms
-                if det > 0 and hmm < 0:
-                    dm = -(hss * gm - hms * gs) / det
-                    ds = -(-hms * gm + hmm * gs) / det
-                else:
-                    dm, ds = 1e-3 * gm, 1e-3 * gs
-                scale = min(1.0, 1.0 / max(abs(dm), abs(ds), 1e-300))
-                prop[g] = (dm * scale, ds * scale)
-            step = 1.0
-            for _half in range(30):
-                cand = {g: [par[g][0] + step * dm, par[g][1] + step * ds] for g, (dm, ds) in prop.items()}
-                s_new = at(cand)
-                if all(s_new[g]["ll"] >= s[g]["ll"] - 1e-12 * abs(s[g]["ll"]) for g in s):
-                    break
-                step /= 2
-            delta = max(max(abs(step * dm), abs(step * ds)) for dm, ds in prop.values())
-            par, s = cand, s_new
-            if delta < tol:
-                break
-        rows = [((g,) if group else ()) + (float(m_), float(math.exp(s_))) for g, (m_, s_) in par.items()]
-        schema = (f"{group} string, " if group else "") + "mu_ double, sigma_ double"
-        return df.sparkSession.createDataFrame(rows, schema)
+        def propose(p, r):
+            hmm, hms, hss, gm, gs = r["hmm"], r["hms"], r["hss"], r["gm"], r["gs"]
+            det = hmm * hss - hms * hms
+            if det > 0 and hmm < 0:
+                dm, ds = -(hss * gm - hms * gs) / det, -(-hms * gm + hmm * gs) / det
+            else:
+                dm, ds = 1e-3 * gm, 1e-3 * gs
+            scale = min(1.0, 1.0 / max(abs(dm), abs(ds), 1e-300))
+            return [dm * scale, ds * scale]
+
+        par, done = _newton(at, par, propose, max_iter, tol) if par else ({}, set())
+        return _table(df, group, ["mu_", "sigma_"], {g: (float(m_), float(math.exp(s_))) for g, (m_, s_) in par.items()}, done, init)
     finally:
         base.unpersist()
 
@@ -332,7 +335,3 @@ def score_equations(df: DataFrame, params: Mapping[str, float], family: str, tim
         return {"mu_": r["gm"], "log_sigma": r["gs"]}
     raise ValueError(family)
 
-
-def family_params(family: str) -> Sequence[str]:
-    return {"exponential": ["lambda_"], "weibull": ["lambda_", "rho_"], "loglogistic": ["alpha_", "beta_"],
-            "lognormal": ["mu_", "sigma_"]}[family]

@@ -47,26 +47,34 @@ def scan_stats(df: DataFrame, col: str, buckets: int | None = None, force: bool
     """Cut points for range buckets of ``col`` plus any extra aggregates, in one pass.
 
     One distributed aggregate returns the row count, ``percentile_approx`` cut points and the
-    ``extra`` aggregates together; only those few numbers reach the driver.  The number of
-    buckets is ``ceil(rows x rows_factor / rowsPerBucket)`` capped by ``buckets`` (default:
-    shuffle partitions), so a table proven small stays in one bucket and the scan needs no
-    carry-in join.  ``force`` uses exactly ``buckets`` buckets (tests).
+    ``extra`` aggregates together; only those few numbers reach the driver.  There are as many buckets
+    as shuffle partitions, and more where a bucket would hold over ``rowsPerBucket`` rows
+    (``rows x rows_factor`` in all), so a task is bounded and every size takes the same path.
+    ``force`` uses exactly ``buckets`` buckets (tests).
     Returns ``(bounds, row)`` where ``row`` holds ``n`` and the extra aggregates.
     """
     nb = buckets or default_buckets(df)
+    fine = nb if force else max(nb, 512)
+
+    def cut(b: int):
+        return F.percentile_approx(F.col(col).cast("double"), [i / b for i in range(1, b)], max(10000, 8 * b))
+
     aggs = [F.count(F.lit(1)).alias("n")] + [c.alias(k) for k, c in (extra or {}).items()]
-    probs = [i / nb for i in range(1, nb)]
-    if nb > 1:
-        aggs.append(F.percentile_approx(F.col(col).cast("double"), probs, max(10000, 8 * nb)).alias("__q"))
+    if fine > 1:
+        aggs.append(cut(fine).alias("__q"))
     r = df.agg(*aggs).first()
     n = int(r["n"] or 0)
-    if nb <= 1:
+    b = nb if force else max(nb, math.ceil(n * rows_factor / rows_per_bucket(df)))
+    if b <= 1 or not n:
         return [], r
-    qs = list(r["__q"] or [])
-    b = nb if force else min(nb, max(1, math.ceil(n * rows_factor / rows_per_bucket(df))))
-    if b <= 1 or not qs:
+    if b > fine:  # more buckets than the first sketch can tell apart
+        qs = list(df.agg(cut(b).alias("q")).first()["q"] or [])
+        fine = b
+    else:
+        qs = list(r["__q"] or [])
+    if not qs:
         return [], r
-    picks = [qs[min(len(qs) - 1, max(0, round(i * nb / b) - 1))] for i in range(1, b)]
+    picks = [qs[min(len(qs) - 1, max(0, round(i * fine / b) - 1))] for i in range(1, b)]
     return sorted({float(q) for q in picks if q is not None and not math.isnan(q)}), r
 
 
@@ -120,7 +128,7 @@ def prefix_scan(
         bounds = quantile_bounds(x, bcol, nb, force=buckets is not None)
     ocols = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
     if not bounds:
-        # proven small (or one bucket requested): a window per `by` key, no carry-in
+        # no row, one distinct value or one bucket requested: nothing to carry
         w = Window.partitionBy(*by).orderBy(*ocols)
         w = (w.rowsBetween if unique else w.rangeBetween)(Window.unboundedPreceding, Window.currentRow)
         wp = Window.partitionBy(*by, *order)

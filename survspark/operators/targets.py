@@ -11,7 +11,8 @@ from ..functions.scalar import ln
 def min_max_scale(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """AG5/TG3: ``x - min(x)``, then divided by the max of the shifted column.
 
-    The two statistics are one distributed aggregate; only two numbers reach the driver.
+    The two statistics are one distributed aggregate; only two numbers reach the driver.  A constant
+    column has no scale and becomes null.
     """
     out = out or col
     r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
@@ -20,7 +21,7 @@ def min_max_scale(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
         return df.withColumn(out, F.lit(None).cast("double"))
     span = float(hi) - float(lo)
     shifted = F.col(col) - F.lit(float(lo))
-    return df.withColumn(out, shifted / F.lit(span) if span != 0 else shifted / F.lit(0.0))
+    return df.withColumn(out, shifted / F.lit(span) if span != 0 else F.lit(None).cast("double"))
 
 
 def add_targets(df: DataFrame, time: str = "time", event: str = "event") -> DataFrame:
@@ -29,13 +30,6 @@ def add_targets(df: DataFrame, time: str = "time", event: str = "event") -> Data
               .withColumn("inverted_time", F.when(F.col(event) == 0, -F.col(time)).otherwise(F.col(time))))
 
 
-def hazard_targets(df: DataFrame, cumulative_hazard: str = "cumulative_hazard",
-                   hazard_rate: str = "hazard_rate") -> DataFrame:
-    """TG4/TG5: ``na_cumulative_hazard = -exp(H)``, ``na_hazard_rate = -exp(h)``."""
-    return (df.withColumn("na_cumulative_hazard", -F.exp(F.col(cumulative_hazard)))
-              .withColumn("na_hazard_rate", -F.exp(F.col(hazard_rate))))
-
-
 def sample_weight(df: DataFrame, event: str = "event", event_weight: float = 1.0, out: str = "weight") -> DataFrame:
     """TG6: weight 1 for censored rows, ``event_weight`` for event rows."""
     return df.withColumn(out, F.when(F.col(event) == 1, F.lit(float(event_weight))).otherwise(F.lit(1.0)))
