@@ -68,29 +68,28 @@ def concordance_counts(df: DataFrame, time: str = "time", event: str = "event",
              .drop("__t", "__f")
              .persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        # materialise the cells once: cells and highest rank per group (one row per group)
-        per_group = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("__r").alias("maxr")).collect()
+        # materialise the cells once; only their highest rank comes back
+        maxr = cells.agg(F.max("__r")).first()[0]
         cells0.unpersist()
-        maxr = max((r["maxr"] for r in per_group if r["maxr"] is not None), default=None)
-        max_cells = max((int(r["n"]) for r in per_group), default=0)
         levels = int(maxr).bit_length() if maxr else 0
         if levels == 0:
             rows = [(*r, 0, 0) for r in cells.select(*by).distinct().collect()] if by else [(0, 0)]
             return _result(spark, by, rows, cells.select(*by).schema if by else None)
         # levels below `split` are counted inside aligned rank blocks of 2^split ranks, each block a
-        # bounded NumPy task; levels from `split` up run on the Spark scan
+        # bounded NumPy task; the other levels, and blocks that a heavy rank makes too large, run on
+        # the Spark scan.  The level table has about cells x levels rows, the cut is sized for ~16 levels.
         limit = local_cells_limit(df)
-        if not force and max_cells <= limit:
-            split, pbounds = levels, None  # every group fits one bounded block: no Spark levels
-        else:
-            # the level table has about cells x levels rows, the cut is sized for ~16 levels
-            pbounds, _ = scan_stats(cells, "__p", nb, force, rows_factor=16)
-            split = 0 if force else _local_split(cells, by, levels, limit)
-        parts = []
-        if split > 0:
-            parts.append(_local_levels(cells, by, split))
-        if split < levels:
-            parts.append(_spark_levels(cells, by, split, levels, pbounds))
+        split, heavy = (0, False) if force else _local_split(cells, by, levels, limit)
+        pbounds = scan_stats(cells, "__p", nb, force, rows_factor=16)[0] if split < levels or heavy else None
+        parts = [_spark_levels(cells, by, split, levels, pbounds)] if split < levels else []
+        if split > 0 and not heavy:
+            parts.append(_local_levels(cells.withColumn("__blk", F.expr(f"shiftright(__r, {split})")), by, split))
+        elif split > 0:
+            block = F.expr(f"shiftright(__r, {split})").alias("__blk")
+            large = (cells.groupBy(*by, block).agg(F.count(F.lit(1)).alias("__c")).filter(F.col("__c") > limit).drop("__c"))
+            placed = cells.select("*", block)
+            parts.append(_local_levels(placed.join(large, [*by, "__blk"], "left_anti"), by, split))
+            parts.append(_spark_levels(placed.join(large, [*by, "__blk"], "left_semi"), by, 0, split, pbounds))
         res = parts[0]
         for q in parts[1:]:
             res = res.unionByName(q)
@@ -109,20 +108,21 @@ def concordance_counts(df: DataFrame, time: str = "time", event: str = "event",
 
 def local_cells_limit(df: DataFrame) -> int:
     """Largest number of cells one local block task may hold (``survspark.concordance.localCells``)."""
-    return int(df.sparkSession.conf.get("survspark.concordance.localCells", "500000"))
+    return int(df.sparkSession.conf.get("survspark.concordance.localCells", "50000"))
 
 
-def _local_split(cells: DataFrame, by: list[str], levels: int, limit: int) -> int:
-    """Largest ``s`` such that every aligned block of ``2^s`` ranks holds at most ``limit`` cells.
+def _local_split(cells: DataFrame, by: list[str], levels: int, limit: int) -> tuple[int, bool]:
+    """Largest ``s`` such that the aligned blocks of ``2^s`` ranks that hold more than
+    ``limit`` cells have at most a twentieth of all cells (a few heavy ranks do not shrink all blocks).
 
     Per-rank cell counts (one row per distinct key) are rolled up for every candidate block size
-    in one aggregate; a single heavy rank forces ``s = 0`` (no local work, all levels on Spark)."""
+    in one aggregate; one row for each size comes back.  The flag says whether such large blocks exist."""
     per_rank = cells.groupBy(*by, "__r").agg(F.count(F.lit(1)).alias("__c"))
-    ex = per_rank.select(*by, "__c", F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("__s"),
+    ex = per_rank.select(*by, "__c", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("__s"),
                          "__r").withColumn("__b", F.expr("shiftright(__r, __s)"))
-    worst = ex.groupBy(*by, "__s", "__b").agg(F.sum("__c").alias("__m")).groupBy("__s").agg(F.max("__m").alias("__m"))
-    ok = [r["__s"] for r in worst.collect() if r["__m"] <= limit]
-    return max(ok) if ok else 0
+    over = ex.groupBy(*by, "__s", "__b").agg(F.sum("__c").alias("__m")).groupBy("__s").agg(
+        F.sum(F.when(F.col("__m") > limit, F.col("__m")).otherwise(0)).alias("__o"), F.sum("__m").alias("__m"))
+    return max([(r["__s"], r["__o"] > 0) for r in over.collect() if 20 * r["__o"] <= r["__m"]], default=(0, False))
 
 
 def _local_levels(cells: DataFrame, by: list[str], split: int) -> DataFrame:
@@ -130,13 +130,18 @@ def _local_levels(cells: DataFrame, by: list[str], split: int) -> DataFrame:
 
     The counting routine is nested so it is shipped to the Python workers by value (executors need
     only NumPy and pandas, not this package)."""
-    key_fields = [f for f in cells.schema.fields if f.name in by]
+    key_fields = [cells.schema[k] for k in by]
     schema = StructType([*key_fields, StructField("__blk", LongType()), StructField("numerator2", StringType()),
                          StructField("pairs", StringType())])
 
     def block_counts(pdf, split):
         """Exact ``(2 x concordant + tied, comparable pairs)`` for pairs inside one rank block whose
         ranks differ only in the lowest ``split`` bits.  Merge-count per bit level with NumPy."""
+        def exact_dot(a, b):
+            """Sum of products that may exceed 64 bits, from 22-bit digits whose products stay in 64."""
+            digits = lambda x: [(x >> k) & 0x3FFFFF for k in (0, 22, 44)]
+            return sum(int(np.dot(u, v)) << (22 * (i + j)) for i, u in enumerate(digits(a)) for j, v in enumerate(digits(b)))
+
         r = pdf["__r"].to_numpy(dtype=np.int64)
         p = pdf["__p"].to_numpy(dtype=np.float64)
         n = pdf["__n"].to_numpy(dtype=np.int64)
@@ -160,13 +165,11 @@ def _local_levels(cells: DataFrame, by: list[str], split: int) -> DataFrame:
             cs = np.cumsum(gc1)
             before = cs - gc1
             below = before - before[nbrk][nid]
-            # exact integer sums (Python ints) of products that may exceed 64 bits
-            num2 += 2 * int(np.dot(ge0.astype(object), below.astype(object))) + int(np.dot(ge0.astype(object),
-                                                                                           gc1.astype(object)))
+            num2 += 2 * exact_dot(ge0, below) + exact_dot(ge0, gc1)
             nstarts = np.flatnonzero(nbrk)
             ne0 = np.add.reduceat(ge0, nstarts)
             nc1 = np.add.reduceat(gc1, nstarts)
-            pairs += int(np.dot(ne0.astype(object), nc1.astype(object)))
+            pairs += exact_dot(ne0, nc1)
         return num2, pairs
 
     def fn(key, pdf):
@@ -174,7 +177,7 @@ def _local_levels(cells: DataFrame, by: list[str], split: int) -> DataFrame:
         row = {**{k: [v] for k, v in zip([*by, "__blk"], key)}, "numerator2": [str(num2)], "pairs": [str(pairs)]}
         return pd.DataFrame(row)
 
-    x = cells.select(*by, "__r", "__p", "__n", "__ne").withColumn("__blk", F.expr(f"shiftright(__r, {split})"))
+    x = cells.select(*by, "__r", "__p", "__n", "__ne", "__blk")
     out = x.groupBy(*by, "__blk").applyInPandas(fn, schema)
     return out.select(*by, F.col("numerator2").cast(_BIG).alias("numerator2"), F.col("pairs").cast(_BIG).alias("pairs"))
 
