@@ -94,8 +94,10 @@ def snap_extremes(df: DataFrame, col: str, lo: float = 0.03, hi: float = 0.97) -
 def threshold_grid(stop: float = 0.33, step: float = 0.01) -> list[tuple[float, float, float]]:
     """``(low, high, factor)`` of the post-processing grid as the float loop produces them:
     ``low = i * step`` for ``i`` while ``low < stop``, ``high = low + step``, ``factor = high``."""
+    if not step > 0:
+        raise ValueError("step must be positive")
     out, i = [], 0
-    while i * step < stop and len(out) < 1_000_000:
+    while i * step < stop:
         lo = i * step
         out.append((lo, lo + step, lo + step))
         i += 1

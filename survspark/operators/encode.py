@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from ..session import scratch_path
+from ..session import written
 from .scan import prefix_scan
 
 INFREQUENT = "infrequent_sklearn"
@@ -48,13 +48,6 @@ def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return x.groupBy("column", "value", "num").agg(F.count(F.lit(1)).alias("count"))
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """A fitted table in the shared scratch folder: no cache to release and no lineage to recompute."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _lit_for(numeric: bool, value: str, num) -> Column:
     return F.lit(float(num)) if numeric else F.lit(value)
 
@@ -80,7 +73,7 @@ class OneHot:
 
     def fit(self, df: DataFrame) -> "OneHot":
         self.numeric = {c: _is_numeric(df, c) for c in self.cols}
-        counts = _written(value_counts(df, self.cols), "category_counts")
+        counts = written(value_counts(df, self.cols), "category_counts")
         rare = F.col("count") < F.lit(self.min_count)
         small = rare & F.col("value").isNotNull()
         # one row a column: how many output columns, and whether there is an infrequent bucket
@@ -203,12 +196,12 @@ class Ordinal:
                 .filter(F.col("value").isNotNull()).distinct())
         # rank of each value in its column: ranges of the whole value, counted, then numbered inside each
         key = ["column", "num", "value"]
-        ranged = _written(vals.repartitionByRange(*key).withColumn("part", F.spark_partition_id()), "category_ranges")
+        ranged = written(vals.repartitionByRange(*key).withColumn("part", F.spark_partition_id()), "category_ranges")
         ahead = ranged.groupBy("column", "part").agg(F.count(F.lit(1)).alias("n")).select(
             "column", "part", F.coalesce(F.sum("n").over(Window.partitionBy("column").orderBy("part").rowsBetween(
                 Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
         inside = F.row_number().over(Window.partitionBy("column", "part").orderBy("num", "value"))
-        codes = _written(ranged.withColumn("r", inside).join(ahead, ["column", "part"]).select(
+        codes = written(ranged.withColumn("r", inside).join(ahead, ["column", "part"]).select(
             "column", "value", "num", (F.col("r") + F.col("ahead") - 1).cast("int").alias("code")), "category_codes")
         self.sizes = {r["column"]: int(r["n"]) for r in codes.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
         self.tables = {c: codes.filter(F.col("column") == c).select("value", "num", "code") for c in self.cols}

@@ -14,10 +14,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .scan import prefix_scan, scan_stats
 
 # fixed value: normal quantile for a 95% band
@@ -86,9 +86,8 @@ def survival_curve(df: DataFrame, time: str = "time", event: str = "event", by:
     by = list(by)
     base = _clean(df, time, event, by)
     # one row per (group, time): the only table the scans touch; kept for the two scans
-    counts = base.groupBy(*by, F.col(time).cast("double").alias("time")).agg(
-        F.count(F.lit(1)).alias("removed"), F.sum(F.col(event)).cast("long").alias("observed")
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = written(base.groupBy(*by, F.col(time).cast("double").alias("time")).agg(
+        F.count(F.lit(1)).alias("removed"), F.sum(F.col(event)).cast("long").alias("observed")), "curve_counts")
     bounds, st = scan_stats(counts, "time", buckets, force=buckets is not None,
                             extra={"__N": F.sum("removed"), "__E": F.sum("observed")})
     s1 = prefix_scan(counts, "time", {"__before": "removed", "__obs_before": "observed"}, by=by,

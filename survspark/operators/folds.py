@@ -81,6 +81,19 @@ def fold_report(df: DataFrame, fold: str = "fold", group: str = "grp", event: st
                                  F.avg(F.col(time)).alias("time_mean")))
 
 
+def fold_counts(df: DataFrame, fold: str = "fold", group: str = "grp", event: str = "event") -> DataFrame:
+    """FD6: rows of each group and of each event value in every fold, ``(fold, kind, value, count)``; a value
+    that a fold lacks has count 0, so the folds align."""
+    pair = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value"))
+    long = df.select(fold, F.explode(F.array(pair("group", group), pair("event", event))).alias("u")).select(fold, "u.*")
+    counts = long.groupBy(fold, "kind", "value").agg(F.count(F.lit(1)).alias("count"))
+    folds = [r[0] for r in counts.select(fold).distinct().collect()]  # a handful
+    absent = counts.groupBy("kind", "value").agg(F.collect_set(fold).alias("in")).select(
+        F.explode(F.array_except(F.array(*[F.lit(f) for f in folds]).cast(f"array<{dict(df.dtypes)[fold]}>"), "in")).alias(fold),
+        "kind", "value", F.lit(0).cast("long").alias("count"))
+    return counts.unionByName(absent)
+
+
 def fold_balance(df: DataFrame, fold: str = "fold", group: str = "grp", event: str = "event",
                  time: str = "time") -> DataFrame:
     """AG1-AG4, AG11: balance summary across folds, long form ``(metric, value)``.

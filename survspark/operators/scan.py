@@ -186,7 +186,7 @@ def lookup_asof(
 ) -> DataFrame:
     """JN3: step-function lookup, the curve value at the greatest curve time ``<=`` the row's time.
 
-    ``key`` identifies probe rows (unique).  Probes before the first curve time get
+    ``key`` names the probe rows' id (kept for callers; rows need not be unique).  Probes before the first curve time get
     ``initial[col]`` (e.g. S=1, H=0), null if absent.  Curve and probe rows are unioned and cut
     into shared time buckets; each probe takes ``last(value, ignorenulls)`` inside its bucket,
     falling back to the last curve value of earlier buckets (a carry-in table of at most
@@ -195,8 +195,9 @@ def lookup_asof(
     initial = dict(initial or {})
     by = list(by)
     nb = buckets or default_buckets(df)
-    pk = df.select(*by, F.col(time).cast("double").alias("__t"), F.col(key).alias("__pid"))
-    pk = pk.filter(F.col("__t").isNotNull())
+    # equal probes are looked up once, so a time that many rows hold is one row of its bucket
+    pk = df.select(*by, F.col(time).cast("double").alias("__t")).filter(F.col("__t").isNotNull()).distinct()
+    pk = pk.withColumn("__pid", F.lit(1))
     for v in value_cols:
         pk = pk.withColumn(v, F.lit(None).cast("double"))
     ck = curve.select(*by, F.col(curve_time).cast("double").alias("__t"),
@@ -218,7 +219,7 @@ def lookup_asof(
                                          for v in value_cols])
     w = (Window.partitionBy(*by, "__bkt").orderBy("__t", "__probe")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    filled = u.select(*by, "__bkt", "__pid", "__probe",
+    filled = u.select(*by, "__bkt", "__t", "__probe",
                       *[F.last(v, ignorenulls=True).over(w).alias(f"__f_{v}") for v in value_cols])
     filled = filled.filter(F.col("__probe") == 1).join(carry, [*by, "__bkt"], "left")
     vals = []
@@ -227,9 +228,10 @@ def lookup_asof(
         if v in initial:
             e = F.coalesce(e, F.lit(float(initial[v])))
         vals.append(e.alias(v))
-    res = filled.select(F.col("__pid").alias(key), *vals)
-    keep = [c for c in df.columns if c not in value_cols]
-    return df.select(*keep).join(res, key, "left")
+    res = filled.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(by)], "__t", *vals)
+    keep = df.select(*[c for c in df.columns if c not in value_cols])
+    on = [F.col(time).cast("double") == F.col("__t")] + [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(by)]
+    return keep.join(res, on, "left").drop("__t", *[f"__g{i}" for i in range(len(by))])
 
 
 def next_row(df: DataFrame, order: Sequence[str], cols: Sequence[str], by: Sequence[str] = (),

@@ -215,6 +215,12 @@ def q_fold_one_hot(spark, d):
     return folds.widen_folds(_p(spark, d).select("id", "fold"), 7)
 
 
+@query("fold_counts")
+def q_fold_counts(spark, d):
+    """FD6: group and event counts of every fold, zero where a fold lacks a value."""
+    return folds.fold_counts(_p(spark, d))
+
+
 @query("fold_report")
 def q_fold_report(spark, d):
     """AG2/AG11/FD6: per-fold size, events, mean time."""

@@ -192,6 +192,13 @@ SQL["stratified_folds"] = W(S, P) + "SELECT id, fold FROM P"
 SQL["fold_one_hot"] = W(S, P) + "SELECT id, fold, " + ", ".join(
     f"CASE WHEN fold = {i} THEN 1 ELSE 0 END fold{i}" for i in range(1, 8)) + " FROM P"
 
+SQL["fold_counts"] = W(S, P, """c AS (SELECT fold, 'group' kind, CAST(grp AS VARCHAR) v FROM P
+  UNION ALL SELECT fold, 'event', CAST(event AS VARCHAR) FROM P)""") + """
+SELECT f.fold, k.kind, k.v AS "value", count(c.kind) AS "count"
+FROM (SELECT DISTINCT fold FROM c) f, (SELECT DISTINCT kind, v FROM c) k
+LEFT JOIN c ON c.fold = f.fold AND c.kind = k.kind AND c.v IS NOT DISTINCT FROM k.v
+GROUP BY f.fold, k.kind, k.v"""
+
 SQL["fold_report"] = W(S, P) + f"""
 SELECT fold, count(*) validation_size, CAST(sum(event) AS BIGINT) events, {R('avg("time")')} time_mean
 FROM P GROUP BY fold"""

@@ -62,3 +62,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/survspark-scratch/{uuid.uuid4().hex}/{name}"
 
+
+def written(df, name: str):
+    """``df`` written to the scratch folder and read back: computed once, nothing to release, and an
+    executor that is lost takes nothing with it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
