@@ -116,53 +116,55 @@ class ItemIndex:
         grid[np.arange(grid.shape[1])[None] < n[:, None]] = np.concatenate(seqs)
         return walks(grid, n, self.reps, self.places)
 
-    def windows(self, words: np.ndarray) -> np.ndarray:
-        """Distinct (start, length) of windows that share a run of words, in place, with an item."""
+    def windows(self, words: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Distinct (document, start, length) of windows that share a run of words, in place, with an item,
+        for a slice of documents (``rows`` are their bounds in ``words``)."""
         found = []
         for q, (h, place, length, bitmap) in self.runs.items():
             own = shingle_hashes(words, q)
             at = np.flatnonzero(bitmap[(own >> np.uint64(20)).astype(np.int64) & ((1 << 20) - 1)])
+            doc = np.searchsorted(rows, at, side="right") - 1
+            at, doc = at[at + q <= rows[doc + 1]], doc[at + q <= rows[doc + 1]]
             a, b = np.searchsorted(h, own[at], "left"), np.searchsorted(h, own[at], "right")
             n = b - a
-            at, a, n = at[n > 0], a[n > 0], n[n > 0]
+            at, doc, a, n = at[n > 0], doc[n > 0], a[n > 0], n[n > 0]
             if len(at):
                 k = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                found.append(np.stack([np.repeat(at, n) - place[k], length[k]], axis=1))
+                found.append(np.stack([length[k], np.repeat(doc, n), np.repeat(at, n) - place[k]], axis=1))
         if not found:
-            return np.zeros((0, 2), np.int64)
-        return np.unique(np.concatenate(found), axis=0)
-
-    def matches(self, words: np.ndarray) -> list[tuple[int, int, int]]:
-        """Best (item, edits, first word) for each item found in a document."""
-        spans = self.windows(words)
-        best: dict[int, tuple[int, int]] = {}
-        for a in range(0, len(spans), 512):
-            part = spans[a: a + 512]
-            cut = [words[max(s, 0): max(s + n, 0)] for s, n in part]
-            ok = [i for i, c in enumerate(cut) if len(c)]
-            if not ok:
-                continue
-            part, cut = part[ok], [cut[i] for i in ok]
-            grid = np.full((len(cut), int(part[:, 1].max())), _PAD, np.uint64)
-            for i, c in enumerate(cut):
-                grid[i, : len(c)] = c
-            keys = walks(grid, part[:, 1], self.reps, self.places)
-            lo, hi = np.searchsorted(self.key_sorted, keys, "left"), np.searchsorted(self.key_sorted, keys, "right")
+            return np.zeros((0, 3), np.int64)
+        return np.unique(np.concatenate(found), axis=0)  # by length: walks of a chunk have like numbers of steps
+
+    def matches(self, words: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Best (document, item, edits, first word) for each item found in each document of a slice."""
+        spans = self.windows(words, rows)
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for a in range(0, len(spans), 2048):
+            n, doc, start = spans[a: a + 2048].T
+            lo, hi = np.maximum(start, rows[doc]), np.minimum(start + n, rows[doc + 1])
+            step = np.arange(int(n.max()))
+            at = lo[:, None] + step
+            inside = at < hi[:, None]
+            grid = np.where(inside, words[np.minimum(at, len(words) - 1)], _PAD)
+            keys = walks(grid, n, self.reps, self.places)
+            first, last = np.searchsorted(self.key_sorted, keys, "left"), np.searchsorted(self.key_sorted, keys, "right")
             tried = set()
-            for i, t in zip(*np.nonzero(hi > lo)):
-                for item in np.unique(self.key_item[lo[i, t]: hi[i, t]]).tolist():
+            for i, t in zip(*np.nonzero(last > first)):
+                d = int(doc[i])
+                for item in np.unique(self.key_item[first[i, t]: last[i, t]]).tolist():
                     w = self.words[item]
-                    if (item, i) in tried or abs(len(w) - part[i, 1]) > 0:
+                    if (item, i) in tried or len(w) != n[i]:
                         continue
                     tried.add((item, i))
-                    e = self.most(len(w))
-                    if item in best and best[item][0] == 0:
+                    if best.get((d, item), (1, 0))[0] == 0 and best[d, item][1] <= start[i] - rows[d]:
                         continue
-                    s = max(int(part[i, 0]) - e, 0)
-                    got = edits_within(w, words[s: max(int(part[i, 0]) + len(w) + e, 0)], e)
-                    if got and (item not in best or (got[0], s + got[1] - len(w)) < best[item]):
-                        best[item] = (got[0], max(s + got[1] - len(w), 0))
-        return [(i, e, s) for i, (e, s) in sorted(best.items())]
+                    e = self.most(len(w))
+                    begin = max(int(start[i]) - e, int(rows[d]))
+                    got = edits_within(w, words[begin: min(int(start[i]) + len(w) + e, int(rows[d + 1]))], e)
+                    if got:
+                        new = (got[0], max(begin + got[1] - len(w) - int(rows[d]), 0))
+                        best[d, item] = min(best.get((d, item), new), new)
+        return [(d, i, e, s) for (d, i), (e, s) in sorted(best.items())]
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, share: float = 0.2, recall: float = 0.99, min_words: int = 5,
@@ -186,8 +188,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, share: float = 0.2, re
             for batch in batches:
                 for part in slices(batch, "text"):
                     words, rows, _, _ = word_hashes(*utf8(part.column("text")))
-                    got = [(d, index.ids[i], e, s) for d, x, y in zip(part.column("doc_id").to_pylist(), rows, rows[1:])
-                           for i, e, s in index.matches(words[x:y])]
+                    ids = part.column("doc_id").to_pylist()
+                    got = [(ids[d], index.ids[i], e, s) for d, i, e, s in index.matches(words, rows)]
                     if got:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)],
                                                          names=["doc_id", "item_id", "edits", "first_word"])
