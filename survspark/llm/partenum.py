@@ -7,10 +7,10 @@ partition holds at most one difference, so one of its two subsets of size one ag
 subset of a set is one signature (band, place, fingerprint of the elements there); similar sets share at
 least one.  A few spare partitions make it safe to leave out empty subsets, which would all agree.
 
-Equal sets are collapsed to classes first (a class is the 64-bit fingerprint of a set).  Within a signature
-every class is compared with the smallest one; only classes that verification leaves in different
-components are compared further, so large groups of near copies cost a star, not all pairs, and no link
-between components is lost.  All comparisons are exact intersections.
+Equal sets are collapsed to classes first (a class is the 64-bit fingerprint of a set).  Each class is
+first compared with the smallest one that it shares a signature with, then with the leaders of other
+components; only classes that verification leaves in different components are compared further, so large
+groups of near copies cost a star, not all pairs, and no link between components is lost.  All comparisons are exact intersections.
 
 Defined cases: null or empty texts, and texts of white space, have an empty set and link with nothing;
 texts with fewer words than a shingle are one shingle; repeated rows and ids are documents of their own;
@@ -44,6 +44,26 @@ def set_class(s: np.ndarray) -> np.uint64:
     return mix(s.sum(dtype=np.uint64, keepdims=True) + np.array([len(s)], np.uint64) * _ODD)[0]
 
 
+def parity_sketch(s: np.ndarray) -> bytes:
+    """Parity of the number of elements in each of 2^m >= 4 |set| buckets.
+
+    Each element that only one of two sets holds flips one bit, so sketches differ in at most as many bits
+    as the sets differ in elements: a safe bound.  Halves fold by exclusive or."""
+    bits = max(64, 1 << int(4 * max(len(s), 1) - 1).bit_length())
+    return np.packbits((np.bincount(((s >> np.uint64(23)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    least = min(map(len, sketches))
+    out = np.empty((len(sketches), least // 8), np.uint64)
+    for i, raw in enumerate(sketches):
+        x = np.frombuffer(raw, np.uint64)
+        while len(x) > least // 8:
+            x = x[: len(x) // 2] ^ x[len(x) // 2:]
+        out[i] = x
+    return out
+
+
 class Bands:
     """Size bands for a similarity: band t pairs its own sizes with the sizes just above that they may join."""
 
@@ -97,10 +117,42 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
                 sets = shingle_sets(part.column("text"), k)
                 cls = np.array([set_class(s) for s in sets], np.uint64)
                 n = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(signed(cls), mask=n == 0)],
-                                                 names=["doc_id", "n_shingles", "cls"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(signed(cls), mask=n == 0),
+                                                  pa.array([parity_sketch(s) if len(s) else None for s in sets], pa.binary())],
+                                                 names=["doc_id", "n_shingles", "cls", "sketch"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long, sketch binary")
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long")
+
+def _still_possible(open_: DataFrame, classes: DataFrame, num: int, den: int, parts: int) -> DataFrame:
+    """Pairs (a, b) of classes in different components that share a signature and whose sketches do not
+    already differ in more bits than similar sets can."""
+    size = classes.join(open_.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(
+        F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+
+    def run(batches):
+        got = [pa.Table.from_batches([b]) for b in batches]
+        if not got:
+            return
+        t = pa.concat_tables(got)
+        sig, cls, comp, n = (t[c].to_numpy() for c in ("sig", "cls", "component", "n"))
+        order = np.argsort(sig, kind="stable")
+        start = np.flatnonzero(np.concatenate([[True], sig[order][1:] != sig[order][:-1]]))
+        found = set()
+        for a, b in zip(start, [*start[1:], len(order)]):
+            own = order[a:b]
+            if len(own) < 2:
+                continue
+            bits = _folded([t["sketch"][int(i)].as_py() for i in own])
+            for i in range(len(own) - 1):
+                x, y = own[i], own[i + 1:]
+                differ = np.bitwise_count(bits[i + 1:] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                ok = (differ <= (den - num) * (n[x] + n[y]) // (den + num)) & (comp[y] != comp[x])
+                found.update((min(int(cls[x]), int(c)), max(int(cls[x]), int(c))) for c in cls[y[ok]])
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    return open_.select("sig", "cls", "component").join(size, "cls").repartition(parts, "sig").mapInArrow(run, "a long, b long").distinct()
 
 
 def _signature_rows(docs: DataFrame, k: int, num: int, den: int, largest: int) -> DataFrame:
@@ -197,20 +249,31 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     parts = max(8, int(total) // 2_000_000 + 1)
     shared = stored(_shared(_signature_rows(docs, k, num, den, int(largest)), parts), "shared")
 
-    tested = stored(shared.where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct(), "star")
+    def components(links):
+        label = stored(connected_components(links), "labels")
+        named = shared.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        apart = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
+        # signatures that still hold several components
+        return label, stored(named.join(apart, "sig").select("sig", "cls", "first", "component"), "apart")
+
+    # 1. each class with the smallest class it shares a signature with: one pair a class
+    tested = stored(shared.where("cls <> first").groupBy(F.col("cls").alias("b")).agg(F.min("first").alias("a")).select("a", "b"), "star")
     links = stored(_verified(tested, docs, classes, k, num, den), "links")
-    label = stored(connected_components(links), "labels")
-    # classes that share a signature but are still apart: compare them with each other
-    named = shared.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    apart = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    open_ = stored(named.join(apart, "sig").select("sig", "cls", "component"), "apart")
-    other = open_.select("sig", F.col("cls").alias("cls2"), F.col("component").alias("component2"))
-    rest = (open_.join(other, "sig").where("cls < cls2 and component <> component2").select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
-            .distinct().join(tested, ["a", "b"], "left_anti"))
-    rest = stored(rest, "rest")
+    label, open_ = components(links)
+    # 2. each class with the smallest class of every other component that leads one of its signatures
+    lead = open_.where("cls = first").select("sig", "first", F.col("component").alias("lead"))
+    more = stored(open_.where("cls <> first").select("sig", "cls", "component").join(lead, "sig").where("component <> lead")
+                  .groupBy(F.col("cls").alias("b"), "lead").agg(F.min("first").alias("a")).select("a", "b")
+                  .join(tested, ["a", "b"], "left_anti"), "star")
+    if not more.isEmpty():
+        tested = tested.unionByName(more)
+        links = links.unionByName(stored(_verified(more, docs, classes, k, num, den), "links"))
+        label, open_ = components(links)
+    # 3. all pairs of classes that share a signature and are still apart, if their sketches allow it
+    rest = stored(_still_possible(open_, classes, num, den, parts).join(tested, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = stored(_verified(rest, docs, classes, k, num, den), "links")
-        label = stored(connected_components(links.unionByName(more)), "labels")
+        links = links.unionByName(stored(_verified(rest, docs, classes, k, num, den), "links"))
+        label = stored(connected_components(links), "labels")
     named = classes.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     named = stored(named.select("doc_id", "n_shingles", "component"), "members")
     least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
