@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..session import scratch_path
-from .common import shuffle_parts
+from .common import shuffle_parts, slices
 from .tokenizing import piece_cache
 
 #: The fixed selector table of Simple-8b without the two runs: ids in a word, bits of each.
@@ -101,56 +101,42 @@ def decode(words: np.ndarray, exceptions: np.ndarray | None = None) -> np.ndarra
     return out
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
-    """(doc_id, n_ids, words): each whole text tokenised, with the end id, as Simple-8b words."""
-
-    def run(batches):
-        cache = piece_cache(tokenizer, False)
-        end = np.array([end_id], np.uint32)
-        for batch in batches:
-            ids = [np.concatenate([cache.encode(t.as_py() or ""), end]) for t in batch.column("text")]
-            if not ids:
-                continue
-            n = np.array([len(x) for x in ids], np.int64)
-            words, cut, _ = encode(np.concatenate(ids), np.concatenate([[0], np.cumsum(n)]))  # ids need no escape
-            raw = [words[a:b].astype("<u8").tobytes() for a, b in zip(cut, cut[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(raw, pa.binary())],
-                                             names=["doc_id", "n_ids", "words"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_ids long, words binary")
-
-
-BLOCKS = ("file int, block int, n_ids long, words binary, exceptions array<long>, doc_ids array<long>, "
+BLOCKS = ("file int, block int, first long, n_ids long, words binary, exceptions array<long>, doc_ids array<long>, "
           "doc_word_start array<long>, doc_n_ids array<long>")
 
 
-def write_files(encoded: DataFrame, path: str, block_words: int = 65_536) -> None:
-    """Write blocks in ascending ``doc_id`` order: file k holds the k-th range of ids."""
-    ordered = encoded.repartitionByRange(shuffle_parts(encoded.sparkSession), "doc_id", F.xxhash64("words")) \
-        .sortWithinPartitions("doc_id", "words")
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()),
+def write_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, block_words: int = 65_536) -> None:
+    """Tokenise whole texts, add the end id and write blocks in ascending ``doc_id`` order: file k holds the
+    k-th range of ids.  The texts are dealt out, as they are smaller than their words, and tokenised once."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("h", F.xxhash64("text"))
+    ordered = docs.repartitionByRange(shuffle_parts(docs.sparkSession), "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()),
              pa.list_(pa.int64()), pa.list_(pa.int64())]
-    names = ["file", "block", "n_ids", "words", "exceptions", "doc_ids", "doc_word_start", "doc_n_ids"]
+    names = ["file", "block", "first", "n_ids", "words", "exceptions", "doc_ids", "doc_word_start", "doc_n_ids"]
 
     def run(batches):
         from pyspark import TaskContext
 
-        file, block, held, size = TaskContext.get().partitionId(), 0, [], 0
+        cache, end = piece_cache(tokenizer, False), np.array([end_id], np.uint32)
+        file, block, first, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def emit():
             d, n, w = zip(*held)
-            starts = np.cumsum([0, *[len(x) // 8 for x in w]])[:-1]
-            row = [file, block, int(sum(n)), b"".join(w), [], list(d), starts, list(n)]
+            starts = np.cumsum([0, *[len(x) for x in w]])[:-1]
+            raw = np.concatenate(w).astype("<u8").tobytes()
+            row = [file, block, first, int(sum(n)), raw, [], list(d), starts, list(n)]  # token ids need no escape
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
 
-        for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "n_ids", "words")]):
-                held.append(row)
-                size += len(row[2]) // 8
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            ids = [np.concatenate([cache.encode(t.as_py() or ""), end]) for t in batch.column("text")]
+            n = np.array([len(x) for x in ids], np.int64)
+            words, cut, _ = encode(np.concatenate(ids), np.concatenate([[0], np.cumsum(n)]))
+            for d, k, a, b in zip(batch.column("doc_id").to_pylist(), n.tolist(), cut, cut[1:]):
+                held.append((d, k, words[a:b]))
+                size += int(b - a)
                 if size >= block_words:
                     yield emit()
-                    block, held, size = block + 1, [], 0
+                    block, first, held, size = block + 1, first + sum(x[1] for x in held), [], 0
         if held:
             yield emit()
 
@@ -160,14 +146,11 @@ def write_files(encoded: DataFrame, path: str, block_words: int = 65_536) -> Non
 def read_files(spark, path: str, with_ids: bool = False) -> DataFrame:
     """Decode the files: one row for each document with its global start and the crc32 of its ids.
 
-    The starts come from the block index alone (a few numbers for each block)."""
+    A block knows its first id within its file; the files' totals, one row for each, give the rest."""
     blocks = spark.read.schema(BLOCKS).parquet(path)
-    per_file = blocks.groupBy("file").agg(F.sum("n_ids").alias("n"))  # one row a file
+    per_file = blocks.groupBy("file").agg(F.sum("n_ids").alias("n"))
     before = per_file.select("file", F.coalesce(F.sum("n").over(
         Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("file_start"))
-    index = (blocks.select("file", "block", "n_ids").withColumn("ahead", F.coalesce(F.sum("n_ids").over(
-        Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .join(before, "file").select("file", "block", (F.col("file_start") + F.col("ahead")).alias("first")))
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
@@ -178,19 +161,18 @@ def read_files(spark, path: str, with_ids: bool = False) -> DataFrame:
                 end = np.cumsum(b["doc_n_ids"])
                 cut = np.concatenate([[0], end])
                 parts = [ids[x:y] for x, y in zip(cut, cut[1:])]
-                cols = [pa.array(b["doc_ids"], pa.int64()), pa.array(b["first"] + cut[:-1]), pa.array(b["doc_n_ids"], pa.int64()),
+                cols = [pa.array(b["doc_ids"], pa.int64()), pa.array(b["file_start"] + b["first"] + cut[:-1]), pa.array(b["doc_n_ids"], pa.int64()),
                         pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64())]
                 if with_ids:
                     cols.append(pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return blocks.join(index, ["file", "block"]).mapInArrow(run, schema)
+    return blocks.join(F.broadcast(before), "file").mapInArrow(run, schema)  # as many rows as files, one a partition
 
 
 def op8_token_files(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = scratch_path(spark, "token_files")
-    write_files(encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"),
-                                 public_tokenizers.path("word_bpe_49k.json")), path)
+    write_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), path)
     return read_files(spark, path)

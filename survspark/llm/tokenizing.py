@@ -72,7 +72,13 @@ class PieceCache:
         if any(s in text for s in self.special):
             return None
         if not self.keep_blank:
-            return [p for p in text.replace("\n", " ").split(" ") if p]
+            if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for Python only
+                return [p for p in text.replace("\n", " ").split(" ") if p]
+            try:  # up to U+00FF lower-casing first changes nothing, and fewer pieces are new
+                text.encode("latin-1")
+                return text.lower().split()
+            except UnicodeEncodeError:
+                return text.split()
         first, *rest = text.split(" ")
         return [first, *[" " + p for p in rest]]
 
