@@ -71,14 +71,23 @@ def anchors(raw: np.ndarray, bounds: np.ndarray, length: int):
     return text[first], at - bounds[text[first]], at - start[last], at - a, gram[at], around
 
 
-ROWS = "copy boolean, gram long, around long, doc_id long, uid long, place long, least int, most int"
-NAMES = ["copy", "gram", "around", "doc_id", "uid", "place", "least", "most"]
+#: ``at`` holds place, least and largest offset and the copy mark in one number, as millions of rows travel.
+ROWS = "gram long, around long, doc_id long, uid long, at long"
+NAMES = ["gram", "around", "doc_id", "uid", "at"]
+_OFFSET = 12  # bits of an offset
 
 
 def _batch(copy, gram, around, doc, uid, place, least, most):
-    return pa.RecordBatch.from_arrays([
-        pa.array(np.asarray(copy, bool)), pa.array(gram), pa.array(around), pa.array(doc), pa.array(uid), pa.array(place),
-        pa.array(least.astype(np.int32)), pa.array(most.astype(np.int32))], names=NAMES)
+    at = ((((place << _OFFSET) | least) << _OFFSET | most) << 1) | copy
+    zero = np.zeros_like(around)  # a copy needs neither hash any more
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (
+        gram, np.where(copy, zero, around), doc, uid, at)], names=NAMES)
+
+
+def _unbatch(at):
+    """(copy, place, least, most) of ``at``."""
+    mask = (1 << _OFFSET) - 1
+    return (at & 1).astype(bool), at >> (2 * _OFFSET + 1), (at >> (_OFFSET + 1)) & mask, (at >> 1) & mask
 
 
 def _earliest(gram, around, doc, uid, place):
@@ -140,7 +149,8 @@ def _copies_and_rest(rows: DataFrame, parts: int) -> DataFrame:
                 c.append(b.column(name).to_numpy(zero_copy_only=False))
         if not cols[0]:
             return
-        copy, gram, around, doc, uid, place, least, most = (np.concatenate(c) for c in cols)
+        gram, around, doc, uid, at = (np.concatenate(c) for c in cols)
+        copy, place, least, most = _unbatch(at)
         out = [np.flatnonzero(copy)]
         live = np.flatnonzero(~copy)
         order = live[np.argsort(gram[live], kind="stable")]
@@ -160,7 +170,7 @@ def _copies_and_rest(rows: DataFrame, parts: int) -> DataFrame:
         keep = np.concatenate(out)
         for a in range(0, len(keep), 100_000):
             k = keep[a: a + 100_000]
-            yield _batch(copy[k], gram[k], around[k], doc[k], uid[k], place[k], least[k], most[k])
+            yield _batch(copy[k], np.where(copy[k], 0, gram[k]), np.zeros(len(k), np.int64), doc[k], uid[k], place[k], least[k], most[k])
 
     return rows.repartition(parts, "gram").mapInArrow(run, ROWS)
 
@@ -292,11 +302,11 @@ def _partial_repeats(rest: DataFrame, docs: DataFrame, length: int, parts: int)
                     raw = bytes(lead) + t.encode() + bytes(length)
                     out += [(r["gram"], d, u, r["place"], r["least"], r["most"], raw[r["place"]: r["place"] + lead + length]) for r in rows]
                 if out:
-                    types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
+                    types = [pa.int64()] * 6 + [pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     found = docs.join(wanted, "uid").select("doc_id", "uid", "text", "rows").mapInArrow(
-        cut, "gram long, doc_id long, uid long, place long, least int, most int, bytes binary")
+        cut, "gram long, doc_id long, uid long, place long, least long, most long, bytes binary")
 
     def run(batches):
         got = [pa.Table.from_batches([b]) for b in batches]
@@ -322,7 +332,13 @@ def repeated_ranges(docs: DataFrame, length: int = 100, rows_per_task: int = 500
     repeats from earlier places."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, int(size) // (rows_per_task * 30) + 1)
+    if not GRAM <= length < 1 << _OFFSET:
+        raise ValueError(f"length must be from {GRAM} to {(1 << _OFFSET) - 1}")
     rows = stored(_copies_and_rest(_anchor_rows(docs, length), parts), "anchors")
+    shift = lambda n: F.shiftright("at", n)
+    mask = (1 << _OFFSET) - 1
+    rows = rows.select("gram", "uid", (F.col("at") % 2 == 1).alias("copy"), shift(2 * _OFFSET + 1).alias("place"),
+                       shift(_OFFSET + 1).bitwiseAND(mask).alias("least"), shift(1).bitwiseAND(mask).alias("most"))
     whole = rows.where("copy").select("uid", (F.col("place") - F.col("most")).alias("start"),
                                       (F.col("place") - F.col("least") + length).alias("end"))
     return whole.unionByName(_partial_repeats(rows.where("not copy"), docs, length, max(8, parts // 4)))
