@@ -7,10 +7,11 @@ encoding is inferred from its characters; then, with the characters as numbers o
 * Wald-Wolfowitz runs test about the alphabet's middle,
 * lag-one serial correlation
 
-give p-values for "random", combined by Fisher's method.  The other hypothesis is "ordinary token":
-there neighbouring characters seldom change class (lower, upper, digit, mark), and the number of
-changes gives a p-value whose power grows with the length.  A candidate is a discovery if "random"
-stands and "ordinary" falls under Benjamini-Hochberg control within its band of lengths.
+give p-values for "random", combined by Fisher's method.  The other hypothesis is "ordinary token of
+the same encoding and length": the same three properties (use of the alphabet, runs, serial product), and
+the changes of character class, are fitted on ordinary tokens (``ordinary``) and their weighted sum gives
+one p-value.  A candidate is a discovery if "ordinary" falls under Benjamini-Hochberg control within its
+band of lengths and "random" stands.
 
 Defined cases: a null text is empty and has no spans; a text of any length is scanned whole; equal
 starts are ordered by kind as listed; repeated rows are scanned alike, each for itself; an empty table
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.scalar import norm_sf
+from . import ordinary
 from .common import let, stored
 from .spans import match_spans
 
@@ -38,11 +40,15 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 ENCODINGS = [
     ("hex", r"^[0-9a-f]+$", "0123456789abcdef"),
     ("HEX", r"^[0-9A-F]+$", "0123456789ABCDEF"),
+    ("lower", r"^[a-z]+$", "abcdefghijklmnopqrstuvwxyz"),
+    ("upper", r"^[A-Z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("letters", r"^[A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base32", r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("base62", r"^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", r"^[0-9A-Za-z+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
-    ("base64url", r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("base64url", r"^[0-9A-Za-z_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("mixed", r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 ]
 
 
@@ -66,21 +72,25 @@ def _two_sided(z: Column) -> Column:
     return F.greatest(F.lit(2.0) * norm_sf(F.abs(z)), F.lit(1e-300))
 
 
-def battery(tokens: DataFrame, value: str = "value", change_rate: float = 0.1) -> DataFrame:
-    """Adds ``encoding``, ``p_random`` (Fisher's combination) and ``p_ordinary`` to rows with a token.
-
-    ``change_rate``: share of neighbouring characters of different class in ordinary tokens.
-    """
+def battery(tokens: DataFrame, value: str = "value") -> DataFrame:
+    """Adds ``encoding``, ``p_random`` (Fisher's combination) and ``p_ordinary`` to rows with a token."""
     v = F.col(value)
-    encoding, alphabet = F.lit(ENCODINGS[-1][0]), F.lit(ENCODINGS[-1][2])
-    for name, pattern, letters in reversed(ENCODINGS[:-1]):
-        encoding, alphabet = F.when(v.rlike(pattern), name).otherwise(encoding), \
-            F.when(v.rlike(pattern), letters).otherwise(alphabet)
-    df = let(tokens, encoding=encoding, _abc=alphabet, _n=F.length(v).cast("double"))
+    which = F.lit(len(ENCODINGS) - 1)
+    for i, (_, pattern, _) in reversed(list(enumerate(ENCODINGS[:-1]))):
+        which = F.when(v.rlike(pattern), i).otherwise(which)
+    fits = [ordinary.fit(name, letters) for name, _, letters in ENCODINGS]
+    numbers = lambda x: "array(%s)" % ",".join(f"{y!r}D" for y in x)
+    of = lambda rows: F.element_at(F.expr("array(%s)" % ",".join(map(numbers, rows))), F.col("_i") + 1)
+    text_of = lambda x: F.element_at(F.array(*[F.lit(y) for y in x]), F.col("_i") + 1)
+    df = let(tokens, _i=which, _n=F.length(v).cast("double"))
+    df = let(df, encoding=text_of([e[0] for e in ENCODINGS]), _abc=text_of([e[2] for e in ENCODINGS]), _use=of([f.use for f in fits]),
+             _rank=of([f.rank for f in fits]), _fit=of([[*f.weights, f.mu, *f.spread] for f in fits]))
     each = f"transform(sequence(1, length(`{value}`)), i -> %s)"
     kind = "case when substr(`%s`, i, 1) rlike '[0-9]' then 0 when substr(`%s`, i, 1) rlike '[a-z]' then 1 when substr(`%s`, i, 1) rlike '[A-Z]' then 2 else 3 end"
     df = let(df, _k=F.length("_abc").cast("double"),
              _x=F.expr(each % f"cast(locate(substr(`{value}`, i, 1), _abc) - 1 as double)"),
+             _r=F.expr(each % f"_rank[locate(substr(`{value}`, i, 1), _abc) - 1]"),
+             _fitted=F.expr("_fit[0] * " + "aggregate(" + each % f"_use[locate(substr(`{value}`, i, 1), _abc) - 1]" + ", 0D, (a, y) -> a + y)"),
              _class=F.expr(each % (kind % (value, value, value))))
     pairs = "zip_with(slice({0}, 1, size({0}) - 1), slice({0}, 2, size({0}) - 1), (y, z) -> {1})"
     df = let(df, _squares=F.expr("aggregate(sequence(0, cast(_k as int) - 1), 0D, (a, c) -> a + pow(size(filter(_x, y -> y = c)), 2))"),
@@ -92,7 +102,9 @@ def battery(tokens: DataFrame, value: str = "value", change_rate: float = 0.1) -
              _cov=F.expr("aggregate(" + pairs.format("_x", "(y - _mean) * (z - _mean)") + ", 0D, (a, y) -> a + y)"),
              _chi=F.expr("greatest(_k / _n * _squares - _n, 0D)"), _df=F.expr("_k - 1"),
              _em=F.expr("1 + 2 * _high * (_n - _high) / _n"))
-    z = (F.col("_changes") - 0.5 - (F.col("_n") - 1) * change_rate) / F.sqrt((F.col("_n") - 1) * change_rate * (1 - change_rate))
+    knot = " ".join(f"when _n >= {m} then _fit[{5 + i}]" for i, m in reversed(list(enumerate(ordinary.KNOTS))))
+    z = F.expr("(_fitted + _fit[1] * size(filter(" + pairs.format("_r", "(y > 0) <> (z > 0)") + ", b -> b)) + _fit[2] * aggregate("
+               + pairs.format("_r", "y * z") + f", 0D, (a, y) -> a + y) + _fit[3] * _changes - _fit[4] * _n) / (sqrt(_n) * case {knot} else _fit[5] end)")
     df = let(df, _z1=F.expr("(pow(_chi / _df, 1D / 3) - (1 - 2 / (9 * _df))) / sqrt(2 / (9 * _df))"),  # Wilson-Hilferty
              _z2=F.expr("case when _em > 2 then (_runs - _em) / sqrt((_em - 1) * (_em - 2) / (_n - 1)) else 9D end"),
              _z3=F.expr("case when _var > 0 then _cov / _var * sqrt(_n) else 9D end"), _z4=z)
@@ -119,7 +131,7 @@ def discoveries(tested: DataFrame, q: float = 0.001, alpha: float = 1e-4) -> Dat
              .where(F.pow(F.lit(10.0), -F.col("step") / 4) <= q * F.col("rank") / F.col("m"))
              .groupBy("band").agg(F.min("step").alias("least")))  # one row for each power of two
     return t.join(F.broadcast(limit), "band").where(
-        (F.col("step") >= F.col("least")) & (F.col("p_random") >= alpha) & F.col("value").rlike("[0-9]")).drop("step", "least")
+        (F.col("step") >= F.col("least")) & (F.col("p_random") >= alpha)).drop("step", "least")
 
 
 def scan_secrets(docs: DataFrame, q: float = 0.001, alpha: float = 1e-4) -> DataFrame:

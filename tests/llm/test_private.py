@@ -46,6 +46,20 @@ def test_battery_finds_random_tokens_and_leaves_words(spark, docs):
     assert all(not v for i, v in got.items() if i >= 100)
 
 
+def test_battery_recall_by_encoding(spark, docs):
+    rng = random.Random(8)
+    up, low, num = string.ascii_uppercase, string.ascii_lowercase, string.digits
+    least = {"lower": (low, 0.95), "upper": (up, 0.95), "letters": (up + low, 0.95), "base32": (up + "234567", 0.85), "base36": (low + num, 0.85),
+             "base62": (up + low + num, 0.95), "base64": (up + low + num + "+/", 0.95), "base64url": (up + low + num + "-_", 0.95)}
+    rows = [(name, n, "".join(rng.choice(abc) for _ in range(n))) for name, (abc, _) in least.items() for n in (32, 40, 64) for _ in range(25)]
+    got = secret_scan.scan_secrets(docs([(i, f"see {t} there", None) for i, (_, _, t) in enumerate(rows)])).collect()
+    # a base span (a run of 16 hex characters or an AKIA key) has precedence over the battery
+    found = {r.doc_id for r in got if len(r.spans)}
+    for name, (_, share) in least.items():
+        of = [i for i, r in enumerate(rows) if r[0] == name]
+        assert len(found & set(of)) >= share * len(of), (name, len(found & set(of)), len(of))
+
+
 def test_secret_query_digest(spark):
     texts = pq.read_table(f"{SF}/documents.parquet").to_pandas().set_index("doc_id").text
     for r in QUERIES["op3_secrets"](spark, SF).collect():
