@@ -70,16 +70,18 @@ class LanguageModel:
 def fit_languages(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
                   rows_per_language: int = 400, chars_per_row: int = 300, dict_bytes: int = 110_000) -> LanguageModel:
     """Dictionaries from at most ``rows_per_language`` labelled rows of each language (the documented
-    bound of the sample; rows are taken by the hash of their text, so copies count once)."""
+    bound of the sample): those with the smallest distinct hashes of their text, so copies count once."""
     rows = df.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where(
         F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
-    share = rows.groupBy("l").agg(F.count("*").alias("n")).withColumn(
-        "below", F.least(F.lit(1.0), F.lit(8.0 * rows_per_language) / F.col("n")))
-    h = F.xxhash64("t")
-    picked = (rows.withColumn("h", h).join(F.broadcast(share), "l")  # one row a label
-              .where(F.pmod("h", F.lit(1 << 30)) < F.col("below") * (1 << 30))
-              .groupBy("l", "h").agg(F.min(F.lower(F.substring("t", 1, chars_per_row))).alias("t"))
-              .withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h")))
+    rows = rows.withColumn("h", F.xxhash64("t")).withColumn("k", F.pmod("h", F.lit(1 << 30)))
+    # a bound that some 8 x rows_per_language distinct hashes of each label stay under, however many copies
+    # there are: the smallest are among them, and the final ranks see that many rows for any input
+    share = rows.groupBy("l").agg(F.approx_count_distinct("h", 0.02).alias("n")).withColumn(
+        "below", F.when(F.col("n") > 8 * rows_per_language, 8.0 * rows_per_language / F.col("n")).otherwise(1.0))
+    picked = (rows.join(F.broadcast(share), "l")  # one row a label
+              .where(F.col("k") < F.col("below") * (1 << 30))
+              .groupBy("l", "k", "h").agg(F.min(F.lower(F.substring("t", 1, chars_per_row))).alias("t"))
+              .withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("k", "h")))
               .where(F.col("r") <= rows_per_language).select("l", "r", "t").collect())
     parts: dict[str, list[bytes]] = {}
     for r in sorted(picked, key=lambda r: (r["l"], r["r"])):
@@ -87,9 +89,11 @@ def fit_languages(df: DataFrame, text: str = "text", lang: str = "lang", key: st
     return LanguageModel({name: b"\n".join(p)[:dict_bytes] for name, p in parts.items()})
 
 
-def predict_languages(df: DataFrame, model: LanguageModel, text: str = "text", min_margin: float = 0.0) -> DataFrame:
+def predict_languages(df: DataFrame, model: LanguageModel, text: str = "text", min_margin: float = 0.0,
+                      noise: float = 0.3) -> DataFrame:
     """Adds ``lang_pred``, ``score`` (1 - smallest / second smallest size, between 0 and 1), ``margin_bytes``
-    and ``rejected`` (no letter, no model, a tie, or a score under ``min_margin``)."""
+    and ``rejected``: no letter, no model, a tie, a score under ``min_margin``, or a margin under ``noise`` times
+    the square root of the text's UTF-8 bytes, as chance leads grow with it."""
     added = {"lang_pred": "string", "score": "double", "margin_bytes": "long", "rejected": "boolean"}
     kept = [c for c in df.columns if c not in added]
     src = df.select(*[F.col(f"`{c}`") for c in kept])
@@ -110,7 +114,7 @@ def predict_languages(df: DataFrame, model: LanguageModel, text: str = "text", m
                     margin, score = high - low, 1.0 - low / high
                     if len(names) == 1:
                         score, margin = 1.0, low
-                    bad = margin == 0 or score < min_margin
+                    bad = margin == 0 or score < min_margin or margin < noise * len(t.lower().encode()) ** 0.5
                 for o, v in zip(out, (best, score, margin, bad)):
                     o.append(v)
             cols = [*batch.columns, pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()),

@@ -55,6 +55,25 @@ def test_language_edge_cases(spark, docs):
     assert langid.predict_languages(df, model, min_margin=0.99).where("not rejected").count() == 0
 
 
+def test_language_of_copies_is_learned_whole(spark, docs):
+    rows = [(i, f"the few texts of this label number {i % 3}", "aa") for i in range(3000)]
+    rows += [(5000 + i, f"uno dos tres {i % 30} cuatro", "bb") for i in range(3000)]
+    # few distinct texts in many copies: every one of them is in the sample (10 rows a label are asked for)
+    made = langid.fit_languages(docs(rows), rows_per_language=10).dictionaries
+    assert sorted(made["aa"].split(b"\n")) == [b"the few texts of this label number %d" % i for i in range(3)]
+    assert len(set(made["bb"].split(b"\n"))) == 10
+
+
+def test_narrow_language_margins_are_rejected(spark, docs):
+    rng = random.Random(2)
+    model = langid.LanguageModel({"aa": b"alpha beta gamma delta " * 20, "bb": b"uno dos tres cuatro " * 20})
+    junk = ["".join(rng.choice("bcdfghjklmnpqrstvwxyz0123456789") for _ in range(4000)) + " alpha beta gamma" for _ in range(20)]
+    df = docs([(i, t, None) for i, t in enumerate(junk)])
+    kept = lambda **k: langid.predict_languages(df, model, **k).where("not rejected").count()
+    assert kept() == 0 < kept(noise=0.0)
+    assert langid.predict_languages(docs([(1, "alpha gamma beta delta " * 40, None)]), model).where("not rejected").count() == 1
+
+
 def brute_katz(rows):
     words = lambda x: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or "")) + ["</s>"]
     data = [(words(t), train) for _, t, train in rows]
