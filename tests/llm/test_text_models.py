@@ -107,6 +107,18 @@ def brute_katz(rows):
              sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), len(w), sum(c[x] > 0 for x in w)) for w, _ in data], n
 
 
+def test_first_words_of_many_texts_are_dealt_out(spark, docs, monkeypatch):
+    seen = []
+    keep = katz._settle
+    monkeypatch.setattr(katz, "_settle", lambda rows, *a: (seen.append(rows), keep(rows, *a))[1])
+    rows = [(i, f"w{i % 40}", True) for i in range(400)]
+    got = katz.katz_scores(docs([(d, t, None) for d, t, _ in rows]), F.lit(True), 100).collect()
+    score, _ = brute_katz(rows)
+    assert all(abs(r.score - score[r.doc_id][0]) < 1e-6 for r in got) and len(got) == 400
+    parts = {r.part for r in seen[0].where("part >= 0").collect() if (katz.unpack(r.payload)["h"] == katz.BEGIN).any()}
+    assert len(parts) > 1
+
+
 @pytest.mark.parametrize("part_bytes", [12_000_000, 150])  # the second splits frequent contexts
 def test_katz_equals_brute_force(spark, docs, part_bytes):
     rng = random.Random(3)
