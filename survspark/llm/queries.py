@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13_alignment
 from .ann import op4_nearest
 from .decontaminate import op10_decontamination
 from .katz import op2_katz
@@ -14,5 +15,5 @@ from .suffix_dedup import op5_suffix_dedup
 from .simple8b import op8_token_files
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_katz, op3_secrets, op4_nearest, op5_suffix_dedup, op6_pii, op7_packing, op8_token_files, op9_jaccard,
-                                op10_decontamination)}
+                                op10_decontamination, op13_alignment)}
 SQL: dict[str, str] = {}
