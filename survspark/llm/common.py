@@ -94,14 +94,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 #: A fixed random 64-bit value for each byte, letters A-Z sharing those of a-z.
-_letters = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+_exact = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+_letters = _exact.copy()
 _letters[ord("A"): ord("Z") + 1] = _letters[ord("a"): ord("z") + 1]
 _space = np.zeros(256, bool)
 _space[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered, hashed to 64 bits in one vectorised pass.
+def word_hashes(raw: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+``, A-Z lowered if asked for, hashed to 64 bits in one vectorised pass.
 
     Returns the hashes, the row bounds in them (``len(rows) + 1``) and each word's byte start and
     end.  One prefix sum over the bytes serves all words, so the cost does not depend on word lengths.
@@ -122,7 +123,7 @@ def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     up, down = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_letters[raw] * up[:n], out=total[1:])
+    np.cumsum((_letters if lower else _exact)[raw] * up[:n], out=total[1:])
     h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
     return h, np.searchsorted(start, bounds), start, end
 
