@@ -31,11 +31,15 @@ from .common import slices, stored
 from .tokenizing import PieceCache
 
 
+_ENTRIES = 250_000  # words that each cache of a worker keeps
+_SLICE = 1_000_000  # bytes of text aligned at once
+
+
 class BlankPieces(PieceCache):
     """Byte-level ids of blank + text; special-token strings are ordinary text."""
 
     def __init__(self, path: str):
-        super().__init__(path, keep_blank=True)
+        super().__init__(path, keep_blank=True, entries=_ENTRIES)
         self.tokenizer.encode_special_tokens = True
         self.special = []
         raw = {letter: byte for byte, letter in self.letters.items()}
@@ -61,7 +65,7 @@ class SentencePieces:
     character, so merges never cross the start of a word that follows one and the words' ids joined are
     the text's.  Where the vocabulary has such a piece, or blanks stand side by side, texts are encoded whole."""
 
-    def __init__(self, path: str, entries: int = 800_000):
+    def __init__(self, path: str, entries: int = 0):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -73,7 +77,7 @@ class SentencePieces:
             else:
                 self.token_bytes.append(p.replace("▁", " ").encode())
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.entries, self.known = entries, {}
+        self.entries, self.known = entries or _ENTRIES, {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.model.encode(text), np.uint32).tobytes()
@@ -217,7 +221,7 @@ def align_documents(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, with_gr
     def run(batches):
         p = pair(tokenizer_a, tokenizer_b)
         width = link_type(p)
-        for batch in (part for whole in batches for part in slices(whole, "text")):
+        for batch in (part for whole in batches for part in slices(whole, "text", _SLICE)):
             out = p.align(batch.column("text").to_pylist())
             cols = [batch.column("doc_id"), *[pa.array(out[c], pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")],
                     pa.array(out["groups_sha256"]), pa.array([x.astype(width).tobytes() for x in out["links"]], pa.binary())]
