@@ -937,3 +937,82 @@ def q_load_oof(spark, d):
         paths[m] = f"{base}/{m}"
         io.write_table(p.select("id", F.col(c).alias("prediction")), paths[m])
     return io.load_oof(spark, paths)
+
+
+# --------------------------------------------------------------------------- survival regression out of fold
+
+COX_FEATURES = ["x_num", "x_code", "pred"]
+#: Given models by fold, for the queries whose SQL needs no fit: (coefficients, centre) and (intercept, coefficients, sigma).
+COX_GIVEN = {f: ([0.00001 * f, 0.01 - 0.002 * f, 0.3 + 0.05 * f], [4000.0 + 10 * f, 12.0, 0.3]) for f in range(1, 8)}
+AFT_GIVEN = {f: (6.5 + 0.1 * f, [0.00002 * f, 0.01, -0.2], 0.8 + 0.05 * f) for f in range(1, 8)}
+
+
+@query("cox_oof")
+def q_cox_oof(spark, d):
+    """SV16: Cox with Efron ties for each fold on the others; risk, H and S of unseen rows at their own time."""
+    from ..operators import survreg
+    m = _model_frame(spark, d)
+    fit = survreg.fit_cox_folds(m, "time", "event", COX_FEATURES)
+    return survreg.predict_cox_folds(m, fit, survreg.cox_baseline(m, fit, "time", "event"), "time")
+
+
+@query("cox_coefficients")
+def q_cox_coefficients(spark, d):
+    """SV16: coefficients of each fold's Cox model with mean and std over folds."""
+    from ..operators import survreg
+    return survreg.coefficient_table(spark, survreg.fit_cox_folds(_model_frame(spark, d), "time", "event", COX_FEATURES))
+
+
+@query("cox_given_oof")
+def q_cox_given_oof(spark, d):
+    """SV16: baseline hazard of each fold's training rows and predictions of unseen rows, for given coefficients."""
+    from ..operators import survreg
+    m = _model_frame(spark, d)
+    given = survreg.cox_models({f: c for f, (c, _) in COX_GIVEN.items()}, {f: c for f, (_, c) in COX_GIVEN.items()}, COX_FEATURES)
+    return survreg.predict_cox_folds(m, given, survreg.cox_baseline(m, given, "time", "event"), "time")
+
+
+@query("cox_efron_sums")
+def q_cox_efron_sums(spark, d):
+    """SV16: log partial likelihood with Efron ties, its gradient and the diagonal of its negative Hessian for
+    each fold's training rows at given coefficients, per event."""
+    import numpy as np
+
+    from ..operators import survreg
+    m = _model_frame(spark, d)
+    frame = survreg.Frame(m, "time", "event", COX_FEATURES, "fold")
+    sums = survreg.cox_sums(frame, {i: np.array(COX_GIVEN[f][0]) for i, f in enumerate(frame.names)}, "efron",
+                            scan.quantile_bounds(frame.table.select("t").distinct(), "t"))
+    rows = [(int(frame.names[i]), *(float(v) / frame.events[i] for v in (s[0], *s[1], *s[2].diagonal()))) for i, s in sums.items()]
+    return spark.createDataFrame(rows, "fold int, loglik double, " + ", ".join(f"{k}_{f} double" for k in ("g", "h") for f in COX_FEATURES))
+
+
+@query("coxnet_path")
+def q_coxnet_path(spark, d):
+    """SV17: elastic-net Cox coefficients of each fold along eight alphas."""
+    from ..operators import survreg
+    return survreg.coxnet_path(_model_frame(spark, d), "time", "event", COX_FEATURES, n_alphas=8, alpha_min_ratio=0.01)[0]
+
+
+def _aft(family: str):
+    def run(spark, d):
+        from ..operators import survreg
+        m = _model_frame(spark, d)
+        return survreg.predict_aft_folds(m, survreg.fit_aft_folds(m, family, "time", "event", COX_FEATURES), "time")
+
+    run.__doc__ = f"SV16: {family} accelerated failure time, out of fold: risk, H, S at own time, median."
+    return run
+
+
+for _family in ("weibull", "loglogistic", "lognormal"):
+    query(f"aft_{_family}_oof")(_aft(_family))
+
+
+@query("aft_given_oof")
+def q_aft_given_oof(spark, d):
+    """SV16: the three AFT families for given parameters by fold, at each row's own time."""
+    from ..operators import survreg
+    m = _model_frame(spark, d)
+    parts = [survreg.predict_aft_folds(m, survreg.aft_models(f, AFT_GIVEN, COX_FEATURES), "time").withColumn("family", F.lit(f))
+             for f in ("weibull", "loglogistic", "lognormal")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -588,3 +588,53 @@ SELECT {R('sum((g - g0) * (m + m0) / 2.0)')} auc, {R('arg_min(g, (-coalesce(f1,
        {R('arg_min(m, (-coalesce(f1, CAST(\'-inf\' AS DOUBLE)), k))')} best_precision_mean FROM ml"""
 
 SQL["load_oof"] = SQL["oof_pivot"]
+
+# ---------------------------------------------------------------------------------- survival regression
+
+# numeric features filled with their median, as the model frame has them; folds from P
+_MF = """MF AS (SELECT S.id, S."time", S.event, P.fold, coalesce(x_num, (SELECT median(x_num) FROM S)) f0,
+                       coalesce(x_code, (SELECT median(x_code) FROM S)) f1, S.pred f2 FROM S JOIN P USING (id))"""
+
+
+def _given(rows: str) -> str:
+    return f"given AS (SELECT * FROM (VALUES {rows}) v(fold, {{}}))"
+
+
+# fixed values: the given models, by fold f from 1 to 7
+_COX_GIVEN = ", ".join(f"({f}, {_d(0.00001 * f)}, {_d(0.01 - 0.002 * f)}, {_d(0.3 + 0.05 * f)}, {_d(4000.0 + 10 * f)}, {_d(12.0)}, {_d(0.3)})" for f in range(1, 8))
+_AFT_GIVEN = ", ".join(f"({f}, {_d(6.5 + 0.1 * f)}, {_d(0.00002 * f)}, {_d(0.01)}, {_d(-0.2)}, {_d(0.8 + 0.05 * f)})" for f in range(1, 8))
+_COX_TABLE = _given(_COX_GIVEN).format("b0, b1, b2, c0, c1, c2")
+# each row once for each model it trains
+_COX_LONG = 'L AS (SELECT g.fold m, MF."time", MF.event, f0, f1, f2, b0, b1, b2, c0, c1, c2 FROM MF JOIN given g ON MF.fold <> g.fold)'
+
+SQL["cox_given_oof"] = W(S, P, _MF, _COX_TABLE, _COX_LONG,
+                         'tt AS (SELECT m, "time", sum(event) d, sum(exp((f0 - c0) * b0 + (f1 - c1) * b1 + (f2 - c2) * b2)) a FROM L GROUP BY m, "time")',
+                         'rs AS (SELECT m, "time", d, sum(a) OVER (PARTITION BY m ORDER BY "time" DESC) s0 FROM tt)',
+                         'bl AS (SELECT m, "time", sum(d / s0) OVER (PARTITION BY m ORDER BY "time") h0 FROM rs)',
+                         'pr AS (SELECT id, MF.fold, "time", exp((f0 - c0) * b0 + (f1 - c1) * b1 + (f2 - c2) * b2) risk FROM MF JOIN given g ON g.fold = MF.fold)',
+                         'jj AS (SELECT pr.*, coalesce(bl.h0, 0.0) h0 FROM pr ASOF LEFT JOIN bl ON pr.fold = bl.m AND pr."time" >= bl."time")') + f"""
+SELECT id, fold, {R('risk')} oof_risk_score, {R('h0 * risk')} oof_cumulative_hazard, {R('exp(-h0 * risk)')} oof_survival_probability FROM jj"""
+
+# one row an event: the l-th of d tied events, by the definition
+_EFRON_W = "exp(f0 * b0 + f1 * b1 + f2 * b2)"
+_EFRON_X = 'X AS (SELECT m, "time", event, f0 - o0 f0, f1 - o1 f1, f2 - o2 f2, b0, b1, b2 FROM L, (SELECT avg(f0) o0, avg(f1) o1, avg(f2) o2 FROM MF))'
+_EFRON_T = "ts AS (SELECT m, \"time\", sum(event) d, sum(event * (f0 * b0 + f1 * b1 + f2 * b2)) fit, sum(w) a, sum(event * w) da, " + ", ".join(
+    f"sum(w * f{i}) a{i}, sum(event * w * f{i}) da{i}, sum(w * f{i} * f{i}) q{i}, sum(event * w * f{i} * f{i}) dq{i}, sum(event * f{i}) x{i}" for i in range(3)) + \
+    f" FROM (SELECT *, {_EFRON_W} w FROM X) GROUP BY m, \"time\")"
+_EFRON_R = "rs AS (SELECT m, d, fit, da, x0, x1, x2, " + ", ".join(f"da{i}, dq{i}, sum(a{i}) OVER k s{i}, sum(q{i}) OVER k sq{i}" for i in range(3)) + \
+    ', sum(a) OVER k s FROM ts WINDOW k AS (PARTITION BY m ORDER BY "time" DESC))'
+_EFRON_E = "ev AS (SELECT m, d, fit, l, x0, x1, x2, s - l / d * da r, " + ", ".join(f"s{i} - l / d * da{i} r{i}, sq{i} - l / d * dq{i} rq{i}" for i in range(3)) + \
+    " FROM (SELECT *, unnest(range(CAST(d AS BIGINT))) l FROM rs WHERE d > 0))"
+SQL["cox_efron_sums"] = W(S, P, _MF, _COX_TABLE, _COX_LONG, _EFRON_X, _EFRON_T, _EFRON_R, _EFRON_E) + "SELECT m fold, " + R(
+    "(sum(CASE WHEN l = 0 THEN fit ELSE 0 END) - sum(ln(r))) / count(*)") + " loglik, " + ", ".join(
+    f"{R(f'(sum(CASE WHEN l = 0 THEN x{i} ELSE 0 END) - sum(r{i} / r)) / count(*)')} g_{n}, {R(f'sum(rq{i} / r - r{i} / r * (r{i} / r)) / count(*)')} h_{n}"
+    for i, n in enumerate(("x_num", "x_code", "pred"))) + " FROM ev GROUP BY m"
+
+_AFT_Z = 'z AS (SELECT id, MF.fold, a + b0 * f0 + b1 * f1 + b2 * f2 eta, s, (ln("time") - (a + b0 * f0 + b1 * f1 + b2 * f2)) / s z FROM MF JOIN given g ON g.fold = MF.fold)'
+_AFT_E = f"""ee AS (SELECT *, abs(z / {_d(2.0 ** 0.5)}) az, 1.0 / (1.0 + 0.5 * abs(z / {_d(2.0 ** 0.5)})) tt FROM z),
+ef AS (SELECT *, CASE WHEN z >= 0 THEN tt * exp(-az * az + {_erfc_sql('az')}) ELSE 2.0 - tt * exp(-az * az + {_erfc_sql('az')}) END erfc FROM ee),
+hh AS (SELECT id, fold, eta, 'weibull' family, exp(z) H, exp(eta + s * ln(ln(2.0))) mid FROM ef
+       UNION ALL SELECT id, fold, eta, 'loglogistic', ln(1.0 + exp(z)), exp(eta) FROM ef
+       UNION ALL SELECT id, fold, eta, 'lognormal', -ln(0.5 * erfc), exp(eta) FROM ef)"""
+SQL["aft_given_oof"] = W(S, P, _MF, _given(_AFT_GIVEN).format("a, b0, b1, b2, s"), _AFT_Z, _AFT_E) + f"""
+SELECT id, fold, family, {R('-eta')} oof_risk_score, {R('H')} oof_cumulative_hazard, {R('exp(-H)')} oof_survival_probability, {R('mid')} oof_median FROM hh"""
