@@ -31,7 +31,7 @@ from .common import slices, stored
 from .tokenizing import PieceCache
 
 
-_ENTRIES = 250_000  # words that each cache of a worker keeps
+_ENTRIES = 300_000  # words that a worker keeps
 _SLICE = 1_000_000  # bytes of text aligned at once
 
 
@@ -47,56 +47,33 @@ class BlankPieces(PieceCache):
         self.token_bytes = [b"" if i in added else bytes(map(raw.__getitem__, self.tokenizer.id_to_token(i) or ""))
                             for i in range(self.tokenizer.get_vocab_size())]
 
-    def _pieces(self, text: str) -> list[str] | None:
-        return [" " + p for p in text.split(" ")]
+    def whole(self, text: str) -> bytes:
+        return self._whole(" " + text)
 
-    def _whole(self, text: str) -> bytes:
-        return super()._whole(text if text.startswith(" ") else " " + text)
-
-    def all(self, text: str) -> np.ndarray:
-        """Ids of blank + text for a whole text."""
-        if text.startswith(" ") or text.endswith(" ") or "  " in text:  # blanks side by side: cuts could change ids
-            return np.array(self.tokenizer.encode(" " + text, add_special_tokens=False).ids, np.uint32)
-        return self.encode(text)
+    def word(self, word: str) -> bytes | None:
+        """Ids of a word after a blank; None where its white space could change ids beside it."""
+        if len(self.known) >= self.entries:
+            self.known.clear()
+        return self._new(" " + word)
 
 
 class SentencePieces:
-    """Sentencepiece ids with a bounded cache of words: no piece of the vocabulary has a blank after another
-    character, so merges never cross the start of a word that follows one and the words' ids joined are
-    the text's.  Where the vocabulary has such a piece, or blanks stand side by side, texts are encoded whole."""
+    """Sentencepiece ids.  Where no piece of the vocabulary has a blank after another character, merges never
+    cross the start of a word, so the ids of a text are those of its words one after the other (``cuts``)."""
 
-    def __init__(self, path: str, entries: int = 0):
+    def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.token_bytes = []
-        for i, p in enumerate(pieces):
-            if self.model.is_byte(i):
-                self.token_bytes.append(bytes([int(p[3:-1], 16)]))
-            else:
-                self.token_bytes.append(p.replace("▁", " ").encode())
+        self.token_bytes = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.entries, self.known = entries or _ENTRIES, {}
 
-    def _ids(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text), np.uint32).tobytes()
 
-    def all(self, text: str) -> np.ndarray:
-        if not self.cuts or text.startswith(" ") or text.endswith(" ") or "  " in text or "▁" in text:
-            return np.frombuffer(self._ids(text), np.uint32)
-        if len(self.known) >= self.entries:
-            self.known = dict(list(self.known.items())[: self.entries // 2])  # the oldest are the frequent ones
-        words, known = text.split(" "), self.known
-        out = list(map(known.get, words))
-        if None in out:
-            for i, got in enumerate(out):
-                if got is None:
-                    w = words[i]
-                    out[i] = got = known.get(w) or self._ids(w)
-                    if len(w) < 64:
-                        known[w] = got
-        return np.frombuffer(b"".join(out), np.uint32)
+    def word(self, word: str) -> bytes | None:
+        return None if "▁" in word else self.whole(word)
 
 
 _PROBES = 16  # single probes of an interval before all its ends are looked up at once
@@ -132,16 +109,19 @@ def shared_cuts(a_end: np.ndarray, b_end: np.ndarray, a_bounds: np.ndarray, b_bo
             at[i], out[i] = _nearest(a_end[al[i]: ah[i]], b_end[bl[i]: bh[i]]) + al[i], 2 * n[i]
         inside = at < ah
         end = a_end[np.where(inside, at, al)]
-        # bisect: b_end rises over the slice, so one search serves all intervals
+        # bisect: b_end rises over the slice, so one search serves all intervals (which stay in order)
         found = np.searchsorted(b_end, end)
         hit = inside & (found >= bl) & (found < bh)
         hit &= b_end[np.minimum(found, len(b_end) - 1)] == end
         hits_a.append(at[hit])
         hits_b.append(found[hit])
-        miss = ~hit
-        al, ah, bl, bh, out = (np.concatenate(x) for x in (
-            (al[hit], at[hit] + 1, al[miss]), (at[hit], ah[hit], ah[miss]), (bl[hit], found[hit] + 1, bl[miss]),
-            (found[hit], bh[hit], bh[miss]), (np.zeros(2 * int(hit.sum()), np.int64), out[miss] + 1)))
+        # a hit leaves its left and its right half, a miss goes on with the next probe
+        old = np.repeat(np.arange(len(al)), hit + 1)
+        right = np.zeros(len(old), bool)
+        right[1:] = old[1:] == old[:-1]
+        left = hit[old] & ~right
+        al, ah, bl, bh, out = (np.where(right, at[old] + 1, al[old]), np.where(left, at[old], ah[old]), np.where(right, found[old] + 1, bl[old]),
+                               np.where(left, found[old], bh[old]), np.where(hit[old], 0, out[old] + 1))
     a, b = np.concatenate(hits_a), np.concatenate(hits_b)
     order = np.argsort(a)
     return a[order], b[order]
@@ -158,22 +138,41 @@ class Pair:
         # an id's text with each sign that may follow it
         self.text = [f"{i}{sign}".encode() for n, signs in ((self.size_a, ",|"), (self.size_b, ",;")) for sign in signs for i in range(n)]
 
-    def _tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        none = np.zeros(0, np.uint32)
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def _same(self, a: bytes, b: bytes, raw: bytes) -> bool:
+        return all(b"".join(map(t.token_bytes.__getitem__, np.frombuffer(x, np.uint32).tolist())) == raw for t, x in ((self.a, a), (self.b, b)))
+
+    def _new(self, word: str) -> tuple[bytes, bytes] | None:
+        """Ids of both for a word, if both write its bytes and cut at its start."""
+        a, b = self.a.word(word), self.b.word(word)
+        got = (a, b) if a is not None and b is not None and self._same(a, b, (" " + word).encode()) else None
+        if got and len(word) < 64:
+            if len(self.known) >= _ENTRIES:
+                self.known = dict(list(self.known.items())[: _ENTRIES // 2])  # the oldest are the frequent ones
+            self.known[word] = got
+        return got
+
+    def _tokens(self, text: str | None) -> tuple[bytes, bytes]:
+        """Ids of both tokenizers: word by word where both cut there, else of the whole text."""
         if not text:
-            return none, none
-        a, b = self.a.all(text), self.b.all(text)
-        raw = (" " + text).encode()
-        for ids, table in ((a, self.a.token_bytes), (b, self.b.token_bytes)):
-            if b"".join(map(table.__getitem__, ids.tolist())) != raw:
-                return none, none
-        return a, b
+            return b"", b""
+        if self.b.cuts and not (text.startswith(" ") or text.endswith(" ") or "  " in text):
+            words = text.split(" ")
+            out = list(map(self.known.get, words))
+            if None in out:
+                out = [got or self._new(w) for got, w in zip(out, words)]
+            if None not in out:
+                a, b = zip(*out)
+                return b"".join(a), b"".join(b)
+        a, b = self.a.whole(text), self.b.whole(text)
+        return (a, b) if self._same(a, b, (" " + text).encode()) else (b"", b"")
 
     def align(self, texts: list[str | None]) -> dict[str, list]:
         """For each text: counts, the hash and text of its groups, and its links as ``a * size_b + b``."""
         tokens = [self._tokens(t) for t in texts]
-        a_bounds, b_bounds = (np.concatenate([[0], np.cumsum([len(t[k]) for t in tokens])]).astype(np.int64) for k in (0, 1))
-        a, b = (np.concatenate([t[k] for t in tokens] or [np.zeros(0, np.uint32)]).astype(np.int64) for k in (0, 1))
+        a_bounds, b_bounds = (np.concatenate([[0], np.cumsum([len(t[k]) // 4 for t in tokens])]).astype(np.int64) for k in (0, 1))
+        a, b = (np.frombuffer(b"".join([t[k] for t in tokens]), np.uint32).astype(np.int64) for k in (0, 1))
         a_end, b_end = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
         cut_a, cut_b = shared_cuts(a_end, b_end, a_bounds, b_bounds)
         # the text of a document: for each group its A ids, '|', its B ids, ';'
