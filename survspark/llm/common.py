@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,14 +24,45 @@ def crc_mod(doc_id: str, m: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(m)
 
 
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Shuffle files of the actions inside go when an action ends, not when the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut and a lost executor
     costs no recomputation."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``stored``, bucketed by a column: later joins and groups on it need no shuffle of these rows."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = f"survspark_{name}_{path.rsplit('/', 2)[-2]}"
+    with _shuffles_removed(spark):
+        df.write.bucketBy(shuffle_parts(spark), column).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def removed(df: DataFrame) -> None:
+    """Delete the folder of a stored table that no later step reads."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, shingle_hashes, shuffle_parts, signed, slices, stored, utf8, word_hashes
+from .common import mix, shingle_hashes, removed, shuffle_parts, signed, slices, stored, stored_by, utf8, word_hashes
 
 _OTHER = np.uint64(0xA24BAED4963EE407)
 _KEYS = 2_000_000  # hashes that a task sorts, on average
@@ -83,7 +83,8 @@ BLOCK = "block long, n_words long, ids array<long>, sizes array<long>, texts bin
 
 def write_blocks(docs: DataFrame, block_bytes: int = 4_000_000) -> DataFrame:
     """Rows of (block, ids, texts): runs of documents of about ``block_bytes``, compressed and stored, so that
-    every later pass sees the same blocks."""
+    every later pass sees the same blocks; bucketed by block, so that what comes back to a block meets it
+    without a shuffle of texts."""
 
     def run(batches):
         import zstandard
@@ -112,7 +113,7 @@ def write_blocks(docs: DataFrame, block_bytes: int = 4_000_000) -> DataFrame:
             yield emit()
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return stored(docs.mapInArrow(run, BLOCK), "blocks")
+    return stored_by(docs.mapInArrow(run, BLOCK), "blocks", "block")
 
 
 class Block:
@@ -254,16 +255,16 @@ def _removed_words(b: Block, cover: Cover, gone_h: np.ndarray, gone_g: np.ndarra
     return out
 
 
-def kept_texts(b: Block, removed: np.ndarray) -> list[bytes]:
+def kept_texts(b: Block, gone: np.ndarray) -> list[bytes]:
     """The kept words of each document, joined by one blank."""
-    start, end = b.start[~removed], b.end[~removed]
+    start, end = b.start[~gone], b.end[~gone]
     size = end - start + 1
     done = np.concatenate([[0], np.cumsum(size)])
     out = np.empty(int(done[-1]), np.uint8)
     at = np.repeat(start - done[:-1], size) + np.arange(len(out))
     out[:] = b.raw[np.minimum(at, max(len(b.raw) - 1, 0))] if len(out) else out
     out[done[1:] - 1] = 0x20
-    rows = done[np.concatenate([[0], np.cumsum(~removed)])[b.rows]]
+    rows = done[np.concatenate([[0], np.cumsum(~gone)])[b.rows]]
     raw = out.tobytes()
     return [raw[x: max(x, y - 1)] for x, y in zip(rows, rows[1:])]
 
@@ -276,8 +277,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, period: int | None = None,
     blocks = write_blocks(docs, block_bytes)
     words = blocks.agg(F.sum("n_words")).first()[0] or 0
     parts = max(shuffle_parts(docs.sparkSession), words // _KEYS + 1)
-    met = _met(_anchor_rows(blocks.select(*blocks.columns), cover), parts)
-    gone = _earlier(_window_rows(blocks, met, cover), parts)
+    met = stored(_met(_anchor_rows(blocks, cover), parts), "met")
+    gone = stored(_earlier(_window_rows(blocks, met, cover), parts), "gone")
+    removed(met)
     schema = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()}
     if with_text:
         schema |= {"kept": pa.string(), "spans": pa.list_(pa.list_(pa.int64()))}
@@ -285,12 +287,12 @@ def remove_repeats(docs: DataFrame, window: int = 13, period: int | None = None,
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         for row in left.to_pylist():
             b = Block(row)
-            removed = _removed_words(b, cover, right.column("h").to_numpy().view(np.uint64), right.column("g").to_numpy())
-            kept = kept_texts(b, removed)
-            n_removed = np.diff(np.concatenate([[0], np.cumsum(removed)])[b.rows])
+            out = _removed_words(b, cover, right.column("h").to_numpy().view(np.uint64), right.column("g").to_numpy())
+            kept = kept_texts(b, out)
+            n_removed = np.diff(np.concatenate([[0], np.cumsum(out)])[b.rows])
             columns = [b.ids, np.diff(b.rows), n_removed, [hashlib.sha256(x).hexdigest() for x in kept]]
             if with_text:
-                columns += [[x.decode() for x in kept], [_runs(removed[x:y]) for x, y in zip(b.rows, b.rows[1:])]]
+                columns += [[x.decode() for x in kept], [_runs(out[x:y]) for x, y in zip(b.rows, b.rows[1:])]]
             return _arrow(schema, columns)
         return _arrow(schema, [[] for _ in schema])
 
