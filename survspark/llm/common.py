@@ -42,7 +42,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     with _shuffles_removed(df.sparkSession):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
 
 
 def stored_by(df: DataFrame, name: str, column: str) -> DataFrame:
@@ -56,11 +58,10 @@ def stored_by(df: DataFrame, name: str, column: str) -> DataFrame:
 
 
 def removed(df: DataFrame) -> None:
-    """Delete the folder of a stored table that no later step reads."""
+    """Delete the folder of a ``stored`` table that no later step reads."""
     spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -5,29 +5,39 @@ least ``num / den``, differ in at most k elements, k following from the band.  T
 is cut into n1 first-level partitions of two second-level ones each: with n1 > k / 2, some first-level
 partition holds at most one difference, so one of its two subsets of size one agrees in both sets.  Each
 subset of a set is one signature (band, place, fingerprint of the elements there); similar sets share at
-least one.  A few spare partitions make it safe to leave out empty subsets, which would all agree.
+least one.  Empty subsets, which would all agree, are never signatures: a few spare partitions make up for
+them, a set with too many empty subsets adds signatures of further partitionings up to the first in which it
+has few, and a set that has none such adds the fingerprints of all its subsets that lack as many elements as a
+similar set may lack (these sets are small).
 
 Equal sets are collapsed to classes first (a class is the 64-bit fingerprint of a set).  Each class is
-first compared with the smallest one that it shares a signature with, then with the leaders of other
-components; only classes that verification leaves in different components are compared further, so large
-groups of near copies cost a star, not all pairs, and no link between components is lost.  All comparisons are exact intersections.
+first compared with the smallest one that it shares a signature with; then, round by round, classes of
+different components that share a signature and that a safe bound on their difference does not part.  A
+group proposes a spanning forest of its components and a few more pairs for each of its classes, never all
+pairs; pairs that verification has refused are known to the group, and rounds go on until no group
+has a pair to propose, so no link between components is lost.  All comparisons are exact intersections.
 
 Defined cases: null or empty texts, and texts of white space, have an empty set and link with nothing;
 texts with fewer words than a shingle are one shingle; repeated rows and ids are documents of their own;
-an empty table gives an empty result; extra columns are ignored.
+rows with a null id link like others, and a component of only such rows has a null id; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, shingle_hashes, signed, slices, stored, utf8, word_hashes
+from .common import mix, removed, shingle_hashes, signed, slices, stored, utf8, word_hashes
 from .components import connected_components
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)
+_ALL = (1 << 64) - 1
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -45,11 +55,13 @@ def set_class(s: np.ndarray) -> np.uint64:
 
 
 def parity_sketch(s: np.ndarray) -> bytes:
-    """Parity of the number of elements in each of 2^m >= 4 |set| buckets.
+    """Parity of the number of elements in each of 2^m buckets, at least eight times as many as elements in small
+    sets and as many in large ones (from 512 elements on).
 
     Each element that only one of two sets holds flips one bit, so sketches differ in at most as many bits
     as the sets differ in elements: a safe bound.  Halves fold by exclusive or."""
-    bits = max(64, 1 << int(4 * max(len(s), 1) - 1).bit_length())
+    most = max(len(s), 1)
+    bits = max(64, 1 << int(max(min(8 * most, 4096), most) - 1).bit_length())
     return np.packbits((np.bincount(((s >> np.uint64(23)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -68,6 +80,7 @@ class Bands:
     """Size bands for a similarity: band t pairs its own sizes with the sizes just above that they may join."""
 
     def __init__(self, num: int, den: int, largest: int):
+        self.num, self.den = num, den
         self.low = [1]
         while self.low[-1] <= largest:
             self.low.append(max(self.low[-1] + 1, -(-self.low[-1] * den // num)))
@@ -82,6 +95,12 @@ class Bands:
             out.append(out[-1] - 1)
         return out
 
+    def few(self, t: int) -> bool:
+        """Whether the subsets that lack as many elements as similar sets may lack are few for all sizes of the band."""
+        n = self.high[t]
+        lack = (self.den - self.num) * n // self.den
+        return n <= 64 and sum(math.comb(n, r) for r in range(lack + 1)) <= 20_000
+
     def partitions(self, t: int) -> tuple[int, int]:
         """(n1, spare): first-level partitions, and how many may go unused."""
         need = self.k[t] // 2 + 1
@@ -89,6 +108,9 @@ class Bands:
         return need + spare, spare
 
 
+_LEVELS = 8
+
+
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     """All signatures of one set (none where only equal sets can join)."""
     out = []
@@ -96,17 +118,30 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
         if bands.k[t] == 0:
             continue
         n1, spare = bands.partitions(t)
-        place = (s >> np.uint64(17)) % np.uint64(2 * n1)
-        place = place.astype(np.int64)
-        total = np.zeros(2 * n1, np.uint64)
-        np.add.at(total, place, s)
-        filled = np.zeros(2 * n1, bool)
-        filled[place] = True
-        sig = mix(total * _ODD + np.arange(2 * n1, dtype=np.uint64) + np.uint64(t << 32))
-        # first-level partitions with an empty subset; as long as they are no more than the spare ones,
-        # an agreeing subset that is not empty exists
-        bad = n1 - int((filled[0::2] & filled[1::2]).sum())
-        out.append(sig[filled] if bad <= spare else sig)
+        for level in range(_LEVELS):
+            h = s if level == 0 else mix(s ^ np.uint64(level))
+            place = ((h >> np.uint64(17)) % np.uint64(2 * n1)).astype(np.int64)
+            total = np.zeros(2 * n1, np.uint64)
+            np.add.at(total, place, s)
+            filled = np.zeros(2 * n1, bool)
+            filled[place] = True
+            out.append(mix(total * _ODD + np.arange(2 * n1, dtype=np.uint64) + np.uint64((t << 32) + (level << 28)))[filled])
+            # first-level partitions with an empty subset; as long as they are no more than the spare ones,
+            # an agreeing subset that is not empty exists.  Of two sets the one that stops first has met the other there
+            if n1 - int((filled[0::2] & filled[1::2]).sum()) <= spare:
+                break
+        else:
+            if not bands.few(t):
+                # a low similarity: too many subsets, so empty subsets of the first partitioning count after all
+                place = ((s >> np.uint64(17)) % np.uint64(2 * n1)).astype(np.int64)
+                empty = np.setdiff1d(np.arange(2 * n1), place).astype(np.uint64)
+                out.append(mix(empty + np.uint64(t << 32)))
+                continue
+            # what two similar sets share lacks only a few elements of each
+            lack = (bands.den - bands.num) * len(s) // bands.den
+            whole = s.sum(dtype=np.uint64)
+            less = [whole - np.array([sum(map(int, c)) & _ALL for c in itertools.combinations(s.tolist(), r)], np.uint64) for r in range(lack + 1)]
+            out.append(mix(np.concatenate(less) * _ODD + np.uint64((t << 32) + (_LEVELS << 28))))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -117,42 +152,107 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
                 sets = shingle_sets(part.column("text"), k)
                 cls = np.array([set_class(s) for s in sets], np.uint64)
                 n = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(signed(cls), mask=n == 0),
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(n), pa.array(signed(cls), mask=n == 0),
                                                   pa.array([parity_sketch(s) if len(s) else None for s in sets], pa.binary())],
-                                                 names=["doc_id", "n_shingles", "cls", "sketch"])
-
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long, sketch binary")
-
-
-def _still_possible(open_: DataFrame, classes: DataFrame, num: int, den: int, parts: int) -> DataFrame:
-    """Pairs (a, b) of classes in different components that share a signature and whose sketches do not
-    already differ in more bits than similar sets can."""
-    size = classes.join(open_.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(
-        F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-
-    def run(batches):
-        got = [pa.Table.from_batches([b]) for b in batches]
-        if not got:
-            return
-        t = pa.concat_tables(got)
-        sig, cls, comp, n = (t[c].to_numpy() for c in ("sig", "cls", "component", "n"))
-        order = np.argsort(sig, kind="stable")
-        start = np.flatnonzero(np.concatenate([[True], sig[order][1:] != sig[order][:-1]]))
-        found = set()
-        for a, b in zip(start, [*start[1:], len(order)]):
-            own = order[a:b]
-            if len(own) < 2:
+                                                 names=["doc_id", "h", "n_shingles", "cls", "sketch"])
+
+    return docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, n_shingles long, cls long, sketch binary")
+
+
+_GROUP = 4096  # classes of a signature that one group compares
+_MORE = 8  # pairs that a group proposes for each class, besides a spanning forest
+
+
+def _propose(sig: np.ndarray, cls: np.ndarray, comp: np.ndarray, n: np.ndarray, half: np.ndarray, sketches, refused: set, num: int, den: int):
+    """Pairs of one group (places in it) that lie in different components and may be similar; ``half`` tells the
+    two sides of a split group apart (only pairs across count; all 0: one side)."""
+    bits = _folded(sketches)
+    split = bool(half.any()) and not bool(half.all())
+    names, local, counts = np.unique(comp, return_inverse=True, return_counts=True)
+    large = int(np.argmax(counts))
+    order = np.flatnonzero(local != large) if not split else np.flatnonzero(half == 0)
+    root = list(range(len(names)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    spare, seen = _MORE * len(cls), np.zeros(len(cls), bool)
+    for i in order:
+        seen[i] = True
+        other = (local != local[i]) & ((half != half[i]) if split else ~seen)
+        y = np.flatnonzero(other)
+        differ = np.bitwise_count(bits[y] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        y = y[differ <= (den - num) * (n[i] + n[y]) // (den + num)]
+        y = y[np.minimum(n[i], n[y]) * den >= np.maximum(n[i], n[y]) * num]
+        for j in y:
+            pair = (min(int(cls[i]), int(cls[j])), max(int(cls[i]), int(cls[j])))
+            if pair in refused:
+                continue
+            a, b = find(local[i]), find(local[j])
+            if a != b:
+                root[a] = b
+            elif spare > 0:
+                spare -= 1
+            else:
                 continue
-            bits = _folded([t["sketch"][int(i)].as_py() for i in own])
-            for i in range(len(own) - 1):
-                x, y = own[i], own[i + 1:]
-                differ = np.bitwise_count(bits[i + 1:] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                ok = (differ <= (den - num) * (n[x] + n[y]) // (den + num)) & (comp[y] != comp[x])
-                found.update((min(int(cls[x]), int(c)), max(int(cls[x]), int(c))) for c in cls[y[ok]])
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+            yield pair
+
+
+def _proposals(open_: DataFrame, refused: DataFrame | None, sketches: DataFrame, num: int, den: int, parts: int) -> DataFrame:
+    """(a, b): pairs of classes in different components that groups propose.
+
+    Groups of more than ``_GROUP`` classes are split into blocks, and each pair of blocks is a group."""
+    count = open_.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / _GROUP).cast("int").alias("blocks"))
+    rows = open_.join(count, "sig").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    rows = rows.select("sig", "cls", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("half"),
+                       "cls", "component").join(sketches, "cls").withColumn("partner", F.lit(None).cast("long"))
+    if refused is not None:
+        # a refused pair goes to the groups that hold its smaller class
+        told = refused.select(F.col("a").alias("cls"), F.col("b").alias("partner")).join(sketches.select(F.col("cls").alias("partner")), "partner", "left_semi")
+        told = rows.select("sig", "p", "q", "cls").join(told, "cls")
+        rows = rows.unionByName(told, allowMissingColumns=True)
+    rows = rows.repartition(parts, "sig", "p", "q").sortWithinPartitions("sig", "p", "q")
+
+    def group(t: pa.Table):
+        row = pc.is_null(t["partner"])
+        said, t = t.filter(pc.invert(row)), t.filter(row)
+        known = set(zip(said["cls"].to_pylist(), said["partner"].to_pylist()))
+        sig, cls, comp, n, half = (t[c].to_numpy() for c in ("sig", "cls", "component", "n", "half"))
+        return set(_propose(sig, cls, comp, n, half, t["sketch"].to_pylist(), known, num, den)) if len(cls) > 1 and (both_sides(t) if t["p"][0] != t["q"][0] else True) else set()
+
+    def both_sides(t: pa.Table) -> bool:
+        return len(pc.unique(t["half"])) > 1
 
-    return open_.select("sig", "cls", "component").join(size, "cls").repartition(parts, "sig").mapInArrow(run, "a long, b long").distinct()
+    def run(batches):
+        held, key, out = [], None, set()
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("sig", "p", "q")])
+            cut = np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1
+            for a, b in zip([0, *cut], [*cut, batch.num_rows]):
+                if a == b:
+                    continue
+                if tuple(keys[:, a]) != key:
+                    if held:
+                        out |= group(pa.Table.from_batches(held))
+                    held, key = [], tuple(keys[:, a])
+                held.append(batch.slice(a, b - a))
+                if len(out) > 100_000:
+                    yield _pairs(out)
+                    out = set()
+        if held:
+            out |= group(pa.Table.from_batches(held))
+        if out:
+            yield _pairs(out)
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _pairs(found: set) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
 
 def _signature_rows(docs: DataFrame, k: int, num: int, den: int, largest: int) -> DataFrame:
@@ -200,15 +300,21 @@ def _shared(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "sig").mapInArrow(run, "sig long, cls long, first long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough."""
-    size = classes.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+def _id():
+    """The id as a join key: null is a value of its own."""
+    return F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of classes, and those whose sets are similar enough."""
+    size = classes.groupBy("cls").agg(F.min(F.struct(_id(), "h")).alias("at"), F.first("n_shingles").alias("n"))
     pairs = (pairs.join(size.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a")
              .join(size.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
              .where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b"))
     pairs = stored(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    one = wanted.join(size, "cls").select("doc_id", "cls")
+    # one row of each class, found again by its id and the hash of its text
+    one = wanted.join(size, "cls").select("at.id", "at.h", "cls")
 
     def sets(batches):
         for batch in batches:
@@ -220,7 +326,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num
                     yield pa.RecordBatch.from_arrays([part.column("cls").take(pa.array(keep)), pa.array(
                         [signed(found[i]) for i in keep], pa.list_(pa.int64()))], names=["cls", "elements"])
 
-    table = stored(docs.join(one, "doc_id").select("cls", "text").mapInArrow(sets, "cls long, elements array<long>")
+    table = stored(docs.select(_id(), "h", "text").join(one, ["id", "h"]).select("cls", "text").mapInArrow(sets, "cls long, elements array<long>")
                    .dropDuplicates(["cls"]), "sets")
 
     def compare(batches):
@@ -233,52 +339,60 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num
                 ok.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return (pairs.join(table.select(F.col("cls").alias("a"), F.col("elements").alias("x")), "a")
-            .join(table.select(F.col("cls").alias("b"), F.col("elements").alias("y")), "b")
-            .mapInArrow(compare, "a long, b long"))
+    links = stored(pairs.join(table.select(F.col("cls").alias("a"), F.col("elements").alias("x")), "a")
+                   .join(table.select(F.col("cls").alias("b"), F.col("elements").alias("y")), "b")
+                   .mapInArrow(compare, "a long, b long"), "links")
+    removed(table)
+    return pairs, links
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, with_keys: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents linked directly or through others, where
-    ``den * |A n B| >= num * |A u B|`` links; the component is its smallest ``doc_id``."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    ``den * |A n B| >= num * |A u B|`` links; the component is its smallest ``doc_id``.  ``with_keys`` adds the
+    ``xxhash64`` of the text (``h``) and a key of the component that ids, null or repeated, do not
+    touch (``component``, null for empty sets)."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("h", F.xxhash64("text"))
     classes = stored(_classes(docs, k), "classes")
     total, largest = classes.agg(F.sum("n_shingles"), F.max("n_shingles")).first()
     if not total:
-        return classes.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return classes.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *[F.col("h"), F.col("cls").alias("component")] * with_keys)
     parts = max(8, int(total) // 2_000_000 + 1)
     shared = stored(_shared(_signature_rows(docs, k, num, den, int(largest)), parts), "shared")
 
-    def components(links):
-        label = stored(connected_components(links), "labels")
-        named = shared.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        apart = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-        # signatures that still hold several components
-        return label, stored(named.join(apart, "sig").select("sig", "cls", "first", "component"), "apart")
+    def still_open(rows, label):
+        """Signatures that hold several components; of those with the same classes one is enough."""
+        named = rows.select("sig", "cls").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        hashes = [F.sum(F.xxhash64(F.lit(i), "cls").cast("decimal(38,0)")).alias(f"f{i}") for i in (1, 2)]
+        apart = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *hashes).where("lo <> hi")
+        one = apart.groupBy("f1", "f2").agg(F.min("sig").alias("sig")).select("sig")
+        return stored(named.join(one, "sig").select("sig", "cls", "component"), "open")
 
     # 1. each class with the smallest class it shares a signature with: one pair a class
-    tested = stored(shared.where("cls <> first").groupBy(F.col("cls").alias("b")).agg(F.min("first").alias("a")).select("a", "b"), "star")
-    links = stored(_verified(tested, docs, classes, k, num, den), "links")
-    label, open_ = components(links)
-    # 2. each class with the smallest class of every other component that leads one of its signatures
-    lead = open_.where("cls = first").select("sig", "first", F.col("component").alias("lead"))
-    more = stored(open_.where("cls <> first").select("sig", "cls", "component").join(lead, "sig").where("component <> lead")
-                  .groupBy(F.col("cls").alias("b"), "lead").agg(F.min("first").alias("a")).select("a", "b")
-                  .join(tested, ["a", "b"], "left_anti"), "star")
-    if not more.isEmpty():
-        tested = tested.unionByName(more)
-        links = links.unionByName(stored(_verified(more, docs, classes, k, num, den), "links"))
-        label, open_ = components(links)
-    # 3. all pairs of classes that share a signature and are still apart, if their sketches allow it
-    rest = stored(_still_possible(open_, classes, num, den, parts).join(tested, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(stored(_verified(rest, docs, classes, k, num, den), "links"))
-        label = stored(connected_components(links), "labels")
+    star = shared.where("cls <> first").groupBy(F.col("cls").alias("b")).agg(F.min("first").alias("a")).select("a", "b")
+    tested, links = _verified(star, docs, classes, k, num, den)
+    label = stored(connected_components(links), "labels")
+    open_ = still_open(shared, label)
+    removed(shared)
+    sketches = stored(classes.join(open_.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(
+        F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "sketches")
+    # 2. round by round, what groups of several components propose
+    refused = stored(tested.join(links, ["a", "b"], "left_anti"), "refused")
+    while True:
+        rest = stored(_proposals(open_, refused, sketches, num, den, parts), "rest")
+        if rest.isEmpty():
+            break
+        tested, more = _verified(rest, docs, classes, k, num, den)
+        refused = refused.unionByName(stored(rest.join(more, ["a", "b"], "left_anti"), "refused"))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            label = stored(connected_components(links), "labels")
+            before, open_ = open_, still_open(open_, label)
+            removed(before)
     named = classes.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    named = stored(named.select("doc_id", "n_shingles", "component"), "members")
+    named = stored(named.select("doc_id", "h", "n_shingles", "component"), "members")
     least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "component", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *["h", "component"] * with_keys)
 
 
 def op9_jaccard(spark, sf_dir: str) -> DataFrame:

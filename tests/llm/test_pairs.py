@@ -67,6 +67,54 @@ def test_jaccard_groups_equal_brute_force(spark, docs, k, num, den):
     assert sorted(tuple(r) for r in got.collect()) == groups(rows, k, num, den)
 
 
+def test_near_copies_without_a_common_original_stay_linear(spark, docs, monkeypatch):
+    """Variants with two changed words each are similar to some others only; pairs sent to verification stay few."""
+    sent = []
+    real = partenum._verified
+    monkeypatch.setattr(partenum, "_verified", lambda pairs, *a: (sent.append(pairs.count()), real(pairs, *a))[1])
+    counts = {}
+    for n in (60, 240):
+        rng = random.Random(n)
+        base = [f"b{i}" for i in range(60)]
+        rows = []
+        for i in range(n):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                copy[rng.randrange(60)] = f"x{rng.randrange(40)}"
+            rows.append((i, " ".join(copy)))
+        sent.clear()
+        got = partenum.jaccard_groups(docs([(d, t, None) for d, t in rows]), 4, 85, 100)
+        assert sorted(tuple(r) for r in got.collect()) == groups(rows, 4, 85, 100)
+        counts[n] = sum(sent)
+    assert counts[240] <= 8 * counts[60], counts
+
+
+def test_split_groups_and_small_sets_equal_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(partenum, "_GROUP", 5)
+    monkeypatch.setattr(partenum, "_MORE", 0)
+    rng = random.Random(8)
+    rows = []
+    for g in range(8):
+        base = [f"w{rng.randrange(9)}{rng.randrange(30)}" for _ in range(rng.randrange(9, 26))]
+        for _ in range(12):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 3)):
+                at = rng.randrange(len(copy))
+                copy[at: at + 1] = rng.choice([[], ["n%d" % rng.randrange(5)], [copy[at], "more"]])
+            rows.append((len(rows), " ".join(copy)))
+    for num in (85, 80, 60):
+        got = partenum.jaccard_groups(docs([(d, t, None) for d, t in rows]), 2, num, 100)
+        assert sorted(tuple(r) for r in got.collect()) == groups(rows, 2, num, 100)
+
+
+def test_rows_without_an_id_link_like_others(spark, docs):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text.replace("w30", "new")
+    got = partenum.jaccard_groups(docs([(None, text, None), (7, near, None), (9, near + " end", None), (None, "one two three four five", None),
+                                        (None, "one two three four five", None)]), 4, 85, 100).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted([(None, 57, 7), (7, 57, 7), (9, 58, 7), (None, 2, None), (None, 2, None)], key=repr)
+
+
 def test_jaccard_of_empty_table_and_of_null_texts(spark, docs):
     assert partenum.jaccard_groups(docs([(1, "a", None)]).where("false")).count() == 0
     assert [tuple(r) for r in partenum.jaccard_groups(docs([(1, None, None)])).collect()] == [(1, 0, 1)]

@@ -123,3 +123,16 @@ def test_pipeline_stages(spark):
             assert not any(re.search(r"@mail\d\.example\.com|\+1 \(\d+\) 555-\d{4}", r.text) for r in out.collect())
         assert stage(spark, docs.where("false"), SF).count() == 0
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_decide_by_row_where_ids_are_null_or_repeat(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 150").first()["text"]
+    clean = " ".join(f"clean{i}" for i in range(80))
+    near = clean.replace("clean40", "other")
+    rows = [(None, clean), (5, near), (5, "another text of the same id"), (6, None), (None, item), (8, item + " tail"), (8, "clean row of an id that repeats"),
+            (9, "one " * 3), (9, "one " * 3)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+    assert (5, near) in kept and (None, clean) not in kept and (5, "another text of the same id") in kept and (6, None) in kept
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.decontaminated(spark, docs, SF).collect()]
+    assert sorted(kept, key=repr) == sorted([r for r in rows if r[1] is None or item not in r[1]], key=repr)
