@@ -29,17 +29,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group that word 5-gram similarity of 0.8 or more links."""
-    again = jaccard_groups(docs, k=5, num=80, den=100).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(again, "doc_id", "left_anti")
-    # rows that repeat both id and text are one group too; the join has dealt them out by id already
-    return kept.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).select(*COLUMNS)
+    """Keeps one row of each group that word 5-gram similarity of 0.8 or more links: the one with the smallest
+    id (null last), then the smallest hash of the text; rows that repeat both are one group too."""
+    groups = jaccard_groups(docs, k=5, num=80, den=100, with_keys=True).where("component is not null")
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "h")).alias("first"))
+    again = groups.join(first, "component").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))))
+    again = again.select(F.col("doc_id").alias("_id"), F.col("h").alias("_again")).distinct()
+    # decisions come back by id and text: one id may stand for several texts
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("_h"))
+    kept = rows.join(again, (F.col("_h") == F.col("_again")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return kept.dropDuplicates(["doc_id", "_h"]).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold an item of ``benchmark``."""
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.select(*COLUMNS).join(stored(found.select("doc_id").distinct(), "contaminated"), "doc_id", "left_anti")
+    """Drops documents that hold an item of ``benchmark``; the hash of the text stands for the row, as only the text decides."""
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("_h"))
+    found = find_contamination(rows.select(F.col("_h").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(stored(found.select(F.col("doc_id").alias("_h")).distinct(), "contaminated"), "_h", "left_anti").select(*COLUMNS)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
