@@ -173,15 +173,18 @@ def linspace_grid(n: int = 100) -> list[float]:
 
 
 def _interp_segments(seg: DataFrame, by: Sequence[str], n: int) -> DataFrame:
-    """Evaluate piecewise-linear segments ``(x0, y0, x1, y1)`` at the fixed grid.
+    """Evaluate piecewise-linear segments ``(x0, y0, x1, y1)`` at the fixed grid (SC9).
 
     Each grid value takes the segment with ``x0 <= g < x1`` (the last point at or left of ``g``
-    and the next one, as ``np.interp``); a final open segment holds the last value.  The grid is
-    a fixed-size broadcast table (``n`` rows), so the range join emits only matching rows.
+    and the next one, as ``np.interp``); a final open segment holds the last value.  A segment makes
+    exactly the grid points it covers: their numbers lie between its ends times ``n - 1``, a grid point more on
+    either side is compared exactly, and no join is needed.
     """
-    spark = seg.sparkSession
-    grid = spark.createDataFrame([(i, g) for i, g in enumerate(linspace_grid(n))], "k int, g double")
-    j = seg.join(F.broadcast(grid), (grid["g"] >= seg["x0"]) & (grid["g"] < seg["x1"]))
+    grid = F.lit(linspace_grid(n))
+    low = F.greatest(F.floor(F.col("x0") * (n - 1)).cast("int"), F.lit(0))
+    high = F.least(F.ceil(F.least("x1", F.lit(2.0)) * (n - 1)).cast("int"), F.lit(n - 1))
+    covered = F.filter(F.sequence(low, high), lambda k: (grid[k] >= F.col("x0")) & (grid[k] < F.col("x1")))
+    j = seg.where((F.col("x1") > F.col("x0")) & (low <= high)).select(*by, "x0", "y0", "x1", "y1", F.explode(covered).alias("k")).withColumn("g", grid[F.col("k")])
     val = F.when(F.col("g") == F.col("x0"), F.col("y0")).otherwise(
         F.col("y0") + (F.col("g") - F.col("x0")) * (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0")))
     return j.select(*by, "k", "g", val.alias("y"))
@@ -224,8 +227,7 @@ def mean_pr(df: DataFrame, event: str = "event", pred: str = "pred", fold: str =
     # reversed: entry k of the fold curve is the interpolation at grid point n-1-k
     it = it.select(fold, (F.lit(n - 1) - F.col("k")).alias("k"), "y")
     it = it.withColumn("y", F.when(F.col("k") == 0, F.lit(1.0)).otherwise(F.col("y")))
-    grid = df.sparkSession.createDataFrame([(i, g) for i, g in enumerate(linspace_grid(n))], "k int, g double")
-    m = it.groupBy("k").agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("s")).join(F.broadcast(grid), "k")
+    m = it.groupBy("k").agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("s")).withColumn("g", F.lit(linspace_grid(n))[F.col("k")])
     m = m.withColumn("m", F.when(F.col("k") == n - 1, F.lit(0.0)).otherwise(F.col("m")))
     return m.select("k", F.col("g").alias("recall"), F.col("m").alias("precision_mean"),
                     F.col("s").alias("precision_std"),
@@ -247,6 +249,16 @@ def grid_summary(curve: DataFrame, x: str, y: str, kind: str = "roc") -> DataFra
                  ).select("auc", F.col(f"best.{x}").alias(f"best_{x}"), F.col(f"best.{y}").alias(f"best_{y}"))
 
 
+def fold_auc_summary(df: DataFrame, event: str, pred: str, fold: str, kind: str = "roc", n: int = 100) -> DataFrame:
+    """MT10/MT11: what stands beside a mean curve: ``(auc, auc_mean, auc_std, best_...)``.
+
+    ``auc`` is the area under the mean curve, ``auc_mean`` and ``auc_std`` (population) are those of the folds'
+    own curves, and the best point is ``grid_summary``'s."""
+    points, curve, x, y = (roc_points, mean_roc, "fpr", "tpr_mean") if kind == "roc" else (pr_points, mean_pr, "recall", "precision_mean")
+    per = curve_auc(points(df, event, pred, [fold]), kind, [fold]).agg(F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std"))
+    return grid_summary(curve(df, event, pred, fold, n), x, y, kind).crossJoin(F.broadcast(per))  # one row each
+
+
 def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """AG7: Pearson correlation of every pair of columns (diagonal included), long ``(a, b, corr)``,
     from one aggregate."""

@@ -643,6 +643,18 @@ def q_roc_mean_summary(spark, d):
     return metrics.grid_summary(metrics.mean_roc(_p(spark, d), "event", "p1", "fold"), "fpr", "tpr_mean", "roc")
 
 
+@query("roc_fold_summary")
+def q_roc_fold_summary(spark, d):
+    """MT10: AUC of the mean ROC, mean and std of the folds' AUCs, best Youden point."""
+    return metrics.fold_auc_summary(_p(spark, d), "event", "p1", "fold", "roc")
+
+
+@query("pr_fold_summary")
+def q_pr_fold_summary(spark, d):
+    """MT11: AUC of the mean precision-recall curve, mean and std of the folds' AUCs, best F1 point."""
+    return metrics.fold_auc_summary(_p(spark, d), "event", "p1", "fold", "pr")
+
+
 @query("regression_errors")
 def q_regression_errors(spark, d):
     """MT8: MSE, MAE, MAPE(+1) of 800 * r1 against time, overall and per group."""

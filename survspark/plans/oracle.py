@@ -638,3 +638,17 @@ hh AS (SELECT id, fold, eta, 'weibull' family, exp(z) H, exp(eta + s * ln(ln(2.0
        UNION ALL SELECT id, fold, eta, 'lognormal', -ln(0.5 * erfc), exp(eta) FROM ef)"""
 SQL["aft_given_oof"] = W(S, P, _MF, _given(_AFT_GIVEN).format("a, b0, b1, b2, s"), _AFT_Z, _AFT_E) + f"""
 SELECT id, fold, family, {R('-eta')} oof_risk_score, {R('H')} oof_cumulative_hazard, {R('exp(-H)')} oof_survival_probability, {R('mid')} oof_median FROM hh"""
+
+
+# ---------------------------------------------------------------------------------- AUC of the folds beside the mean curves
+
+def _auc_folds(curve: str, area: str, lag: str) -> str:
+    return W(S, P, _pts("p1", "fold"), curve,
+             f"fa AS (SELECT fold, sum({area}) auc FROM (SELECT *, {lag} FROM cp WINDOW w AS (PARTITION BY fold ORDER BY pos)) GROUP BY fold)") + f"""
+SELECT {R('avg(auc)')} auc_mean, {R('stddev_pop(auc)')} auc_std FROM fa"""
+
+
+SQL["roc_fold_summary"] = f"SELECT * FROM ({SQL['roc_mean_summary']}) CROSS JOIN (" + _auc_folds(
+    _ROC_CURVE, "(x - x0) * (y + y0) / 2.0", "lag(x) OVER w x0, lag(y) OVER w y0") + ")"
+SQL["pr_fold_summary"] = f"SELECT * FROM ({SQL['pr_mean_summary']}) CROSS JOIN (" + _auc_folds(
+    _PR_CURVE, "((1 - x) - (1 - x1)) * (y + y1) / 2.0", "lead(x) OVER w x1, lead(y) OVER w y1") + ")"
