@@ -1,10 +1,10 @@
 """Parametric survival fits (SV9-SV11, SV14), globally or per group.
 
-Fitting is maximum likelihood with right censoring.  Every Newton step is one distributed
-aggregate of per-row score/Hessian terms grouped by the group key; only a few sums per group
-come back to the driver, which updates the parameters (the same pattern Spark ML uses for its
-own iterative solvers).  Evaluation is a scalar projection after joining the (small, one row per
-group) parameter table.
+Fitting is maximum likelihood with right censoring.  Rows of one group, time and event indicator are
+collapsed once.  Every Newton step is one distributed aggregate of score and Hessian terms grouped by the
+group key, joined to a table of the groups' parameters, which a projection advances; groups that have converged leave
+(``iterate``).  No group's numbers reach the driver, so there may be as many groups as rows.  Evaluation is a scalar projection
+after joining the parameter table (one row per group).
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import norm_logsf, norm_sf
+from ..session import written
 
 _SQRT_2PI = math.sqrt(2.0 * math.pi)
 
@@ -86,57 +86,74 @@ def evaluate(df: DataFrame, params: DataFrame, family: str, time: str = "time",
                     h.alias(f"{prefix}hazard"))
 
 
-def _group_rows(agg: DataFrame, group: str | None) -> dict:
-    return {(r[group] if group else None): r for r in agg.collect()}
+def _collapsed(df: DataFrame, time: str, event: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, l = ln t, e, n): rows of one time and event indicator of a group are one row."""
+    x = _clean(df, time, event, keys[0] if keys else None).filter(F.col(time) > 0)
+    x = x.groupBy(*keys, F.col(time).cast("double").alias("__t"), F.col(event).cast("double").alias("__e")).agg(F.count(F.lit(1)).cast("double").alias("__n"))
+    return written(x.select(*keys, F.log("__t").alias("__l"), "__e", "__n"), "fit_rows")
 
 
-def _with_params(base: DataFrame, group: str | None, params: dict, names: Sequence[str]) -> DataFrame:
-    """Attach per-group parameter values: literals for a global fit, otherwise a join with a small
-    parameter table (one row per group), so the plan does not grow with the number of groups."""
-    if not group:
-        vals = params[None]
-        return base.withColumns({n: F.lit(float(v)) for n, v in zip(names, vals)})
-    gtype = base.schema[group].dataType
-    from pyspark.sql.types import DoubleType, StructField, StructType
+def _with_state(base: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return base.join(state, list(keys)) if keys else base.crossJoin(F.broadcast(state))  # without keys the state is one row
 
-    schema = StructType([StructField(group, gtype), *[StructField(n, DoubleType()) for n in names]])
-    table = base.sparkSession.createDataFrame([(g, *map(float, v)) for g, v in params.items()], schema)
-    return base.join(table, group)
 
-
-
-def _newton(at, par: dict, propose, max_iter: int, tol: float) -> tuple[dict, set]:
-    """Damped Newton for every group at once: ``at(params)`` evaluates all given groups in one aggregate,
-    ``propose(params, sums)`` gives a group's step.  A group that does not improve halves its own step only,
-    and a group that has converged is not evaluated again.  Returns (params, groups that converged)."""
-    best = at(par)
-    step = {g: propose(par[g], best[g]) for g in par}
-    done = {g for g, d in step.items() if max(map(abs, d)) < tol}
+def iterate(base: DataFrame, state: DataFrame, keys: Sequence[str], sums: Sequence[Column], advance: Mapping[str, Column], max_iter: int) -> DataFrame:
+    """A fit of every group at once, table to table: ``state`` has a row for each group with its parameters and a
+    boolean ``done``; a step joins the open groups to their rows, takes ``sums`` and replaces the columns of
+    ``advance``.  Groups that are done leave; the driver sees only whether any are left.  Columns in ``advance`` may use
+    the sums and the old state; the state is written once a step, so the plan does not grow."""
+    names = state.columns
+    state = written(state, "fit_state")
+    finished = state.where("done")
     for _ in range(max_iter):
-        open_ = [g for g in par if g not in done]
-        if not open_:
+        if state.where("NOT done").isEmpty():
             break
-        cand = {g: [a + d for a, d in zip(par[g], step[g])] for g in open_}
-        new = at(cand)
-        for g in open_:
-            if new[g]["ll"] is not None and new[g]["ll"] >= best[g]["ll"] - 1e-12 * abs(best[g]["ll"]):
-                size = max(map(abs, step[g]))
-                par[g], best[g] = cand[g], new[g]
-                step[g] = propose(par[g], best[g])
-                if size < tol or max(map(abs, step[g])) < tol:
-                    done.add(g)
-            else:
-                step[g] = [d / 2 for d in step[g]]
-                if max(map(abs, step[g])) < tol:
-                    done.add(g)
-    return par, done
-
-
-def _table(df: DataFrame, group: str | None, names: Sequence[str], fitted: dict, converged: set, every) -> DataFrame:
+        open_ = state.where("NOT done")
+        got = _with_state(base, open_, keys).groupBy(*keys).agg(*sums)
+        new = _with_state(open_, got, keys).withColumns(dict(advance)).select(*names)
+        state = written(new, "fit_state")
+        finished = finished.unionByName(state.where("done"))
+    return finished.unionByName(state.where("NOT done"))
+
+
+def newton_state(init: DataFrame, keys: Sequence[str], first: tuple[Column, Column]) -> DataFrame:
+    """The state of a damped Newton search in two parameters ``a, b``: best point, its value, the step to try."""
+    return init.select(*keys, "has", first[0].alias("a"), first[1].alias("b"), F.lit(None).cast("double").alias("best"), F.lit(0.0).alias("sa"), F.lit(0.0).alias("sb"),
+                       (~F.col("has")).alias("done"))
+
+
+def newton_step(tol: float, positive_b: bool) -> dict[str, Column]:
+    """One damped Newton step for a group: the tried point (a + sa, b + sb) has value ``ll``, gradient ``ga, gb`` and
+    Hessian ``haa, hab, hbb``.  A point that does not improve halves the step from the best one; else
+    it becomes the best one and a new step is taken: Newton's where the Hessian is negative definite, else a short one up the
+    gradient, of at most one (for a positive b: relative to b, and b stays positive)."""
+    got = [F.col(c) for c in ("ga", "gb", "haa", "hab", "hbb")]
+    ga, gb, haa, hab, hbb = got
+    b = F.col("b") + F.col("sb")
+    better = F.col("best").isNull() | (F.col("ll") >= F.col("best") - F.lit(1e-12) * F.abs("best"))
+    det = haa * hbb - hab * hab
+    concave = (det > 0) & (haa < 0)
+    da = F.when(concave, -(hbb * ga - hab * gb) / det).otherwise(F.lit(1e-3) * ga)
+    db = F.when(concave, -(haa * gb - hab * ga) / det).otherwise(F.lit(1e-3) * gb)
+    size = F.greatest(F.abs(da), F.abs(db) / F.greatest(b, F.lit(1e-12)) if positive_b else F.abs(db), F.lit(1e-300))
+    scale = F.least(F.lit(1.0), F.lit(1.0) / size)
+    if positive_b:  # as many halves as keep b above 0
+        down = -db * scale / b
+        scale = scale * F.when(down >= 1, F.pow(F.lit(0.5), F.floor(F.log2(down)) + 1)).otherwise(F.lit(1.0))
+    tried = F.greatest(F.abs("sa"), F.abs("sb"))
+    new_a, new_b = da * scale, db * scale
+    small = F.greatest(F.abs(new_a), F.abs(new_b)) < tol
+    return {
+        "a": F.when(better, F.col("a") + F.col("sa")).otherwise(F.col("a")), "b": F.when(better, b).otherwise(F.col("b")),
+        "done": F.when(better, small | (F.col("best").isNotNull() & (tried < tol))).otherwise(tried / 2 < tol),
+        "sa": F.when(better, new_a).otherwise(F.col("sa") / 2), "sb": F.when(better, new_b).otherwise(F.col("sb") / 2),
+        "best": F.when(better, F.col("ll")).otherwise(F.col("best")),
+    }
+
+
+def _fitted(state: DataFrame, keys: Sequence[str], **params: Column) -> DataFrame:
     """One row a group; null parameters where a group has no maximum (no event)."""
-    rows = [((g,) if group else ()) + tuple(fitted.get(g, (None,) * len(names))) + (g in converged if g in fitted else None,) for g in every]
-    schema = (f"{group} string, " if group else "") + ", ".join(f"{n} double" for n in names) + ", converged boolean"
-    return df.sparkSession.createDataFrame(rows, schema)
+    return state.select(*keys, *[F.when(F.col("has"), c).alias(n) for n, c in params.items()], F.when(F.col("has"), F.col("done")).alias("converged"))
 
 
 def fit_weibull(df: DataFrame, time: str = "time", event: str = "event", group: str | None = None,
@@ -149,44 +166,22 @@ def fit_weibull(df: DataFrame, time: str = "time", event: str = "event", group:
     has null parameters; ``converged`` tells whether the steps fell below ``tol``.
     """
     keys = [group] if group else []
-    x = _clean(df, time, event, group).filter(F.col(time) > 0)
-    mx = x.groupBy(*keys).agg(F.max(time).alias("__mx"))
-    base = (x.join(mx, keys) if keys else x.withColumn("__mx", F.lit(float(x.agg(F.max(time)).first()[0]))))
-    base = base.select(*keys, F.log(F.col(time) / F.col("__mx")).alias("__l"), F.col(event).cast("double").alias("__e"),
-                       "__mx").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        stats = _group_rows(base.groupBy(*keys).agg(F.sum("__e").alias("D"), F.sum(F.col("__e") * F.col("__l")).alias("SL"),
-                                                    F.first("__mx").alias("mx")), group)
-        every, stats = list(stats), {g: st for g, st in stats.items() if st["D"]}
-        rho, done = {g: 1.0 for g in stats}, set()
-        for _ in range(max_iter if stats else 0):
-            b = _with_params(base, group, {g: (r,) for g, r in rho.items()}, ["__rho"])
-            w = F.exp(F.col("__rho") * F.col("__l"))
-            sums = _group_rows(b.groupBy(*keys).agg(F.sum(w).alias("A"), F.sum(w * F.col("__l")).alias("B"),
-                                                    F.sum(w * F.col("__l") * F.col("__l")).alias("C")), group)
-            for g, st in stats.items():
-                D, SL = st["D"], st["SL"]
-                A, B, C = sums[g]["A"], sums[g]["B"], sums[g]["C"]
-                r = rho[g]
-                score = D / r + SL - D * B / A
-                deriv = -D / (r * r) - D * (C * A - B * B) / (A * A)
-                step = score / deriv
-                new = r - step
-                if new <= 0:
-                    new = r / 2
-                (done.add if abs(new - r) < tol * max(1.0, abs(r)) else done.discard)(g)
-                rho[g] = new
-            if len(done) == len(stats):
-                break
-        if not stats:
-            return _table(df, group, ["lambda_", "rho_"], {}, set(), every)
-        # final scale per group
-        b = _with_params(base, group, {g: (r,) for g, r in rho.items()}, ["__rho"])
-        A = _group_rows(b.groupBy(*keys).agg(F.sum(F.exp(F.col("__rho") * F.col("__l"))).alias("A")), group)
-        fitted = {g: (float(st["mx"] * (A[g]["A"] / st["D"]) ** (1.0 / rho[g])), float(rho[g])) for g, st in stats.items()}
-        return _table(df, group, ["lambda_", "rho_"], fitted, done, every)
-    finally:
-        base.unpersist()
+    base = _collapsed(df, time, event, keys)
+    n, u = F.col("__n"), F.col("__l") - F.col("mx")  # ln of the time over the group's largest
+    stats = base.groupBy(*keys).agg(F.max("__l").alias("mx"), F.sum(n * F.col("__e")).alias("D"), F.sum(n * F.col("__e") * F.col("__l")).alias("SL"))
+    has = F.coalesce(F.col("D") > 0, F.lit(False))
+    state = stats.select(*keys, has.alias("has"), "mx", "D", (F.col("SL") - F.col("D") * F.col("mx")).alias("SL"), F.lit(1.0).alias("rho"),
+                         F.lit(0.0).alias("S"), (~has).alias("done"), F.lit(False).alias("last"))
+    w = n * F.exp(F.col("rho") * u)
+    D, A, B, C, r = (F.col(c) for c in ("D", "A", "B", "C", "rho"))
+    score, deriv = D / r + F.col("SL") - D * B / A, -D / (r * r) - D * (C * A - B * B) / (A * A)
+    new = F.when(r - score / deriv > 0, r - score / deriv).otherwise(r / 2)
+    close = F.abs(new - r) < F.lit(tol) * F.greatest(F.lit(1.0), F.abs(r))
+    # the step after the last small one only takes the sum for the scale
+    advance = {"S": F.when(F.col("last"), A).otherwise(F.lit(0.0)), "done": F.col("last"), "last": F.col("last") | close, "rho": F.when(F.col("last"), r).otherwise(new)}
+    sums = [F.sum(w).alias("A"), F.sum(w * u).alias("B"), F.sum(w * u * u).alias("C")]
+    out = iterate(base, state, keys, sums, advance, max_iter)
+    return _fitted(out, keys, lambda_=F.exp(F.col("mx") + F.log(F.col("S") / D) / r), rho_=r)
 
 
 def loglogistic_terms(a: Column, b: Column, x: Column, e: Column) -> dict[str, Column]:
@@ -212,36 +207,12 @@ def fit_loglogistic(df: DataFrame, time: str = "time", event: str = "event", gro
     """SV11: log-logistic MLE (``S = 1 / (1 + (t/alpha_)^beta_)``) by damped Newton on
     ``(ln alpha, beta)``; each step is one grouped aggregate of gradient and Hessian terms."""
     keys = [group] if group else []
-    base = (_clean(df, time, event, group).filter(F.col(time) > 0)
-            .select(*keys, F.log(time).alias("__x"), F.col(event).cast("double").alias("__e"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        init = _group_rows(base.groupBy(*keys).agg(F.avg("__x").alias("m"), F.sum("__e").alias("d")), group)
-        par = {g: [r["m"], 1.0] for g, r in init.items() if r["d"]}
-
-        def at(par_):
-            b = _with_params(base, group, par_, ["__pa", "__pb"])
-            t = loglogistic_terms(F.col("__pa"), F.col("__pb"), F.col("__x"), F.col("__e"))
-            return _group_rows(b.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in t.items()]), group)
-
-        def propose(p, r):
-            b_ = p[1]
-            haa, hab, hbb, ga, gb = r["haa"], r["hab"], r["hbb"], r["ga"], r["gb"]
-            det = haa * hbb - hab * hab
-            if det > 0 and haa < 0:
-                da, db = -(hbb * ga - hab * gb) / det, -(-hab * ga + haa * gb) / det
-            else:  # not concave here: scaled gradient step
-                da, db = 1e-3 * ga, 1e-3 * gb
-            scale = min(1.0, 1.0 / max(abs(da), abs(db) / max(b_, 1e-12), 1e-300))
-            da, db = da * scale, db * scale
-            while b_ + db <= 0:
-                da, db = da / 2, db / 2
-            return [da, db]
-
-        par, done = _newton(at, par, propose, max_iter, tol) if par else ({}, set())
-        return _table(df, group, ["alpha_", "beta_"], {g: (float(math.exp(a_)), float(b_)) for g, (a_, b_) in par.items()}, done, init)
-    finally:
-        base.unpersist()
+    base = _collapsed(df, time, event, keys)
+    n = F.col("__n")
+    init = base.groupBy(*keys).agg((F.sum(n * F.col("__l")) / F.sum(n)).alias("m"), F.coalesce(F.sum(n * F.col("__e")) > 0, F.lit(False)).alias("has"))
+    t = loglogistic_terms(F.col("a") + F.col("sa"), F.col("b") + F.col("sb"), F.col("__l"), F.col("__e"))
+    out = iterate(base, newton_state(init, keys, (F.col("m"), F.lit(1.0))), keys, [F.sum(n * v).alias(k) for k, v in t.items()], newton_step(tol, True), max_iter)
+    return _fitted(out, keys, alpha_=F.exp("a"), beta_=F.col("b"))
 
 
 def lognormal_terms(mu: Column, s: Column, x: Column, e: Column) -> dict[str, Column]:
@@ -271,32 +242,16 @@ def fit_lognormal(df: DataFrame, time: str = "time", event: str = "event", group
     ``(mu, ln sigma)``; each step is one grouped aggregate.  The normal tail uses a Catalyst
     ``erfc`` (fractional error < 1.2e-7), so parameters are exact to about that precision."""
     keys = [group] if group else []
-    base = (_clean(df, time, event, group).filter(F.col(time) > 0)
-            .select(*keys, F.log(time).alias("__x"), F.col(event).cast("double").alias("__e"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        init = _group_rows(base.groupBy(*keys).agg(F.avg("__x").alias("m"), F.stddev_pop("__x").alias("s"), F.sum("__e").alias("d")), group)
-        par = {g: [r["m"], math.log(max(r["s"] or 1.0, 1e-6))] for g, r in init.items() if r["d"]}
-
-        def at(par_):
-            b = _with_params(base, group, par_, ["__pm", "__ps"])
-            t = lognormal_terms(F.col("__pm"), F.col("__ps"), F.col("__x"), F.col("__e"))
-            return _group_rows(b.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in t.items()]), group)
-
-        def propose(p, r):
-            hmm, hms, hss, gm, gs = r["hmm"], r["hms"], r["hss"], r["gm"], r["gs"]
-            det = hmm * hss - hms * hms
-            if det > 0 and hmm < 0:
-                dm, ds = -(hss * gm - hms * gs) / det, -(-hms * gm + hmm * gs) / det
-            else:
-                dm, ds = 1e-3 * gm, 1e-3 * gs
-            scale = min(1.0, 1.0 / max(abs(dm), abs(ds), 1e-300))
-            return [dm * scale, ds * scale]
-
-        par, done = _newton(at, par, propose, max_iter, tol) if par else ({}, set())
-        return _table(df, group, ["mu_", "sigma_"], {g: (float(m_), float(math.exp(s_))) for g, (m_, s_) in par.items()}, done, init)
-    finally:
-        base.unpersist()
+    base = _collapsed(df, time, event, keys)
+    n, x = F.col("__n"), F.col("__l")
+    init = base.groupBy(*keys).agg((F.sum(n * x) / F.sum(n)).alias("m"), (F.sum(n * x * x) / F.sum(n)).alias("q"),
+                                   F.coalesce(F.sum(n * F.col("__e")) > 0, F.lit(False)).alias("has"))
+    spread = F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0))
+    t = lognormal_terms(F.col("a") + F.col("sa"), F.col("b") + F.col("sb"), x, F.col("__e"))
+    t = {{"gm": "ga", "gs": "gb", "hmm": "haa", "hms": "hab", "hss": "hbb"}.get(k, k): v for k, v in t.items()}
+    first = (F.col("m"), F.log(F.greatest(F.when(spread > 0, F.sqrt(spread)).otherwise(F.lit(1.0)), F.lit(1e-6))))
+    out = iterate(base, newton_state(init, keys, first), keys, [F.sum(n * v).alias(k) for k, v in t.items()], newton_step(tol, False), max_iter)
+    return _fitted(out, keys, mu_=F.col("a"), sigma_=F.exp("b"))
 
 
 def fit(df: DataFrame, family: str, time: str = "time", event: str = "event", group: str | None = None) -> DataFrame:

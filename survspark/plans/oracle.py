@@ -652,3 +652,61 @@ SQL["roc_fold_summary"] = f"SELECT * FROM ({SQL['roc_mean_summary']}) CROSS JOIN
     _ROC_CURVE, "(x - x0) * (y + y0) / 2.0", "lag(x) OVER w x0, lag(y) OVER w y0") + ")"
 SQL["pr_fold_summary"] = f"SELECT * FROM ({SQL['pr_mean_summary']}) CROSS JOIN (" + _auc_folds(
     _PR_CURVE, "((1 - x) - (1 - x1)) * (y + y1) / 2.0", "lead(x) OVER w x1, lead(y) OVER w y1") + ")"
+
+# ---------------------------------------------------------------------------------- maximum likelihood by recursion
+
+def _rows(keys: str) -> str:
+    return f'b AS (SELECT {keys}ln("time") l, CAST(event AS DOUBLE) e, CAST(count(*) AS DOUBLE) n FROM S WHERE "time" > 0 GROUP BY ALL)'
+
+
+_WEIBULL = ("st AS (SELECT grp, max(l) mx, sum(n * e) D, sum(n * e * l) - sum(n * e) * max(l) SL FROM b GROUP BY grp)",
+            "c AS (SELECT grp, l - mx u, n FROM b JOIN st USING (grp))",
+            """nr AS (SELECT grp, 0 i, CAST(1.0 AS DOUBLE) r FROM st WHERE D > 0
+  UNION ALL SELECT grp, i + 1, CASE WHEN r - sc / dv > 0 THEN r - sc / dv ELSE r / 2 END
+  FROM (SELECT grp, i, r, D / r + SL - D * B / A sc, -D / (r * r) - D * (C * A - B * B) / (A * A) dv
+        FROM (SELECT nr.grp, nr.i, nr.r, sum(n * exp(r * u)) A, sum(n * exp(r * u) * u) B, sum(n * exp(r * u) * u * u) C
+              FROM nr JOIN c USING (grp) WHERE nr.i < 25 GROUP BY nr.grp, nr.i, nr.r) JOIN st USING (grp)))""",
+            "wf AS (SELECT nr.grp, exp(any_value(mx) + ln(sum(n * exp(r * u)) / any_value(D)) / r) lam, r rho FROM nr JOIN c USING (grp) JOIN st USING (grp) WHERE nr.i = 25 GROUP BY nr.grp, r)")
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+SQL["weibull_fit"] = _recursive(W(S, _rows("grp, "), *_WEIBULL)) + f"SELECT grp, {R('lam')} lambda_, {R('rho')} rho_, TRUE converged FROM wf"
+SQL["weibull_fitted_curve"] = _recursive(W(S, _rows("grp, "), *_WEIBULL)) + f"""
+SELECT id, grp, {R('exp(-pow("time" / lam, rho))')} survival, {R('pow("time" / lam, rho)')} cumulative_hazard,
+       {R('rho / lam * pow("time" / lam, rho - 1.0)')} hazard FROM S LEFT JOIN wf USING (grp)"""
+
+
+def _damped(init: str, terms: str, positive_b: bool, steps: int = 40) -> tuple[str, str]:
+    """Damped Newton in (a, b): ``terms`` gives per-row ll, ga, gb, haa, hab, hbb at (pa, pb)."""
+    size = f"greatest(abs(da), abs(db){' / greatest(tb, 1e-12)' if positive_b else ''}, 1e-300)"
+    half = "CASE WHEN -db * sc / tb >= 1 THEN pow(0.5, floor(log2(-db * sc / tb)) + 1) ELSE 1.0 END" if positive_b else "1.0"
+    return (f"i0 AS ({init})", f"""nr AS (SELECT g, 0 i, a, b, CAST(NULL AS DOUBLE) best, CAST(0.0 AS DOUBLE) sa, CAST(0.0 AS DOUBLE) sb FROM i0
+  UNION ALL SELECT g, i + 1, CASE WHEN ok THEN ta ELSE a END, CASE WHEN ok THEN tb ELSE b END, CASE WHEN ok THEN ll ELSE best END,
+                   CASE WHEN ok THEN da * sc * hv ELSE sa / 2 END, CASE WHEN ok THEN db * sc * hv ELSE sb / 2 END
+  FROM (SELECT *, {half} hv FROM (SELECT *, least(1.0, 1.0 / {size}) sc FROM (
+    SELECT *, best IS NULL OR ll >= best - 1e-12 * abs(best) ok,
+           CASE WHEN haa * hbb - hab * hab > 0 AND haa < 0 THEN -(hbb * ga - hab * gb) / (haa * hbb - hab * hab) ELSE 1e-3 * ga END da,
+           CASE WHEN haa * hbb - hab * hab > 0 AND haa < 0 THEN -(haa * gb - hab * ga) / (haa * hbb - hab * hab) ELSE 1e-3 * gb END db
+    FROM (SELECT g, i, a, b, best, sa, sb, pa ta, pb tb, sum(n * ll) ll, sum(n * ga) ga, sum(n * gb) gb, sum(n * haa) haa, sum(n * hab) hab, sum(n * hbb) hbb
+          FROM ({terms}) GROUP BY g, i, a, b, best, sa, sb, pa, pb)))))""")
+
+
+_TRY = f"SELECT nr.*, bb.l, bb.e, bb.n, nr.a + nr.sa pa, nr.b + nr.sb pb FROM nr JOIN bb USING (g) WHERE nr.i < 40"
+_LOGISTIC = f"""SELECT *, e * (ln(pb) - pa + (pb - 1) * u) - (1 + e) * CASE WHEN pb * u > 30 THEN pb * u ELSE ln(1 + exp(pb * u)) END ll, -e * pb + (1 + e) * pb * sg ga,
+  e * (1 / pb + u) - (1 + e) * sg * u gb, -(1 + e) * pb * pb * sg * (1 - sg) haa, -e + (1 + e) * sg + (1 + e) * pb * sg * (1 - sg) * u hab,
+  -e / (pb * pb) - (1 + e) * sg * (1 - sg) * u * u hbb FROM (SELECT *, l - pa u, 1 / (1 + exp(-pb * (l - pa))) sg FROM ({_TRY}))"""
+SQL["loglogistic_fit"] = _recursive(W(S, _rows(""), "bb AS (SELECT 1 g, * FROM b)", *_damped(
+    "SELECT 1 g, sum(n * l) / sum(n) a, CAST(1.0 AS DOUBLE) b FROM b", _LOGISTIC, True))) + f"SELECT {R('exp(a)')} alpha_, {R('b')} beta_, TRUE converged FROM nr WHERE i = 40"
+_NORMAL_Z = f"SELECT *, (l - pa) / exp(pb) z, exp(pb) sg FROM ({_TRY})"
+_NORMAL_T = f"SELECT *, abs(z / {_d(2.0 ** 0.5)}) az, 1.0 / (1.0 + 0.5 * abs(z / {_d(2.0 ** 0.5)})) tt FROM ({_NORMAL_Z})"
+_NORMAL_S = f"SELECT *, 0.5 * CASE WHEN z >= 0 THEN tt * exp(-az * az + {_erfc_sql('az')}) ELSE 2.0 - tt * exp(-az * az + {_erfc_sql('az')}) END sf FROM ({_NORMAL_T})"
+_NORMAL_L = f"SELECT *, exp(-z * z / 2.0) / {_d((2.0 * 3.141592653589793) ** 0.5)} / sf lam FROM ({_NORMAL_S})"
+_NORMAL = f"""SELECT *, e * (-pb - l - {_d(0.9189385332046727)} - z * z / 2) + (1 - e) * ln(sf) ll, e * z / sg + (1 - e) * lam / sg ga, e * (z * z - 1) + (1 - e) * lam * z gb,
+  -e / (sg * sg) - (1 - e) * lam * (lam - z) / (sg * sg) haa, -2 * e * z / sg + (1 - e) * (-z * lam * (lam - z) - lam) / sg hab,
+  -2 * e * z * z + (1 - e) * (-z * z * lam * (lam - z) - lam * z) hbb FROM ({_NORMAL_L})"""
+SQL["lognormal_fit"] = _recursive(W(S, _rows("grp, "), "bb AS (SELECT grp g, l, e, n FROM b)", *_damped(
+    "SELECT grp g, sum(n * l) / sum(n) a, ln(sqrt(sum(n * l * l) / sum(n) - pow(sum(n * l) / sum(n), 2))) b FROM b GROUP BY grp", _NORMAL, False))) + \
+    f"SELECT g grp, {R('a')} mu_, {R('exp(b)')} sigma_, TRUE converged FROM nr WHERE i = 40"
