@@ -10,7 +10,7 @@ with ``P`` the regularised lower incomplete gamma function (series / continued f
 Spark SQL has no incomplete gamma).  Each Newton step evaluates the log-likelihood at a
 19-point stencil around the current parameters in one distributed pass (``mapInPandas``
 partial sums per group, reduced by ``groupBy``); gradient and Hessian come from central
-differences on the driver.  Only ``groups x 19`` numbers per step reach the driver.
+differences, group by group, in the tasks.  The groups' parameters stay a table.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from ..session import written
 
 
 def _kernel():
@@ -177,84 +178,79 @@ def _derivatives(f: list[float], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return g, H
 
 
+_H = np.array([1e-4, 1e-4, 1e-4])
+_VALUES = [f"f{k}" for k in range(19)]
+_STATE = "g string, has boolean, t0 double, t1 double, t2 double, best double, s0 double, s1 double, s2 double, done boolean"
+
+
+def _advance(row: dict, tol: float) -> dict:
+    """One damped Newton step of a group from the values at the stencil around its tried point ``t + s``."""
+    f = [v if v is not None and not math.isnan(v) else float("-inf") for v in (row[k] for k in _VALUES)]
+    t, s = (np.array([row[f"{c}{i}"] for i in range(3)], np.float64) for c in "ts")
+    best, done = row["best"], False
+    if not np.isnan(best) and f[0] < best - 1e-10 * abs(best):
+        s = s / 2
+        done = np.max(np.abs(s)) < tol
+    else:
+        t, best = t + s, f[0]
+        grad, hess = _derivatives(f, _H)
+        try:
+            s = -np.linalg.solve(hess, grad) if np.all(np.linalg.eigvalsh(hess) < 0) else 1e-3 * grad
+        except np.linalg.LinAlgError:
+            s = 1e-3 * grad
+        s = s / max(1.0, np.max(np.abs(s)))
+        if np.max(np.abs(s)) < tol:
+            t, s, done = t + s, np.zeros(3), True
+    return {"g": row["g"], "has": True, "t0": t[0], "t1": t[1], "t2": t[2], "best": best, "s0": s[0], "s1": s[1], "s2": s[2], "done": bool(done)}
+
+
 def fit_generalized_gamma(df: DataFrame, time: str = "time", event: str = "event", group: str | None = None,
                           max_iter: int = 60, tol: float = 1e-7) -> DataFrame:
-    """SV13: ``(group?, mu_, sigma_, lambda_)`` maximising the censored log-likelihood."""
+    """SV13: ``(group?, mu_, sigma_, lambda_, converged)`` maximising the censored log-likelihood of every group.
+
+    The groups' parameters are a table: a step joins the open groups to their rows (one for each time and event
+    indicator), sums the likelihood at each stencil point, and advances the table; converged groups leave."""
     gcol = F.col(group).cast("string") if group else F.lit("")
     cond = F.col(time).isNotNull() & (F.col(time) > 0) & F.col(event).isNotNull()
     if group:
         cond = cond & F.col(group).isNotNull()
-    base = (df.filter(cond).select(gcol.alias("g"), F.log(F.col(time)).alias("x"),
-                                   F.col(event).cast("double").alias("e"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
-    spark = df.sparkSession
-    try:
-        init = {r["g"]: r for r in base.groupBy("g").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.sum("e").alias("d")).collect()}
-        theta = {g: np.array([r["m"], math.log(max(r["s"] or 1.0, 1e-6)), 1.0]) for g, r in init.items() if r["d"]}
-        h = np.array([1e-4, 1e-4, 1e-4])
-        out_schema = StructType([StructField("g", StringType()), StructField("k", DoubleType()),
-                                 StructField("ll", DoubleType())])
-        _, loglik = _kernel()
-
-        def evaluate(points: dict) -> dict:
-            pts = {g: [list(map(float, p)) for p in ps] for g, ps in points.items()}
-
-            def part(it):
-                acc: dict = {}
-                for pdf in it:
-                    for g, sub in pdf.groupby("g"):
-                        x = sub["x"].to_numpy(np.float64)
-                        e = sub["e"].to_numpy(np.float64)
-                        for k, (mu, s, lam) in enumerate(pts.get(g, [])):
-                            acc[(g, k)] = acc.get((g, k), 0.0) + float(np.sum(loglik(x, e, mu, s, lam)))
-                yield pd.DataFrame({"g": [g for g, _ in acc], "k": [float(k) for _, k in acc],
-                                    "ll": list(acc.values())})
-
-            rows = base.mapInPandas(part, out_schema).groupBy("g", "k").agg(F.sum("ll").alias("ll")).collect()
-            res = {g: [float("-inf")] * len(ps) for g, ps in pts.items()}
-            for r in rows:
-                v = r["ll"]
-                res[r["g"]][int(r["k"])] = v if v is not None and not math.isnan(v) else float("-inf")
-            return res
-
-        prev = {g: None for g in theta}
-        done = set()
-        for _ in range(max_iter):
-            active = {g: t for g, t in theta.items() if g not in done}
-            if not active:
-                break
-            vals = evaluate({g: _stencil(t, h) for g, t in active.items()})
-            for g, t in active.items():
-                f = vals[g]
-                if prev[g] is not None and f[0] < prev[g][1] - 1e-10 * abs(prev[g][1]):
-                    pt, pll, pstep = prev[g]
-                    half = pstep / 2
-                    theta[g] = pt + half
-                    prev[g] = (pt, pll, half)
-                    if np.max(np.abs(half)) < tol:
-                        theta[g] = pt
-                        done.add(g)
-                    continue
-                grad, H = _derivatives(f, h)
-                try:
-                    ev = np.linalg.eigvalsh(H)
-                    step = -np.linalg.solve(H, grad) if np.all(ev < 0) else 1e-3 * grad
-                except np.linalg.LinAlgError:
-                    step = 1e-3 * grad
-                norm = np.max(np.abs(step))
-                if norm > 1.0:
-                    step = step / norm
-                prev[g] = (t.copy(), f[0], step)
-                theta[g] = t + step
-                if np.max(np.abs(step)) < tol:
-                    done.add(g)
-        # a group without an event has no maximum: null parameters
-        rows = [((g,) if group else ()) + ((float(theta[g][0]), float(math.exp(theta[g][1])), float(theta[g][2]), g in done)
-                                           if g in theta else (None, None, None, None)) for g in init]
-        schema = (f"{group} string, " if group else "") + "mu_ double, sigma_ double, lambda_ double, converged boolean"
-        return spark.createDataFrame(rows, schema)
-    finally:
-        base.unpersist()
+    base = written(df.filter(cond).groupBy(gcol.alias("g"), F.log(F.col(time).cast("double")).alias("x"), F.col(event).cast("double").alias("e")).agg(
+        F.count(F.lit(1)).cast("double").alias("n")), "fit_rows")
+    n, x = F.col("n"), F.col("x")
+    init = base.groupBy("g").agg((F.sum(n * x) / F.sum(n)).alias("m"), (F.sum(n * x * x) / F.sum(n)).alias("q"), F.coalesce(F.sum(n * F.col("e")) > 0, F.lit(False)).alias("has"))
+    spread = F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0))
+    zero = [F.lit(0.0).alias(f"s{i}") for i in range(3)]
+    state = written(init.select("g", "has", F.col("m").alias("t0"), F.log(F.greatest(F.when(spread > 0, F.sqrt(spread)).otherwise(F.lit(1.0)), F.lit(1e-6))).alias("t1"),
+                                F.lit(1.0).alias("t2"), F.lit(float("nan")).alias("best"), *zero, (~F.col("has")).alias("done")), "fit_state")
+    _, loglik = _kernel()
+    finished = state.where("done")
+
+    def values(batches):
+        for pdf in batches:
+            out = []
+            for g, sub in pdf.groupby("g", sort=False):
+                r = sub.iloc[0]
+                x, e, n = (sub[c].to_numpy(np.float64) for c in ("x", "e", "n"))
+                theta = np.array([r[f"t{i}"] + r[f"s{i}"] for i in range(3)])
+                out.append([g, *(float(np.sum(n * loglik(x, e, float(mu), float(s), float(lam)))) for mu, s, lam in _stencil(theta, _H))])
+            yield pd.DataFrame(out, columns=["g", *_VALUES])
+
+    def steps(batches):
+        for pdf in batches:
+            yield pd.DataFrame([_advance(r, tol) for r in pdf.to_dict("records")], columns=[c.split()[0] for c in _STATE.split(", ")])
+
+    for _ in range(max_iter):
+        if state.where("NOT done").isEmpty():
+            break
+        open_ = state.where("NOT done")
+        part = base.join(open_.select("g", *[f"{c}{i}" for c in "ts" for i in range(3)]), "g").mapInPandas(values, "g string, " + ", ".join(f"{k} double" for k in _VALUES))
+        got = part.groupBy("g").agg(*[F.sum(k).alias(k) for k in _VALUES])
+        state = written(open_.join(got, "g").mapInPandas(steps, _STATE), "fit_state")
+        finished = finished.unionByName(state.where("done"))
+    out = finished.unionByName(state.where("NOT done"))
+    # a group without an event has no maximum: null parameters
+    cols = [F.when(F.col("has"), c).alias(name) for name, c in (("mu_", F.col("t0")), ("sigma_", F.exp("t1")), ("lambda_", F.col("t2")), ("converged", F.col("done")))]
+    return out.select(*([F.col("g").alias(group)] if group else []), *cols)
 
 
 def evaluate_generalized_gamma(df: DataFrame, params: dict, time: str = "time") -> DataFrame:
