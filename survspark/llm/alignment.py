@@ -39,7 +39,7 @@ class BlankPieces(PieceCache):
     """Byte-level ids of blank + text; special-token strings are ordinary text."""
 
     def __init__(self, path: str):
-        super().__init__(path, keep_blank=True, entries=_ENTRIES)
+        super().__init__(path, keep_blank=True)
         self.tokenizer.encode_special_tokens = True
         self.special = []
         raw = {letter: byte for byte, letter in self.letters.items()}
@@ -50,12 +50,6 @@ class BlankPieces(PieceCache):
     def whole(self, text: str) -> bytes:
         return self._whole(" " + text)
 
-    def word(self, word: str) -> bytes | None:
-        """Ids of a word after a blank; None where its white space could change ids beside it."""
-        if len(self.known) >= self.entries:
-            self.known.clear()
-        return self._new(" " + word)
-
 
 class SentencePieces:
     """Sentencepiece ids.  Where no piece of the vocabulary has a blank after another character, merges never
@@ -72,9 +66,6 @@ class SentencePieces:
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text), np.uint32).tobytes()
 
-    def word(self, word: str) -> bytes | None:
-        return None if "▁" in word else self.whole(word)
-
 
 _PROBES = 16  # single probes of an interval before all its ends are looked up at once
 
@@ -143,34 +134,49 @@ class Pair:
     def _same(self, a: bytes, b: bytes, raw: bytes) -> bool:
         return all(b"".join(map(t.token_bytes.__getitem__, np.frombuffer(x, np.uint32).tolist())) == raw for t, x in ((self.a, a), (self.b, b)))
 
-    def _new(self, word: str) -> tuple[bytes, bytes] | None:
-        """Ids of both for a word, if both write its bytes and cut at its start."""
-        a, b = self.a.word(word), self.b.word(word)
-        got = (a, b) if a is not None and b is not None and self._same(a, b, (" " + word).encode()) else None
-        if got and len(word) < 64:
-            if len(self.known) >= _ENTRIES:
-                self.known = dict(list(self.known.items())[: _ENTRIES // 2])  # the oldest are the frequent ones
-            self.known[word] = got
-        return got
-
-    def _tokens(self, text: str | None) -> tuple[bytes, bytes]:
+    def _learn(self, texts: list[list[str]]) -> list[str]:
+        """Puts the ids of all words of a slice into ``known``: the new ones are encoded as one text by each tokenizer
+        and cut at the words' starts.  Words that begin or end with other white space stay unknown, as
+        do all if a tokenizer does not cut there.  Returns the long ones, which are not to be kept."""
+        if len(self.known) >= _ENTRIES:
+            self.known = dict(list(self.known.items())[: _ENTRIES // 2])  # the oldest are the frequent ones
+        new = [w for w in set().union(*texts) if w not in self.known and w and not w[0].isspace() and not w[-1].isspace() and "▁" not in w]
+        if not new:
+            return []
+        text = " ".join(new)
+        raw = (" " + text).encode()
+        start = np.flatnonzero(np.frombuffer(raw, np.uint8) == 0x20)  # a word holds no blank
+        parts = []
+        for tokenizer, size in ((self.a, self.len_a), (self.b, self.len_b)):
+            ids = np.frombuffer(tokenizer.whole(text), np.uint32)
+            begin = np.concatenate([[0], np.cumsum(size[ids])])
+            cut = np.searchsorted(begin, start)
+            if begin[-1] != len(raw) or (begin[cut] != start).any() or b"".join(map(tokenizer.token_bytes.__getitem__, ids.tolist())) != raw:
+                return []
+            packed, cut = ids.tobytes(), [*(4 * cut).tolist(), 4 * len(ids)]
+            parts.append([packed[x:y] for x, y in zip(cut, cut[1:])])
+        self.known.update(zip(new, zip(*parts)))
+        return [w for w in new if len(w) >= 64]
+
+    def _tokens(self, text: str | None, words: list[str]) -> tuple[bytes, bytes]:
         """Ids of both tokenizers: word by word where both cut there, else of the whole text."""
         if not text:
             return b"", b""
-        if self.b.cuts and not (text.startswith(" ") or text.endswith(" ") or "  " in text):
-            words = text.split(" ")
-            out = list(map(self.known.get, words))
-            if None in out:
-                out = [got or self._new(w) for got, w in zip(out, words)]
-            if None not in out:
-                a, b = zip(*out)
-                return b"".join(a), b"".join(b)
+        out = list(map(self.known.get, words))
+        if out and None not in out:
+            a, b = zip(*out)
+            return b"".join(a), b"".join(b)
         a, b = self.a.whole(text), self.b.whole(text)
         return (a, b) if self._same(a, b, (" " + text).encode()) else (b"", b"")
 
     def align(self, texts: list[str | None]) -> dict[str, list]:
         """For each text: counts, the hash and text of its groups, and its links as ``a * size_b + b``."""
-        tokens = [self._tokens(t) for t in texts]
+        # blanks side by side or at an end could change ids: such texts are encoded whole
+        words = [t.split(" ") if t and self.b.cuts and not (t.startswith(" ") or t.endswith(" ") or "  " in t) else [] for t in texts]
+        long = self._learn(words)
+        tokens = [self._tokens(t, w) for t, w in zip(texts, words)]
+        for w in long:
+            del self.known[w]
         a_bounds, b_bounds = (np.concatenate([[0], np.cumsum([len(t[k]) // 4 for t in tokens])]).astype(np.int64) for k in (0, 1))
         a, b = (np.frombuffer(b"".join([t[k] for t in tokens]), np.uint32).astype(np.int64) for k in (0, 1))
         a_end, b_end = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
