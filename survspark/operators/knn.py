@@ -1,81 +1,223 @@
-"""Exact k-nearest neighbours (JN6, ML6).
+"""Exact k-nearest neighbours between two tables, also out of fold (JN6, ML6).
 
-Exact search needs every probe-reference distance; the work is organised like a blocked matrix
-product so that no pair is ever materialised as a row:
+References are dealt to the cells of a bounded set of pivots (each to its nearest one); a cell knows its
+radius.  A probe first meets the cell of its nearest pivot, which bounds the distance of its k-th neighbour;
+by the triangle inequality a cell whose pivot is further away than that bound plus the cell's radius holds no
+neighbour, so probe and cell never meet.  Inside a cell references are ordered by their distance to the pivot, and
+only the ring that the bound allows is compared.  Cells with many references are split into blocks of bounded size.
 
-* rows are hashed into ``B`` blocks of at most ``survspark.knn.blockRows`` rows;
-* block ``(i, j)`` meets probe block ``i`` and reference block ``j`` in one ``cogroup`` task,
-  which computes the distances in NumPy and keeps only each probe's ``k`` best candidates;
-* the ``k x B`` candidates of a probe are reduced to its final ``k`` with a window over that probe.
+A task holds one block of a cell and streams the probes past it in batches; it returns at most k rows for a
+probe, so no pair becomes a row.  Pivots are fitted on a bounded sample (the rows with the smallest hashes, at most
+``_PIVOTS``); every row is searched, and the sample only sets how much is pruned.
 
-Each row is replicated ``B`` times on each side, a task holds two bounded blocks, and the output
-of a task is ``k`` rows per probe.  Ties in distance are broken by the neighbour key.
+Defined cases: rows with a null key or vector, a null or non-finite component, or a length other than the
+references' most common one take no part; ties in distance go to the smaller neighbour key; repeated rows are
+rows of their own; with fewer references than k, all are returned.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
+
+from ..session import written
+
+_PIVOTS = 4096
+_SLACK = 1e-9  # relative room for rounding where a bound decides
+
+
+def cell_rows(df: DataFrame) -> int:
+    """Average number of references in a cell (``survspark.knn.cellRows``)."""
+    return int(df.sparkSession.conf.get("survspark.knn.cellRows", "1000"))
 
 
 def block_rows(df: DataFrame) -> int:
+    """Most references that a task holds (``survspark.knn.blockRows``)."""
     return int(df.sparkSession.conf.get("survspark.knn.blockRows", "20000"))
 
 
+def _usable(df: DataFrame, key: str, vec: str, group: str | None) -> DataFrame:
+    v = F.col(vec).cast("array<double>")
+    whole = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+    return df.select(F.col(key).cast("long").alias("id"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("grp"),
+                     v.alias("v")).where(F.col("id").isNotNull() & whole & (F.size("v") > 0))
+
+
+def _matrix(column, size: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of x and y by their differences: equal pairs give equal results wherever they stand."""
+    out = np.empty((len(x), len(y)))
+    step = max(1, 2_000_000 // max(1, y.size))
+    for i in range(0, len(x), step):
+        d = x[i: i + step, None, :] - y[None, :, :]
+        out[i: i + step] = np.sqrt((d * d).sum(axis=2))
+    return out
+
+
+class Cells:
+    """Pivots with the radius and the number of blocks of their cells; a bounded literal of the tasks."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots, self.size = pivots, pivots.shape[1]
+        self.radius, self.blocks = np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
+
+    def fill(self, stats, most: int) -> None:
+        for r in stats:
+            self.radius[r["cell"]], self.blocks[r["cell"]] = r["radius"], -(-r["n"] // most)
+
+
+def _assigned(rows: DataFrame, cells: Cells) -> DataFrame:
+    """Each row with its cell and its distance to the cell's pivot."""
+
+    def run(batches):
+        for batch in batches:
+            d = _distances(_matrix(batch.column("v"), cells.size), cells.pivots)
+            cell = d.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(cell)), cell])],
+                                             names=[*batch.schema.names, "cell", "far"])
+
+    return rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", cell int, far double")
+
+
+def _meet(refs: DataFrame, probes: DataFrame, cells: Cells, k: int, skip_self: bool) -> DataFrame:
+    """(row, id, distance): for each probe (row, id, grp, v, cell, block, bound) the best k of the block that it visits."""
+    cols = ["cell", "block", "side", "row", "id", "grp", "v", "far", "bound"]
+    left = refs.select("cell", "block", F.lit(0).alias("side"), F.lit(None).cast("long").alias("row"), "id", "grp", "v", "far", F.lit(None).cast("double").alias("bound"))
+    right = probes.select("cell", "block", F.lit(1).alias("side"), "row", "id", "grp", "v", F.lit(None).cast("double").alias("far"), "bound")
+    both = left.unionByName(right).select(*cols).repartition("cell", "block").sortWithinPartitions("cell", "block", "side", "far")
+
+    def run(batches):
+        key, held, block = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "block", "side")])
+            cut = np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1
+            for a, b in zip([0, *cut], [*cut, batch.num_rows]):
+                if a == b:
+                    continue
+                part, now = batch.slice(a, b - a), (int(keys[0, a]), int(keys[1, a]))
+                if now != key:
+                    key, held, block = now, [], None
+                if keys[2, a] == 0:
+                    held.append(part)
+                elif held:
+                    if block is None:
+                        t = pa.Table.from_batches(held).combine_chunks()
+                        block = (t["id"].to_numpy(), np.array(t["grp"].to_pylist(), object), _matrix(t["v"].combine_chunks(), cells.size), t["far"].to_numpy())
+                    found = list(_search(block, part, cells.pivots[now[0]], k, skip_self))
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["row", "id", "distance"])
+
+    return both.mapInArrow(run, "row long, id long, distance double")
+
+
+def _search(block, part, pivot: np.ndarray, k: int, skip_self: bool):
+    ids, groups, vectors, far = block
+    x = _matrix(part.column("v"), vectors.shape[1])
+    rows, own, bound = (part.column(c).to_numpy(zero_copy_only=False) for c in ("row", "id", "bound"))
+    grp = part.column("grp").to_pylist()
+    centre = _distances(x, pivot[None, :])[:, 0]
+    bound = np.where(np.isnan(bound), np.inf, bound)
+    # rows ordered by distance to the pivot: the ring that can hold a neighbour
+    room = bound + _SLACK * (1.0 + centre + np.where(np.isinf(bound), 0.0, bound))
+    low, high = np.searchsorted(far, centre - room, "left"), np.searchsorted(far, centre + room, "right")
+    for i in range(len(x)):
+        a, b = low[i], high[i]
+        if a >= b:
+            continue
+        d = vectors[a:b] - x[i]
+        d = np.sqrt((d * d).sum(axis=1))
+        ok = d <= bound[i]
+        if skip_self:
+            ok &= ids[a:b] != own[i]
+        if grp[i] is not None:
+            ok &= groups[a:b] != grp[i]
+        at = np.flatnonzero(ok)
+        if len(at) > k:
+            at = at[d[at] <= np.partition(d[at], k - 1)[k - 1]]
+        at = at[np.lexsort((ids[a:b][at], d[at]))[:k]]
+        if len(at):
+            yield np.full(len(at), rows[i]), ids[a:b][at], d[at]
+
+
+def knn_between(probes: DataFrame, refs: DataFrame, key: str = "vec_id", vec: str = "embedding", k: int = 5, exclude_self: bool = False,
+                group: str | None = None, cells: int | None = None) -> DataFrame:
+    """JN6: exact Euclidean k-NN of every probe among the references: ``(key, rank, neighbor_id, distance)``.
+
+    ``exclude_self`` leaves out references with the probe's key; with ``group`` references of the probe's own group
+    are left out (a fold: neighbours come from the other folds only; a null group leaves out nothing)."""
+    spark, k = refs.sparkSession, int(k)
+    found = _usable(refs, key, vec, group)
+    by_size = found.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    result = "row long, id long, distance double"
+    rows = _usable(probes, key, vec, group).withColumn("row", F.monotonically_increasing_id())
+    if by_size is None:
+        return rows.select(F.col("id").alias(key), F.lit(0).alias("rank"), F.col("id").alias("neighbor_id"), F.lit(0.0).alias("distance")).where("false")
+    size, n = by_size["size"], by_size["count"]
+    found, rows = found.where(F.size("v") == size), written(rows.where(F.size("v") == size), "knn_probes")
+    count = max(1, min(_PIVOTS, cells or -(-n // cell_rows(refs))))
+    sample = found.select("v", F.xxhash64("v").alias("h")).groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(count).collect()
+    grid = Cells(np.array([r["v"] for r in sample], np.float64))
+    most = block_rows(refs)
+    held = written(_assigned(found, grid), "knn_cells")
+    grid.fill(held.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect(), most)  # one row a pivot
+    blocks = F.lit(grid.blocks.tolist())
+    held = held.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.greatest(blocks[F.col("cell")], F.lit(1))).cast("int"))
+    # 1. the nearest cell that holds references: a bound for the k-th neighbour
+    home = _routed(rows.withColumn("bound", F.lit(None).cast("double")).withColumn("home", F.lit(-1)), grid, first=True)
+    near = written(_meet(held, home.select("row", "id", "grp", "v", "cell", "block", "bound"), grid, k, exclude_self), "knn_near")
+    kth = near.groupBy("row").agg(F.sort_array(F.collect_list("distance")).alias("d"))  # at most k a block of one cell
+    bound = rows.join(kth.select("row", F.when(F.size("d") >= k, F.col("d")[k - 1]).alias("bound")), "row", "left")
+    # 2. every other cell that may hold a nearer one
+    rest = _routed(bound.withColumn("home", F.lit(0)), grid, first=False)
+    more = _meet(held, rest.select("row", "id", "grp", "v", "cell", "block", "bound"), grid, k, exclude_self)
+    order = Window.partitionBy("row").orderBy("distance", "id")
+    best = near.unionByName(more).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.withColumnRenamed("id", "neighbor_id").join(rows.select("row", F.col("id").alias(key)), "row").select(
+        key, F.col("rank").cast("int").alias("rank"), "neighbor_id", "distance")
+
+
+def _routed(rows: DataFrame, cells: Cells, first: bool) -> DataFrame:
+    """Each probe once for each block of the cells it visits: the nearest one that holds references (``first``),
+    or all others whose pivot is not further away than bound and radius."""
+    rows = rows.select("row", "id", "grp", "v", "bound")
+
+    def run(batches):
+        for batch in batches:
+            d = _distances(_matrix(batch.column("v"), cells.size), cells.pivots)
+            d[:, cells.blocks == 0] = np.inf
+            home = d.argmin(axis=1)
+            if first:
+                visit = np.zeros(d.shape, bool)
+                visit[np.arange(len(home)), home] = True
+            else:
+                bound = batch.column("bound").to_numpy(zero_copy_only=False)
+                bound = np.where(np.isnan(bound), np.inf, bound)
+                with np.errstate(invalid="ignore"):
+                    visit = (d <= (bound[:, None] + cells.radius) * (1 + _SLACK) + _SLACK * (1 + np.where(np.isinf(d), 0.0, d))) & ~np.isinf(d)
+                visit[np.arange(len(home)), home] = False
+            probe, cell = np.nonzero(visit)
+            times = cells.blocks[cell]
+            at = np.repeat(np.arange(len(probe)), times)
+            block = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+            for i in range(0, len(at), 10_000):
+                s = at[i: i + 10_000]
+                out = batch.take(pa.array(probe[s]))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell[s].astype(np.int32)), pa.array(block[i: i + 10_000].astype(np.int32))],
+                                                 names=[*out.schema.names, "cell", "block"])
+
+    return rows.mapInArrow(run, "row long, id long, grp string, v array<double>, bound double, cell int, block int")
+
+
 def knn(df: DataFrame, key: str = "vec_id", vec: str = "embedding", k: int = 5, blocks: int | None = None,
         exclude_self: bool = True) -> DataFrame:
     """Leave-one-out exact Euclidean k-NN of every row among all other rows:
     ``(key, rank, neighbor_id, distance)`` with ``rank`` 1..k (distances in float64)."""
-    n = df.count()
-    nb = blocks or max(1, math.ceil(n / block_rows(df)))
-    base = df.select(F.col(key).cast("long").alias("__id"), F.col(vec).alias("__v"),
-                     F.pmod(F.xxhash64(F.col(key)), F.lit(nb)).cast("int").alias("__blk"))
-    seq = F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))
-    probes = base.select("__id", "__v", F.col("__blk").alias("__pb"), seq.alias("__rb"))
-    refs = base.select("__id", "__v", seq.alias("__pb"), F.col("__blk").alias("__rb"))
-    schema = StructType([StructField("__id", LongType()), StructField("neighbor_id", LongType()),
-                         StructField("distance", DoubleType())])
-    kk, skip_self = int(k), bool(exclude_self)
-
-    def local_topk(p, r):
-        if len(p) == 0 or len(r) == 0:
-            return pd.DataFrame({"__id": [], "neighbor_id": [], "distance": []})
-        pid = p["__id"].to_numpy(np.int64)
-        rid = r["__id"].to_numpy(np.int64)
-        P = np.stack(p["__v"].to_numpy()).astype(np.float64)
-        R = np.stack(r["__v"].to_numpy()).astype(np.float64)
-        out_id, out_nb, out_d = [], [], []
-        step = max(1, 4_000_000 // max(1, R.shape[0] * R.shape[1]))
-        for s in range(0, len(P), step):
-            d = np.sqrt(((P[s:s + step, None, :] - R[None, :, :]) ** 2).sum(axis=2))
-            if skip_self:
-                d[pid[s:s + step, None] == rid[None, :]] = np.inf
-            m = min(kk, d.shape[1])
-            # order by (distance, neighbour id): lexsort per row on the candidate set
-            for i in range(d.shape[0]):
-                row = d[i]
-                part = np.argpartition(row, m - 1)[:m] if m < len(row) else np.arange(len(row))
-                cand = np.flatnonzero(row <= row[part].max())  # keep every tie at the k-th distance
-                o = cand[np.lexsort((rid[cand], row[cand]))][:m]
-                o = o[np.isfinite(row[o])]
-                out_id.append(np.full(len(o), pid[s + i]))
-                out_nb.append(rid[o])
-                out_d.append(d[i][o])
-        if not out_id:
-            return pd.DataFrame({"__id": [], "neighbor_id": [], "distance": []})
-        return pd.DataFrame({"__id": np.concatenate(out_id), "neighbor_id": np.concatenate(out_nb),
-                             "distance": np.concatenate(out_d)})
-
-    cand = probes.groupBy("__pb", "__rb").cogroup(refs.groupBy("__pb", "__rb")).applyInPandas(local_topk, schema)
-    w = Window.partitionBy("__id").orderBy("distance", "neighbor_id")
-    ranked = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= kk)
-    return ranked.select(F.col("__id").alias(key), F.col("rank").cast(IntegerType()).alias("rank"),
-                         "neighbor_id", "distance")
+    return knn_between(df, df, key, vec, k, exclude_self, cells=blocks)
 
 
 def knn_classify(neighbors: DataFrame, labels: DataFrame, key: str = "vec_id", label: str = "label") -> DataFrame:
@@ -86,3 +228,12 @@ def knn_classify(neighbors: DataFrame, labels: DataFrame, key: str = "vec_id", l
     best = votes.groupBy(key).agg(F.min_by(F.struct("__l", "__c"), F.struct((-F.col("__c")).alias("c"), "__l")).alias("b"))
     return (best.join(tot, key).select(key, F.col("b.__l").alias("predicted_label"),
                                        (F.col("b.__c") / F.col("__k")).alias("share")))
+
+
+def knn_oof(df: DataFrame, target: str, fold: str = "fold", key: str = "vec_id", vec: str = "embedding", k: int = 5) -> DataFrame:
+    """ML6: out-of-fold k-NN score ``(key, fold, prediction)``: the mean target of the k nearest rows of all other folds.
+    Rows of a null fold are neighbours of all and are scored by none."""
+    scored = df.where(F.col(fold).isNotNull())
+    near = knn_between(scored, df, key, vec, k, exclude_self=True, group=fold)
+    got = near.join(df.select(F.col(key).alias("neighbor_id"), F.col(target).cast("double").alias("__y")), "neighbor_id").groupBy(key).agg(F.avg("__y").alias("prediction"))
+    return scored.select(key, fold).join(got, key, "left")

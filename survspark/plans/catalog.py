@@ -902,6 +902,29 @@ def q_knn_classify(spark, d):
     return knn.knn_classify(knn.knn(e, k=5), e)
 
 
+@query("knn_oof")
+def q_knn_oof(spark, d):
+    """JN6/ML6: share of the five nearest embeddings of all other folds whose label is below 5."""
+    from ..operators import knn
+    e = frames.frame_e(spark, d).withColumn("fold", (F.col("vec_id") % 7 + 1).cast("int")).withColumn("target", (F.col("label") < 5).cast("int"))
+    return knn.knn_oof(e, "target")
+
+
+@query("second_blend_oof")
+def q_second_blend_oof(spark, d):
+    """PP7: second classifier blend, out-of-fold logistic regression and out-of-fold k-NN (15 neighbours) on
+    standardised features."""
+    from ..operators import knn, train
+    m = _model_frame(spark, d)
+    cols = ["x_num", "x_code", "pred"]
+    m = encode.Standardise(cols).fit(m).transform(m)
+    features = [f"{c}_normalized" for c in cols]
+    logistic, _ = train.train_oof(m, "logistic", features, "event", "classification", params={"maxIter": 50})
+    near = knn.knn_oof(m.select("id", "fold", "event", F.array(*features).alias("vec")), "event", key="id", vec="vec", k=15)
+    both = logistic.select("id", "fold", F.col("prediction").alias("p1")).join(near.select("id", F.col("prediction").alias("p2")), "id")
+    return combine.blend(both, combine.CLASSIFIER_BLEND_2)
+
+
 @query("lognormal_fit")
 def q_lognormal_fit(spark, d):
     """SV12: log-normal maximum likelihood per group (damped Newton, normal tail via erfc)."""

@@ -710,3 +710,8 @@ _NORMAL = f"""SELECT *, e * (-pb - l - {_d(0.9189385332046727)} - z * z / 2) + (
 SQL["lognormal_fit"] = _recursive(W(S, _rows("grp, "), "bb AS (SELECT grp g, l, e, n FROM b)", *_damped(
     "SELECT grp g, sum(n * l) / sum(n) a, ln(sqrt(sum(n * l * l) / sum(n) - pow(sum(n * l) / sum(n), 2))) b FROM b GROUP BY grp", _NORMAL, False))) + \
     f"SELECT g grp, {R('a')} mu_, {R('exp(b)')} sigma_, TRUE converged FROM nr WHERE i = 40"
+
+SQL["knn_oof"] = W("""e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) v, CAST(vec_id % 7 + 1 AS INT) fold, CASE WHEN label < 5 THEN 1.0 ELSE 0.0 END y FROM embeddings)""",
+                   """rk AS (SELECT a.vec_id, b.y, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) r
+FROM e a JOIN e b ON a.fold <> b.fold QUALIFY r <= 5)""") + f"""
+SELECT vec_id, any_value(fold) fold, {R('avg(rk.y)')} prediction FROM e JOIN rk USING (vec_id) GROUP BY vec_id"""
