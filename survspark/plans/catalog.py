@@ -1051,3 +1051,25 @@ def q_aft_given_oof(spark, d):
     parts = [survreg.predict_aft_folds(m, survreg.aft_models(f, AFT_GIVEN, COX_FEATURES), "time").withColumn("family", F.lit(f))
              for f in ("weibull", "loglogistic", "lognormal")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _linear(l2: float):
+    def run(spark, d):
+        from ..operators import linear
+        m = _model_frame(spark, d)
+        return linear.predict_folds_linear(m, linear.fit_linear_folds(m, COX_FEATURES, "log_time", l2=l2))
+
+    run.__doc__ = "ML4/ML9: out-of-fold " + ("ridge regression" if l2 else "least squares") + " of log time, all folds from one set of moments."
+    return run
+
+
+query("linear_oof")(_linear(0.0))
+query("ridge_oof")(_linear(1000.0))
+
+
+@query("logistic_newton_oof")
+def q_logistic_newton_oof(spark, d):
+    """ML4/ML9: out-of-fold logistic regression of the event by Newton steps, all folds a job."""
+    from ..operators import linear
+    m = targets.sample_weight(_model_frame(spark, d), "event", 1.5)
+    return linear.predict_folds_linear(m, linear.fit_logistic_folds(m, COX_FEATURES, "event", weight="weight"))

@@ -715,3 +715,24 @@ SQL["knn_oof"] = W("""e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) v, CAST(v
                    """rk AS (SELECT a.vec_id, b.y, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) r
 FROM e a JOIN e b ON a.fold <> b.fold QUALIFY r <= 5)""") + f"""
 SELECT vec_id, any_value(fold) fold, {R('avg(rk.y)')} prediction FROM e JOIN rk USING (vec_id) GROUP BY vec_id"""
+
+
+# normal equations of three features by Cramer's rule on the training rows of each fold
+
+def _det(rows: list[list[str]]) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = rows
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def _normal_equations(l2: float) -> str:
+    sums = ", ".join([f"covar_pop(f{i}, f{j}) * count(*) + {_d(l2 if i == j else 0.0)} a{i}{j}" for i in range(3) for j in range(3)]
+                     + [f"covar_pop(f{i}, y) * count(*) c{i}, avg(f{i}) m{i}" for i in range(3)])
+    a = [[f"a{i}{j}" for j in range(3)] for i in range(3)]
+    beta = ", ".join(f"{_det([[f'c{i}' if j == k else a[i][j] for j in range(3)] for i in range(3)])} / {_det(a)} b{k}" for k in range(3))
+    return W(S, P, _MF, 'Y AS (SELECT *, ln("time") y FROM MF)', "fo AS (SELECT DISTINCT fold f FROM MF)",
+             f"sm AS (SELECT f, avg(y) my, {sums} FROM Y JOIN fo ON Y.fold <> fo.f GROUP BY f)", f"be AS (SELECT f, my, m0, m1, m2, {beta} FROM sm)") + f"""
+SELECT id, fold, {R('my + b0 * (f0 - m0) + b1 * (f1 - m1) + b2 * (f2 - m2)')} prediction FROM MF JOIN be ON be.f = MF.fold"""
+
+
+SQL["linear_oof"] = _normal_equations(0.0)
+SQL["ridge_oof"] = _normal_equations(1000.0)
