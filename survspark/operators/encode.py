@@ -155,6 +155,44 @@ class OneHot:
         out = x.select(*[F.col(f"`{n}`") for n in df.columns], *self._expressions())
         return out.drop(*[f"__check_{c}" for c in self.cols]) if self.unknown == "error" else out
 
+    def sparse(self, df: DataFrame, numeric: Sequence[str] = (), out: str = "features") -> DataFrame:
+        """``df`` with a vector of all output columns and the ``numeric`` columns after them, in the order of
+        ``output_columns()``: each encoded column becomes the place of its category (one lookup in the category
+        table), and the places become sparse vectors, so no wide projection is made.
+
+        Unknown values are all zeros, or fail the job, as in ``transform``; a missing numeric value is NaN."""
+        from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+
+        x, places = df, []
+        for c, t in self.tables.items():
+            key = F.col(c).cast("double") if self.numeric[c] else F.col(c).cast("string")
+            tk = t.select((F.col("num") if self.numeric[c] else F.col("value")).alias(f"__k_{c}"), F.lit(True).alias(f"__inf_{c}"))
+            x = x.join(tk, key == F.col(f"__k_{c}"), "left").drop(f"__k_{c}")
+        for c in self.cols:
+            num, cats = self.numeric[c], self.categories[c]
+            frequent = [k for k in cats if k["frequent"]]
+            n = len(frequent) + self._has_infrequent(c)
+            place = {id(k): i for i, k in enumerate(frequent)}
+            pairs = [(k, place.get(id(k), n - 1)) for k in cats]
+            known = [v for k, i in pairs if k["value"] is not None for v in (_lit_for(num, k["value"], k["num"]), F.lit(i))]
+            missing = [i for k, i in pairs if k["value"] is None]
+            value = F.col(c).cast("double") if num else F.col(c).cast("string")
+            isnull = F.col(c).isNull() | (F.isnan(F.col(c)) if num else F.lit(False))
+            at = F.try_element_at(F.create_map(*known), value) if known else F.lit(None).cast("int")
+            if c in self.tables:
+                at = F.coalesce(at, F.when(F.col(f"__inf_{c}"), F.lit(n - 1)))
+            at = F.when(isnull, F.lit(missing[0] if missing else None).cast("int")).otherwise(at)
+            unknown = F.raise_error(F.concat(F.lit(f"unknown category in {c}: "), value.cast("string"))) if self.unknown == "error" else F.lit(n)
+            # the number of categories stands in the metadata, so no pass looks for it
+            x = x.withColumn(f"__at_{c}", F.coalesce(at, unknown).cast("double").alias(f"__at_{c}", metadata={"ml_attr": {"type": "nominal", "num_vals": max(n, 1)}}))
+            places.append(f"__at_{c}")
+        encoder = OneHotEncoder(inputCols=places, outputCols=[f"{p}_v" for p in places], handleInvalid="keep", dropLast=True)
+        x = encoder.fit(x).transform(x) if places else x
+        for c in numeric:
+            x = x.withColumn(f"__num_{c}", F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))))
+        x = VectorAssembler(inputCols=[f"{p}_v" for p in places] + [f"__num_{c}" for c in numeric], outputCol=out, handleInvalid="keep").transform(x)
+        return x.select(*[F.col(f"`{n}`") for n in df.columns], out)
+
     def params(self) -> list[dict]:
         if self.tables:
             raise ValueError("encoders with large infrequent tables are saved with their tables")

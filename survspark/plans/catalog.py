@@ -1073,3 +1073,30 @@ def q_logistic_newton_oof(spark, d):
     from ..operators import linear
     m = targets.sample_weight(_model_frame(spark, d), "event", 1.5)
     return linear.predict_folds_linear(m, linear.fit_logistic_folds(m, COX_FEATURES, "event", weight="weight"))
+
+
+@query("mlp_sparse_oof")
+def q_mlp_sparse_oof(spark, d):
+    """ML7/EN1: multilayer perceptron on the sparse one-hot of all category columns and standardised numbers, out of fold."""
+    from ..operators import train
+    m = _model_frame(spark, d)
+    m = encode.Standardise(["x_num", "pred"]).fit(m).transform(m).withColumn("code", F.col("x_code").cast("int").cast("string"))
+    enc = encode.OneHot(["grp", "x_cat", "code"], min_count=128).fit(m)
+    m = enc.sparse(m, ["x_num_normalized", "pred_normalized"], out="inputs")
+    width = len(enc.output_columns()) + 2
+    oof, _ = train.train_oof(m, "mlp", ["inputs"], "event", "classification", params={"layers": [width, 8, 2], "maxIter": 100})
+    return oof
+
+
+@query("search_halving")
+def q_search_halving(spark, d):
+    """ML13: successive halving of six forests drawn from a space, by trees, on out-of-fold ROC AUC."""
+    from ..operators import train
+    m = _model_frame(spark, d)
+
+    def auc(oof):
+        return metrics.auc_table(oof.join(m.select("id", "event"), "id"), "event", "prediction", []).first()["roc_auc"]
+
+    space = {"maxDepth": ("int", 2, 6), "minInstancesPerNode": ("int", 1, 101, 10), "subsamplingRate": ("float", 0.4, 1.0, 0.1),
+             "featureSubsetStrategy": ("categorical", ["sqrt", "all", "0.75"])}
+    return train.halving_search(m, "random_forest", space, FEATURES, "event", "classification", auc, "numTrees", (4, 16), n_trials=6, seed=7)
