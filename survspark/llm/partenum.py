@@ -12,10 +12,11 @@ similar set may lack (these sets are small).
 
 Equal sets are collapsed to classes first (a class is the 64-bit fingerprint of a set).  Each class is
 first compared with the smallest one that it shares a signature with; then, round by round, classes of
-different components that share a signature and that a safe bound on their difference does not part.  A
-group proposes a spanning forest of its components and a few more pairs for each of its classes, never all
-pairs; pairs that verification has refused are known to the group, and rounds go on until no group
-has a pair to propose, so no link between components is lost.  All comparisons are exact intersections.
+different components that share a signature and that a safe bound on their difference does not part.  In a
+round each component proposes its few closest such pairs by that bound, never all pairs; pairs that verification
+has refused are known to the group, more pairs may be proposed with each round, and rounds go on until no component
+has one left, so no link between components is lost.  As in Boruvka's trees, components at least halve in a round
+where the bound is right.  All comparisons are exact intersections.
 
 Defined cases: null or empty texts, and texts of white space, have an empty set and link with nothing;
 texts with fewer words than a shingle are one shingle; repeated rows and ids are documents of their own;
@@ -30,7 +31,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix, removed, shingle_hashes, signed, slices, stored, utf8, word_hashes
@@ -160,49 +161,35 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
 
 
 _GROUP = 4096  # classes of a signature that one group compares
-_MORE = 8  # pairs that a group proposes for each class, besides a spanning forest
+_BEST = 2  # pairs that a component proposes in the first round; twice as many in each further one
 
 
-def _propose(sig: np.ndarray, cls: np.ndarray, comp: np.ndarray, n: np.ndarray, half: np.ndarray, sketches, refused: set, num: int, den: int):
-    """Pairs of one group (places in it) that lie in different components and may be similar; ``half`` tells the
-    two sides of a split group apart (only pairs across count; all 0: one side)."""
+def _closest(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, half: np.ndarray, sketches, refused: set, num: int, den: int, most: int):
+    """(component, bound, a, b): for the classes of one group their closest pairs (at most ``most`` each) with classes of other
+    components that may be similar; ``half`` tells the sides of a split group apart (only pairs across count)."""
     bits = _folded(sketches)
     split = bool(half.any()) and not bool(half.all())
     names, local, counts = np.unique(comp, return_inverse=True, return_counts=True)
-    large = int(np.argmax(counts))
-    order = np.flatnonzero(local != large) if not split else np.flatnonzero(half == 0)
-    root = list(range(len(names)))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    spare, seen = _MORE * len(cls), np.zeros(len(cls), bool)
+    # the largest component need not look for partners: the others find it
+    order = np.flatnonzero(local != int(np.argmax(counts))) if not split else np.arange(len(cls))
     for i in order:
-        seen[i] = True
-        other = (local != local[i]) & ((half != half[i]) if split else ~seen)
-        y = np.flatnonzero(other)
-        differ = np.bitwise_count(bits[y] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        y = y[differ <= (den - num) * (n[i] + n[y]) // (den + num)]
+        y = np.flatnonzero((local != local[i]) & (half != half[i]) if split else local != local[i])
         y = y[np.minimum(n[i], n[y]) * den >= np.maximum(n[i], n[y]) * num]
-        for j in y:
-            pair = (min(int(cls[i]), int(cls[j])), max(int(cls[i]), int(cls[j])))
-            if pair in refused:
-                continue
-            a, b = find(local[i]), find(local[j])
-            if a != b:
-                root[a] = b
-            elif spare > 0:
-                spare -= 1
-            else:
-                continue
-            yield pair
+        differ = np.bitwise_count(bits[y] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        ok = differ <= (den - num) * (n[i] + n[y]) // (den + num)
+        y, differ = y[ok], differ[ok]
+        found = 0
+        for at in np.lexsort((cls[y], differ)):
+            a, b = sorted((int(cls[i]), int(cls[y[at]])))
+            if (a, b) not in refused:
+                yield int(comp[i]), int(differ[at]), a, b
+                found += 1
+                if found == most:
+                    break
 
 
-def _proposals(open_: DataFrame, refused: DataFrame | None, sketches: DataFrame, num: int, den: int, parts: int) -> DataFrame:
-    """(a, b): pairs of classes in different components that groups propose.
+def _proposals(open_: DataFrame, refused: DataFrame, sketches: DataFrame, num: int, den: int, parts: int, most: int) -> DataFrame:
+    """(a, b): the closest pairs of classes that each component proposes, at most ``most``.
 
     Groups of more than ``_GROUP`` classes are split into blocks, and each pair of blocks is a group."""
     count = open_.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / _GROUP).cast("int").alias("blocks"))
@@ -210,25 +197,36 @@ def _proposals(open_: DataFrame, refused: DataFrame | None, sketches: DataFrame,
     rows = rows.select("sig", "cls", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("half"),
                        "cls", "component").join(sketches, "cls").withColumn("partner", F.lit(None).cast("long"))
-    if refused is not None:
-        # a refused pair goes to the groups that hold its smaller class
-        told = refused.select(F.col("a").alias("cls"), F.col("b").alias("partner")).join(sketches.select(F.col("cls").alias("partner")), "partner", "left_semi")
-        told = rows.select("sig", "p", "q", "cls").join(told, "cls")
-        rows = rows.unionByName(told, allowMissingColumns=True)
+    # a refused pair goes to the groups that hold its smaller class
+    told = refused.select(F.col("a").alias("cls"), F.col("b").alias("partner")).join(sketches.select(F.col("cls").alias("partner")), "partner", "left_semi")
+    rows = rows.unionByName(rows.select("sig", "p", "q", "cls").join(told, "cls"), allowMissingColumns=True)
     rows = rows.repartition(parts, "sig", "p", "q").sortWithinPartitions("sig", "p", "q")
 
     def group(t: pa.Table):
         row = pc.is_null(t["partner"])
         said, t = t.filter(pc.invert(row)), t.filter(row)
+        if t.num_rows < 2 or (t["p"][0] != t["q"][0] and len(pc.unique(t["half"])) < 2):
+            return
         known = set(zip(said["cls"].to_pylist(), said["partner"].to_pylist()))
-        sig, cls, comp, n, half = (t[c].to_numpy() for c in ("sig", "cls", "component", "n", "half"))
-        return set(_propose(sig, cls, comp, n, half, t["sketch"].to_pylist(), known, num, den)) if len(cls) > 1 and (both_sides(t) if t["p"][0] != t["q"][0] else True) else set()
-
-    def both_sides(t: pa.Table) -> bool:
-        return len(pc.unique(t["half"])) > 1
+        cls, comp, n, half = (t[c].to_numpy() for c in ("cls", "component", "n", "half"))
+        yield from _closest(cls, comp, n, half, t["sketch"].to_pylist(), known, num, den, most)
 
     def run(batches):
-        held, key, out = [], None, set()
+        held, key, out = [], None, {}
+
+        def take(t):
+            for comp, differ, a, b in group(t):
+                best = out.setdefault(comp, [])
+                if (differ, a, b) not in best:
+                    best.append((differ, a, b))
+                    best.sort()
+                    del best[most:]
+
+        def emit():
+            rows = [(c, *x) for c, best in out.items() for x in best]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["component", "differ", "a", "b"])
+
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy() for c in ("sig", "p", "q")])
             cut = np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1
@@ -237,22 +235,19 @@ def _proposals(open_: DataFrame, refused: DataFrame | None, sketches: DataFrame,
                     continue
                 if tuple(keys[:, a]) != key:
                     if held:
-                        out |= group(pa.Table.from_batches(held))
+                        take(pa.Table.from_batches(held))
                     held, key = [], tuple(keys[:, a])
+                    if len(out) > 100_000:
+                        yield emit()
                 held.append(batch.slice(a, b - a))
-                if len(out) > 100_000:
-                    yield _pairs(out)
-                    out = set()
         if held:
-            out |= group(pa.Table.from_batches(held))
+            take(pa.Table.from_batches(held))
         if out:
-            yield _pairs(out)
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
-
+            yield emit()
 
-def _pairs(found: set) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+    found = rows.mapInArrow(run, "component long, differ long, a long, b long")
+    order = Window.partitionBy("component").orderBy("differ", "a", "b")
+    return found.distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("a", "b").distinct()
 
 
 def _signature_rows(docs: DataFrame, k: int, num: int, den: int, largest: int) -> DataFrame:
@@ -377,8 +372,10 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, w
         F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "sketches")
     # 2. round by round, what groups of several components propose
     refused = stored(tested.join(links, ["a", "b"], "left_anti"), "refused")
+    most = _BEST
     while True:
-        rest = stored(_proposals(open_, refused, sketches, num, den, parts), "rest")
+        rest = stored(_proposals(open_, refused, sketches, num, den, parts, most), "rest")
+        most *= 2
         if rest.isEmpty():
             break
         tested, more = _verified(rest, docs, classes, k, num, den)
