@@ -33,10 +33,12 @@ def _tail(n: Column, d: Column) -> tuple[Column, Column, Column]:
 
 
 def _head(n: Column, d: Column, power: int) -> Column:
-    """Sum of 1/k^power over the terms k = n - d + 1 .. n that do not exceed ``HEAD``."""
-    lo = n - d
-    return F.aggregate(F.sequence(F.lit(1), F.lit(HEAD)), F.lit(0.0), lambda acc, k: acc + F.when(
-        (k > lo) & (k <= n), F.lit(1.0) / F.pow(k.cast("double"), F.lit(float(power)))).otherwise(F.lit(0.0)))
+    """Sum of 1/k^power over the terms k = n - d + 1 .. n that do not exceed ``HEAD``: two entries of a short table of sums."""
+    sums = [0.0]
+    for k in range(1, HEAD + 1):
+        sums.append(sums[-1] + 1.0 / k ** power)
+    at = lambda k: F.lit(sums)[F.greatest(F.least(k, F.lit(HEAD)), F.lit(0)).cast("int")]
+    return at(n) - at(n - d)
 
 
 def smooth_increment(n: Column, d: Column) -> Column:
@@ -65,14 +67,6 @@ def _clean(df: DataFrame, time: str, event: str, by: Sequence[str]) -> DataFrame
     return df.filter(cond)
 
 
-def _group_totals(counts: DataFrame, by: Sequence[str]):
-    """Rows and events per group: a join table for groups, literals for the global curve."""
-    if by:
-        return counts.groupBy(*by).agg(F.sum("removed").alias("__N"), F.sum("observed").alias("__E"))
-    r = counts.agg(F.sum("removed").alias("n"), F.sum("observed").alias("e")).first()
-    return (int(r["n"] or 0), int(r["e"] or 0))
-
-
 def survival_curve(df: DataFrame, time: str = "time", event: str = "event", by: Sequence[str] = (),
                    buckets: int | None = None) -> DataFrame:
     """One row per ``(by, time)``: counts, at-risk, and every curve value at that time.
@@ -84,46 +78,44 @@ def survival_curve(df: DataFrame, time: str = "time", event: str = "event", by:
     increments at t, i.e. the discrete hazard rate), ``na_var`` (smoothed variance sum).
     """
     by = list(by)
-    base = _clean(df, time, event, by)
-    # one row per (group, time): the only table the scans touch; kept for the two scans
-    counts = written(base.groupBy(*by, F.col(time).cast("double").alias("time")).agg(
+    return _curve(_counts(_clean(df, time, event, by), time, event, by), by, buckets)
+
+
+def _counts(base: DataFrame, time: str, event: str, by: Sequence[Column | str]) -> DataFrame:
+    """One row per (group, time): the only table the scans touch."""
+    return written(base.groupBy(*by, F.col(time).cast("double").alias("time")).agg(
         F.count(F.lit(1)).alias("removed"), F.sum(F.col(event)).cast("long").alias("observed")), "curve_counts")
-    bounds, st = scan_stats(counts, "time", buckets, force=buckets is not None,
-                            extra={"__N": F.sum("removed"), "__E": F.sum("observed")})
-    s1 = prefix_scan(counts, "time", {"__before": "removed", "__obs_before": "observed"}, by=by,
-                     exclusive=True, unique=True, bounds=bounds)
-    tot = _group_totals(counts, by) if by else (int(st["__N"] or 0), int(st["__E"] or 0))
-    if by:
-        s1 = s1.join(tot, by, "left")
-        n_all, e_all = F.col("__N"), F.col("__E")
-    else:
-        n_all, e_all = F.lit(tot[0]).cast("long"), F.lit(tot[1]).cast("long")
-    n = (n_all - F.col("__before")).cast("long")
-    d = F.col("observed")
-    s1 = s1.select(*by, "time", "removed", "observed",
-                   (F.col("removed") - F.col("observed")).alias("censored"),
-                   n.alias("at_risk"), (F.col("__obs_before") + d).alias("events_cum"),
-                   e_all.alias("__E"))
+
+
+def _curve(counts: DataFrame, by: list[str], buckets: int | None) -> DataFrame:
+    """The curves of ``survival_curve`` from stored counts: a scan for the at-risk counts, stored with the increments, and a
+    scan for their sums."""
+    bounds, _ = scan_stats(counts, "time", buckets, force=buckets is not None)
+    s1 = prefix_scan(counts, "time", {"at_risk": "removed"}, by=by, reverse=True, unique=True, bounds=bounds)
     n, d = F.col("at_risk"), F.col("observed")
     full = d >= n
+    # stored: the increments are computed once, for the totals of the second scan and for its rows
+    s1 = written(s1.select(
+        *by, "time", "removed", "observed", n.cast("long").alias("at_risk"),
+        F.when(full, F.lit(0.0)).otherwise(F.log1p(-d / n)).alias("__log_s"), F.when(full & (d > 0), 1).otherwise(0).alias("__zero"),
+        F.when(full, F.lit(0.0)).otherwise(d / (n.cast("double") * (n - d))).alias("__gw"), smooth_increment(n, d).alias("na_smooth_inc"),
+        smooth_variance(n, d).alias("__var")), "curve_steps")
     s2 = prefix_scan(
         s1, "time",
-        {
-            "__log_s": F.when(full, F.lit(0.0)).otherwise(F.log1p(-d / n)),
-            "__zero": F.when(full & (d > 0), 1).otherwise(0),
-            "greenwood": F.when(full, F.lit(0.0)).otherwise(d / (n * (n - d))),
-            "na_smooth": smooth_increment(n, d),
-            "na_breslow": d / n,
-            "na_var": smooth_variance(n, d),
-        },
+        {"events_cum": "observed", "__ls": "__log_s", "__z": "__zero", "greenwood": "__gw", "na_smooth": "na_smooth_inc",
+         "na_breslow": F.col("observed") / F.col("at_risk"), "na_var": "__var"},
         by=by, unique=True, bounds=bounds)
+    if by:
+        s2 = s2.join(counts.groupBy(*by).agg(F.sum("observed").alias("__E")), by)
+    else:
+        s2 = s2.crossJoin(F.broadcast(counts.agg(F.sum("observed").alias("__E"))))  # one row
     km_eo = F.when(F.col("__E") > 0, F.lit(1.0) - F.col("events_cum") / F.col("__E")).otherwise(F.lit(1.0))
-    km = F.when(F.col("__zero") > 0, F.lit(0.0)).otherwise(F.exp(F.col("__log_s")))
+    km = F.when(F.col("__z") > 0, F.lit(0.0)).otherwise(F.exp(F.col("__ls")))
     return s2.select(
-        *by, "time", "removed", "observed", "censored", "at_risk", "events_cum",
+        *by, "time", "removed", "observed", (F.col("removed") - F.col("observed")).alias("censored"), "at_risk", "events_cum",
         km_eo.alias("km_events_only"), km.alias("km"), "greenwood",
-        "na_smooth", smooth_increment(n, d).alias("na_smooth_inc"),
-        "na_breslow", (d / n).alias("na_breslow_inc"), "na_var",
+        "na_smooth", "na_smooth_inc",
+        "na_breslow", (F.col("observed") / F.col("at_risk")).alias("na_breslow_inc"), "na_var",
     )
 
 
@@ -195,15 +187,24 @@ def survival_targets(df: DataFrame, id_col: str = "id", time: str = "time", even
     group as ``group_*``; then ``log_km_survival_probability`` (log1p, min-shifted, max-scaled),
     ``na_cumulative_hazard = -exp(H)`` and ``na_hazard_rate = -exp(h)``.
     """
-    g = survival_curve(df, time, event, (), buckets)
-    out = attach_curve(df.select(id_col, time, *( [group] if group else [])), g,
+    # the rows are collapsed once, per group; the overall counts are sums of these, and one pair of scans serves both
+    base = _clean(df, time, event, ())
+    key = F.col(group).cast("string").alias("__g") if group else F.lit(None).cast("string").alias("__g")
+    counts = _counts(base, time, event, [key])
+    scoped = counts.groupBy("time").agg(F.sum("removed").alias("removed"), F.sum("observed").alias("observed")).select(
+        F.lit(0).alias("__scope"), F.lit("").alias("__g"), "time", "removed", "observed")
+    if group:
+        scoped = scoped.unionByName(counts.where("__g IS NOT NULL").withColumn("__scope", F.lit(1)))
+    curve = written(_curve(written(scoped, "curve_scopes"), ["__scope", "__g"], buckets).select(
+        "__scope", "__g", "time", "km_events_only", "na_smooth", "na_smooth_inc"), "curve")
+    g = curve.where("__scope = 0")
+    out = attach_curve(df.select(id_col, time, *([group, F.col(group).cast("string").alias("__g")] if group else [])), g,
                        {"survival_probability": "km_events_only", "cumulative_hazard": "na_smooth",
                         "hazard_rate": "na_smooth_inc"}, time=time)
     if group:
-        gc = survival_curve(df, time, event, [group], buckets)
-        out = attach_curve(out, gc, {"group_survival_probability": "km_events_only",
+        out = attach_curve(out, curve.where("__scope = 1"), {"group_survival_probability": "km_events_only",
                                      "group_cumulative_hazard": "na_smooth",
-                                     "group_hazard_rate": "na_smooth_inc"}, time=time, by=[group])
+                                     "group_hazard_rate": "na_smooth_inc"}, time=time, by=["__g"]).drop("__g")
     # TG3: min/max of log1p(S) over rows = over the curve (every row time is a curve time), so the
     # two statistics come from the small curve table instead of another pass over the rows
     r = g.agg(F.min(F.log1p("km_events_only")).alias("lo"), F.max(F.log1p("km_events_only")).alias("hi")).first()
