@@ -244,6 +244,33 @@ def q_two_stage_mask(spark, d):
                       (F.sum("__ev").over(tot) - F.col("__ev")).alias("two_stage"), "validation")
 
 
+@query("fold_frames")
+def q_fold_frames(spark, d):
+    """FD4/FD5/PR3: training, two-stage and validation frames of each fold, as the trainers take them, described by counts and means."""
+    p = _p(spark, d)
+    parts = []
+    for f in range(1, 8):
+        train, valid = folds.split_fold(p, f)
+        events, _ = folds.split_fold(p, f, event="event", events_only=True)
+        a = train.agg(F.count(F.lit(1)).alias("training"))
+        b = events.agg(F.count(F.lit(1)).alias("two_stage"), F.avg("time").alias("two_stage_time"))
+        c = valid.agg(F.count(F.lit(1)).alias("validation"), F.avg("p1").alias("validation_p1"))
+        parts.append(a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c)).select(F.lit(f).alias("fold"), "*"))  # one row each
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+@query("exact_lookup")
+def q_exact_lookup(spark, d):
+    """JN2: Kaplan-Meier at probes that hit a time of the curve exactly; null elsewhere (no step is taken)."""
+    s = _s(spark, d)
+    curve = estimate.survival_curve(s).select("time", F.col("km").alias("survival"))
+    probe = F.floor(F.col("pred") * 3000.0).cast("double") + F.when(F.col("id") % 3 == 0, 0.5).otherwise(0.0)
+    return scan.lookup_exact(s.select("id", probe.alias("probe")), curve, "probe", ["survival"]).select("id", "probe", "survival")
+
+
 # --------------------------------------------------------------------------- encoders (EN1-EN11)
 
 def _onehot_long(df: DataFrame, enc: encode.OneHot) -> DataFrame:

@@ -6,8 +6,14 @@ Floating outputs are wrapped in ``R()`` = ``round(x, 6) + 0.0`` like the Spark s
 
 from __future__ import annotations
 
-from ..operators.combine import CLASSIFIER_BLEND, CLASSIFIER_BLEND_2, RANKING_BLEND, threshold_grid
-from ..operators.estimate import Z_95
+# fixed values, written out here so that an error in the package cannot pass on both sides: blend weights, normal
+# quantile of a 95 % band, coefficients of the erfc fit, steps of the threshold grid
+CLASSIFIER_BLEND = {"p1": 0.45, "p2": 0.05, "p3": 0.05, "p4": 0.2, "p5": 0.125, "p6": 0.125}
+CLASSIFIER_BLEND_2 = {"p1": 0.975, "p2": 0.025}
+RANKING_BLEND = {"r1": 0.29, "r2": 0.29, "r3": 0.29, "r4": 0.06, "r5": 0.07}
+Z_95 = 1.959963984540054
+ERFC_COEFFS = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
+THRESHOLDS = [(i * 0.01, i * 0.01 + 0.01, i * 0.01 + 0.01) for i in range(33)]
 
 # ---------------------------------------------------------------------------------- derived frames
 
@@ -297,7 +303,7 @@ SQL["snap_extremes"] = W(S, P) + f"""
 SELECT id, {R("CASE WHEN p1 >= 0.9 THEN 1.0 WHEN p1 <= 0.1 THEN 0.0 ELSE p1 END")} p1 FROM P"""
 
 SQL["threshold_scaling"] = W(S, P) + "SELECT id, " + R("r1" + "".join(
-    f" * CASE WHEN p1 >= {_d(lo)} AND p1 < {_d(hi)} THEN {_d(k)} ELSE 1.0 END" for lo, hi, k in threshold_grid())) + " r1 FROM P"
+    f" * CASE WHEN p1 >= {_d(lo)} AND p1 < {_d(hi)} THEN {_d(k)} ELSE 1.0 END" for lo, hi, k in THRESHOLDS)) + " r1 FROM P"
 
 SQL["prediction_error"] = W(S, P) + f"SELECT id, {R('event - p1')} error FROM P"
 
@@ -563,8 +569,6 @@ SELECT vec_id, arg_min(label, (-c, label)) predicted_label, {R('max(c) / 5.0')}
 
 
 def _erfc_sql(x: str) -> str:
-    from ..functions.scalar import ERFC_COEFFS
-
     poly = _d(ERFC_COEFFS[-1])
     for c in reversed(ERFC_COEFFS[:-1]):
         poly = f"({_d(c)} + tt * {poly})"
@@ -736,3 +740,13 @@ SELECT id, fold, {R('my + b0 * (f0 - m0) + b1 * (f1 - m1) + b2 * (f2 - m2)')} pr
 
 SQL["linear_oof"] = _normal_equations(0.0)
 SQL["ridge_oof"] = _normal_equations(1000.0)
+
+
+# ---------------------------------------------------------------------------------- folds as frames, exact lookup
+
+SQL["fold_frames"] = W(S, P, "fo AS (SELECT DISTINCT fold f FROM P)") + f"""
+SELECT f fold, CAST(count(*) FILTER (fold <> f) AS BIGINT) training, CAST(count(*) FILTER (fold <> f AND event = 1) AS BIGINT) two_stage,
+       CAST(count(*) FILTER (fold = f) AS BIGINT) validation, {R('avg("time") FILTER (fold <> f AND event = 1)')} two_stage_time,
+       {R('avg(p1) FILTER (fold = f)')} validation_p1 FROM P, fo GROUP BY f"""
+SQL["exact_lookup"] = W(S, _C.format(f="S"), _KM, "pr AS (SELECT id, grp, floor(pred * 3000.0) + CASE WHEN id % 3 = 0 THEN 0.5 ELSE 0.0 END probe FROM S)") + f"""
+SELECT pr.id, {R("pr.probe")} probe, {R("k2.s")} survival FROM pr LEFT JOIN k2 ON pr.probe = k2."time" """

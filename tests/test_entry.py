@@ -3,7 +3,9 @@ import duckdb
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-CHECK = ["km_censored", "na_smooth", "cindex_stratified", "rank_transform", "threshold_scaling", "stratified_folds"]
+CHECK = ["km_censored", "na_smooth", "cindex_stratified", "rank_transform", "threshold_scaling", "stratified_folds", "fold_frames", "exact_lookup",
+         "survival_targets", "curve_table", "roc_fold_summary", "pr_fold_summary", "cox_given_oof", "cox_efron_sums", "aft_given_oof", "weibull_fit",
+         "loglogistic_fit", "lognormal_fit", "linear_oof", "ridge_oof", "knn_oof"]
 
 
 def _norm(v):
@@ -21,7 +23,7 @@ def test_every_oracle_has_a_query():
 
 def test_selected_queries_match_duckdb(spark):
     con = duckdb.connect()
-    for t in ("orders", "customer", "events"):
+    for t in ("orders", "customer", "events", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     for name in CHECK:
         sdf = E.queries()[name](spark, SF)
