@@ -162,33 +162,55 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
 
 _GROUP = 4096  # classes of a signature that one group compares
 _BEST = 2  # pairs that a component proposes in the first round; twice as many in each further one
+_REACH = (4, 32)  # neighbours by size that a class meets in the first rounds, when most copies find each other; then all
 
 
-def _closest(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, half: np.ndarray, sketches, refused: set, num: int, den: int, most: int):
+def _closest(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, half: np.ndarray, sketches, refused: set, num: int, den: int, most: int, reach: int):
     """(component, bound, a, b): for the classes of one group their closest pairs (at most ``most`` each) with classes of other
-    components that may be similar; ``half`` tells the sides of a split group apart (only pairs across count)."""
-    bits = _folded(sketches)
+    components that may be similar.  ``half`` tells the sides of a split group apart (only pairs across count); with
+    ``reach`` only so many neighbours in the order of sizes are met."""
+    order = np.lexsort((cls, n))
+    cls, comp, n, half = (x[order] for x in (cls, comp, n, half))
+    bits = _folded([sketches[i] for i in order])
     split = bool(half.any()) and not bool(half.all())
-    names, local, counts = np.unique(comp, return_inverse=True, return_counts=True)
-    # the largest component need not look for partners: the others find it
-    order = np.flatnonzero(local != int(np.argmax(counts))) if not split else np.arange(len(cls))
-    for i in order:
-        y = np.flatnonzero((local != local[i]) & (half != half[i]) if split else local != local[i])
-        y = y[np.minimum(n[i], n[y]) * den >= np.maximum(n[i], n[y]) * num]
-        differ = np.bitwise_count(bits[y] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        ok = differ <= (den - num) * (n[i] + n[y]) // (den + num)
-        y, differ = y[ok], differ[ok]
-        found = 0
-        for at in np.lexsort((cls[y], differ)):
-            a, b = sorted((int(cls[i]), int(cls[y[at]])))
-            if (a, b) not in refused:
-                yield int(comp[i]), int(differ[at]), a, b
-                found += 1
-                if found == most:
-                    break
-
-
-def _proposals(open_: DataFrame, refused: DataFrame, sketches: DataFrame, num: int, den: int, parts: int, most: int) -> DataFrame:
+    if reach and len(cls) > 2 * reach:
+        pairs = [np.stack([np.arange(len(cls) - s), np.arange(s, len(cls))]) for s in range(1, reach + 1)]
+        first, second = np.concatenate(pairs, axis=1)
+        ok = (comp[first] != comp[second]) & ((half[first] != half[second]) | (not split)) & (n[first] * den >= n[second] * num)
+        first, second = first[ok], second[ok]
+        differ = np.concatenate([np.bitwise_count(bits[first[i: i + 4096]] ^ bits[second[i: i + 4096]]).sum(axis=1, dtype=np.int64)
+                                 for i in range(0, len(first), 4096)] or [np.zeros(0, np.int64)])
+    else:
+        _, local, counts = np.unique(comp, return_inverse=True, return_counts=True)
+        large = int(np.argmax(counts))
+        found = [[], [], []]
+        # the largest component need not look for partners: the others find it
+        for i in np.flatnonzero(local != large) if not split else np.flatnonzero(half == 0):
+            # sizes rise: the partners that size allows lie side by side
+            a, b = np.searchsorted(n, -(-n[i] * num // den), "left"), np.searchsorted(n, n[i] * den // num, "right")
+            ok = comp[a:b] != comp[i]
+            ok &= (half[a:b] != half[i]) if split else ((np.arange(a, b) > i) | (local[a:b] == large))
+            if not ok.any():
+                continue
+            differ = np.bitwise_count(bits[a:b] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            y = np.flatnonzero(ok & (differ <= (den - num) * (n[i] + n[a:b]) // (den + num)))
+            for column, values in zip(found, (np.full(len(y), i), a + y, differ[y])):
+                column.append(values)
+        first, second, differ = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+    ok = differ <= (den - num) * (n[first] + n[second]) // (den + num)
+    first, second, differ = first[ok], second[ok], differ[ok]
+    places = np.lexsort((np.maximum(cls[first], cls[second]), np.minimum(cls[first], cls[second]), differ))
+    taken: dict[int, int] = {}
+    for i, j, d in zip(first[places].tolist(), second[places].tolist(), differ[places].tolist()):
+        own = [c for c in (int(comp[i]), int(comp[j])) if taken.get(c, 0) < most]
+        pair = (min(int(cls[i]), int(cls[j])), max(int(cls[i]), int(cls[j])))
+        if own and pair not in refused:
+            for c in own:
+                taken[c] = taken.get(c, 0) + 1
+                yield c, d, *pair
+
+
+def _proposals(open_: DataFrame, refused: DataFrame, sketches: DataFrame, num: int, den: int, parts: int, most: int, reach: int) -> DataFrame:
     """(a, b): the closest pairs of classes that each component proposes, at most ``most``.
 
     Groups of more than ``_GROUP`` classes are split into blocks, and each pair of blocks is a group."""
@@ -209,7 +231,7 @@ def _proposals(open_: DataFrame, refused: DataFrame, sketches: DataFrame, num: i
             return
         known = set(zip(said["cls"].to_pylist(), said["partner"].to_pylist()))
         cls, comp, n, half = (t[c].to_numpy() for c in ("cls", "component", "n", "half"))
-        yield from _closest(cls, comp, n, half, t["sketch"].to_pylist(), known, num, den, most)
+        yield from _closest(cls, comp, n, half, t["sketch"].to_pylist(), known, num, den, most, reach)
 
     def run(batches):
         held, key, out = [], None, {}
@@ -372,12 +394,16 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, w
         F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "sketches")
     # 2. round by round, what groups of several components propose
     refused = stored(tested.join(links, ["a", "b"], "left_anti"), "refused")
-    most = _BEST
+    most, reaches = _BEST, [*_REACH, 0]
     while True:
-        rest = stored(_proposals(open_, refused, sketches, num, den, parts, most), "rest")
+        rest = stored(_proposals(open_, refused, sketches, num, den, parts, most, reaches[0]), "rest")
         most *= 2
+        last = len(reaches) == 1
+        reaches = reaches[1:] or reaches
         if rest.isEmpty():
-            break
+            if last:
+                break
+            continue
         tested, more = _verified(rest, docs, classes, k, num, den)
         refused = refused.unionByName(stored(rest.join(more, ["a", "b"], "left_anti"), "refused"))
         if not more.isEmpty():

@@ -92,6 +92,7 @@ def test_near_copies_without_a_common_original_stay_linear(spark, docs, monkeypa
 def test_split_groups_and_small_sets_equal_brute_force(spark, docs, monkeypatch):
     monkeypatch.setattr(partenum, "_GROUP", 5)
     monkeypatch.setattr(partenum, "_BEST", 1)
+    monkeypatch.setattr(partenum, "_REACH", (1,))
     rng = random.Random(8)
     rows = []
     for g in range(8):
