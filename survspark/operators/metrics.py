@@ -272,9 +272,10 @@ def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def histogram(df: DataFrame, col: str, by: str | None = None, bins: int = 32) -> DataFrame:
     """AG8/MT14: fixed-width histogram over ``[min, max]`` of the whole column, counted per ``by``
-    class; the maximum falls in the last bin.  ``(by, bin, lo, hi, count)``, empty bins omitted."""
+    class; the maximum falls in the last bin.  ``(by, bin, lo, hi, count)``, empty bins omitted; a column without
+    values has no bins."""
     r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
-    lo, hi = float(r["lo"]), float(r["hi"])
+    lo, hi = float(r["lo"] or 0.0), float(r["hi"] or 0.0)
     width = (hi - lo) / bins if hi > lo else 1.0
     b = F.least(F.floor((F.col(col) - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
     keys = [by] if by else []

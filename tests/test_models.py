@@ -39,3 +39,15 @@ def test_concordance_permutation_invariant(spark):
     a = concord.concordance(df, "time", "event", "pred").first().concordance
     b = concord.concordance(df.orderBy(F.rand(3)).repartition(7), "time", "event", "pred").first().concordance
     assert a == b
+
+
+def test_rows_without_a_fold_train_and_are_not_scored(spark):
+    df = _planted(spark, n=120, seed=3).withColumn("fold", F.when(F.col("id") >= 100, None).otherwise(F.col("fold")))
+    oof, models = train.train_oof(df, "logistic", ["x1", "x2"], "event", "classification", params={"maxIter": 10})
+    assert len(models) == 4 and sorted(r.id for r in oof.collect()) == list(range(100))
+
+
+def test_histogram_of_a_column_without_values(spark):
+    df = spark.createDataFrame([(1, None), (2, None)], "id int, x double")
+    assert metrics.histogram(df, "x").collect() == [] and metrics.histogram(df.where("false"), "x").collect() == []
+    assert [tuple(r) for r in metrics.histogram(df.fillna(3.0), "x").collect()] == [(0, 3.0, 4.0, 2)]
