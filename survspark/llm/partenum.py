@@ -165,49 +165,64 @@ _BEST = 2  # pairs that a component proposes in the first round; twice as many i
 _REACH = (4, 32)  # neighbours by size that a class meets in the first rounds, when most copies find each other; then all
 
 
-def _closest(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, half: np.ndarray, sketches, refused: set, num: int, den: int, most: int, reach: int):
-    """(component, bound, a, b): for the classes of one group their closest pairs (at most ``most`` each) with classes of other
-    components that may be similar.  ``half`` tells the sides of a split group apart (only pairs across count); with
-    ``reach`` only so many neighbours in the order of sizes are met."""
-    order = np.lexsort((cls, n))
-    cls, comp, n, half = (x[order] for x in (cls, comp, n, half))
-    bits = _folded([sketches[i] for i in order])
-    split = bool(half.any()) and not bool(half.all())
-    if reach and len(cls) > 2 * reach:
-        pairs = [np.stack([np.arange(len(cls) - s), np.arange(s, len(cls))]) for s in range(1, reach + 1)]
-        first, second = np.concatenate(pairs, axis=1)
-        ok = (comp[first] != comp[second]) & ((half[first] != half[second]) | (not split)) & (n[first] * den >= n[second] * num)
-        first, second = first[ok], second[ok]
-        differ = np.concatenate([np.bitwise_count(bits[first[i: i + 4096]] ^ bits[second[i: i + 4096]]).sum(axis=1, dtype=np.int64)
-                                 for i in range(0, len(first), 4096)] or [np.zeros(0, np.int64)])
-    else:
-        _, local, counts = np.unique(comp, return_inverse=True, return_counts=True)
-        large = int(np.argmax(counts))
-        found = [[], [], []]
-        # the largest component need not look for partners: the others find it
-        for i in np.flatnonzero(local != large) if not split else np.flatnonzero(half == 0):
-            # sizes rise: the partners that size allows lie side by side
-            a, b = np.searchsorted(n, -(-n[i] * num // den), "left"), np.searchsorted(n, n[i] * den // num, "right")
-            ok = comp[a:b] != comp[i]
-            ok &= (half[a:b] != half[i]) if split else ((np.arange(a, b) > i) | (local[a:b] == large))
-            if not ok.any():
+_COARSE = 64  # bytes of a sketch that all pairs are compared by; what passes is compared by whole sketches
+
+
+def _coarse(sketches: list[bytes]) -> np.ndarray:
+    """All sketches folded to ``_COARSE`` bytes (shorter ones are repeated as zeros and tell by their own words)."""
+    out = np.zeros((len(sketches), _COARSE // 8), np.uint64)
+    size = np.array([len(x) for x in sketches])
+    for length in np.unique(size):
+        rows = np.flatnonzero(size == length)
+        bits = np.frombuffer(b"".join([sketches[i] for i in rows]), np.uint64).reshape(len(rows), -1)
+        while bits.shape[1] > out.shape[1]:
+            half = bits.shape[1] // 2
+            bits = bits[:, :half] ^ bits[:, half:]
+        out[rows, : bits.shape[1]] = bits
+    return out
+
+
+def _closest(t: dict, num: int, den: int, most: int, reach: int) -> dict[int, list]:
+    """The closest pairs, ``component -> [(bound, a, b)]`` (at most ``most`` each), of classes that share a group, lie in
+    different components and may be similar.
+
+    ``t`` holds whole groups, ordered by group and size.  Every row meets the s-th row after it in its group, for all
+    rows at once, with s up to ``reach`` (0: to the end of the group); no pairs but those that pass are kept."""
+    group, cls, comp, n, half, sketches, refused = (t[c] for c in ("group", "cls", "component", "n", "half", "sketch", "refused"))
+    size = np.array([len(x) for x in sketches])
+    bits = _coarse(sketches)
+    best: dict[int, list] = {}
+    end = np.searchsorted(group, group, "right")
+    rows, s = np.arange(len(group)), 0
+    while True:
+        s += 1
+        rows = rows[rows + s < end[rows]]
+        if not len(rows) or (reach and s > reach):
+            return best
+        other = rows + s
+        ok = (comp[rows] != comp[other]) & (half[rows] != half[other]) & (n[rows] * den >= n[other] * num)
+        i, j = rows[ok], other[ok]
+        limit = (den - num) * (n[i] + n[j]) // (den + num)
+        # sketches of one length, or both folded to the coarse length, bound the difference; others need folding
+        alike = (size[i] == size[j]) | (np.minimum(size[i], size[j]) >= _COARSE)
+        differ = np.where(alike, np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64), 0)
+        keep = differ <= limit
+        for x, y, d, most_bits in zip(i[keep].tolist(), j[keep].tolist(), differ[keep].tolist(), limit[keep].tolist()):
+            if size[x] != size[y] or size[x] > _COARSE:
+                one, two = _folded([sketches[x], sketches[y]])
+                d = int(np.bitwise_count(one ^ two).sum())
+                if d > most_bits:
+                    continue
+            pair = (min(int(cls[x]), int(cls[y])), max(int(cls[x]), int(cls[y])))
+            if pair in refused:
                 continue
-            differ = np.bitwise_count(bits[a:b] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            y = np.flatnonzero(ok & (differ <= (den - num) * (n[i] + n[a:b]) // (den + num)))
-            for column, values in zip(found, (np.full(len(y), i), a + y, differ[y])):
-                column.append(values)
-        first, second, differ = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
-    ok = differ <= (den - num) * (n[first] + n[second]) // (den + num)
-    first, second, differ = first[ok], second[ok], differ[ok]
-    places = np.lexsort((np.maximum(cls[first], cls[second]), np.minimum(cls[first], cls[second]), differ))
-    taken: dict[int, int] = {}
-    for i, j, d in zip(first[places].tolist(), second[places].tolist(), differ[places].tolist()):
-        own = [c for c in (int(comp[i]), int(comp[j])) if taken.get(c, 0) < most]
-        pair = (min(int(cls[i]), int(cls[j])), max(int(cls[i]), int(cls[j])))
-        if own and pair not in refused:
-            for c in own:
-                taken[c] = taken.get(c, 0) + 1
-                yield c, d, *pair
+            for c in (int(comp[x]), int(comp[y])):
+                known = best.setdefault(c, [])
+                if len(known) < most or (d, *pair) < known[-1]:
+                    if (d, *pair) not in known:
+                        known.append((d, *pair))
+                        known.sort()
+                        del known[most:]
 
 
 def _proposals(open_: DataFrame, refused: DataFrame, sketches: DataFrame, num: int, den: int, parts: int, most: int, reach: int) -> DataFrame:
@@ -222,49 +237,46 @@ def _proposals(open_: DataFrame, refused: DataFrame, sketches: DataFrame, num: i
     # a refused pair goes to the groups that hold its smaller class
     told = refused.select(F.col("a").alias("cls"), F.col("b").alias("partner")).join(sketches.select(F.col("cls").alias("partner")), "partner", "left_semi")
     rows = rows.unionByName(rows.select("sig", "p", "q", "cls").join(told, "cls"), allowMissingColumns=True)
-    rows = rows.repartition(parts, "sig", "p", "q").sortWithinPartitions("sig", "p", "q")
-
-    def group(t: pa.Table):
-        row = pc.is_null(t["partner"])
-        said, t = t.filter(pc.invert(row)), t.filter(row)
-        if t.num_rows < 2 or (t["p"][0] != t["q"][0] and len(pc.unique(t["half"])) < 2):
-            return
-        known = set(zip(said["cls"].to_pylist(), said["partner"].to_pylist()))
-        cls, comp, n, half = (t[c].to_numpy() for c in ("cls", "component", "n", "half"))
-        yield from _closest(cls, comp, n, half, t["sketch"].to_pylist(), known, num, den, most, reach)
+    rows = rows.repartition(parts, "sig", "p", "q").sortWithinPartitions("sig", "p", "q", "n", "cls")
 
     def run(batches):
-        held, key, out = [], None, {}
-
-        def take(t):
-            for comp, differ, a, b in group(t):
-                best = out.setdefault(comp, [])
-                if (differ, a, b) not in best:
-                    best.append((differ, a, b))
-                    best.sort()
-                    del best[most:]
+        best, held = {}, None
+
+        def take(t: pa.Table):
+            told = pc.is_valid(t["partner"])
+            said, t = t.filter(told), t.filter(pc.invert(told))
+            if t.num_rows < 2:
+                return
+            keys = np.stack([t[c].to_numpy() for c in ("sig", "p", "q")])
+            group = np.concatenate([[0], np.cumsum((np.diff(keys, axis=1) != 0).any(axis=0))])
+            # inside a block any two rows may pair; between two blocks only those across
+            half = np.where(keys[1] == keys[2], np.arange(len(group)) + 2, t["half"].to_numpy())
+            cols = {c: t[c].to_numpy() for c in ("cls", "component", "n")}
+            found = _closest({**cols, "group": group, "half": half, "sketch": t["sketch"].to_pylist(),
+                              "refused": set(zip(said["cls"].to_pylist(), said["partner"].to_pylist()))}, num, den, most, reach)
+            for c, pairs in found.items():
+                best[c] = sorted({*best.get(c, ()), *pairs})[:most]
 
         def emit():
-            rows = [(c, *x) for c, best in out.items() for x in best]
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["component", "differ", "a", "b"])
+            out = [(c, *x) for c, pairs in best.items() for x in pairs]
+            best.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["component", "differ", "a", "b"])
 
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("sig", "p", "q")])
-            cut = np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1
-            for a, b in zip([0, *cut], [*cut, batch.num_rows]):
-                if a == b:
-                    continue
-                if tuple(keys[:, a]) != key:
-                    if held:
-                        take(pa.Table.from_batches(held))
-                    held, key = [], tuple(keys[:, a])
-                    if len(out) > 100_000:
-                        yield emit()
-                held.append(batch.slice(a, b - a))
-        if held:
-            take(pa.Table.from_batches(held))
-        if out:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+            # the last group may go on in the next batch
+            keys = np.stack([t[c].to_numpy() for c in ("sig", "p", "q")])
+            cut = np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0))
+            cut = int(cut[-1]) + 1 if len(cut) else 0
+            if cut:
+                take(t.slice(0, cut))
+            held = t.slice(cut)
+            if len(best) > 100_000:
+                yield emit()
+        if held is not None:
+            take(held)
+        if best:
             yield emit()
 
     found = rows.mapInArrow(run, "component long, differ long, a long, b long")
