@@ -1,13 +1,14 @@
 """Exact k-nearest neighbours between two tables, also out of fold (JN6, ML6).
 
-References are dealt to the cells of a bounded set of pivots (each to its nearest one); a cell knows its
-radius.  A probe first meets the cell of its nearest pivot, which bounds the distance of its k-th neighbour;
-by the triangle inequality a cell whose pivot is further away than that bound plus the cell's radius holds no
-neighbour, so probe and cell never meet.  Inside a cell references are ordered by their distance to the pivot, and
-only the ring that the bound allows is compared.  Cells with many references are split into blocks of bounded size.
-
-A task holds one block of a cell and streams the probes past it in batches; it returns at most k rows for a
-probe, so no pair becomes a row.  Pivots are fitted on a bounded sample (the rows with the smallest hashes, at most
+References are dealt to the cells of a bounded set of pivots (each to its nearest one); neighbouring cells are put
+together to groups, and a group with many references is split into blocks of bounded size.  A probe first meets the group of its
+nearest pivot, which bounds the distance of its k-th neighbour.  A cell holds no nearer reference if its pivot is
+further away than that bound plus the cell's radius, or if the plane half way between its pivot and the probe's own
+is further away than the bound; groups with such cells only never meet the probe, and inside a group such cells are passed over.
+
+A task holds one block and streams the probes past it in batches, cell by cell: a matrix product gives the distances up
+to rounding, and what may be among the best k is compared by exact differences.  A task returns at most k rows for
+a probe, so no pair becomes a row.  Pivots are fitted on a bounded sample (the rows with the smallest hashes, at most
 ``_PIVOTS``); every row is searched, and the sample only sets how much is pruned.
 
 Defined cases: rows with a null key or vector, a null or non-finite component, or a length other than the
@@ -26,6 +27,7 @@ from ..session import written
 
 _PIVOTS = 4096
 _SLACK = 1e-9  # relative room for rounding where a bound decides
+_TASKS = 48  # least number of groups of cells, where there are so many cells
 
 
 def cell_rows(df: DataFrame) -> int:
@@ -49,26 +51,65 @@ def _matrix(column, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
-def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Distances of all rows of x and y by their differences: equal pairs give equal results wherever they stand."""
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of x and y by their differences, a component at a time."""
     out = np.empty((len(x), len(y)))
-    step = max(1, 2_000_000 // max(1, y.size))
+    step, flat = max(1, 131_072 // max(1, len(y))), np.ascontiguousarray(y.T)
     for i in range(0, len(x), step):
-        d = x[i: i + step, None, :] - y[None, :, :]
-        out[i: i + step] = np.sqrt((d * d).sum(axis=2))
+        part, to = x[i: i + step], out[i: i + step]
+        to[:] = 0.0
+        for j in range(x.shape[1]):
+            d = part[:, j, None] - flat[j]
+            d *= d
+            to += d
     return out
 
 
 class Cells:
-    """Pivots with the radius and the number of blocks of their cells; a bounded literal of the tasks."""
+    """Pivots with the radius of their cells, and the groups of cells with their blocks; a bounded literal of the tasks."""
 
     def __init__(self, pivots: np.ndarray):
         self.pivots, self.size = pivots, pivots.shape[1]
-        self.radius, self.blocks = np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
-
-    def fill(self, stats, most: int) -> None:
+        self.radius, self.group = np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
+        self.blocks = np.zeros(1, np.int64)
+        self._apart = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "_apart": None}
+
+    @property
+    def apart(self) -> np.ndarray:
+        """Squared distances of the pivots, worked out once in a worker."""
+        if self._apart is None:
+            self._apart = _squares(self.pivots, self.pivots)
+        return self._apart
+
+    def fill(self, stats, target: int, most: int) -> None:
+        """Radii, and groups of neighbouring cells of up to ``target`` references in blocks of ``most``."""
+        n = np.zeros(len(self.pivots), np.int64)
         for r in stats:
-            self.radius[r["cell"]], self.blocks[r["cell"]] = r["radius"], -(-r["n"] // most)
+            self.radius[r["cell"]], n[r["cell"]] = r["radius"], r["n"]
+        parts, groups = [np.arange(len(n))], []
+        while parts:  # halves by the widest component until the references fit
+            part = parts.pop()
+            if len(part) == 1 or n[part].sum() <= target:
+                groups.append(part)
+                continue
+            v = self.pivots[part]
+            order = part[np.argsort(v[:, np.argmax(v.max(axis=0) - v.min(axis=0))], kind="stable")]
+            parts += [order[: len(order) // 2], order[len(order) // 2:]]
+        self.blocks = np.zeros(len(groups), np.int64)
+        for g, part in enumerate(groups):
+            self.group[part], self.blocks[g] = g, -(-int(n[part].sum()) // most)
+
+    def visits(self, to_pivots: np.ndarray, home: np.ndarray, bound: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Whether the cells ``which`` may hold a reference within the bound of each probe; ``to_pivots`` holds the squared
+        distances to these cells' pivots, ``home`` the probe's own cell and that pivot's squared distance."""
+        own, near = home[0].astype(np.int64), home[1][:, None]
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            d = np.sqrt(to_pivots)
+            least = np.maximum(d - self.radius[which], (to_pivots - near - 1e-12 * (to_pivots + near)) / (2 * np.sqrt(self.apart[own[:, None], which])))
+            return ~(least > bound[:, None] + _SLACK * (1 + d + np.where(np.isinf(bound), 0.0, bound)[:, None])) & (self.radius[which] >= 0)
 
 
 def _assigned(rows: DataFrame, cells: Cells) -> DataFrame:
@@ -76,25 +117,27 @@ def _assigned(rows: DataFrame, cells: Cells) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            d = _distances(_matrix(batch.column("v"), cells.size), cells.pivots)
+            d = _squares(_matrix(batch.column("v"), cells.size), cells.pivots)
             cell = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(cell)), cell])],
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(np.sqrt(d[np.arange(len(cell)), cell]))],
                                              names=[*batch.schema.names, "cell", "far"])
 
     return rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", cell int, far double")
 
 
 def _meet(refs: DataFrame, probes: DataFrame, cells: Cells, k: int, skip_self: bool) -> DataFrame:
-    """(row, id, distance): for each probe (row, id, grp, v, cell, block, bound) the best k of the block that it visits."""
-    cols = ["cell", "block", "side", "row", "id", "grp", "v", "far", "bound"]
-    left = refs.select("cell", "block", F.lit(0).alias("side"), F.lit(None).cast("long").alias("row"), "id", "grp", "v", "far", F.lit(None).cast("double").alias("bound"))
-    right = probes.select("cell", "block", F.lit(1).alias("side"), "row", "id", "grp", "v", F.lit(None).cast("double").alias("far"), "bound")
-    both = left.unionByName(right).select(*cols).repartition("cell", "block").sortWithinPartitions("cell", "block", "side", "far")
+    """(row, id, distance): for each probe (row, id, grp, v, group, block, home, near, bound) the best k of the block that it visits."""
+    cols = ["group", "block", "side", "cell", "row", "id", "grp", "v", "home", "near", "bound"]
+    left = refs.select("group", "block", F.lit(0).alias("side"), "cell", F.lit(None).cast("long").alias("row"), "id", "grp", "v",
+                       F.lit(None).cast("int").alias("home"), F.lit(None).cast("double").alias("near"), F.lit(None).cast("double").alias("bound"))
+    right = probes.select("group", "block", F.lit(1).alias("side"), F.col("home").alias("cell"), "row", "id", "grp", "v", "home", "near", "bound")
+    parts = max(int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(int(cells.blocks.sum()), 2000))
+    both = left.unionByName(right).select(*cols).repartition(parts, "group", "block").sortWithinPartitions("group", "block", "side", "cell")
 
     def run(batches):
         key, held, block = None, [], None
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "block", "side")])
+            keys = np.stack([batch.column(c).to_numpy() for c in ("group", "block", "side")])
             cut = np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1
             for a, b in zip([0, *cut], [*cut, batch.num_rows]):
                 if a == b:
@@ -106,42 +149,101 @@ def _meet(refs: DataFrame, probes: DataFrame, cells: Cells, k: int, skip_self: b
                     held.append(part)
                 elif held:
                     if block is None:
-                        t = pa.Table.from_batches(held).combine_chunks()
-                        block = (t["id"].to_numpy(), np.array(t["grp"].to_pylist(), object), _matrix(t["v"].combine_chunks(), cells.size), t["far"].to_numpy())
-                    found = list(_search(block, part, cells.pivots[now[0]], k, skip_self))
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["row", "id", "distance"])
+                        block, held = _Block(pa.Table.from_batches(held).combine_chunks(), cells), [None]
+                    for i in range(0, part.num_rows, 2000):
+                        found = block.search(part.slice(i, 2000), k, skip_self)
+                        if len(found[0]):
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["row", "id", "distance"])
 
     return both.mapInArrow(run, "row long, id long, distance double")
 
 
-def _search(block, part, pivot: np.ndarray, k: int, skip_self: bool):
-    ids, groups, vectors, far = block
-    x = _matrix(part.column("v"), vectors.shape[1])
-    rows, own, bound = (part.column(c).to_numpy(zero_copy_only=False) for c in ("row", "id", "bound"))
-    grp = part.column("grp").to_pylist()
-    centre = _distances(x, pivot[None, :])[:, 0]
-    bound = np.where(np.isnan(bound), np.inf, bound)
-    # rows ordered by distance to the pivot: the ring that can hold a neighbour
-    room = bound + _SLACK * (1.0 + centre + np.where(np.isinf(bound), 0.0, bound))
-    low, high = np.searchsorted(far, centre - room, "left"), np.searchsorted(far, centre + room, "right")
-    for i in range(len(x)):
-        a, b = low[i], high[i]
-        if a >= b:
-            continue
-        d = vectors[a:b] - x[i]
-        d = np.sqrt((d * d).sum(axis=1))
-        ok = d <= bound[i]
-        if skip_self:
-            ok &= ids[a:b] != own[i]
-        if grp[i] is not None:
-            ok &= groups[a:b] != grp[i]
-        at = np.flatnonzero(ok)
-        if len(at) > k:
-            at = at[d[at] <= np.partition(d[at], k - 1)[k - 1]]
-        at = at[np.lexsort((ids[a:b][at], d[at]))[:k]]
-        if len(at):
-            yield np.full(len(at), rows[i]), ids[a:b][at], d[at]
+class _Block:
+    """References of a block, cell by cell, and the search of a batch of probes among them."""
+
+    def __init__(self, t, cells: Cells):
+        self.cells, self.ids = cells, t["id"].to_numpy()
+        self.codes: dict = {}
+        self.grp = np.array([self.codes.setdefault(g, len(self.codes)) for g in t["grp"].to_pylist()], np.int64)
+        cell = t["cell"].to_numpy()
+        start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        self.which, self.start, self.end = cell[start].astype(np.int64), start, np.append(start[1:], len(cell))
+        self.v = _matrix(t["v"].combine_chunks(), cells.size)
+        self.centre = self.v.mean(axis=0)
+        self.flat = np.ascontiguousarray((self.v - self.centre).T)
+        self.norm = (self.flat * self.flat).sum(axis=0)
+
+    def search(self, part, k: int, skip_self: bool):
+        x = _matrix(part.column("v"), self.cells.size)
+        rows, own, home, near, bound = (part.column(c).to_numpy(zero_copy_only=False) for c in ("row", "id", "home", "near", "bound"))
+        grp = np.array([-1 if g is None else self.codes.get(g, -1) for g in part.column("grp").to_pylist()], np.int64)
+        bound = np.where(np.isnan(bound), np.inf, bound)
+        y = x - self.centre
+        norm = (y * y).sum(axis=1)
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # probe, id, distance: at most k a probe
+        done = np.zeros((len(x), len(self.which)), bool)
+
+        def compare(c: int, who: np.ndarray) -> None:
+            nonlocal best, bound
+            a, b = self.start[c], self.end[c]
+            for a in range(a, b, 4000):
+                e = min(a + 4000, b)
+                for i in range(0, len(who), 500):
+                    w = who[i: i + 500]
+                    with np.errstate(invalid="ignore", over="ignore"):
+                        d2 = y[w] @ self.flat[:, a:e]
+                        d2 *= -2.0
+                        d2 += self.norm[a:e]
+                        d2 += norm[w, None]
+                        room = 1e-15 * (self.cells.size + 8) * (norm[w] + self.norm[a:e].max())
+                        top = bound[w] * bound[w] * (1 + 1e-12) + room
+                        wide = np.flatnonzero(np.isinf(bound[w]))
+                        if len(wide):  # without a bound: the k-th of those that may be taken
+                            own_ = d2[wide]
+                            if skip_self:
+                                own_[self.ids[a:e][None, :] == own[w[wide], None]] = np.inf
+                            own_[self.grp[a:e][None, :] == grp[w[wide], None]] = np.inf
+                            if e - a > k:
+                                top[wide] = np.partition(own_, k - 1, axis=1)[:, k - 1] + 2 * room[wide]
+                        p, r = np.nonzero(~(d2 > top[:, None]))
+                    p, r = w[p], r + a
+                    ok = grp[p] != self.grp[r]
+                    if skip_self:
+                        ok &= self.ids[r] != own[p]
+                    p, r = p[ok], r[ok]
+                    if not len(p):
+                        continue
+                    d = np.empty(len(p))
+                    for j in range(0, len(p), 100_000):
+                        diff = self.v[r[j: j + 100_000]] - x[p[j: j + 100_000]]
+                        d[j: j + 100_000] = np.sqrt((diff * diff).sum(axis=1))
+                    fit = d <= bound[p]
+                    p, r, d = p[fit], r[fit], d[fit]
+                    if not len(p):
+                        continue
+                    mine = np.isin(best[0], p)
+                    rest = tuple(q[~mine] for q in best)
+                    p, q, d = np.concatenate([best[0][mine], p]), np.concatenate([best[1][mine], self.ids[r]]), np.concatenate([best[2][mine], d])
+                    order = np.lexsort((q, d, p))
+                    p, q, d = p[order], q[order], d[order]
+                    first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+                    rank = np.arange(len(p)) - np.repeat(first, np.diff(np.append(first, len(p))))
+                    kth = rank == k - 1
+                    bound[p[kth]] = np.minimum(bound[p[kth]], d[kth])
+                    keep = rank < k
+                    best = tuple(np.concatenate([o, n[keep]]) for o, n in zip(rest, (p, q, d)))
+
+        for c, cell in enumerate(self.which.tolist()):  # probes at home here get their bound first
+            who = np.flatnonzero(home == cell)
+            if len(who):
+                done[who, c] = True
+                compare(c, who)
+        to = _squares(x, self.cells.pivots[self.which])
+        for c in range(len(self.which)):
+            who = np.flatnonzero(self.cells.visits(to[:, c: c + 1], (home, near), bound, self.which[c: c + 1])[:, 0] & ~done[:, c])
+            if len(who):
+                compare(c, who)
+        return rows[best[0]], best[1], best[2]
 
 
 def knn_between(probes: DataFrame, refs: DataFrame, key: str = "vec_id", vec: str = "embedding", k: int = 5, exclude_self: bool = False,
@@ -164,17 +266,18 @@ def knn_between(probes: DataFrame, refs: DataFrame, key: str = "vec_id", vec: st
     grid = Cells(np.array([r["v"] for r in sample], np.float64))
     most = block_rows(refs)
     held = written(_assigned(found, grid), "knn_cells")
-    grid.fill(held.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect(), most)  # one row a pivot
-    blocks = F.lit(grid.blocks.tolist())
-    held = held.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.greatest(blocks[F.col("cell")], F.lit(1))).cast("int"))
-    # 1. the nearest cell that holds references: a bound for the k-th neighbour
-    home = _routed(rows.withColumn("bound", F.lit(None).cast("double")).withColumn("home", F.lit(-1)), grid, first=True)
-    near = written(_meet(held, home.select("row", "id", "grp", "v", "cell", "block", "bound"), grid, k, exclude_self), "knn_near")
-    kth = near.groupBy("row").agg(F.sort_array(F.collect_list("distance")).alias("d"))  # at most k a block of one cell
+    # enough blocks for many tasks, each within what a task may hold
+    grid.fill(held.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect(),  # one row a pivot
+              min(most, max(n // _TASKS, cell_rows(refs))), most)
+    held = held.withColumn("group", F.lit(grid.group.tolist())[F.col("cell")].cast("int"))
+    held = held.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.greatest(F.lit(grid.blocks.tolist())[F.col("group")], F.lit(1))).cast("int"))
+    # 1. the group of the nearest cell that holds references: a bound for the k-th neighbour
+    home = _routed(rows.withColumn("bound", F.lit(None).cast("double")), grid, first=True)
+    near = written(_meet(held, home, grid, k, exclude_self), "knn_near")
+    kth = near.groupBy("row").agg(F.sort_array(F.collect_list("distance")).alias("d"))  # at most k a block of one group
     bound = rows.join(kth.select("row", F.when(F.size("d") >= k, F.col("d")[k - 1]).alias("bound")), "row", "left")
-    # 2. every other cell that may hold a nearer one
-    rest = _routed(bound.withColumn("home", F.lit(0)), grid, first=False)
-    more = _meet(held, rest.select("row", "id", "grp", "v", "cell", "block", "bound"), grid, k, exclude_self)
+    # 2. every other group that may hold a nearer one
+    more = _meet(held, _routed(bound, grid, first=False), grid, k, exclude_self)
     order = Window.partitionBy("row").orderBy("distance", "id")
     best = near.unionByName(more).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.withColumnRenamed("id", "neighbor_id").join(rows.select("row", F.col("id").alias(key)), "row").select(
@@ -182,35 +285,41 @@ def knn_between(probes: DataFrame, refs: DataFrame, key: str = "vec_id", vec: st
 
 
 def _routed(rows: DataFrame, cells: Cells, first: bool) -> DataFrame:
-    """Each probe once for each block of the cells it visits: the nearest one that holds references (``first``),
-    or all others whose pivot is not further away than bound and radius."""
+    """Each probe once for each block of the groups it visits: that of the nearest cell that holds references (``first``),
+    or all others with a cell that may hold a reference within the bound."""
     rows = rows.select("row", "id", "grp", "v", "bound")
+    order = np.argsort(cells.group, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], np.diff(cells.group[order]) != 0]))
+
+    def route(batch):
+        d = _squares(_matrix(batch.column("v"), cells.size), cells.pivots)
+        home = np.where(cells.radius >= 0, d, np.inf).argmin(axis=1)
+        near = d[np.arange(len(home)), home]
+        own = cells.group[home]
+        if first:
+            probe, group = np.arange(len(home)), own
+        else:
+            bound = batch.column("bound").to_numpy(zero_copy_only=False)
+            bound = np.where(np.isnan(bound), np.inf, bound)
+            visit = np.logical_or.reduceat(cells.visits(d, (home, near), bound, np.arange(len(cells.group)))[:, order], start, axis=1)
+            visit[np.arange(len(home)), own] = False
+            probe, group = np.nonzero(visit)
+        times = cells.blocks[group]
+        at = np.repeat(np.arange(len(probe)), times)
+        block = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+        for i in range(0, len(at), 10_000):
+            s = at[i: i + 10_000]
+            out = batch.take(pa.array(probe[s]))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(group[s].astype(np.int32)), pa.array(block[i: i + 10_000].astype(np.int32)),
+                                              pa.array(home[probe[s]].astype(np.int32)), pa.array(near[probe[s]])],
+                                             names=[*out.schema.names, "group", "block", "home", "near"])
 
     def run(batches):
         for batch in batches:
-            d = _distances(_matrix(batch.column("v"), cells.size), cells.pivots)
-            d[:, cells.blocks == 0] = np.inf
-            home = d.argmin(axis=1)
-            if first:
-                visit = np.zeros(d.shape, bool)
-                visit[np.arange(len(home)), home] = True
-            else:
-                bound = batch.column("bound").to_numpy(zero_copy_only=False)
-                bound = np.where(np.isnan(bound), np.inf, bound)
-                with np.errstate(invalid="ignore"):
-                    visit = (d <= (bound[:, None] + cells.radius) * (1 + _SLACK) + _SLACK * (1 + np.where(np.isinf(d), 0.0, d))) & ~np.isinf(d)
-                visit[np.arange(len(home)), home] = False
-            probe, cell = np.nonzero(visit)
-            times = cells.blocks[cell]
-            at = np.repeat(np.arange(len(probe)), times)
-            block = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-            for i in range(0, len(at), 10_000):
-                s = at[i: i + 10_000]
-                out = batch.take(pa.array(probe[s]))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell[s].astype(np.int32)), pa.array(block[i: i + 10_000].astype(np.int32))],
-                                                 names=[*out.schema.names, "cell", "block"])
-
-    return rows.mapInArrow(run, "row long, id long, grp string, v array<double>, bound double, cell int, block int")
+            for i in range(0, batch.num_rows, 1000):  # a row holds a number for each pivot
+                yield from route(batch.slice(i, 1000))
+
+    return rows.mapInArrow(run, "row long, id long, grp string, v array<double>, bound double, group int, block int, home int, near double")
 
 
 def knn(df: DataFrame, key: str = "vec_id", vec: str = "embedding", k: int = 5, blocks: int | None = None,

@@ -1,4 +1,7 @@
+import time
+
 import numpy as np
+import pyarrow as pa
 
 import pytest
 
@@ -78,3 +81,29 @@ def test_oof_scores_and_few_references(spark):
     near = {i: sorted((abs(v[0] - w[0]), j, y) for j, g, w, y in rows if g != f and j != i)[:2] for i, f, v, _ in rows if f is not None}
     assert set(got) == set(near) and all(abs(got[i] - sum(y for *_, y in n) / 2) < 1e-12 for i, n in near.items())
     assert knn(df.limit(2), k=5).count() == 2 and knn(df.where("false"), k=5).count() == 0
+
+
+def test_block_search_takes_batches_of_probes_together(spark):
+    """Compared cell by cell for a whole batch, not a probe at a time: 4 million pairs of 64 components in seconds."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(4000, 64))
+    v[2000:] = v[:2000][rng.permutation(2000)]  # copies: ties go to the smaller key
+    grid = knn_module.Cells(v[:40].copy())
+    d = knn_module._squares(v, grid.pivots)
+    cell = d.argmin(axis=1)
+    grid.fill([{"cell": i, "n": int((cell == i).sum()), "radius": float(np.sqrt(d[cell == i, i].max()))} for i in range(40)], 10_000, 20_000)
+    assert len(grid.blocks) == 1
+    order = np.argsort(cell, kind="stable")
+    held = pa.table({"id": order, "grp": pa.array([None] * 4000, pa.string()), "cell": cell[order].astype(np.int32), "v": pa.array(list(v[order]))}).combine_chunks()
+    block = knn_module._Block(held, grid)
+    part = pa.table({"row": np.arange(1000), "id": np.arange(1000), "grp": pa.array([None] * 1000, pa.string()), "v": pa.array(list(v[:1000])),
+                     "home": cell[:1000].astype(np.int32), "near": d[np.arange(1000), cell[:1000]], "bound": pa.array([None] * 1000, pa.float64())}).to_batches()[0]
+    start = time.process_time()
+    rows, ids, far = block.search(part, 5, True)
+    assert time.process_time() - start < 20
+    got = {}
+    for r, i, f in zip(rows.tolist(), ids.tolist(), far.tolist()):
+        got.setdefault(r, []).append((f, i))
+    for i in range(0, 1000, 37):
+        e = np.sqrt(((v - v[i]) ** 2).sum(axis=1))
+        assert sorted(got[i]) == sorted((e[j], j) for j in np.lexsort((np.arange(4000), np.where(np.arange(4000) == i, np.inf, e)))[:5].tolist())
