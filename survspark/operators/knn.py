@@ -65,6 +65,22 @@ def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _slices(n: int, width: int):
+    """Slices of rows whose products with ``width`` columns stay in a core's cache."""
+    step = max(1, 65_536 // max(1, width))
+    return (slice(i, i + step) for i in range(0, n, step))
+
+
+def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first nearest pivot of each row and its squared distance."""
+    cell, far = np.zeros(len(x), np.int64), np.zeros(len(x))
+    for s in _slices(len(x), len(pivots)):
+        d = _squares(x[s], pivots)
+        cell[s] = d.argmin(axis=1)
+        far[s] = d[np.arange(len(d)), cell[s]]
+    return cell, far
+
+
 class Cells:
     """Pivots with the radius of their cells, and the groups of cells with their blocks; a bounded literal of the tasks."""
 
@@ -117,9 +133,8 @@ def _assigned(rows: DataFrame, cells: Cells) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            d = _squares(_matrix(batch.column("v"), cells.size), cells.pivots)
-            cell = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(np.sqrt(d[np.arange(len(cell)), cell]))],
+            cell, far = _nearest(_matrix(batch.column("v"), cells.size), cells.pivots)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(np.sqrt(far))],
                                              names=[*batch.schema.names, "cell", "far"])
 
     return rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", cell int, far double")
@@ -290,18 +305,21 @@ def _routed(rows: DataFrame, cells: Cells, first: bool) -> DataFrame:
     rows = rows.select("row", "id", "grp", "v", "bound")
     order = np.argsort(cells.group, kind="stable")
     start = np.flatnonzero(np.concatenate([[True], np.diff(cells.group[order]) != 0]))
+    held = np.flatnonzero(cells.radius >= 0)
 
     def route(batch):
-        d = _squares(_matrix(batch.column("v"), cells.size), cells.pivots)
-        home = np.where(cells.radius >= 0, d, np.inf).argmin(axis=1)
-        near = d[np.arange(len(home)), home]
+        x = _matrix(batch.column("v"), cells.size)
+        home, near = _nearest(x, cells.pivots[held])
+        home = held[home]
         own = cells.group[home]
         if first:
             probe, group = np.arange(len(home)), own
         else:
             bound = batch.column("bound").to_numpy(zero_copy_only=False)
             bound = np.where(np.isnan(bound), np.inf, bound)
-            visit = np.logical_or.reduceat(cells.visits(d, (home, near), bound, np.arange(len(cells.group)))[:, order], start, axis=1)
+            visit = np.zeros((len(x), len(start)), bool)
+            for s in _slices(len(x), len(order)):
+                visit[s] = np.logical_or.reduceat(cells.visits(_squares(x[s], cells.pivots[order]), (home[s], near[s]), bound[s], order), start, axis=1)
             visit[np.arange(len(home)), own] = False
             probe, group = np.nonzero(visit)
         times = cells.blocks[group]
@@ -316,7 +334,7 @@ def _routed(rows: DataFrame, cells: Cells, first: bool) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):  # a row holds a number for each pivot
+            for i in range(0, batch.num_rows, 1000):  # a row may visit many groups
                 yield from route(batch.slice(i, 1000))
 
     return rows.mapInArrow(run, "row long, id long, grp string, v array<double>, bound double, group int, block int, home int, near double")
