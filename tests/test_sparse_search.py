@@ -1,4 +1,6 @@
 import json
+import threading
+import time
 
 import numpy as np
 import pandas as pd
@@ -68,3 +70,26 @@ def test_halving_keeps_the_best_and_repeats_by_seed(spark):
     assert json.loads(first[0].params) == train.sample_space(space, 4, 5)[first[0].number]
     with pytest.raises(ValueError):
         train.halving_search(df, "random_forest", space, ["x"], "event", "classification", brier, "numTrees", (), n_trials=1)
+
+
+@pytest.mark.parametrize("rows,most", [(1, 1), (500, 2), (10**9, 4)])
+def test_large_frames_are_fitted_a_few_folds_at_a_time(spark, monkeypatch, rows, most):
+    """Each fit keeps its own copy of the training rows, so the frame's size bounds the fits side by side."""
+    df = spark.createDataFrame(pd.DataFrame({"id": range(240), "fold": np.arange(240) % 4, "x": np.arange(240.0), "event": np.arange(240) % 3 // 2}))
+    lock, now, seen = threading.Lock(), [0], []
+
+    class Slow:
+        def fit(self, train_rows):
+            with lock:
+                now[0] += 1
+                seen.append(now[0])
+            time.sleep(0.3)
+            with lock:
+                now[0] -= 1
+            return real("decision_tree", "classification", {"labelCol": "event", "maxDepth": 2}, 1).fit(train_rows)
+
+    real = train.make_learner
+    monkeypatch.setattr(train, "_ROWS_AT_ONCE", rows)
+    monkeypatch.setattr(train, "make_learner", lambda *a: Slow())
+    oof, models = train.train_oof(df, "decision_tree", ["x"], "event", "classification")
+    assert len(models) == 4 and oof.count() == 240 and max(seen) <= most
