@@ -5,15 +5,18 @@ Pair rule (right-censored data): ``(i, j)`` is comparable when ``e_i = 1`` and
 fails first) and counts one half when ``p_i = p_j``.
 
 Map each row to the key ``k = (t, 1 - e)`` (events before censorings at equal time); then a
-pair is comparable iff ``e_i = 1 and k_i < k_j``.  With ``r`` the dense rank of ``k``, every
-pair with ``r_i < r_j`` is separated at exactly one bit level ``L``: the highest bit in which
-the ranks differ.  There both share ``node = r >> (L+1)``, ``i`` has bit ``L`` = 0 and ``j`` has
-1.  So the exact counts are, summed over levels and nodes, a running count over the
-prediction order of the "right" rows seen before each "left" event row: one
-``explode(levels)`` + ``groupBy(level, node, p)`` + one bucketed prefix scan.  Work and
-shuffle are ``O(n log n)``; no task sees more than one bucket of one node, heavy ties collapse
-in the aggregation, and all counts are integers (decimal(38,0)), so the result is exact and
-independent of partitioning.
+pair is comparable iff ``e_i = 1 and k_i < k_j``.  Rows collapse to cells ``(k, p)`` with counts, and
+each group's cells are cut into blocks of keys and into bins of predictions, both of bounded size.  Every
+comparable pair is counted exactly once:
+
+* in one block: by the block's NumPy task (all its cells);
+* in different blocks, in one bin: by the bin's NumPy task (its cells, collapsed by block and prediction);
+* in different blocks and different bins: from the counts of the grid (block, bin) alone, by a bucketed prefix scan.
+
+A cell is shuffled once for its block and twice for its bin, whatever the number of rows.  A key that is
+fuller than a block has a block of its own, in which no pair is comparable, and a prediction that is fuller than a
+bin collapses to one row for each block; so no task sees more than a bounded number of cells.  All counts are
+integers (decimal(38,0)): the result is exact and independent of partitioning.
 """
 
 from __future__ import annotations
@@ -21,14 +24,14 @@ from __future__ import annotations
 from decimal import Decimal
 
 import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DecimalType, StringType, StructField, StructType
 
 from ..functions.scalar import slug
-from .scan import default_buckets, prefix_scan, scan_stats
+from ..session import written
+from .scan import prefix_scan, scan_stats, with_bucket
 
 _BIG = "decimal(38,0)"
 
@@ -53,137 +56,155 @@ def concordance_counts(df: DataFrame, time: str = "time", event: str = "event",
     """
     by = list(by or [])
     spark = df.sparkSession
-    nb = buckets or default_buckets(df)
-    force = buckets is not None
     x = _prepared(df, time, event, pred, by)
-    # collapse rows to cells (group, t, 1-e, p) once; the distinct keys and their dense rank per
-    # group are derived from the cells, so the input rows are read a single time
+    # collapse rows to cells (group, t, 1-e, p) once, so the input rows are read a single time
     cells0 = (x.groupBy(*by, "__t", "__f", "__p")
               .agg(F.count(F.lit(1)).alias("__n"), F.sum("__e").cast("long").alias("__ne"))
               .persist(StorageLevel.MEMORY_AND_DISK))
-    keys = cells0.groupBy(*by, "__t", "__f").agg(F.sum("__n").alias("__kc"))
-    ranks = prefix_scan(keys, ["__t", "__f"], {"__r": F.lit(1).cast("long")}, by=by, exclusive=True,
-                        unique=True, bucket_col="__t", buckets=buckets)
-    cells = (cells0.join(ranks.select(*by, "__t", "__f", "__r"), [*by, "__t", "__f"])
-             .drop("__t", "__f")
-             .persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        # materialise the cells once; only their highest rank comes back
-        maxr = cells.agg(F.max("__r")).first()[0]
-        cells0.unpersist()
-        levels = int(maxr).bit_length() if maxr else 0
-        if levels == 0:
-            rows = [(*r, 0, 0) for r in cells.select(*by).distinct().collect()] if by else [(0, 0)]
-            return _result(spark, by, rows, cells.select(*by).schema if by else None)
-        # levels below `split` are counted inside aligned rank blocks of 2^split ranks, each block a
-        # bounded NumPy task; the other levels, and blocks that a heavy rank makes too large, run on
-        # the Spark scan.  The level table has about cells x levels rows, the cut is sized for ~16 levels.
-        limit = local_cells_limit(df)
-        split, heavy = (0, False) if force else _local_split(cells, by, levels, limit)
-        pbounds = scan_stats(cells, "__p", nb, force, rows_factor=16)[0] if split < levels or heavy else None
-        parts = [_spark_levels(cells, by, split, levels, pbounds)] if split < levels else []
-        if split > 0 and not heavy:
-            parts.append(_local_levels(cells.withColumn("__blk", F.expr(f"shiftright(__r, {split})")), by, split))
-        elif split > 0:
-            block = F.expr(f"shiftright(__r, {split})").alias("__blk")
-            large = (cells.groupBy(*by, block).agg(F.count(F.lit(1)).alias("__c")).filter(F.col("__c") > limit).drop("__c"))
-            placed = cells.select("*", block)
-            parts.append(_local_levels(placed.join(large, [*by, "__blk"], "left_anti"), by, split))
-            parts.append(_spark_levels(placed.join(large, [*by, "__blk"], "left_semi"), by, 0, split, pbounds))
+        n = cells0.count()
+        limit = max(1, n // buckets) if buckets else local_cells_limit(df)
+        cells, blocks = _placed(cells0, by, n, limit)
+        last, many = blocks.agg(F.max("__blk"), F.max("__many")).first()
+        parts = [_counted(cells.filter(~F.col("__alone")), by, "__blk", ["__t", "__f"], pairs=True)]
+        if many:
+            split = cells.filter("__many")
+            grid = written(split.groupBy(*by, "__blk", "__bin").agg(F.sum("__n").alias("__n"), F.sum("__ne").alias("__ne")), "grid")
+            binned = split.groupBy(*by, "__bin", "__blk", "__p").agg(F.sum("__n").alias("__n"), F.sum("__ne").alias("__ne"))
+            parts.append(_counted(binned, by, "__bin", ["__blk"], pairs=False))
+            levels = int(last).bit_length()
+            grid = grid.select(*by, F.col("__blk").alias("__r"), F.col("__bin").cast("double").alias("__p"), "__n", "__ne")
+            bounds = scan_stats(grid, "__p", buckets, buckets is not None, rows_factor=levels)[0]
+            parts.append(_spark_levels(grid, by, 0, levels, bounds, ties=False))
         res = parts[0]
         for q in parts[1:]:
             res = res.unionByName(q)
         res = res.groupBy(*by).agg(F.sum("numerator2").alias("numerator2"), F.sum("pairs").alias("pairs"))
         if by:
             # every observed group is reported, including groups without a comparable pair
-            out = cells.select(*by).distinct().join(res, by, "left")
+            out = blocks.select(*by).distinct().join(res, by, "left")
             rows = [tuple(r) for r in out.select(*by, "numerator2", "pairs").collect()]
-            return _result(spark, by, rows, cells.select(*by).schema)
+            return _result(spark, by, rows, blocks.select(*by).schema)
         r = res.first()
         return _result(spark, by, [(r[0], r[1]) if r else (0, 0)], None)
     finally:
-        cells.unpersist()
         cells0.unpersist()
 
 
 def local_cells_limit(df: DataFrame) -> int:
-    """Largest number of cells one local block task may hold (``survspark.concordance.localCells``)."""
-    return int(df.sparkSession.conf.get("survspark.concordance.localCells", "500000"))
-
-
-def _local_split(cells: DataFrame, by: list[str], levels: int, limit: int) -> tuple[int, bool]:
-    """Largest ``s`` such that the aligned blocks of ``2^s`` ranks that hold more than
-    ``limit`` cells have at most a twentieth of all cells (a few heavy ranks do not shrink all blocks).
-
-    Per-rank cell counts (one row per distinct key) are rolled up for every candidate block size
-    in one aggregate; one row for each size comes back.  The flag says whether such large blocks exist."""
-    per_rank = cells.groupBy(*by, "__r").agg(F.count(F.lit(1)).alias("__c"))
-    ex = per_rank.select(*by, "__c", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("__s"),
-                         "__r").withColumn("__b", F.expr("shiftright(__r, __s)"))
-    over = ex.groupBy(*by, "__s", "__b").agg(F.sum("__c").alias("__m")).groupBy("__s").agg(
-        F.sum(F.when(F.col("__m") > limit, F.col("__m")).otherwise(0)).alias("__o"), F.sum("__m").alias("__m"))
-    return max([(r["__s"], r["__o"] > 0) for r in over.collect() if 20 * r["__o"] <= r["__m"]], default=(0, False))
-
-
-def _local_levels(cells: DataFrame, by: list[str], split: int) -> DataFrame:
-    """Levels ``< split``: one ``applyInPandas`` task per aligned block of ``2^split`` ranks.
+    """Number of cells of a block or bin; one holds at most twice as many (``survspark.concordance.localCells``)."""
+    return int(df.sparkSession.conf.get("survspark.concordance.localCells", "150000"))
+
+
+_SMALL = 200_000  # rows of a table of blocks that is sent to all tasks
+
+
+def _cuts(quantiles: list[float]) -> tuple[list[float], list[int]]:
+    """Bounds of fine buckets, and the buckets that hold one value only: those of values met twice among the quantiles."""
+    qs = [float(q) for q in quantiles if q is not None and np.isfinite(q)]
+    heavy = {a for a, b in zip(qs, qs[1:]) if a == b}
+    bounds = sorted({*qs, *(float(np.nextafter(v, np.inf)) for v in heavy)} - {np.inf})
+    return bounds, [i + 1 for i, v in enumerate(bounds) if v in heavy]
+
+
+def _placed(cells: DataFrame, by: list[str], n: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """``cells`` with their block of keys and bin of predictions, and the table of the blocks.
+
+    Fine buckets of all cells come from one sketch; each group joins neighbouring ones to blocks of about ``limit``
+    of its own cells.  Columns: ``__blk`` and ``__bin`` in the order of keys and predictions; ``__alone``: the block is
+    one key, so it holds no pair; ``__many``: the group has several blocks."""
+    fine = max(1, -(-4 * n // limit))
+    bounds = {"__t": ([], []), "__p": ([], [])}
+    if fine > 1:
+        at = [i / fine for i in range(1, fine)]
+        r = cells.agg(*[F.percentile_approx(c, at, max(10000, 8 * fine)).alias(c) for c in bounds]).first()
+        bounds = {c: _cuts(r[c]) for c in bounds}
+    x = with_bucket(with_bucket(cells, "__t", bounds["__t"][0], "__ft"), "__p", bounds["__p"][0], "__fp")
+    # events before censorings: a bucket of one time is two keys
+    lone = F.col("__ft").isin(bounds["__t"][1]) if bounds["__t"][1] else F.lit(False)
+    x = x.withColumn("__ft", (2 * F.col("__ft") + F.when(lone, F.col("__f")).otherwise(0)).cast("int"))
+
+    def joined(fine_col: str, out: str, *more) -> DataFrame:
+        """Fine buckets of each group with the number of their block: a bucket above the limit has one to itself."""
+        per = x.groupBy(*by, fine_col).agg(F.count(F.lit(1)).alias("__c"), *more)
+        before = F.sum("__c").over(Window.partitionBy(*by).orderBy(fine_col)) - F.col("__c")
+        large = F.col("__c") > limit
+        return per.withColumn(out, (2 * F.floor(before / F.lit(limit)) + large.cast("int")).cast("long")).withColumn("__large", large).drop("__c")
+
+    key = F.struct("__t", "__f")
+    blocks = joined("__ft", "__blk", (F.min(key) == F.max(key)).alias("__one"))
+    group = Window.partitionBy(*by)
+    blocks = written(blocks.select(*by, "__ft", "__blk", (F.col("__large") & F.col("__one")).alias("__alone"),
+                                   (F.max("__blk").over(group) > F.min("__blk").over(group)).alias("__many")), "blocks")
+    bins = written(joined("__fp", "__bin").drop("__large"), "bins")
+    # a few rows for each block; where groups are so many that the table is long, a shuffled join
+    sent = [F.broadcast(t) if t.count() <= _SMALL else t for t in (blocks, bins)]
+    return x.join(sent[0], [*by, "__ft"]).join(sent[1], [*by, "__fp"]).drop("__ft", "__fp"), blocks
+
+
+def _counted(cells: DataFrame, by: list[str], place: str, key: list[str], pairs: bool) -> DataFrame:
+    """Pairs inside each ``place`` of a group whose ``key`` differs: one ``applyInArrow`` call for each place.
 
     The counting routine is nested so it is shipped to the Python workers by value (executors need
-    only NumPy and pandas, not this package)."""
+    only NumPy and Arrow, not this package)."""
     key_fields = [cells.schema[k] for k in by]
-    schema = StructType([*key_fields, StructField("__blk", LongType()), StructField("numerator2", StringType()),
-                         StructField("pairs", StringType())])
-
-    def block_counts(pdf, split):
-        """Exact ``(2 x concordant + tied, comparable pairs)`` for pairs inside one rank block whose
-        ranks differ only in the lowest ``split`` bits.  Merge-count per bit level with NumPy."""
-        def exact_dot(a, b):
-            """Sum of products that may exceed 64 bits, from 22-bit digits whose products stay in 64."""
-            digits = lambda x: [(x >> k) & 0x3FFFFF for k in (0, 22, 44)]
-            return sum(int(np.dot(u, v)) << (22 * (i + j)) for i, u in enumerate(digits(a)) for j, v in enumerate(digits(b)))
-
-        r = pdf["__r"].to_numpy(dtype=np.int64)
-        p = pdf["__p"].to_numpy(dtype=np.float64)
-        n = pdf["__n"].to_numpy(dtype=np.int64)
-        ne = pdf["__ne"].to_numpy(dtype=np.int64)
-        num2 = 0
-        pairs = 0
-        for lvl in range(split):
-            node = r >> (lvl + 1)
-            side = (r >> lvl) & 1
-            e0 = np.where(side == 0, ne, 0)
-            c1 = np.where(side == 1, n, 0)
-            order = np.lexsort((p, node))
-            nd, pp, e0s, c1s = node[order], p[order], e0[order], c1[order]
-            brk = np.r_[True, (nd[1:] != nd[:-1]) | (pp[1:] != pp[:-1])]
-            starts = np.flatnonzero(brk)
-            ge0 = np.add.reduceat(e0s, starts)  # exact int64 group sums
-            gc1 = np.add.reduceat(c1s, starts)
-            gnode = nd[brk]
-            nbrk = np.r_[True, gnode[1:] != gnode[:-1]]
-            nid = np.cumsum(nbrk) - 1
-            cs = np.cumsum(gc1)
-            before = cs - gc1
-            below = before - before[nbrk][nid]
-            num2 += 2 * exact_dot(ge0, below) + exact_dot(ge0, gc1)
-            nstarts = np.flatnonzero(nbrk)
-            ne0 = np.add.reduceat(ge0, nstarts)
-            nc1 = np.add.reduceat(gc1, nstarts)
-            pairs += exact_dot(ne0, nc1)
+    schema = StructType([*key_fields, StructField("numerator2", StringType()), StructField("pairs", StringType())])
+
+    def ranks(*columns):
+        """Dense ranks in the order of the columns."""
+        order = np.lexsort(columns[::-1])
+        new = np.zeros(len(order), bool)
+        for c in columns:
+            new[1:] |= c[order][1:] != c[order][:-1]
+        out = np.empty(len(order), np.int64)
+        out[order] = np.cumsum(new)
+        return out
+
+    def exact_dot(a, b):
+        """Sum of products that may exceed 64 bits, from 22-bit digits whose products stay in 64."""
+        digits = lambda x: [(x >> k) & 0x3FFFFF for k in (0, 22, 44)]
+        return sum(int(np.dot(u, v)) << (22 * (i + j)) for i, u in enumerate(digits(a)) for j, v in enumerate(digits(b)))
+
+    def count(r, p, n, ne):
+        """Exact ``(2 x concordant + tied, comparable pairs)`` over cells: two ranks are apart at exactly one
+        level, the highest bit in which they differ, so each level is one running count over the predictions."""
+        order = np.argsort(p, kind="stable")
+        r, p, n, ne = r[order], p[order], n[order], ne[order]
+        num2 = pairs = 0
+        for level in range(int(r.max()).bit_length()):
+            node = r >> (level + 1)
+            node = node.astype(np.uint16) if node.max() < 1 << 16 else node
+            order = np.argsort(node, kind="stable")
+            nd, pp = node[order], p[order]
+            right = ((r[order] >> level) & 1).astype(bool)
+            e0, c1 = np.where(right, 0, ne[order]), np.where(right, n[order], 0)
+            node_new = np.r_[True, nd[1:] != nd[:-1]]
+            starts = np.flatnonzero(node_new | np.r_[True, pp[1:] != pp[:-1]])
+            e0, c1, node_new = np.add.reduceat(e0, starts), np.add.reduceat(c1, starts), node_new[starts]
+            before = np.cumsum(c1) - c1
+            below = before - before[node_new][np.cumsum(node_new) - 1]
+            num2 += 2 * exact_dot(e0, below) + exact_dot(e0, c1)
+            nodes = np.flatnonzero(node_new)
+            pairs += exact_dot(np.add.reduceat(e0, nodes), np.add.reduceat(c1, nodes))
         return num2, pairs
 
-    def fn(key, pdf):
-        num2, pairs = block_counts(pdf, split)
-        row = {**{k: [v] for k, v in zip([*by, "__blk"], key)}, "numerator2": [str(num2)], "pairs": [str(pairs)]}
-        return pd.DataFrame(row)
+    def fn(group, table):
+        import pyarrow as pa
+
+        col = lambda c: table.column(c).to_numpy()
+        num2, found = count(ranks(*[col(k) for k in key]), ranks(col("__p")), col("__n"), col("__ne"))
+        row = [*group[: len(by)], str(num2), str(found if pairs else 0)]
+        return pa.Table.from_arrays([pa.array([v.as_py() if isinstance(v, pa.Scalar) else v], t) for v, t in
+                                     zip(row, [*[table.schema.field(k).type for k in by], pa.string(), pa.string()])],
+                                    names=[*by, "numerator2", "pairs"])
 
-    x = cells.select(*by, "__r", "__p", "__n", "__ne", "__blk")
-    out = x.groupBy(*by, "__blk").applyInPandas(fn, schema)
+    out = cells.select(*by, place, *key, "__p", "__n", "__ne").groupBy(*by, place).applyInArrow(fn, schema)
     return out.select(*by, F.col("numerator2").cast(_BIG).alias("numerator2"), F.col("pairs").cast(_BIG).alias("pairs"))
 
 
-def _spark_levels(cells: DataFrame, by: list[str], lo: int, hi: int, pbounds) -> DataFrame:
-    """Levels ``lo..hi-1``: explode, collapse per ``(level, node, p)`` and one bucketed scan over p."""
+def _spark_levels(cells: DataFrame, by: list[str], lo: int, hi: int, pbounds, ties: bool = True) -> DataFrame:
+    """Levels ``lo..hi-1``: explode, collapse per ``(level, node, p)`` and one bucketed scan over p.
+    Equal p count one half, or nothing without ``ties``."""
     lv = cells.select(*by, "__p", "__r", "__n", "__ne", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))).alias("__lvl"))
     side = F.expr("shiftright(__r, __lvl) & 1")
     lv = lv.select(*by, "__lvl", F.expr("shiftright(__r, __lvl + 1)").alias("__node"), "__p",
@@ -195,7 +216,7 @@ def _spark_levels(cells: DataFrame, by: list[str], lo: int, hi: int, pbounds) ->
     sc = prefix_scan(agg, "__p", {"__below": "__c1"}, by=node, exclusive=True, unique=True, bounds=pbounds)
     e0 = F.col("__e0").cast(_BIG)
     per_node = sc.groupBy(*node).agg(
-        F.sum(F.lit(2).cast(_BIG) * e0 * F.col("__below").cast(_BIG) + e0 * F.col("__c1").cast(_BIG)).alias("__num"),
+        F.sum(F.lit(2).cast(_BIG) * e0 * F.col("__below").cast(_BIG) + (e0 * F.col("__c1").cast(_BIG) if ties else F.lit(0).cast(_BIG))).alias("__num"),
         (F.sum("__e0").cast(_BIG) * F.sum("__c1").cast(_BIG)).alias("__pp"))
     return per_node.groupBy(*by).agg(F.sum("__num").alias("numerator2"), F.sum("__pp").alias("pairs"))
 

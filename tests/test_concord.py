@@ -89,3 +89,32 @@ def test_stratified_summary_reproduces_published_row(spark):
         assert abs(got[k] - v) < 1e-12
     assert "black_or_african-american_concordance_index" in got
     assert "native_hawaiian_or_other_pacific_islander_concordance_index" in got
+
+
+def test_blocks_and_bins_of_bounded_size(spark):
+    """Every task sees at most twice the limit, also beside a time and a prediction that many rows hold."""
+    from pyspark.sql import functions as F
+
+    from survspark.operators import concord
+
+    rng = np.random.default_rng(5)
+    n = 1200
+    t = np.where(rng.random(n) < 0.3, 50.0, rng.integers(1, 100, n).astype(float))
+    p = np.where(rng.random(n) < 0.3, 0.5, rng.random(n).round(3))
+    pdf = pd.DataFrame({"grp": rng.choice(["x", "y"], n, p=[0.9, 0.1]), "time": t, "event": rng.integers(0, 2, n), "pred": p})
+    seen, inner = [], concord._counted
+
+    def counted(cells, by, place, key, pairs):
+        seen.append((place, cells.groupBy(*by, place).count().agg(F.max("count")).first()[0]))
+        return inner(cells, by, place, key, pairs)
+
+    concord._counted = counted
+    spark.conf.set("survspark.concordance.localCells", "100")
+    try:
+        g = {r.grp: r for r in concordance(spark.createDataFrame(pdf), group="grp").collect()}
+    finally:
+        concord._counted = inner
+        spark.conf.unset("survspark.concordance.localCells")
+    for k, sub in pdf.groupby("grp"):
+        assert abs(g[k].concordance - brute(sub.time.values, sub.event.values, sub.pred.values)) < 1e-12
+    assert [s[0] for s in seen] == ["__blk", "__bin"] and max(s[1] for s in seen) <= 200
