@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
@@ -116,3 +117,19 @@ def norm_logsf(z: Column) -> Column:
     """``ln(1 - Phi(z))`` with the asymptotic tail for large ``z``."""
     tail = -z * z / F.lit(2.0) - F.log(z * F.lit((2.0 * 3.141592653589793) ** 0.5)) + F.log1p(-F.lit(1.0) / (z * z))
     return F.when(z > 30, tail).otherwise(F.log(norm_sf(z)))
+
+
+def np_norm_sf(z: np.ndarray) -> np.ndarray:
+    """``norm_sf`` of an array, by the same fit."""
+    x = np.abs(z) / 2.0 ** 0.5
+    t = 1 / (1 + 0.5 * x)
+    ans = t * np.exp(-x * x + np.polyval(ERFC_COEFFS[::-1], t))
+    return 0.5 * np.where(z >= 0, ans, 2 - ans)
+
+
+def np_norm_logsf(z: np.ndarray) -> np.ndarray:
+    """``norm_logsf`` of an array."""
+    far = np.maximum(z, 30.0)
+    tail = -far * far / 2 - np.log(far * (2.0 * 3.141592653589793) ** 0.5) + np.log1p(-1 / (far * far))
+    with np.errstate(divide="ignore"):
+        return np.where(z > 30, tail, np.log(np_norm_sf(z)))

@@ -2,12 +2,12 @@
 accelerated-failure-time models (Weibull, log-logistic, log-normal).
 
 A model is fitted for each fold on the rows of all other folds, and one on all rows.  The models of all
-folds are fitted by one job a step: every row is laid out once for each model that it trains, with that
-model's coefficients, and all sums are grouped by model.  A step brings a gradient and a Hessian for each model
+folds are fitted by one job a step: tasks read each row once and add it, in arrays, to the sums of every model that it
+trains; a shuffle adds these sums by model (and time).  A step brings a gradient and a Hessian for each model
 to the driver, ``p + p^2`` numbers times the number of folds; models that have converged leave the next job.
 
 Cox risk sets are one reverse prefix scan over the distinct times of each model.  Efron ties: the l-th of d tied events sees
-the risk set less ``l / d`` of the tied events' own sums; each event is one row of the last aggregate.
+the risk set less ``l / d`` of the tied events' own sums; these terms are made in arrays, some events at a time.
 
 Predictions never look at the outcome of the rows they score: the baseline hazard is a stored table for each
 model, made from its training rows, and a scored row reads it at its own time by the as-of lookup.
@@ -22,10 +22,11 @@ import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import norm_logsf, norm_sf
+from ..functions.scalar import norm_logsf, np_norm_logsf, np_norm_sf
 from ..session import written
 from .scan import lookup_asof, prefix_scan, quantile_bounds
 
@@ -56,13 +57,6 @@ class Frame:
         number = F.coalesce(*[F.when(F.col("fold") == F.lit(r["fold"]), F.lit(i)) for i, r in enumerate(own)], F.lit(-1)) if own else F.lit(-1)
         self.table = written(x.select(number.cast("int").alias("own"), "t", "e", *[(F.col(f"x{i}") - F.lit(float(c))).alias(f"x{i}") for i, c in enumerate(self.centre)]), "survreg")
 
-    def laid_out(self, models: Sequence[int], params: Mapping[int, np.ndarray]) -> DataFrame:
-        """Each row once for each of the given models that it trains, with the model's parameters as ``b``."""
-        number = F.explode(F.filter(F.lit(list(models)), lambda m: m != F.col("own")))
-        # a short literal: a few numbers for each fold
-        table = F.create_map(*[c for m in models for c in (F.lit(m), F.lit([float(v) for v in params[m]]))])
-        return self.table.select("*", number.alias("m")).withColumn("b", F.element_at(table, F.col("m")))
-
 
 def _eta(p: int, offset: int = 0) -> Column:
     return sum((F.col(f"x{i}") * F.col("b")[i + offset] for i in range(p)), F.lit(0.0))
@@ -72,32 +66,105 @@ def _pairs(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
 
 
+def _pieces(batches, names: Sequence[str], rows: int = 250_000):
+    """Columns of a task's rows as arrays, about ``rows`` rows at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+        n += batch.num_rows
+        if n >= rows:
+            yield [np.concatenate(c) for c in zip(*held)]
+            held, n = [], 0
+    if n:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _table(columns: Mapping[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == "m" else pa.float64()) for k, c in columns.items()], names=list(columns))
+
+
+def _per_time(frame: Frame, betas: Mapping[int, np.ndarray], own_sums: bool) -> DataFrame:
+    """Sums of each model and time, ``(m, t, a0, a1_i, a2_i_j, d, fit, xe_i)``, with ``own_sums`` also those of the events alone
+    (d0, d1_i, d2_i_j).  Tasks add up pieces of their rows by time for all models; a shuffle adds the pieces."""
+    p, pairs = frame.p, _pairs(frame.p)
+    risk = ["a0", *[f"a1_{i}" for i in range(p)], *[f"a2_{i}_{j}" for i, j in pairs]]
+    names = [*risk, "d", "fit", *[f"xe_{i}" for i in range(p)], *[f"d{k[1:]}" for k in risk if own_sums]]
+    betas = {m: np.asarray(b, float) for m, b in betas.items()}
+
+    def run(batches):
+        for own, t, e, *x in _pieces(batches, ["own", "t", "e", *[f"x{i}" for i in range(p)]]):
+            order = np.argsort(t, kind="stable")
+            own, t, e, x = own[order], t[order], e[order], [c[order] for c in x]
+            for m, beta in betas.items():
+                on = own != m
+                tm, em, xm = t[on], e[on], [c[on] for c in x]
+                if not len(tm):
+                    continue
+                starts = np.flatnonzero(np.r_[True, tm[1:] != tm[:-1]])
+                eta = sum((c * b for c, b in zip(xm, beta)), np.zeros(len(tm)))
+                with np.errstate(over="ignore"):
+                    w = np.exp(eta)
+                weighted = [w * c for c in xm]
+                cols = [w, *weighted, *[weighted[i] * xm[j] for i, j in pairs]]
+                add = [np.add.reduceat(c, starts) for c in [*cols, em, em * eta, *[em * c for c in xm]]]
+                if own_sums:
+                    add += [np.add.reduceat(em * c, starts) for c in cols]
+                yield _table({"m": np.full(len(starts), m), "t": tm[starts], **dict(zip(names, add))})
+
+    schema = "m int, t double, " + ", ".join(f"{k} double" for k in names)
+    return frame.table.mapInArrow(run, schema).groupBy("m", "t").agg(*[F.sum(k).alias(k) for k in names])
+
+
+def _efron_sums(at: DataFrame, p: int, risk: Sequence[str], events_at_once: int = 500_000) -> DataFrame:
+    """Parts of the log-likelihood, gradient and negative Hessian by model.  The l-th of d tied events sees the risk sums less
+    ``l / d`` of the tied events' own; the sums over l of the powers that this takes are made for some events at a time."""
+    pairs = _pairs(p)
+    names = ["fit", "d", *[f"xe_{i}" for i in range(p)], *[f"s{k[1:]}" for k in risk], *[f"d{k[1:]}" for k in risk]]
+    out = ["ll", *[f"g{i}" for i in range(p)], *[f"h{i}_{j}" for i, j in pairs]]
+
+    def run(batches):
+        for m, *cols in _pieces(batches, ["m", *names], 50_000):
+            v = dict(zip(names, cols))
+            d = v["d"].astype(np.int64)
+            ends = np.cumsum(d)
+            log, a0, a1, b0, b1, b2 = (np.zeros(len(d)) for _ in range(6))
+            for first in range(0, int(ends[-1]), events_at_once):
+                event = np.arange(first, min(first + events_at_once, int(ends[-1])))
+                row = np.searchsorted(ends, event, side="right")
+                c = (event - (ends[row] - d[row])) / d[row]
+                low = int(row[0])
+                at = slice(low, int(row[-1]) + 1)
+                with np.errstate(all="ignore"):
+                    r0 = v["s0"][row] - c * v["d0"][row]
+                    inv = 1 / r0
+                    for to, what in ((log, np.log(r0)), (a0, inv), (a1, c * inv), (b0, inv * inv), (b1, c * inv * inv), (b2, c * c * inv * inv)):
+                        to[at] += np.bincount(row - low, what)
+            s1, d1 = [v[f"s1_{i}"] for i in range(p)], [v[f"d1_{i}"] for i in range(p)]
+            sums = {"ll": v["fit"] - log}
+            sums |= {f"g{i}": v[f"xe_{i}"] - (s1[i] * a0 - d1[i] * a1) for i in range(p)}
+            sums |= {f"h{i}_{j}": v[f"s2_{i}_{j}"] * a0 - v[f"d2_{i}_{j}"] * a1
+                     - (s1[i] * s1[j] * b0 - (s1[i] * d1[j] + d1[i] * s1[j]) * b1 + d1[i] * d1[j] * b2) for i, j in pairs}
+            models, where = np.unique(m, return_inverse=True)
+            yield _table({"m": models, **{k: np.bincount(where, sums[k], minlength=len(models)) for k in out}})
+
+    return at.select("m", *names).mapInArrow(run, "m int, " + ", ".join(f"{k} double" for k in out))
+
+
 def cox_sums(frame: Frame, betas: Mapping[int, np.ndarray], ties: str, bounds) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
     """Log partial likelihood, gradient and negative Hessian of each model at its coefficients: one job."""
     p = frame.p
-    x = frame.laid_out(list(betas), betas)
-    w = F.exp(_eta(p))
-    risk = {"a0": w} | {f"a1_{i}": w * F.col(f"x{i}") for i in range(p)} | {f"a2_{i}_{j}": w * F.col(f"x{i}") * F.col(f"x{j}") for i, j in _pairs(p)}
-    sums = [F.sum(c).alias(k) for k, c in risk.items()] + [F.sum("e").alias("d"), F.sum(F.col("e") * _eta(p)).alias("fit")]
-    sums += [F.sum(F.col("e") * F.col(f"x{i}")).alias(f"xe_{i}") for i in range(p)]
-    if ties == "efron":
-        sums += [F.sum(F.col("e") * c).alias(f"d{k[1:]}") for k, c in risk.items()]  # the tied events' own sums: d0, d1_i, d2_i_j
-    per_t = x.groupBy("m", "t").agg(*sums)
+    risk = ["a0", *[f"a1_{i}" for i in range(p)], *[f"a2_{i}_{j}" for i, j in _pairs(p)]]
+    per_t = _per_time(frame, betas, ties == "efron")
     at = prefix_scan(per_t, "t", {f"s{k[1:]}": F.col(k) for k in risk}, by=["m"], reverse=True, unique=True, bounds=bounds).where("d > 0")
+    names = ["ll", *[f"g{i}" for i in range(p)], *[f"h{i}_{j}" for i, j in _pairs(p)]]
     if ties == "efron":
-        # one row an event, in two steps so that no array grows with the ties of one time
-        at = at.select("*", F.explode(F.sequence(F.lit(0), F.col("d").cast("long") - 1, F.lit(65_536))).alias("l0"))
-        at = at.select("*", F.explode(F.sequence("l0", F.least(F.col("l0") + 65_535, F.col("d").cast("long") - 1))).alias("l"))
-        c, weight, once = F.col("l") / F.col("d"), F.lit(1.0), F.when(F.col("l") == 0, 1.0).otherwise(0.0)
-        at = at.select("m", "l", weight.alias("weight"), once.alias("once"), "fit", *[f"xe_{i}" for i in range(p)],
-                       *[(F.col(f"s{k[1:]}") - c * F.col(f"d{k[1:]}")).alias(f"r{k[1:]}") for k in risk])
+        aggs = [F.sum(k).alias(k) for k in names]
+        at = _efron_sums(at, p, risk)
     else:
-        at = at.select("m", F.col("d").alias("weight"), F.lit(1.0).alias("once"), "fit", *[f"xe_{i}" for i in range(p)],
-                       *[F.col(f"s{k[1:]}").alias(f"r{k[1:]}") for k in risk])
-    mean = [F.col(f"r1_{i}") / F.col("r0") for i in range(p)]
-    aggs = [F.sum(F.col("once") * F.col("fit") - F.col("weight") * F.log("r0")).alias("ll")]
-    aggs += [F.sum(F.col("once") * F.col(f"xe_{i}") - F.col("weight") * mean[i]).alias(f"g{i}") for i in range(p)]
-    aggs += [F.sum(F.col("weight") * (F.col(f"r2_{i}_{j}") / F.col("r0") - mean[i] * mean[j])).alias(f"h{i}_{j}") for i, j in _pairs(p)]
+        mean = [F.col(f"s1_{i}") / F.col("s0") for i in range(p)]
+        aggs = [F.sum(F.col("fit") - F.col("d") * F.log("s0")).alias("ll")]
+        aggs += [F.sum(F.col(f"xe_{i}") - F.col("d") * mean[i]).alias(f"g{i}") for i in range(p)]
+        aggs += [F.sum(F.col("d") * (F.col(f"s2_{i}_{j}") / F.col("s0") - mean[i] * mean[j])).alias(f"h{i}_{j}") for i, j in _pairs(p)]
     return {r["m"]: (r["ll"], np.array([r[f"g{i}"] for i in range(p)]), _symmetric(r, p)) for r in at.groupBy("m").agg(*aggs).collect()}
 
 
@@ -286,38 +353,48 @@ def coxnet_path(df: DataFrame, time: str, event: str, features: Sequence[str], f
 FAMILIES = ("weibull", "loglogistic", "lognormal")
 
 
-def _aft_terms(family: str, z: Column, e: Column) -> tuple[Column, Column, Column]:
+def _aft_terms(family: str, z: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Value and first two derivatives by z of ``e ln f(z) + (1 - e) ln S(z)``, the density of the standard error."""
-    one = F.lit(1.0)
     if family == "weibull":
-        u = F.exp(F.least(z, F.lit(700.0)))
+        u = np.exp(np.minimum(z, 700.0))
         return e * z - u, e - u, -u
     if family == "loglogistic":
-        s = one / (one + F.exp(-z))
-        soft = F.when(z > 30, z).otherwise(F.log1p(F.exp(z)))
-        return e * z - (one + e) * soft, e - (one + e) * s, -(one + e) * s * (one - s)
+        s = 1 / (1 + np.exp(-z))
+        soft = np.where(z > 30, z, np.log1p(np.exp(np.minimum(z, 30.0))))
+        return e * z - (1 + e) * soft, e - (1 + e) * s, -(1 + e) * s * (1 - s)
     if family == "lognormal":
-        lam = F.when(z > 30, z + one / z).otherwise(F.exp(-z * z / 2) / F.lit(math.sqrt(2 * math.pi)) / norm_sf(z))
-        return (e * (-z * z / 2 - F.lit(0.5 * math.log(2 * math.pi))) + (one - e) * norm_logsf(z), -e * z - (one - e) * lam,
-                -e - (one - e) * lam * (lam - z))
+        sf, logsf = np_norm_sf(z), np_norm_logsf(z)
+        lam = np.where(z > 30, z + 1 / np.where(z > 30, z, 1.0), np.exp(-z * z / 2) / math.sqrt(2 * math.pi) / sf)
+        return e * (-z * z / 2 - 0.5 * math.log(2 * math.pi)) + (1 - e) * logsf, -e * z - (1 - e) * lam, -e - (1 - e) * lam * (lam - z)
     raise ValueError(f"unknown family {family!r}")
 
 
 def aft_sums(frame: Frame, family: str, params: Mapping[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Log-likelihood, gradient and negative Hessian in (intercept, coefficients, ln sigma) of each model: one aggregate."""
-    p, one = frame.p, F.lit(1.0)
-    x = frame.laid_out(list(params), params)
-    x = x.withColumn("sigma", F.exp(F.col("b")[p + 1])).withColumn("z", (F.log("t") - F.col("b")[0] - _eta(p, 1)) / F.col("sigma"))
-    v, g1, g2 = _aft_terms(family, F.col("z"), F.col("e"))
-    x = x.select("m", "t", "e", "b", "sigma", "z", *[f"x{i}" for i in range(p)], v.alias("v"), g1.alias("g1"), g2.alias("g2"))
-    s, z, d1, d2 = F.col("sigma"), F.col("z"), F.col("g1"), F.col("g2")
-    row = [one, *[F.col(f"x{i}") for i in range(p)]]
-    aggs = [F.sum(F.col("v") - F.col("e") * (F.col("b")[p + 1] + F.log("t"))).alias("ll")]
-    aggs += [F.sum(-d1 / s * c).alias(f"g{i}") for i, c in enumerate(row)] + [F.sum(-z * d1 - F.col("e")).alias(f"g{p + 1}")]
-    aggs += [F.sum(-d2 / (s * s) * row[i] * row[j]).alias(f"h{i}_{j}") for i, j in _pairs(p + 1)]
-    aggs += [F.sum(-(d1 + z * d2) / s * c).alias(f"h{i}_{p + 1}") for i, c in enumerate(row)]
-    aggs += [F.sum(-(z * d1 + z * z * d2)).alias(f"h{p + 1}_{p + 1}")]
-    return {r["m"]: (r["ll"], np.array([r[f"g{i}"] for i in range(p + 2)]), _symmetric(r, p + 2)) for r in x.groupBy("m").agg(*aggs).collect()}
+    """Log-likelihood, gradient and negative Hessian in (intercept, coefficients, ln sigma) of each model: one job.
+    Tasks add up pieces of their rows for all models, and what leaves a task is a row for each piece and model."""
+    p = frame.p
+    params = {m: np.asarray(b, float) for m, b in params.items()}
+    names = ["ll", *[f"g{i}" for i in range(p + 2)], *[f"h{i}_{j}" for i, j in _pairs(p + 2)]]
+
+    def run(batches):
+        for own, t, e, *x in _pieces(batches, ["own", "t", "e", *[f"x{i}" for i in range(p)]]):
+            log_t = np.log(t)
+            for m, b in params.items():
+                on = own != m
+                em, lt, row = e[on], log_t[on], [np.ones(int(on.sum())), *[c[on] for c in x]]
+                s = math.exp(b[p + 1])
+                with np.errstate(all="ignore"):
+                    z = (lt - sum(c * k for c, k in zip(row, b[: p + 1]))) / s
+                    v, d1, d2 = _aft_terms(family, z, em)
+                    out = {"ll": np.sum(v - em * (b[p + 1] + lt)), f"g{p + 1}": np.sum(-z * d1 - em), f"h{p + 1}_{p + 1}": -np.sum(z * d1 + z * z * d2)}
+                    a1, a2, a3 = -d1 / s, -d2 / (s * s), -(d1 + z * d2) / s
+                    out |= {f"g{i}": np.sum(a1 * c) for i, c in enumerate(row)} | {f"h{i}_{p + 1}": np.sum(a3 * c) for i, c in enumerate(row)}
+                    out |= {f"h{i}_{j}": np.sum(a2 * row[i] * row[j]) for i, j in _pairs(p + 1)}
+                yield _table({"m": np.array([m]), **{k: np.array([out[k]]) for k in names}})
+
+    parts = frame.table.mapInArrow(run, "m int, " + ", ".join(f"{k} double" for k in names))
+    got = parts.groupBy("m").agg(*[F.sum(k).alias(k) for k in names]).collect()
+    return {r["m"]: (r["ll"], np.array([r[f"g{i}"] for i in range(p + 2)]), _symmetric(r, p + 2)) for r in got}
 
 
 def fit_aft_folds(df: DataFrame, family: str, time: str, event: str, features: Sequence[str], fold: str = "fold", l2: float = 0.0,

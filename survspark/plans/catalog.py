@@ -861,7 +861,7 @@ def q_gaussian_mixture(spark, d):
 def q_fold_models_predict(spark, d):
     """ML12/IO6: fold models saved, reloaded, applied to every row, ranks averaged."""
     from ..operators import train
-    m = _model_frame(spark, d)
+    m = written(_model_frame(spark, d), "model_frame")  # read by fit and prediction
     _, models = train.train_oof(m, "logistic", FEATURES, "event", "classification", params={"maxIter": 20})
     path = scratch_path(spark, "models")
     train.save_models(models, path)
@@ -1014,7 +1014,7 @@ AFT_GIVEN = {f: (6.5 + 0.1 * f, [0.00002 * f, 0.01, -0.2], 0.8 + 0.05 * f) for f
 def q_cox_oof(spark, d):
     """SV16: Cox with Efron ties for each fold on the others; risk, H and S of unseen rows at their own time."""
     from ..operators import survreg
-    m = _model_frame(spark, d)
+    m = written(_model_frame(spark, d), "model_frame")  # read by fit, baseline and prediction
     fit = survreg.fit_cox_folds(m, "time", "event", COX_FEATURES)
     return survreg.predict_cox_folds(m, fit, survreg.cox_baseline(m, fit, "time", "event"), "time")
 
@@ -1054,13 +1054,13 @@ def q_cox_efron_sums(spark, d):
 def q_coxnet_path(spark, d):
     """SV17: elastic-net Cox coefficients of each fold along eight alphas."""
     from ..operators import survreg
-    return survreg.coxnet_path(_model_frame(spark, d), "time", "event", COX_FEATURES, n_alphas=8, alpha_min_ratio=0.01)[0]
+    return survreg.coxnet_path(written(_model_frame(spark, d), "model_frame"), "time", "event", COX_FEATURES, n_alphas=8, alpha_min_ratio=0.01)[0]
 
 
 def _aft(family: str):
     def run(spark, d):
         from ..operators import survreg
-        m = _model_frame(spark, d)
+        m = written(_model_frame(spark, d), "model_frame")  # read by fit and prediction
         return survreg.predict_aft_folds(m, survreg.fit_aft_folds(m, family, "time", "event", COX_FEATURES), "time")
 
     run.__doc__ = f"SV16: {family} accelerated failure time, out of fold: risk, H, S at own time, median."
