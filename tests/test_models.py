@@ -51,3 +51,22 @@ def test_histogram_of_a_column_without_values(spark):
     df = spark.createDataFrame([(1, None), (2, None)], "id int, x double")
     assert metrics.histogram(df, "x").collect() == [] and metrics.histogram(df.where("false"), "x").collect() == []
     assert [tuple(r) for r in metrics.histogram(df.fillna(3.0), "x").collect()] == [(0, 3.0, 4.0, 2)]
+
+
+def test_fold_scores_are_ranked_in_partitions_that_grow_with_the_rows(spark, monkeypatch):
+    from survspark.operators import train
+
+    df = spark.createDataFrame([(i, i % 3 + 1, (i * 7) % 11 / 11, int((i * 5) % 11 > 5)) for i in range(90)], "id long, fold int, a double, event int")
+    _, models = train.train_oof(df, "logistic", ["a"], "event", "classification", params={"maxIter": 3})
+    plain = {r.id: r.prediction for r in train.predict_folds(models, df, ["a"], "classification").collect()}
+    seen, inner = [], train.rank_pct
+
+    def ranked(*args, **more):
+        seen.append(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return inner(*args, **more)
+
+    monkeypatch.setattr(train, "rank_pct", ranked)
+    monkeypatch.setattr(train, "_ROWS_A_TASK", 25)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert {r.id: r.prediction for r in train.predict_folds(models, df, ["a"], "classification").collect()} == plain
+    assert seen == [11] and spark.conf.get("spark.sql.shuffle.partitions") == before
