@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import crc_mod
+from .common import crc_mod, slices
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -101,7 +101,7 @@ def predict_languages(df: DataFrame, model: LanguageModel, text: str = "text", m
 
     def run(batches):
         names = sorted(model.dictionaries)
-        for batch in batches:
+        for batch in (s for whole in batches for s in slices(whole, text)):  # bounded batches go back
             out = [], [], [], []
             for t in batch.column(text):
                 t = t.as_py()
