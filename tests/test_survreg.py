@@ -163,3 +163,22 @@ def test_aft_score_equations_and_curves(spark, family):
         assert math.isclose({"weibull": math.exp(-math.exp(zm))}.get(family, 0.5 if abs(zm) < 1e-9 else 0), 0.5, rel_tol=1e-9)
     with pytest.raises(ValueError, match="family"):
         survreg.fit_aft_folds(df, "gompertz", "time", "event", FEATS)
+
+
+def test_a_step_lays_no_row_out_for_a_model_or_an_event(spark, monkeypatch):
+    """Tasks send sums by time, at most one row a model, time and piece; heavy ties are added some events at a time."""
+    rng = np.random.default_rng(8)
+    n = 4000
+    pdf = pd.DataFrame({"id": np.arange(n), "fold": rng.integers(1, 4, n), "time": rng.integers(1, 4, n).astype(float), "event": rng.integers(0, 2, n),
+                        **{f: rng.normal(size=n) for f in FEATS}})
+    frame = survreg.Frame(spark.createDataFrame(pdf).coalesce(1), "time", "event", FEATS, "fold")
+    betas = {m: np.full(3, 0.1 * m) for m in range(3)}
+    assert survreg._per_time(frame, betas, True).count() == 9
+    whole = survreg.cox_sums(frame, betas, "efron", [])
+    efron = survreg._efron_sums
+    monkeypatch.setattr(survreg, "_efron_sums", lambda at, p, risk: efron(at, p, risk, events_at_once=100))
+    for m, (ll, g, h) in survreg.cox_sums(frame, betas, "efron", []).items():
+        assert math.isclose(ll, whole[m][0], rel_tol=1e-12) and np.allclose(g, whole[m][1]) and np.allclose(h, whole[m][2])
+        s = pdf[pdf.fold != frame.names[m]]
+        want, _ = _loglik(betas[m], s.time.to_numpy(), s.event.to_numpy(), s[FEATS].to_numpy() - frame.centre, "efron")
+        assert math.isclose(ll, want, rel_tol=1e-9)
