@@ -88,6 +88,7 @@ class Bands:
         self.high = [(b - 1) * den // num for b in self.low[1:]]  # largest partner of each band
         # H = |A u B| - |A n B| <= (den - num) / (den + num) * (|A| + |B|)
         self.k = [(den - num) * 2 * h // (den + num) for h in self.high]
+        self._partitions: dict[int, tuple[int, int]] = {}
 
     def of(self, n: int) -> list[int]:
         t = int(np.searchsorted(self.low, n, side="right")) - 1
@@ -103,10 +104,21 @@ class Bands:
         return n <= 64 and sum(math.comb(n, r) for r in range(lack + 1)) <= 20_000
 
     def partitions(self, t: int) -> tuple[int, int]:
-        """(n1, spare): first-level partitions, and how many may go unused."""
-        need = self.k[t] // 2 + 1
-        spare = 2 + need // 16
-        return need + spare, spare
+        """(n1, spare): first-level partitions, and how many may go unused.
+
+        Any number of spare ones is exact.  With the least one that also the smallest sets of the band are likely to
+        keep to, one partitioning does for most sets; too few cost a set several."""
+        if t not in self._partitions:
+            need, n = self.k[t] // 2 + 1, self.low[t]
+            spare = 2 + need // 16
+            for more in range(2, 4 * need):
+                n1 = need + more
+                unused = 1 - (1 - math.exp(-n / (2 * n1))) ** 2  # share of the first-level partitions with an empty subset
+                if n1 * unused + math.sqrt(n1 * unused * (1 - unused)) <= more:
+                    spare = more
+                    break
+            self._partitions[t] = need + spare, spare
+        return self._partitions[t]
 
 
 _LEVELS = 8
@@ -161,7 +173,7 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
 
 
 _GROUP = 4096  # classes of a signature that one group compares
-_BEST = 2  # pairs that a component proposes in the first round; twice as many in each further one
+_BEST = 2  # pairs that a component proposes in the first round; four times as many in each further one
 _REACH = (4, 32)  # neighbours by size that a class meets in the first rounds, when most copies find each other; then all
 
 
@@ -226,7 +238,8 @@ def _closest(t: dict, num: int, den: int, most: int, reach: int) -> dict[int, li
 
 
 def _proposals(open_: DataFrame, refused: DataFrame, sketches: DataFrame, num: int, den: int, parts: int, most: int, reach: int) -> DataFrame:
-    """(a, b): the closest pairs of classes that each component proposes, at most ``most``.
+    """(a, b, full): the closest pairs of classes that each component proposes, at most ``most``; ``full`` where a
+    component has that many, so that it may have more.
 
     Groups of more than ``_GROUP`` classes are split into blocks, and each pair of blocks is a group."""
     count = open_.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / _GROUP).cast("int").alias("blocks"))
@@ -281,7 +294,8 @@ def _proposals(open_: DataFrame, refused: DataFrame, sketches: DataFrame, num: i
 
     found = rows.mapInArrow(run, "component long, differ long, a long, b long")
     order = Window.partitionBy("component").orderBy("differ", "a", "b")
-    return found.distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("a", "b").distinct()
+    placed = found.distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return placed.groupBy("a", "b").agg((F.max("place") == most).alias("full"))
 
 
 def _signature_rows(docs: DataFrame, k: int, num: int, den: int, largest: int) -> DataFrame:
@@ -334,9 +348,20 @@ def _id():
     return F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b) of classes, and those whose sets are similar enough."""
-    size = classes.groupBy("cls").agg(F.min(F.struct(_id(), "h")).alias("at"), F.first("n_shingles").alias("n"))
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) of ``label`` after more links (a, b) of classes: only the components that these
+    join are contracted."""
+    ends = links.select("a", "b")
+    for end in ("a", "b"):
+        named = label.select(F.col("node").alias(end), F.col("component").alias("of"))
+        ends = ends.join(named, end, "left").withColumn(end, F.coalesce("of", end)).drop("of")
+    step = stored(connected_components(ends), "joined")
+    moved = label.join(step.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    return moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(step.join(label, "node", "left_anti"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, size: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of classes, and those whose sets are similar enough; ``size``: (cls, at, n), one row of each class."""
     pairs = (pairs.join(size.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a")
              .join(size.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
              .where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b"))
@@ -396,33 +421,35 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, w
         one = apart.groupBy("f1", "f2").agg(F.min("sig").alias("sig")).select("sig")
         return stored(named.join(one, "sig").select("sig", "cls", "component"), "open")
 
+    size = stored(classes.where("cls is not null").groupBy("cls").agg(F.min(F.struct(_id(), "h")).alias("at"), F.first("n_shingles").alias("n")), "size")
     # 1. each class with the smallest class it shares a signature with: one pair a class
     star = shared.where("cls <> first").groupBy(F.col("cls").alias("b")).agg(F.min("first").alias("a")).select("a", "b")
-    tested, links = _verified(star, docs, classes, k, num, den)
+    tested, links = _verified(star, docs, size, k, num, den)
     label = stored(connected_components(links), "labels")
     open_ = still_open(shared, label)
     removed(shared)
     sketches = stored(classes.join(open_.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(
         F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "sketches")
-    # 2. round by round, what groups of several components propose
+    # 2. round by round, what groups of several components propose; where all neighbours were met and no component had more
+    # pairs than it could propose, every pair that may link two components has been tested
     refused = stored(tested.join(links, ["a", "b"], "left_anti"), "refused")
     most, reaches = _BEST, [*_REACH, 0]
     while True:
         rest = stored(_proposals(open_, refused, sketches, num, den, parts, most, reaches[0]), "rest")
-        most *= 2
-        last = len(reaches) == 1
+        most *= 4
+        some, full = rest.agg(F.count(F.lit(1)), F.max("full")).first()
+        done = len(reaches) == 1 and not full
         reaches = reaches[1:] or reaches
-        if rest.isEmpty():
-            if last:
-                break
-            continue
-        tested, more = _verified(rest, docs, classes, k, num, den)
-        refused = refused.unionByName(stored(rest.join(more, ["a", "b"], "left_anti"), "refused"))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            label = stored(connected_components(links), "labels")
-            before, open_ = open_, still_open(open_, label)
-            removed(before)
+        if some:
+            tested, more = _verified(rest.select("a", "b"), docs, size, k, num, den)
+            if not more.isEmpty():
+                label = stored(_merged(label, more), "labels")
+            if not done:
+                refused = refused.unionByName(stored(rest.select("a", "b").join(more, ["a", "b"], "left_anti"), "refused"))
+                before, open_ = open_, still_open(open_, label)
+                removed(before)
+        if done:
+            break
     named = classes.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     named = stored(named.select("doc_id", "h", "n_shingles", "component"), "members")
     least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -89,6 +89,41 @@ def test_near_copies_without_a_common_original_stay_linear(spark, docs, monkeypa
     assert counts[240] <= 8 * counts[60], counts
 
 
+def test_few_signatures_for_each_set():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in rng.integers(150, 600, 200)]
+    for num in (80, 85):
+        bands = partenum.Bands(num, 100, 600)
+        made = sum(len(partenum.signatures(s, bands)) for s in sets)
+        assert made <= 1.1 * sum(map(len, sets)), (num, made)
+        for s in sets:  # as many differences as the similarity allows, on either side
+            lack = (100 - num) * len(s) // 100
+            some = rng.permutation(s)[: len(s) - lack]
+            assert np.intersect1d(partenum.signatures(s, bands), partenum.signatures(np.sort(some), bands)).size
+
+
+def test_rounds_join_components_and_end_when_all_pairs_are_tested(spark, docs, monkeypatch):
+    edges, links, rounds = [], [], []
+    joined, proposed, verified = partenum.connected_components, partenum._proposals, partenum._verified
+    monkeypatch.setattr(partenum, "connected_components", lambda e: (edges.append(e.count()), joined(e))[1])
+    monkeypatch.setattr(partenum, "_proposals", lambda *a: (rounds.append(a[-1]), proposed(*a))[1])
+    monkeypatch.setattr(partenum, "_verified", lambda *a: [x for x in [verified(*a)] if links.append(x[1].count()) is None][0])
+    rng = random.Random(9)
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(80)]
+        for i in range(20):
+            copy = list(base)
+            for at in rng.sample(range(80), rng.randrange(4)):
+                copy[at] = f"x{rng.randrange(40)}"
+            rows.append((len(rows), " ".join(copy)))
+    got = partenum.jaccard_groups(docs([(d, t, None) for d, t in rows]), 4, 85, 100)
+    assert sorted(tuple(r) for r in got.collect()) == groups(rows, 4, 85, 100)
+    # later rounds hand over the new links only, and no round follows one that tested every pair
+    assert rounds[-1] == 0 and len(rounds) <= 4, rounds
+    assert links[1] and edges == [links[0], *[n for n in links[1:] if n]], (edges, links)
+
+
 def test_split_groups_and_small_sets_equal_brute_force(spark, docs, monkeypatch):
     monkeypatch.setattr(partenum, "_GROUP", 5)
     monkeypatch.setattr(partenum, "_BEST", 1)
