@@ -136,6 +136,65 @@ def test_katz_equals_brute_force(spark, docs, part_bytes):
     assert {round(r.score, 9) for r in katz.katz_scores(df, F.lit(False)).collect()} == {0.0}
 
 
+def brute_backoff(rows, order):
+    """Scores by the recursion itself: P(w | h) of every token, shorter and shorter contexts."""
+    words = lambda x: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or "")) + ["</s>"]
+    grams = [Counter() for _ in range(order + 1)]
+    for _, t, train in rows:
+        w = ["<s>", *words(t)]
+        for n in range(1, order + 1):
+            if train:
+                grams[n].update(tuple(w[i - n + 1: i + 1]) for i in range(max(1, n - 1), len(w)))
+    of = lambda x: np.bincount([min(y, katz.TOP + 2) for y in x.values()] or [0], minlength=katz.TOP + 3)[: katz.TOP + 2]
+    total = sum(grams[1].values())
+    uni = katz.Unigram(total, len(grams[1]), of(grams[1]))
+    d = {n: katz.discounts(of(grams[n])) for n in range(2, order + 1)}
+    after = defaultdict(list)
+    for n in range(2, order + 1):
+        for g, k in grams[n].items():
+            after[g[:-1]].append((g[-1], k))
+
+    def p(h, w):
+        if not h:
+            return float(uni.p(np.array([grams[1][w,]]))[0])
+        if h not in after:
+            return p(h[1:], w)
+        n, count = len(h) + 1, sum(k for _, k in after[h])
+        mass = sum(d[n][min(k, katz.TOP + 1)] * k for _, k in after[h]) / count
+        scale = 1.0 if 1 - mass > 1e-12 else count / (count + 1) / mass
+        if (k := grams[n][(*h, w)]):
+            return scale * d[n][min(k, katz.TOP + 1)] * k / count
+        return (1 - scale * mass) / max(1 - sum(p(h[1:], x) for x, _ in after[h]), 1e-300) * p(h[1:], w)
+
+    for h in [x for x in after if len(x) == order - 1][:40]:
+        if len(after[h]) < len(grams[1]):
+            assert abs(sum(p(h, x) for x in [*(g[0] for g in grams[1]), "\0unknown"]) - 1) < 1e-9
+    out = []
+    for _, t, _ in rows:
+        w = ["<s>", *words(t)]
+        out.append(sum(math.log10(p(tuple(w[max(0, i - order + 1): i]), w[i])) for i in range(1, len(w))))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+@pytest.mark.parametrize("part_bytes", [12_000_000, 150])
+def test_katz_backs_off_through_every_length(spark, docs, order, part_bytes):
+    rng = random.Random(order)
+    vocab = ["the", "The", "a"] * 6 + [f"w{i}" for i in range(25)]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 60))), i % 4 != 0) for i in range(60)]
+    rows += [(500, None, True), (501, "", False), (502, "never seen words here the a the", False), (1, rows[1][1], rows[1][2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train_row boolean")
+    got = katz.katz_scores(df, F.col("train_row"), part_bytes, order).collect()
+    assert sorted((r.doc_id, round(r.score, 6)) for r in got) == sorted((d, round(s, 6)) for (d, _, _), s in zip(rows, brute_backoff(rows, order)))
+
+
+def test_the_query_scores_by_three_words(spark):
+    got = {r.doc_id: r.score for r in QUERIES["op2_katz"](spark, SF).collect()}
+    rows = [(d, t, zlib.crc32(str(d).encode()) % 7 != 2) for d, t in table("documents")[["doc_id", "text"]].itertuples(index=False)][:]
+    want = katz.katz_scores(spark.createDataFrame(rows, "doc_id long, text string, tr boolean"), F.col("tr"), order=2).collect()
+    assert katz.ORDER == 3 and sum(abs(r.score - got[r.doc_id]) > 1e-3 for r in want) > len(want) // 2
+
+
 def test_bin_completion_packs_everything_and_beats_best_fit():
     rng = np.random.default_rng(1)
     counts = Counter(rng.integers(500, 1100, 2000).tolist())
