@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from survspark.llm.common import stored
+from survspark.llm.common import small_batches, stored
 from survspark.llm.decontaminate import find_contamination
 from survspark.llm.langid import fit_languages, predict_languages
 from survspark.llm.packing import pack_documents
@@ -43,6 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold an item of ``benchmark``; the hash of the text stands for the row, as only the text decides."""
+    small_batches(spark)
     rows = docs.select(*COLUMNS, F.xxhash64("text").alias("_h"))
     found = find_contamination(rows.select(F.col("_h").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return rows.join(stored(found.select(F.col("doc_id").alias("_h")).distinct(), "contaminated"), "_h", "left_anti").select(*COLUMNS)
@@ -57,6 +58,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences: each piece with its ids, sequence and offset."""
     import public_tokenizers
 
+    small_batches(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 

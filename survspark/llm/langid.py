@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import crc_mod, slices
+from .common import crc_mod, slices, small_batches
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -94,6 +94,7 @@ def predict_languages(df: DataFrame, model: LanguageModel, text: str = "text", m
     """Adds ``lang_pred``, ``score`` (1 - smallest / second smallest size, between 0 and 1), ``margin_bytes``
     and ``rejected``: no letter, no model, a tie, a score under ``min_margin``, or a margin under ``noise`` times
     the square root of the text's UTF-8 bytes, as chance leads grow with it."""
+    small_batches(df.sparkSession)
     added = {"lang_pred": "string", "score": "double", "margin_bytes": "long", "rejected": "boolean"}
     kept = [c for c in df.columns if c not in added]
     src = df.select(*[F.col(f"`{c}`") for c in kept])

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, removed, shingle_hashes, signed, slices, stored, utf8, word_hashes
+from .common import mix, removed, shingle_hashes, signed, slices, small_batches, stored, utf8, word_hashes
 from .components import connected_components
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -405,6 +405,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, w
     ``den * |A n B| >= num * |A u B|`` links; the component is its smallest ``doc_id``.  ``with_keys`` adds the
     ``xxhash64`` of the text (``h``) and a key of the component that ids, null or repeated, do not
     touch (``component``, null for empty sets)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("h", F.xxhash64("text"))
     classes = stored(_classes(docs, k), "classes")
     total, largest = classes.agg(F.sum("n_shingles"), F.max("n_shingles")).first()

@@ -5,10 +5,12 @@ import random
 import re
 import string
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 
 import corpus_pipeline
 from survspark.llm import pii, secret_scan
+from survspark.llm.common import SLICE_BYTES
 from survspark.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -136,3 +138,26 @@ def test_stages_decide_by_row_where_ids_are_null_or_repeat(spark):
     assert (5, near) in kept and (None, clean) not in kept and (5, "another text of the same id") in kept and (6, None) in kept
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.decontaminated(spark, docs, SF).collect()]
     assert sorted(kept, key=repr) == sorted([r for r in rows if r[1] is None or item not in r[1]], key=repr)
+
+
+def test_pipeline_hands_python_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    rows = [(i, f"{i:04d} " + "some words " * 2000, "en", "s", 22_005) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows * 22_005])], names=["bytes"])
+
+    try:
+        for _, stage in corpus_pipeline.STAGES[:3] + corpus_pipeline.STAGES[4:]:
+            spark.conf.unset(key)
+            stage(spark, docs.limit(2), SF)
+            got = [r["bytes"] for r in docs.mapInArrow(sizes, "bytes long").collect()]
+            assert sum(got) == 300 * 22_005 and max(got) <= SLICE_BYTES + 22_005
+        spark.conf.set(key, "100000")  # a limit of the session stays
+        corpus_pipeline.language_id(spark, docs.limit(2), SF)
+        assert spark.conf.get(key) == "100000"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
