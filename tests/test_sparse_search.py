@@ -5,11 +5,12 @@ import time
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
-from survspark.operators import encode, train
+from survspark.operators import encode, metrics, train
 
 
 def _frame(spark):
@@ -72,6 +73,37 @@ def test_halving_keeps_the_best_and_repeats_by_seed(spark):
         train.halving_search(df, "random_forest", space, ["x"], "event", "classification", brier, "numTrees", (), n_trials=1)
 
 
+def test_halving_prepares_the_frame_once_and_gives_the_metric_its_targets(spark, monkeypatch):
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(200) % 190, "fold": np.arange(200) % 2, "x": np.arange(200.0), "event": np.arange(200) % 3 // 2}))
+    frames, seen, real = [], [], train.written
+    monkeypatch.setattr(train, "written", lambda d, name: frames.append(name) or real(d, name))
+
+    def metric(oof):
+        seen.append(sorted((r.id, r.fold, r.event) for r in oof.collect()))
+        return 1.0
+
+    train.halving_search(df, "random_forest", {"maxDepth": ("int", 1, 3)}, ["x"], "event", "classification", metric, "numTrees", (1, 2), n_trials=3, carry=["event"])
+    assert frames.count("oof_frame") == 1 and len(seen) == 4
+    assert all(s == sorted((i % 190, i % 2, i % 3 // 2) for i in range(200)) for s in seen)
+
+
+def test_auc_of_counted_rows(spark):
+    rows = [(0.1, 3, 1), (0.4, 1, 1), (0.4, 2, 0), (0.9, 4, 3), (None, 5, 5)]
+    whole = [(p, int(i < e)) for p, n, e in rows for i in range(n)]
+    short, long = spark.createDataFrame(rows, "p double, n long, e long"), spark.createDataFrame(whole, "p double, e int")
+    assert metrics.auc_table(short, "e", "p", [], rows="n").first() == metrics.auc_table(long, "e", "p", []).first()
+
+
+def test_vectors_of_numbers_equal_the_assembler(spark):
+    df = spark.createDataFrame([(1, 2.5, True, None), (0, None, False, 3.0), (7, 0.0, None, 0.0)], "a int, b double, c boolean, d float")
+    names = ["a", "b", "c", "d"]
+    own = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(df)
+    got = train.assemble(df, names)
+    assert got.columns == own.columns and got.schema["features"].metadata == own.schema["features"].metadata
+    for x, y in zip(got.collect(), own.collect()):
+        assert np.array_equal(x.features.toArray(), y.features.toArray(), equal_nan=True)
+
+
 @pytest.mark.parametrize("rows,most", [(1, 1), (500, 2), (10**9, 4)])
 def test_large_frames_are_fitted_a_few_folds_at_a_time(spark, monkeypatch, rows, most):
     """Each fit keeps its own copy of the training rows, so the frame's size bounds the fits side by side."""
