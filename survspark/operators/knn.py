@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from . import boxes
 
 _PIVOTS = 4096
 _SLACK = 1e-9  # relative room for rounding where a bound decides
@@ -40,11 +41,11 @@ def block_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("survspark.knn.blockRows", "20000"))
 
 
-def _usable(df: DataFrame, key: str, vec: str, group: str | None) -> DataFrame:
+def _usable(df: DataFrame, key: str, vec: str, group: str | None, *more: Column) -> DataFrame:
     v = F.col(vec).cast("array<double>")
     whole = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     return df.select(F.col(key).cast("long").alias("id"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("grp"),
-                     v.alias("v")).where(F.col("id").isNotNull() & whole & (F.size("v") > 0))
+                     v.alias("v"), *more).where(F.col("id").isNotNull() & whole & (F.size("v") > 0))
 
 
 def _matrix(column, size: int) -> np.ndarray:
@@ -261,6 +262,17 @@ class _Block:
         return rows[best[0]], best[1], best[2]
 
 
+def _common_size(found: DataFrame):
+    """The length that most references have, and their number."""
+    return found.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
+
+
+def _box_rows(refs: DataFrame, n: int, cells: int | None = None) -> tuple[int, int]:
+    """References of a box and of a block: enough boxes for many tasks, each within what a task may hold."""
+    most = block_rows(refs)
+    return max(1, -(-n // cells)) if cells else min(most, max(n // _TASKS, cell_rows(refs))), most
+
+
 def knn_between(probes: DataFrame, refs: DataFrame, key: str = "vec_id", vec: str = "embedding", k: int = 5, exclude_self: bool = False,
                 group: str | None = None, cells: int | None = None) -> DataFrame:
     """JN6: exact Euclidean k-NN of every probe among the references: ``(key, rank, neighbor_id, distance)``.
@@ -269,11 +281,16 @@ def knn_between(probes: DataFrame, refs: DataFrame, key: str = "vec_id", vec: st
     are left out (a fold: neighbours come from the other folds only; a null group leaves out nothing)."""
     spark, k = refs.sparkSession, int(k)
     found = _usable(refs, key, vec, group)
-    by_size = found.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    result = "row long, id long, distance double"
+    by_size = _common_size(found)
     rows = _usable(probes, key, vec, group).withColumn("row", F.monotonically_increasing_id())
     if by_size is None:
         return rows.select(F.col("id").alias(key), F.lit(0).alias("rank"), F.col("id").alias("neighbor_id"), F.lit(0.0).alias("distance")).where("false")
+    if by_size["size"] <= boxes.MOST:
+        size, n = by_size["size"], by_size["count"]
+        best = boxes.nearest(rows.where(F.size("v") == size), found.where(F.size("v") == size).select("*", F.lit(0.0).alias("s"), F.lit(0.0).alias("c")),
+                             size, n, k, exclude_self, *_box_rows(refs, n, cells), brief=False)
+        return best.select("id", F.posexplode("found").alias("at", "x")).select(
+            F.col("id").alias(key), (F.col("at") + 1).cast("int").alias("rank"), F.col("x.id").alias("neighbor_id"), F.col("x.distance").alias("distance"))
     size, n = by_size["size"], by_size["count"]
     found, rows = found.where(F.size("v") == size), written(rows.where(F.size("v") == size), "knn_probes")
     count = max(1, min(_PIVOTS, cells or -(-n // cell_rows(refs))))
@@ -361,6 +378,20 @@ def knn_oof(df: DataFrame, target: str, fold: str = "fold", key: str = "vec_id",
     """ML6: out-of-fold k-NN score ``(key, fold, prediction)``: the mean target of the k nearest rows of all other folds.
     Rows of a null fold are neighbours of all and are scored by none."""
     scored = df.where(F.col(fold).isNotNull())
-    near = knn_between(scored, df, key, vec, k, exclude_self=True, group=fold)
-    got = near.join(df.select(F.col(key).alias("neighbor_id"), F.col(target).cast("double").alias("__y")), "neighbor_id").groupBy(key).agg(F.avg("__y").alias("prediction"))
+    found = _usable(df, key, vec, fold)
+    by_size = _common_size(found)
+    if by_size is None or by_size["size"] > boxes.MOST:
+        near = knn_between(scored, df, key, vec, k, exclude_self=True, group=fold)
+        got = near.join(df.select(F.col(key).alias("neighbor_id"), F.col(target).cast("double").alias("__y")), "neighbor_id").groupBy(key).agg(F.avg("__y").alias("prediction"))
+        return scored.select(key, fold).join(got, key, "left")
+    size, n = by_size["size"], by_size["count"]
+    # a neighbour stands for all rows of its key: references carry their own target, or the sums of a key that comes more than once
+    y = F.col(target).cast("double")
+    sums = df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("id")).agg(
+        F.count(F.lit(1)).alias("__n"), F.coalesce(F.sum(y), F.lit(0.0)).alias("__s"), F.count(y).cast("double").alias("__c")).where("__n > 1").drop("__n")
+    refs = _usable(df, key, vec, fold, y.alias("s")).where(F.size("v") == size).join(written(sums, "knn_keys"), "id", "left").select(
+        "id", "grp", "v", F.coalesce("__s", "s", F.lit(0.0)).alias("s"), F.coalesce("__c", F.col("s").isNotNull().cast("double")).alias("c"))
+    rows = _usable(scored, key, vec, fold).where(F.size("v") == size).withColumn("row", F.monotonically_increasing_id())
+    near = boxes.nearest(rows, refs, size, n, int(k), True, *_box_rows(df, n), brief=True)
+    got = near.groupBy(F.col("id").alias(key)).agg((F.sum("s") / F.nullif(F.sum("c"), F.lit(0.0))).alias("prediction"))
     return scored.select(key, fold).join(got, key, "left")
